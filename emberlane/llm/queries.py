@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lengths
+from . import bpe, chat, lengths, urls
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,3 +19,22 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(lengths.encoded_lengths(read(spark, sf_dir, "documents"), VOCABULARY, PATTERN))
+
+
+#: The ``reply`` tool that turns of a conversation are taken to call.
+REPLY = {"reply": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 20}, "turn": {"type": "integer", "minimum": 0}}}}
+
+#: (verdict, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Hosts whose pages make up the list of unwanted URLs.
+LISTED_HOSTS = r"(^|\.)(cheap-pills|spam-farm)\."
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_calls(*chat.turns_as_calls(read(spark, sf_dir, "conversations")), REPLY)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(urls.host_of(F.col("url")).rlike(LISTED_HOSTS)).select(urls.canonical_url(F.col("url")).alias("canonical"))
+    return urls.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "in_list")
