@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lengths, quality, urls
+from . import bpe, chat, lengths, licenses, quality, urls
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -42,3 +42,23 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), ["doc_id"])
+
+
+#: Phrases that name a license, and its label.
+LICENSE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+#: Fixed values: (label, notice) as the licenses' publishers word them, up to 24 words of each.
+LICENSE_TEMPLATES = [
+    ("apache", "Licensed under the Apache License, Version 2.0"),
+    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by"),
+    ("mit", "Released under the MIT License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+]
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), LICENSE_PHRASES, LICENSE_TEMPLATES)
