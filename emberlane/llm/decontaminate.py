@@ -2,7 +2,7 @@
 
 Words are stripped of outer punctuation and lower-cased (what is nothing but
 punctuation is left out); numbers, units and
-names (capitalised words inside a sentence) become typed placeholders. Every
+names (words inside a sentence that are capitalised but not in capitals throughout) become typed placeholders. Every
 ``window`` consecutive words are a template window, known by a 64-bit hash.
 Windows of documents meet those of benchmark items in a hash join on it, and
 the templates themselves are compared, so a hash collision doesn't count.
@@ -54,7 +54,7 @@ def canonical_word(raw: str) -> tuple[str, str]:
         return "<num>", "<num>"
     if low in UNITS:
         return "<unit>", "<unit>"
-    if word[:1].isupper():
+    if word[:1].isupper() and not word.isupper():
         return "<name>", low
     return low, low
 
