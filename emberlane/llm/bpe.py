@@ -248,10 +248,10 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column:
     return map_rows(encoded, f"`{id_column}` {kind}, text string", each, id_column, ids_column)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes and decodes every text in one pass: (id, n_tokens, ids_sha256,
     decoded_sha256, n_bytes, exact), the digests over the decimal ids joined by
-    commas and over the decoded bytes."""
+    commas and over the decoded bytes; ids as well if ``with_ids``."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def each():
@@ -259,18 +259,20 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
         decimal = [str(i) for i in range(len(codec.bytes_of))]
 
         def work(key, text):
-            out = {n: [] for n in ("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "exact")}
+            out = {n: [] for n in ("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "exact", "ids")}
             for t, ids in zip(text, codec.encode(text)):
                 back = codec.decode(ids)
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
                 out["n_bytes"].append(len(back))
+                if with_ids:
+                    out["ids"].append(ids)
                 out["exact"].append(back == (t or "").encode("utf-8", "replace"))
             return out | {id_column: key}
 
         return work
 
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, exact boolean"
+    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, exact boolean" + ", ids array<int>" * with_ids
     return map_rows(docs, schema, each, id_column, text_column)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,27 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/emberlane-{uuid.uuid4().hex}"
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Lists the paths that ``stored`` writes meanwhile."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables; whatever was made of them must have been written."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again.
 
@@ -35,6 +57,8 @@ def stored(df: DataFrame) -> DataFrame:
     costs a read of them and not the work before.
     """
     path = scratch(df.sparkSession)
+    for paths in _recorders:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -167,17 +167,18 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     )
 
 
-def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets.
 
-    Added values are replaced wherever they stand in their text, then base
-    kinds one after another, by joining the pieces between matches.
+    Added values are replaced wherever they stand in the texts of their id, then
+    base kinds one after another, by joining the pieces between matches.
     """
     columns = docs.columns
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    values = scan(rows, ["__row"], text_column).where(F.size("added") > 0).select(F.col("__row").alias("__of"), F.transform("added", lambda s: F.struct(s["kind"], s["value"])).alias("__added"))
-    out = rows.join(values, F.col("__row") == F.col("__of"), "left")
-    told = F.aggregate(F.array_distinct("__added"), F.col(text_column), lambda t, s: F.replace(t, s["value"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
+    found = scan(docs, [id_column], text_column).where(F.size("added") > 0)
+    values = found.select(F.col(id_column).alias("__of"), F.explode("added").alias("s")).groupBy("__of")
+    values = stored(values.agg(F.sort_array(F.collect_set(F.struct("s.kind", "s.value"))).alias("__added")))
+    out = docs.join(values, F.col(id_column).eqNullSafe(F.col("__of")), "left")
+    told = F.aggregate("__added", F.col(text_column), lambda t, s: F.replace(t, s["value"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
     out = out.withColumn("__t", F.when(F.col("__added").isNotNull(), told).otherwise(F.col(text_column)))
     for kind, pattern in BASE.items():
         out = out.withColumn("__m", F.regexp_extract_all("__t", F.lit(pattern), F.lit(0)))
