@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from . import queries
+from .oracles import ORACLES
 
 QUERIES = {name: f for name, f in vars(queries).items() if name.startswith("op") and callable(f)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
