@@ -9,11 +9,13 @@ checked against the tools' schemas and each message becomes one line of
 canonical JSON: keys sorted, no spaces, UTF-8, no NaN.
 
 Defined results: the first row (lowest turn, then text) counts where an
-identifier repeats, and later ones have status ``repeated``; calls without a
+identifier repeats, and one row of status ``repeated`` tells how many calls or
+results came after it; calls without conversation or identifier are
+``unidentified``; calls without a
 result ``unanswered``; results without a call ``orphan``; calls in a cycle
 ``cycle`` with a null level; arguments that aren't a JSON object of the schema
 ``invalid``, with the reason in ``problem``. A dependency that no call defines is
-ignored. Null conversations or identifiers match nothing.
+ignored. Results without conversation or identifier are orphans.
 """
 
 from __future__ import annotations
@@ -101,15 +103,20 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     """
     first = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "arguments", "name", "depends_on")).alias("c"), F.count(F.lit(1)).alias("n"))
     once = stored(first.where("conv_id is not null and call_id is not null").select("conv_id", "call_id", "c.*"))
-    replies = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
+    replies = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n"))
     linked = (
         once.join(levels(once), ["conv_id", "call_id"], "left")
         .join(replies.where("conv_id is not null and call_id is not null").select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.lit(True).alias("answered")), ["conv_id", "call_id"], "left")
         .select("conv_id", "turn", "call_id", "name", "level", F.when(F.col("level").isNull(), "cycle").when(F.col("answered").isNull(), "unanswered").otherwise("linked").alias("status"), "arguments", "content")
     )
-    # every row but the first of its identifier, however often it repeats
-    again = first.where("n > 1").select("conv_id", "call_id", "n", "c.*")
-    repeats = again.select("conv_id", "turn", "call_id", "name", F.lit(None).cast("int").alias("level"), F.lit("repeated").alias("status"), F.lit(None).cast("string").alias("arguments"), F.concat(F.lit("repeats: "), F.col("n") - 1).alias("content"))
+    no = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    named = "conv_id is not null and call_id is not null"
+    later = F.concat(F.lit("repeats: "), F.col("n") - 1).alias("content")
+    told = lambda df, status, content: df.select("conv_id", "turn", "call_id", "name", no("int", "level"), F.lit(status).alias("status"), no("string", "arguments"), content)
+    repeats = told(first.where(f"n > 1 and {named}").select("conv_id", "call_id", "n", "c.*"), "repeated", later)
+    answered = replies.where(f"n > 1 and {named}").join(once.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi")
+    repeats = repeats.unionByName(told(answered.select("conv_id", "call_id", "n", "r.turn", no("string", "name")), "repeated", later))
+    repeats = repeats.unionByName(told(calls.where(f"not ({named})"), "unidentified", no("string", "content")))
     orphans = results.join(once.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").select(
         "conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.lit("orphan").alias("status"), F.lit(None).cast("string").alias("arguments"), "content"
     )

@@ -161,13 +161,13 @@ def test_labels_find_unseen_secrets(spark):
 
 def test_chat_links_orders_and_checks(spark):
     calls = spark.createDataFrame(
-        [(1, "a", 0, "add", '{"x": 1, "é": "\\n"}', []), (1, "b", 2, "add", '{"x": "no"}', ["a", "gone"]), (1, "c", 4, "add", "{", ["b"]), (1, "d", 5, "add", '{"x": 3}', ["e"]), (1, "e", 6, "add", '{"x": 3}', ["d"]), (1, "a", 9, "add", "{}", []), (2, "a", 0, "none", "{}", [])],
+        [(1, "a", 0, "add", '{"x": 1, "é": "\\n"}', []), (1, "b", 2, "add", '{"x": "no"}', ["a", "gone"]), (1, "c", 4, "add", "{", ["b"]), (1, "d", 5, "add", '{"x": 3}', ["e"]), (1, "e", 6, "add", '{"x": 3}', ["d"]), (1, "a", 9, "add", "{}", []), (2, "a", 0, "none", "{}", []), (3, None, 0, "add", "{}", [])],
         "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>",
     )
-    results = spark.createDataFrame([(1, "a", 1, "2"), (1, "b", 3, "3"), (1, "z", 7, "?"), (1, "c", 8, "4")], "conv_id long, call_id string, turn long, content string")
+    results = spark.createDataFrame([(1, "a", 1, "2"), (1, "b", 3, "3"), (1, "z", 7, "?"), (1, "c", 8, "4"), (1, "c", 9, "5"), (1, None, 9, "6")], "conv_id long, call_id string, turn long, content string")
     schema = {"add": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}}}
     rows = {(r.conv_id, r.call_id, r.status): r for r in chat.link_calls(calls, results, schema).collect()}
-    assert set(rows) == {(1, "a", "linked"), (1, "b", "invalid"), (1, "c", "invalid"), (1, "d", "cycle"), (1, "e", "cycle"), (1, "a", "repeated"), (1, "z", "orphan"), (2, "a", "unanswered")}
+    assert set(rows) == {(1, "a", "linked"), (1, "b", "invalid"), (1, "c", "invalid"), (1, "d", "cycle"), (1, "e", "cycle"), (1, "a", "repeated"), (1, "z", "orphan"), (2, "a", "unanswered"), (3, None, "unidentified"), (1, "c", "repeated"), (1, None, "orphan")}
     assert rows[1, "a", "linked"].line == '{"arguments":{"x":1,"é":"\\n"},"call_id":"a","level":0,"name":"add","result":"2"}'
     assert [rows[1, k, "invalid"].level for k in "bc"] == [1, 2] and rows[1, "b", "invalid"].problem == "$.x: not integer"
     assert rows[2, "a", "unanswered"].problem == "no such tool"
