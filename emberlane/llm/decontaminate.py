@@ -48,9 +48,9 @@ _BITMAP = 22
 
 def canonical_word(raw: str) -> tuple[str, str]:
     """The word inside a sentence and at the beginning of one."""
-    word = _OUTER.sub("", raw)
+    word = raw if raw.isalpha() else _OUTER.sub("", raw)
     low = word.lower()
-    if _NUMBER.match(low):
+    if not raw.isalpha() and _NUMBER.match(low):
         return "<num>", "<num>"
     if low in UNITS:
         return "<unit>", "<unit>"
@@ -67,8 +67,7 @@ class Canoniser:
 
     def clear(self):
         self.index: dict[str, int] = {}
-        self.rows: list[tuple[int, int, bool, bool]] = []
-        self.table = np.empty((0, 4), np.uint64)
+        self.table = np.empty((KNOWN_WORDS // 4, 4), np.uint64)
 
     def words(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Raw words, their hashes, and which are placeholders."""
@@ -78,13 +77,16 @@ class Canoniser:
         index = self.index
         new = set(raw).difference(index)
         if new:
-            for w in new:
-                index[w] = len(self.rows)
-                words = canonical_word(w)
-                mid, start = (xxhash.xxh3_64_intdigest(x) >> 1 << 1 | x.startswith("<") for x in words)
-                self.rows.append((mid, start, w[-1] in ".!?:", words[1] == ""))
-        if len(self.rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.uint64)])
+            first, rows = len(index), []
+            for k, w in enumerate(new, first):
+                index[w] = k
+                mid, start = canonical_word(w)
+                hashed = xxhash.xxh3_64_intdigest(mid) >> 1 << 1 | (mid[:1] == "<")
+                other = hashed if start == mid else xxhash.xxh3_64_intdigest(start) >> 1 << 1 | (start[:1] == "<")
+                rows.append((hashed, other, w[-1] in ".!?:", start == ""))
+            while first + len(rows) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            self.table[first : first + len(rows)] = np.array(rows, np.uint64)
         at = self.table[np.fromiter(map(index.__getitem__, raw), np.int64, len(raw))]
         if at[:, 3].any():  # nothing but punctuation
             raw = [w for w, out in zip(raw, at[:, 3].tolist()) if not out]
