@@ -13,7 +13,10 @@
 4. Buckets that still hold classes of different components have these pairs
    compared as well: each class outside the bucket's largest component with the
    members of other components. Large groups that belong together have one
-   component by then and add nothing.
+   component by then and add nothing. A class that only resembles such a group
+   has shingles of its own, which no other text of these buckets has; what
+   remains bounds every intersection from above, and pairs whose bound lies
+   under the threshold are never made.
 5. Components come from alternating large-star and small-star.
 
 With 50 bands of 6 rows a pair at similarity 0.8 shares no bucket with
@@ -171,6 +174,18 @@ def _between(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return met.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(pairs.columns)
 
 
+def _own_shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, own): how many shingles of a text stand in none of the others."""
+
+    def each():
+        shingler = Shingler(shingle)
+        return lambda key, text: {"id": key, "h": [shingler.hashes(words(t)).view(np.int64) for t in text]}
+
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = map_rows(texts, f"id {kind}, h array<long>", each, "id", "text").select("id", F.explode("h").alias("h"))
+    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document. Documents link if
     100 * intersection >= percent * union of their shingle sets; component_id is
@@ -201,8 +216,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     counts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and size > 2")
     inside = stored(held.join(mixed.select("key", "main"), "key"))
-    outside = inside.where("component != main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    pairs = outside.join(inside.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key").where("cx != cy")
+    # no two texts share more than what either has in common with any of these
+    members = inside.select("id").distinct()
+    own = _own_shingles(texts.join(members, "id", "left_semi"), shingle)
+    sizes = able.join(members, "id", "left_semi").select("id", "n_shingles").join(own, "id", "left").select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+    sized = inside.join(stored(sizes.distinct()), "id")
+    side = lambda c: [F.col("id").alias(c), F.col("component").alias(f"c{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("common").alias(f"m{c}")]
+    outside = sized.where("component != main").select("key", *side("x"))
+    possible = (F.col("cx") != F.col("cy")) & (F.least("mx", "my") * (100 + percent) >= percent * (F.col("nx") + F.col("ny")))
+    pairs = outside.join(sized.select(F.col("key").alias("k"), *side("y")), (F.col("key") == F.col("k")) & possible)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     near = stored(_estimated(pairs, able.select("id", "bits", "n_shingles"), least))
     if not near.isEmpty():
