@@ -10,13 +10,11 @@
 3. Edges whose signatures are too far apart for the threshold are dropped; the
    closest edge of every class is confirmed on the full sets, and of the others
    those that join different components.
-4. Buckets that still hold classes of different components have these pairs
-   compared as well: each class outside the bucket's largest component with the
-   members of other components. Large groups that belong together have one
-   component by then and add nothing. A class that only resembles such a group
-   has shingles of its own, which no other text of these buckets has; what
-   remains bounds every intersection from above, and pairs whose bound lies
-   under the threshold are never made.
+4. Buckets that still hold classes of different components make up the
+   neighbourhood of their largest component. Classes outside it are compared
+   with everything in its neighbourhood, in blocks of bounded size and on whole
+   sets, so that links hubs have missed are found and other pairs are never
+   emitted. Groups that hang together by then add nothing.
 5. Components come from alternating large-star and small-star.
 
 With 50 bands of 6 rows a pair at similarity 0.8 shares no bucket with
@@ -45,6 +43,7 @@ from .components import connected_components
 BANDS, ROWS = 50, 6
 SLACK = 0.12
 KNOWN_WORDS = 500_000
+BLOCK = 128  # documents that are compared with so many others at once
 _CHUNK = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # 2^64 / golden ratio, odd
 
@@ -174,16 +173,53 @@ def _between(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return met.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(pairs.columns)
 
 
-def _own_shingles(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, own): how many shingles of a text stand in none of the others."""
+def _blocks(places: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(around, members): about BLOCK members of a neighbourhood with their sets."""
+    sizes = places.groupBy("around").agg(F.count(F.lit(1)).alias("n"))
+    dealt = places.join(sizes, "around").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    return dealt.join(hashed, "id").groupBy("around", "salt").agg(F.collect_list(F.struct("id", "component", "h")).alias("members")).drop("salt")
+
+
+def _across(places: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Linked pairs (a, b) of different components. ``places`` (around, id,
+    component) names the ids of each neighbourhood; those outside the component
+    that it is named for are compared with all of it, a block with a block, by
+    merging their sorted shingle hashes. Only links leave a task."""
 
     def each():
         shingler = Shingler(shingle)
-        return lambda key, text: {"id": key, "h": [shingler.hashes(words(t)).view(np.int64) for t in text]}
+        return lambda key, text: {"id": key, "h": [shingler.hashes(words(t)).tobytes() for t in text]}
 
     kind = texts.schema["id"].dataType.simpleString()
-    rows = map_rows(texts, f"id {kind}, h array<long>", each, "id", "text").select("id", F.explode("h").alias("h"))
-    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    near = texts.join(places.select("id").distinct(), "id", "left_semi")
+    hashed = stored(map_rows(near, f"id {kind}, h binary", each, "id", "text").dropDuplicates(["id"]))
+    inner = _blocks(places, hashed)
+    outer = _blocks(places.where("component != around"), hashed).withColumnRenamed("members", "others")
+
+    def flat(members):
+        sets = [np.frombuffer(m["h"], np.uint64) for m in members]
+        sizes = np.array([len(x) for x in sets])
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                ours, theirs = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                x, of_x, n_x = flat(ours)
+                y, of_y, n_y = flat(theirs)
+                order = np.argsort(y, kind="stable")
+                y, of_y = y[order], of_y[order]
+                low, high = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+                met = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(met)[:-1]]), met) + np.arange(met.sum())
+                both = np.bincount(np.repeat(of_x, met) * len(theirs) + of_y[at], minlength=len(ours) * len(theirs)).reshape(len(ours), -1)
+                for i, j in np.argwhere(100 * both >= percent * (n_x[:, None] + n_y - both)).tolist():
+                    if ours[i]["component"] != theirs[j]["component"]:
+                        found.append(sorted((ours[i]["id"], theirs[j]["id"])))
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], batch.column(0).type.value_type.field("id").type) for c in (0, 1)], ["a", "b"])
+
+    return outer.join(inner, "around").select("others", "members").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -215,18 +251,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     held = shared.select("key", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     counts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and size > 2")
-    inside = stored(held.join(mixed.select("key", "main"), "key"))
-    # no two texts share more than what either has in common with any of these
-    members = inside.select("id").distinct()
-    own = _own_shingles(texts.join(members, "id", "left_semi"), shingle)
-    sizes = able.join(members, "id", "left_semi").select("id", "n_shingles").join(own, "id", "left").select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
-    sized = inside.join(stored(sizes.distinct()), "id")
-    side = lambda c: [F.col("id").alias(c), F.col("component").alias(f"c{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("common").alias(f"m{c}")]
-    outside = sized.where("component != main").select("key", *side("x"))
-    possible = (F.col("cx") != F.col("cy")) & (F.least("mx", "my") * (100 + percent) >= percent * (F.col("nx") + F.col("ny")))
-    pairs = outside.join(sized.select(F.col("key").alias("k"), *side("y")), (F.col("key") == F.col("k")) & possible)
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    near = stored(_estimated(pairs, able.select("id", "bits", "n_shingles"), least))
+    places = stored(held.join(mixed.select("key", F.col("main").alias("around")), "key").select("around", "id", "component").distinct())
+    near = stored(_across(places, texts, shingle, percent))
     if not near.isEmpty():
         links = stored(links.unionByName(_confirmed(near, texts, shingle, percent)))
         parts = connected_components(links)

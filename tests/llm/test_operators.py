@@ -118,6 +118,22 @@ def test_near_duplicates(corpus, size):
             assert (r.component_id, r.n_shingles, r.kept) == (components[r.doc_id], sizes[r.doc_id], components[r.doc_id] == r.doc_id)
 
 
+def test_blocks_find_every_link_across(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    draw = random.Random(8)
+    base = prose(5, 60).split()
+    texts = {i: " ".join(w if draw.random() > 0.02 * (i % 6) else f"e{draw.randrange(400)}" for w in base) for i in range(60)}
+    places = [("g", i, 0 if i % 3 else i) for i in texts] + [("other", i, i) for i in range(10, 20)]
+    rows = spark.createDataFrame([({"g": 0, "other": 13}[g], i, c) for g, i, c in places], "around long, id long, component long")
+    found = {tuple(r) for r in minhash._across(rows, spark.createDataFrame(list(texts.items()), "id long, text string"), 2, 80).collect()}
+    sets = {i: set(zip(t.lower().split(), t.lower().split()[1:])) for i, t in texts.items()}
+    part = {i: 0 if i % 3 else i for i in texts}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    want = {(a, b) for a, b in itertools.combinations(texts, 2) if part[a] != part[b] and alike(a, b)}
+    want |= {(a, b) for a, b in itertools.combinations(range(10, 20), 2) if alike(a, b)}
+    assert found == want and want
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     found = {r.id: r.component for r in connected_components(edges).collect()}
@@ -175,6 +191,19 @@ def test_chat_links_orders_and_checks(spark):
     assert chat.link_calls(calls.limit(0), results.limit(0), schema).count() == 0
 
 
+def test_levels_of_random_graphs(spark):
+    draw = random.Random(6)
+    rows, want = [], {}
+    for k in range(120):
+        needs = draw.sample(range(k), min(k, draw.choice([0, 1, 1, 1, 2, 3]))) if k else []
+        rows.append((1, f"n{k}", [f"n{x}" for x in needs] + ["gone"]))
+        want[f"n{k}"] = 1 + max(want[f"n{x}"] for x in needs) if needs else 0
+    rows += [(2, f"c{k}", [f"c{k - 1}"] if k else []) for k in range(300)]
+    rows += [(3, "x", ["y"]), (3, "y", ["z"]), (3, "z", ["x"]), (3, "behind", ["x", "free"]), (3, "free", None)]
+    found = {(r.conv_id, r.call_id): r.level for r in chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")).collect()}
+    assert found == {(1, k): v for k, v in want.items()} | {(2, f"c{k}"): k for k in range(300)} | {(3, "free"): 0}
+
+
 def test_templates_catch_other_numbers(spark):
     item = "A train leaves Leeds at 9 and covers 120 km in 2 hours before it meets another train from Leeds"
     bench = spark.createDataFrame([(1, item), (2, "one two"), (3, None), (4, "who was the first king of Spain")], "item_id long, text string")
