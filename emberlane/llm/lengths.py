@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec_for, load_ranks
-from .common import map_rows
+from .common import map_rows, stored
 
 BLOCK = 1024
 
@@ -40,6 +40,7 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     """
     counts = lengths.groupBy(F.col(column).alias("context_limit")).agg(F.count(F.lit(1)).alias("n_docs"))
     counts = counts.withColumns({"block": F.floor(F.col("context_limit") / BLOCK), "n_tokens": F.col("context_limit") * F.col("n_docs")})
+    counts = stored(counts)  # read twice below; the texts are encoded once
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("n_tokens").alias("block_tokens"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
