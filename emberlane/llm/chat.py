@@ -1,10 +1,10 @@
 """Chat formatting: tool calls are linked to results, ordered, checked, serialised.
 
 Calls and results meet in a hash join on (conversation, identifier), so a long
-conversation is dealt out by its identifiers and never gathered. Levels of the
-dependency graph are found by rounds that settle every call all of whose
-dependencies are settled (Kahn's order, a level a round); the loop ends when a
-round settles none, and what is left lies on or behind a cycle. Arguments are
+conversation is dealt out by its identifiers and never gathered. The topological
+order is the level of each call: chains are shortened by pointer doubling, then
+rounds settle every call all of whose dependencies are settled; the loop ends
+when a round settles none, and what is left lies on or behind a cycle. Arguments are
 checked against the tools' schemas and each message becomes one line of
 canonical JSON: keys sorted, no spaces, UTF-8, no NaN.
 
@@ -72,26 +72,52 @@ def schema_problem(value, schema: dict, at: str = "$") -> str | None:
     return None
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, to, steps): from calls with one dependency to the first
+    call of another kind behind them. Pointers double their reach each round;
+    calls that still point at one of their own kind after enough rounds for all
+    of them run in a circle and are left out."""
+    chains, rounds = stored(single.select("conv_id", "call_id", F.col("needed").alias("to"), F.lit(1).alias("steps"))), 0
+    most = chains.count().bit_length() + 1
+    while True:
+        ahead = chains.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("__to"), F.col("steps").alias("__steps"))
+        if chains.join(ahead, ["conv_id", "to"], "left_semi").isEmpty():
+            return chains
+        if rounds == most:
+            return chains.join(ahead, ["conv_id", "to"], "left_anti")
+        far = chains.join(ahead, ["conv_id", "to"], "left")
+        chains = stored(far.select("conv_id", "call_id", F.coalesce("__to", "to").alias("to"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps")))
+        rounds += 1
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of distinct calls with ``depends_on``; the level
     is 0 without dependencies, else one more than the highest among them. Calls
-    in or behind a cycle are missing."""
+    in or behind a cycle are missing.
+
+    Chains of calls with one dependency each are shortened first, so the rounds
+    grow with how often several dependencies meet and not with a chain's length.
+    """
     nodes = calls.select("conv_id", "call_id")
     needs = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needed"))
     edges = stored(needs.join(nodes.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_semi"))
-    waiting = edges.select("conv_id", "call_id").distinct()
-    settled = stored(nodes.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    level, last = 0, settled
-    while edges.count():
-        # edges whose needed call is settled fall away; who has none left is next
-        left = stored(edges.join(last.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_anti"))
-        level += 1
-        freed = edges.select("conv_id", "call_id").distinct().join(left.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        last = stored(freed.withColumn("level", F.lit(level)))
-        if last.isEmpty():
+    degree = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"))
+    chains = _chains(edges.join(degree.where("n = 1"), ["conv_id", "call_id"]))
+    settled = stored(nodes.join(degree, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
+    tops = chains.select("conv_id", F.col("call_id").alias("needed"), "to", "steps")
+    meet = edges.join(degree.where("n > 1"), ["conv_id", "call_id"]).join(tops, ["conv_id", "needed"], "left")
+    waiting = stored(meet.select("conv_id", "call_id", F.coalesce("to", "needed").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
+    known = settled.withColumnRenamed("call_id", "to")
+    while not waiting.isEmpty():
+        found = waiting.join(known, ["conv_id", "to"], "left").groupBy("conv_id", "call_id")
+        found = found.agg(F.max(F.col("level") + F.col("steps")).alias("level"), (F.count("level") == F.count(F.lit(1))).alias("all"))
+        freed = stored(found.where("all").select("conv_id", "call_id", "level"))
+        if freed.isEmpty():
             break
-        settled, edges = settled.unionByName(last), left
-    return settled
+        settled = stored(settled.unionByName(freed))
+        known = settled.withColumnRenamed("call_id", "to")
+        waiting = stored(waiting.join(freed, ["conv_id", "call_id"], "left_anti"))
+    return settled.unionByName(chains.join(known, ["conv_id", "to"]).select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level")))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
