@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-CACHE = 800_000
+CACHE = 400_000
 #: Texts are encoded together up to so many characters.
 CHUNK_CHARS = 2_000_000
 #: Longer pre-tokens are encoded each time, so that the cache stays small.

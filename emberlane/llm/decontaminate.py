@@ -33,7 +33,7 @@ from .common import map_rows, stored
 
 BROADCAST_WINDOWS = 1_000_000
 LITERALS = 0.5  # least share of words in a window that aren't placeholders
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 #: Units of measure and currency.
 UNITS = frozenset(
     "% $ € £ ¥ mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years"

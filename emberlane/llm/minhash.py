@@ -42,7 +42,7 @@ from .components import connected_components
 
 BANDS, ROWS = 50, 6
 SLACK = 0.12
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 250_000
 BLOCK = 128  # documents that are compared with so many others at once
 _CHUNK = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # 2^64 / golden ratio, odd
