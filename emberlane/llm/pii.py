@@ -9,12 +9,14 @@ are possessive and begin only where a longer match couldn't, which finds the
 same spans and keeps long runs of one character class linear.
 
 The method adds secrets and identifiers that stand behind a label (``token =``,
-``id:``). Values that look like a seed of their kind mark their label; a
-label's confidence in a kind is the summed score of its distinct values over
-their number, and a value's score the chance that one of its labels is right.
-Labels and values are scored in turn, over the graph of distinct (label, value)
-edges; labels with too few seeds count nothing. Values in the end at or above
-``least`` are spans of their kind, unless a base span overlaps them.
+``id:``). Values that look like a seed of their kind have score 1, whatever
+their label. A label's confidence in a kind is the summed score of its distinct
+values found so far over the number of all, and a value's score the chance that
+one of its labels is right; labels with fewer than ``support`` found values
+count nothing. A value at or above ``least`` is found, keeps its score and
+counts for its other labels from the next round on, over the graph of distinct
+(label, value) edges, until a round finds nothing. Values found are spans of
+their kind, unless a base span overlaps them.
 
 Null and empty texts have no spans. Repeated rows are judged each by itself.
 Places are code points, the end exclusive.
@@ -116,25 +118,25 @@ def _labelled(found: DataFrame) -> DataFrame:
     return found.withColumn("__m", F.transform(digits, mention)).withColumn("mentions", F.filter("__m", clear)).drop("__m", "labelled")
 
 
-def score_values(mentions: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.5) -> DataFrame:
+def score_values(mentions: DataFrame, support: int = 3, least: float = 0.5) -> DataFrame:
     """(value, kind, score) of values at or above ``least``. ``mentions`` has
-    label and value; scores pass between labels and values ``rounds`` times."""
+    label and value. Rounds go on until one finds no value that is new; every
+    round weighs all labels by the values found up to then."""
     edges = stored(mentions.select("label", "value").distinct())
     kind = F.coalesce(*(F.when(F.col("value").rlike(p), k) for k, p in SEEDS.items()), F.lit(None).cast("string"))
-    seeds = stored(edges.select("value").distinct().withColumn("kind", kind).where("kind is not null").withColumn("score", F.lit(1.0)))
-    totals = edges.groupBy("label").agg(F.count(F.lit(1)).alias("values"))
-    starts = edges.join(seeds, "value").groupBy("label", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
-    able = stored(starts.join(totals, "label"))
-    within = stored(edges.join(able.select("label").distinct(), "label", "left_semi"))
-    scores = seeds
-    for _ in range(rounds):
-        trust = within.join(scores, "value").groupBy("label", "kind").agg(F.sum("score").alias("score"))
-        trust = able.join(trust, ["label", "kind"]).select("label", "kind", (F.col("score") / (F.col("values") + 1)).alias("trust"))
-        heard = within.join(trust, "label").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("heard"))
-        joined = heard.join(seeds.withColumnRenamed("score", "seed"), ["value", "kind"], "left")
-        scores = stored(joined.select("value", "kind", F.col("heard").alias("score")))
-    best = scores.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("s"))
-    return best.where(F.col("s.score") >= least).select("value", "s.kind", "s.score")
+    found = stored(edges.select("value").distinct().select("value", kind.alias("kind"), F.lit(1.0).alias("score")).where("kind is not null"))
+    totals = stored(edges.groupBy("label").agg(F.count(F.lit(1)).alias("values")))
+    n = found.count()
+    while n:
+        trust = edges.join(found, "value").groupBy("label", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score")).where(F.col("n") >= support)
+        trust = trust.join(totals, "label").select("label", "kind", (F.col("score") / (F.col("values") + 1)).alias("trust"))
+        heard = edges.join(trust, "label").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
+        new = stored(heard.where(F.col("score") >= least).join(found, ["value", "kind"], "left_anti"))
+        n = new.count()
+        if n:
+            found = stored(found.unionByName(new))
+    best = found.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("s"))
+    return best.select("value", "s.kind", "s.score")
 
 
 def _written(kind: str | Column, spans: Column) -> Column:
@@ -167,24 +169,46 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     )
 
 
+def _unions(spans: Column) -> Column:
+    """Unions of overlapping spans (start, end, kind), in order; the first span names the kind."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
+
+    def put(acc, s):
+        last = F.element_at(acc, -1)
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        apart = (F.size(acc) == 0) | (s["start"] >= F.get(acc, F.size(acc) - 1)["end"])
+        return F.when(apart, F.array_append(acc, s)).otherwise(F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), grown))
+
+    return F.aggregate(F.sort_array(spans), none, put)
+
+
 def redacted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents with every span replaced by its kind in angle brackets.
+    """The documents with every union of overlapping spans replaced by its kind
+    in angle brackets.
 
-    Added values are replaced wherever they stand in the texts of their id, then
-    base kinds one after another, by joining the pieces between matches.
+    All places are those of the original text, so that no replacement makes or
+    hides another. Added values are spans in all texts of their id; what is left
+    between spans loses them as well where they stand without a label.
     """
     columns = docs.columns
     found = scan(docs, [id_column], text_column).where(F.size("added") > 0)
     values = found.select(F.col(id_column).alias("__of"), F.explode("added").alias("s")).groupBy("__of")
-    values = stored(values.agg(F.sort_array(F.collect_set(F.struct("s.kind", "s.value"))).alias("__added")))
-    out = docs.join(values, F.col(id_column).eqNullSafe(F.col("__of")), "left")
-    told = F.aggregate("__added", F.col(text_column), lambda t, s: F.replace(t, s["value"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
-    out = out.withColumn("__t", F.when(F.col("__added").isNotNull(), told).otherwise(F.col(text_column)))
-    for kind, pattern in BASE.items():
-        out = out.withColumn("__m", F.regexp_extract_all("__t", F.lit(pattern), F.lit(0)))
-        some = F.size("__m") > 0
-        out = out.withColumn("__g", F.when(some, F.split("__t", pattern, -1)))
-        put = lambda m, g: F.concat(g, F.when(TESTS[kind](m), f"<{kind.upper()}>").otherwise(m))  # noqa: B023, E731
-        pieces = F.zip_with("__m", F.slice("__g", F.lit(1), F.size("__m")), put)
-        out = out.withColumn("__t", F.when(some, F.concat(F.array_join(pieces, ""), F.element_at("__g", -1))).otherwise(F.col("__t")))
-    return out.select(*(F.col("__t").alias(c) if c == text_column else F.col(c) for c in columns))
+    values = stored(values.agg(F.sort_array(F.collect_set(F.struct("s.value", "s.kind"))).alias("__added")))
+    rows = docs.select(F.struct(*columns).alias("__keep"), F.col(id_column).alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
+    rows = _labelled(base_spans(rows, "__text")).join(values, F.col("__id").eqNullSafe(F.col("__of")), "left")
+    told = F.map_from_entries(F.coalesce("__added", F.array().cast("array<struct<value:string,kind:string>>")))
+    # a value that isn't one of the id's has no kind
+    mine = F.filter(F.transform("mentions", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.element_at("__told", m["value"]).alias("kind"))), lambda m: m["kind"].isNotNull())
+    named = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
+    rows = rows.withColumn("__told", told).withColumn("__all", F.concat(*(named(k) for k in BASE), F.coalesce(mine, F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"))))
+    some = F.size("__all") > 0
+    rows = rows.withColumns({"__u": F.when(some, _unions(F.col("__all"))), "__c": F.when(some, F.split("__text", ""))})
+    free = lambda t: F.aggregate("__added", t, lambda t, s: F.replace(t, s["value"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
+    between = lambda begin, end: F.array_join(F.slice("__c", begin.cast("int") + 1, (end - begin).cast("int")), "")
+    clean = lambda t: F.when(F.col("__added").isNotNull(), free(t)).otherwise(t)
+    before = lambda s, k: between(F.when(k == 0, F.lit(0)).otherwise(F.get("__u", k - 1)["end"]), s["start"])
+    pieces = F.transform("__u", lambda s, k: F.concat(clean(before(s, k)), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+    rest = clean(between(F.element_at("__u", -1)["end"], F.size("__c").cast("long")))
+    text = F.when(some, F.concat(F.array_join(pieces, ""), rest)).when(F.col("__added").isNotNull(), free(F.col("__text"))).otherwise(F.col(f"__keep.{text_column}"))
+    rows = rows.withColumn("__t", text)
+    return rows.select(*(F.col("__t").alias(c) if c == text_column else F.col("__keep").getField(c).alias(c) for c in columns))

@@ -175,6 +175,33 @@ def test_labels_find_unseen_secrets(spark):
     assert clean[8] == 'x token = "<SECRET>" y' and clean[9] == texts[9] and clean[10] is None
 
 
+def test_labels_keep_seeds_and_promote_other_labels(spark):
+    hexa = lambda k: hashlib.md5(str(k).encode()).hexdigest()
+    found = [f"QzX1-88-77b{k}" for k in range(3)]
+    pairs = [("one =", hexa(k)) for k in range(3)] + [("lone =", hexa(9))] + [("mixed =", hexa(10))] + [("mixed =", f"ab-{k}12-345") for k in range(9)]
+    pairs += [("token =", hexa(20 + k)) for k in range(30)] + [("token =", v) for v in found]
+    pairs += [("second =", v) for v in found] + [("second =", "other-123456")]  # no seed of its own
+    pairs += [("third =", "other-123456"), ("third =", "last-1234567")]
+    rows = pii.score_values(spark.createDataFrame([(x.replace(" ", ""), v) for x, v in pairs], "label string, value string")).collect()
+    assert {r.value for r in rows} == {hexa(k) for k in (0, 1, 2, 9, 10, *range(20, 50))} | set(found) | {"other-123456"}
+    assert all(r.score == 1.0 for r in rows if len(r.value) == 32)
+
+
+def test_redaction_is_of_the_original_text(spark):
+    key = hashlib.md5(b"x").hexdigest()
+    texts = [f"é😀 key = {key} again {key}, a@b.c", "+4111 1111 1111 1111 and 4111 1111 1111 1111", "a@1.2.3.4 b", "plain", None, "", "10.0.0.5 4111111111111116"]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    clean = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    assert clean[0] == "é😀 key = <SECRET> again <SECRET>, <EMAIL>"
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.report(docs).collect()}
+    assert clean[6] == "<IP>"  # the card begins with the address's last digit
+    for i in (1, 2, 6):
+        covered = {k for _, a, b in spans[i] for k in range(int(a), int(b))}
+        left = re.sub("<[A-Z]+>", "\0", clean[i])
+        assert left.replace("\0", "") == "".join(c for k, c in enumerate(texts[i]) if k not in covered)
+    assert [clean[k] for k in (3, 4, 5)] == texts[3:6]
+
+
 def test_chat_links_orders_and_checks(spark):
     calls = spark.createDataFrame(
         [(1, "a", 0, "add", '{"x": 1, "é": "\\n"}', []), (1, "b", 2, "add", '{"x": "no"}', ["a", "gone"]), (1, "c", 4, "add", "{", ["b"]), (1, "d", 5, "add", '{"x": 3}', ["e"]), (1, "e", 6, "add", '{"x": 3}', ["d"]), (1, "a", 9, "add", "{}", []), (2, "a", 0, "none", "{}", []), (3, None, 0, "add", "{}", [])],
