@@ -9,7 +9,14 @@ the templates themselves are compared, so a hash collision doesn't count.
 Windows of one item that lie on one diagonal are then checked for slots: each
 value of the item stands for one value of the document and the other way round.
 A question with other numbers, names or units is caught, also if only part of
-it is there; chance agreement of placeholders isn't.
+it is there; chance agreement of placeholders isn't. Where the whole diagonal
+doesn't agree, its runs of windows count that are verbatim over ``VERBATIM``
+words or agree over ``AGREEING`` windows' length.
+
+Windows that are mostly placeholders are matched by their literal words instead.
+A capitalised word at the beginning of a text or line or behind an opening quote
+may begin a sentence or be a name: windows with such words come in both forms,
+the second of which has to hold the same word.
 
 Where the benchmark has at most ``BROADCAST_WINDOWS`` windows, their hashes are
 broadcast as a bitmap that spares the join documents' other windows, and its
@@ -32,7 +39,9 @@ from pyspark.sql import functions as F
 from .common import map_rows, stored
 
 BROADCAST_WINDOWS = 1_000_000
-LITERALS = 0.5  # least share of words in a window that aren't placeholders
+LITERALS = 0.5  # least share of words in a window that aren't placeholders, or it is matched literally
+VERBATIM = 13  # words of a literal copy that count whatever stands around it
+AGREEING = 3  # lengths of a window over which slots agree that count likewise
 KNOWN_WORDS = 250_000
 #: Units of measure and currency.
 UNITS = frozenset(
@@ -44,6 +53,10 @@ _NUMBER = re.compile(r"[-+$€£¥]?\d[\d.,:/]*(?:%|st|nd|rd|th|e[-+]?\d+)?$")
 _OUTER = re.compile(r"^[^\w$€£¥%°+-]+|[^\w%°$€£¥]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITMAP = 22
+_CLOSING = "\"')]}»”’*_"
+_SIGNS = "$€£¥%°+-"
+#: Forms of a window: unclear words as beginnings of sentences, as names, and all words as they are.
+BEGINS, NAMES, LITERAL = 0, 1, 2
 
 
 def canonical_word(raw: str) -> tuple[str, str]:
@@ -59,6 +72,10 @@ def canonical_word(raw: str) -> tuple[str, str]:
     return low, low
 
 
+def literal_word(raw: str) -> str:
+    return (raw if raw.isalpha() else _OUTER.sub("", raw)).lower()
+
+
 class Canoniser:
     """Template words of texts as arrays; keeps up to KNOWN_WORDS raw words."""
 
@@ -67,11 +84,13 @@ class Canoniser:
 
     def clear(self):
         self.index: dict[str, int] = {}
-        self.table = np.empty((KNOWN_WORDS // 4, 4), np.uint64)
+        self.table = np.empty((KNOWN_WORDS // 4, 6), np.uint64)
 
-    def words(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Raw words, their hashes, and which are placeholders."""
-        raw = text.split() if text else []
+    def words(self, text: str | None) -> Words:
+        raw, lines = [], []
+        for line in text.splitlines() if text else ():
+            lines.append(len(raw))
+            raw += line.split()
         if len(self.index) > KNOWN_WORDS:
             self.clear()
         index = self.index
@@ -81,69 +100,133 @@ class Canoniser:
             for k, w in enumerate(new, first):
                 index[w] = k
                 mid, start = canonical_word(w)
+                literal = literal_word(w)
                 hashed = xxhash.xxh3_64_intdigest(mid) >> 1 << 1 | (mid[:1] == "<")
                 other = hashed if start == mid else xxhash.xxh3_64_intdigest(start) >> 1 << 1 | (start[:1] == "<")
-                rows.append((hashed, other, w[-1] in ".!?:", start == ""))
+                own = hashed if literal == mid else other if literal == start else xxhash.xxh3_64_intdigest(literal)
+                opens = not w[0].isalnum() and w[0] not in _SIGNS
+                rows.append((hashed, other, (w.rstrip(_CLOSING) or w)[-1] in ".!?:", start == "", own, opens))
             while first + len(rows) > len(self.table):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
             self.table[first : first + len(rows)] = np.array(rows, np.uint64)
         at = self.table[np.fromiter(map(index.__getitem__, raw), np.int64, len(raw))]
         if at[:, 3].any():  # nothing but punctuation
-            raw = [w for w, out in zip(raw, at[:, 3].tolist()) if not out]
-            at = at[at[:, 3] == 0]
-        begins = np.ones(len(raw), bool)
+            held = np.flatnonzero(at[:, 3] == 0)
+            raw, at, lines = [raw[k] for k in held.tolist()], at[held], np.searchsorted(held, lines)
+        begins = np.zeros(len(raw), bool)
         begins[1:] = at[:-1, 2] != 0
-        hashes = np.where(begins, at[:, 1], at[:, 0])
-        return raw, hashes, (hashes & np.uint64(1)).astype(bool)
-
-    @staticmethod
-    def template(raw: list[str], first: int, size: int) -> tuple[list[str], list[str]]:
-        """Canonical words of a window, and the values of its placeholders."""
+        unclear = at[:, 5] != 0
+        lines = np.asarray(lines, np.int64)
+        unclear[lines[lines < len(raw)]] = True
+        unclear &= ~begins
+        return Words(raw, np.where(begins | unclear, at[:, 1], at[:, 0]), np.where(begins, at[:, 1], at[:, 0]), at[:, 4], begins, unclear)
+
+
+class Words:
+    """Raw words, their hashes with unclear words in either form and as they are,
+    and which begin a sentence or may do so."""
+
+    def __init__(self, raw: list[str], first: np.ndarray, second: np.ndarray, literal: np.ndarray, begins: np.ndarray, unclear: np.ndarray):
+        self.raw, self.first, self.second, self.literal, self.begins, self.unclear = raw, first, second, literal, begins, unclear
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, forms and hashes of all windows, some in more than one form."""
+        n = len(self.raw) - size + 1
+        if n <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+
+        def light(hashes):
+            held = np.concatenate([[0], np.cumsum(hashes & np.uint64(1), dtype=np.int64)])
+            return held[size:] - held[:n] <= size * (1 - LITERALS)
+
+        one = light(self.first)
+        heavy = ~one
+        differ = self.first != self.second
+        found = [(np.flatnonzero(one), BEGINS)]
+        if differ.any():
+            held = np.concatenate([[0], np.cumsum(differ)])
+            both, two = held[size:] > held[:n], light(self.second)
+            found.append((np.flatnonzero(both & two), NAMES))
+            heavy |= both & ~two
+        found.append((np.flatnonzero(heavy), LITERAL))
+        places, forms, hashed = [], [], []
+        for at, form in found:
+            hashes = (self.first, self.second, self.literal)[form]
+            total = np.full(len(at), size + (form == LITERAL) * 1000, np.uint64)
+            every = len(at) == n
+            for i in range(size):
+                total = (total ^ (hashes[i : i + n] if every else hashes[at + i])) * _MIX
+                total ^= total >> np.uint64(29)
+            places.append(at), forms.append(np.full(len(at), form)), hashed.append(total)
+        return np.concatenate(places), np.concatenate(forms), np.concatenate(hashed)
+
+    def template(self, first: int, size: int, form: int) -> tuple[list[str], list[str]]:
+        """Canonical words of a window, and the values of its placeholders, after
+        "=" where a value may as well be a word. Literal windows have none."""
+        if form == LITERAL:
+            return ["=", *map(literal_word, self.raw[first : first + size])], []
         words, slots = [], []
         for k in range(first, first + size):
-            begins = k == 0 or raw[k - 1][-1] in ".!?:"
-            word = canonical_word(raw[k])[begins]
+            unclear = bool(self.unclear[k])
+            word = canonical_word(self.raw[k])[bool(self.begins[k]) or unclear and form == BEGINS]
             words.append(word)
             if word.startswith("<"):
-                slots.append(_OUTER.sub("", raw[k]).lower())
+                value = _OUTER.sub("", self.raw[k]).lower()
+                slots.append("=" + value if word == "<name>" and unclear else value)
         return words, slots
 
 
-def windows(hashes: np.ndarray, placeholders: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether it has enough words that aren't placeholders."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, bool)
-    total = np.full(n, size, np.uint64)
-    for i in range(size):
-        total = (total ^ hashes[i : i + n]) * _MIX
-        total ^= total >> np.uint64(29)
-    held = np.concatenate([[0], np.cumsum(placeholders)])
-    return total, held[size:] - held[:n] <= size * (1 - LITERALS)
+def one_to_one(pairs: set) -> bool:
+    return len({i for i, _ in pairs}) == len(pairs) == len({d for _, d in pairs})
+
+
+def agreeing(met: list[dict], window: int) -> int:
+    """Number of an item's windows on a diagonal that count: all of them where
+    their slots agree, or else those that are literal or in a run that is long
+    enough. ``met``: item_at, size, literal, i and d (the slots) of each."""
+    pairs = [set(zip(w["i"], w["d"])) for w in met]
+    if one_to_one(set().union(*pairs)):
+        return len({w["item_at"] for w in met})
+    kept = {w["item_at"] for w in met if w["literal"]}
+    order = sorted(range(len(met)), key=lambda k: met[k]["item_at"])
+    for least, fits in (VERBATIM, lambda p: all(i == d for i, d in p)), (AGREEING * window, one_to_one):
+        first = 0
+        for last in range(len(order)):
+            at = met[order[last]]["item_at"]
+            if last and at > met[order[last - 1]]["item_at"] + 1:
+                first = last
+            while first <= last and not fits(set().union(*(pairs[k] for k in order[first : last + 1]))):
+                first += 1
+            if first <= last and at + met[order[last]]["size"] - met[order[first]]["item_at"] >= least:
+                kept.update(met[k]["item_at"] for k in order[first : last + 1])
+    return len(kept)
+
+
+def _signed(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return found[0], found[1], found[2].view(np.int64)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, shortest: int, id_column: str, text_column: str) -> DataFrame:
-    """(item_id, item_at, size, hash, template, item_slots)."""
+    """(item_id, item_at, size, literal, hash, template, item_slots)."""
 
     def each():
         canoniser = Canoniser()
 
         def one(text):
-            raw, hashes, placeholders = canoniser.words(text)
-            size = min(window, len(raw))
+            found = canoniser.words(text)
+            size = min(window, len(found.raw))
             if size < shortest:
                 return []
-            total, able = windows(hashes, placeholders, size)
             out = []
-            for k in np.flatnonzero(able).tolist():
-                words, slots = canoniser.template(raw, k, size)
-                out.append({"item_at": k, "size": size, "hash": int(total[k : k + 1].view(np.int64)[0]), "template": " ".join(words), "item_slots": slots})
+            for k, form, hashed in zip(*(x.tolist() for x in _signed(found.windows(size)))):
+                words, slots = found.template(k, size, form)
+                out.append({"item_at": k, "size": size, "literal": form == LITERAL, "hash": hashed, "template": " ".join(words), "item_slots": slots})
             return out
 
         return lambda key, text: {"item_id": key, "w": [one(t) for t in text]}
 
     kind = benchmark.schema[id_column].dataType.simpleString()
-    inner = "array<struct<item_at: int, size: int, hash: bigint, template: string, item_slots: array<string>>>"
+    inner = "array<struct<item_at: int, size: int, literal: boolean, hash: bigint, template: string, item_slots: array<string>>>"
     return map_rows(benchmark, f"item_id {kind}, w {inner}", each, id_column, text_column).select("item_id", F.inline("w"))
 
 
@@ -166,16 +249,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, shortest:
         marks = np.unpackbits(bitmap.value).astype(bool) if small else None
 
         def one(text):
-            raw, hashes, placeholders = canoniser.words(text)
+            held = canoniser.words(text)
             out = []
             for size in sizes:
-                total, able = windows(hashes, placeholders, size)
-                if small and len(total):
-                    able &= marks[total >> np.uint64(64 - _BITMAP)]
-                for k in np.flatnonzero(able).tolist():
-                    words, slots = canoniser.template(raw, k, size)
-                    out.append({"doc_at": k, "hash": int(total[k : k + 1].view(np.int64)[0]), "template": " ".join(words), "doc_slots": slots})
-            return len(raw), out
+                found = held.windows(size)
+                if small:
+                    able = marks[found[2] >> np.uint64(64 - _BITMAP)]
+                    found = tuple(x[able] for x in found)
+                for k, form, hashed in zip(*(x.tolist() for x in _signed(found))):
+                    words, slots = held.template(k, size, form)
+                    out.append({"doc_at": k, "hash": hashed, "template": " ".join(words), "doc_slots": slots})
+            return len(held.raw), out
 
         def work(key, text):
             n, found = (list(x) for x in zip(*map(one, text))) if text else ([], [])
@@ -186,16 +270,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, shortest:
     kind = docs.schema[id_column].dataType.simpleString()
     inner = "array<struct<doc_at: int, hash: bigint, template: string, doc_slots: array<string>>>"
     scanned = stored(map_rows(docs, f"`{id_column}` {kind}, n_words long, w {inner}", each, id_column, text_column))
-    side = wanted.drop("size")
-    met = scanned.select(F.col(id_column).alias("__id"), F.inline("w")).join(F.broadcast(side) if small else side, ["hash", "template"])
+    scanned = scanned.withColumn("__row", F.monotonically_increasing_id())
+    met = scanned.select(F.col(id_column).alias("__id"), "__row", F.inline("w")).join(F.broadcast(wanted) if small else wanted, ["hash", "template"])
+    bare = lambda x: F.regexp_replace(x, "^=", "")
+    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
+    same = F.forall(pairs, lambda x: ~(x["i"].startswith("=") | x["d"].startswith("=")) | (bare(x["i"]) == bare(x["d"])))
 
     # windows on one diagonal of an item: no more than the item has
-    line = ["__id", "item_id", F.col("doc_at") - F.col("item_at")]
-    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
-    runs = met.groupBy(*line).agg(F.countDistinct("item_at").alias("n"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
-    values = lambda f: F.size(F.array_distinct(F.transform("slots", lambda x: x[f])))
-    consistent = (values("i") == F.size("slots")) & (values("d") == F.size("slots"))
-    runs = runs.where(consistent)
+    line = ["__id", "__row", "item_id", (F.col("doc_at") - F.col("item_at")).alias("line")]
+    each_window = F.struct("item_at", "size", "literal", F.transform("item_slots", bare).alias("i"), F.transform("doc_slots", bare).alias("d"))
+    lines = met.where(same).groupBy(*line).agg(F.collect_set(each_window).alias("met")).select(F.struct("__id", "item_id", "line").alias("key"), "met")
+    types = f"struct<__id: {kind}, item_id: {wanted.schema['item_id'].dataType.simpleString()}, line: int>"
+    runs = map_rows(lines, f"key {types}, n long", lambda: lambda key, met: {"key": key, "n": [agreeing(m, window) for m in met]}, "key", "met").where("n > 0")
+    runs = runs.groupBy("key").agg(F.max("n").alias("n")).select("key.*", "n")  # of rows that share their id
     by_doc = runs.groupBy("__id").agg(F.sum("n").alias("n_windows"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     out = scanned.join(by_doc, F.col(id_column).eqNullSafe(F.col("__id")), "left")
     return out.select(

@@ -243,6 +243,23 @@ def test_templates_catch_other_numbers(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_leaks_with_clashes_many_values_and_unclear_starts(spark):
+    story = "The farmer counted 5 grey geese near the old mill and 7 white ducks on the pond before the miller came back with two carts full of flour and asked what they would cost him"
+    sums = "3 + 4 = 7 and 12 - 5 = 7 so 7 + 12 = 19 then 19 - 4 = 15"
+    nouns = "Der Hund von Anna Berger jagt Katzen durch Garten und Haus"
+    short = "Leeds has which old river"
+    lines = "which of the towns\nLeeds or Derby\nhas the older bridge"
+    bench = spark.createDataFrame(list(enumerate([story, sums, nouns, short, lines])), "item_id long, text string")
+    texts = [story.replace("and 7 white", "and 5 white"), f"see {sums} there", None, f"er sagt dass {nouns}", f"he said that {short}", "Title\n" + short, short.replace("Leeds", "Derby"), lines.replace("\n", " "), "Heading\n- " + short, None]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    rows = {r.doc_id: r.item_ids for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert [rows[i] for i in (0, 1, 3, 4, 5, 7, 8)] == ["0", "1", "2", "3", "3", "4", "3"]
+    assert not rows[6] and not rows[9]
+    # two texts of one id don't contradict each other
+    both = frame(spark, [(1, story, "en", "s", 0), (1, story.replace("5", "8").replace("7", "5"), "en", "s", 0)])
+    assert {(r.n_windows, r.item_ids) for r in decontaminate.find_leaks(both, bench).collect()} == {(len(story.split()) - 7, "0")}
+
+
 def test_urls(spark):
     texts = ["http://WWW.Example.com/en/1", "https://m.example.com/en/2?x=1", "http://a.net/es/q#t", "http://net/fr", "http://bad.org/x/?utm_source=a", "http://www.bad.org/x.html#top", "http://good.org/x", None, "nothing", "http://", "http://com"]
     pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, url string")
