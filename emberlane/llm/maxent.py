@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, stored, words
 
 VOCABULARY = 200_000
-CLASSES = 16
+CLASSES = 32
 ROWS = 1 << 14
 ROUNDS = 4
 BATCH = 2048

@@ -333,6 +333,11 @@ def test_maxent_is_a_distribution():
     assert (known.n, known.v, known.rest_n, known.rest_v) == (23, 7, 6, 3)
 
 
+def test_maxent_tells_thirty_bands_apart():
+    known = maxent.Words([(b"w%d" % k, 5) for k in range(300)], 1500, 300, 3)
+    assert len(set(known.classes[3:].tolist())) == 30
+
+
 def test_license_scan(spark):
     texts = ["Released under the MIT License.", "x " * 70 + "this work IS licensed, under: the gnu general public license version 3", "CC BY cc-by CC BY", None, "", "mit apache license license", "under the license", "é " * 50 + "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"]
     docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]).withColumn("token", F.lit("clash")).withColumn("label", F.lit(1))
