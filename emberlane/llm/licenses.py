@@ -1,8 +1,9 @@
 """License scans: phrases, and an exact set-similarity join with templates.
 
-Texts are cut into blocks of ``BLOCK`` words that begin every ``STEP`` words, so
-that any run of up to STEP words lies whole in one of them; no template is
-longer. A block meets a template if it holds at least ``threshold`` of the
+Texts are cut into blocks of twice ``STEP`` words that begin every STEP words, so
+that any run of up to STEP words lies whole in one of them. Longer templates have
+blocks of their own, whose step is STEP doubled until it holds the template, and
+meet those alone. A block meets a template if it holds at least ``threshold`` of the
 template's distinct words. Only template words matter for that, so their
 document frequencies over the whole corpus give one global order, rarest first.
 A block that holds k of a template's n words holds one of the first n - k + 1 in
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, stored
 
-BLOCK, STEP = 48, 24
+STEP = 24
 BROADCAST_ROWS = 100_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of UTF-8 text: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+
 
@@ -36,6 +37,13 @@ def license_words(text: str | None) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8", "replace").lower()) if text else []
 
 
+def step_of(template: str) -> int:
+    step, n = STEP, len(license_words(template))
+    while step < n:
+        step *= 2
+    return step
+
+
 def phrase_places(words: list[bytes], phrases: list[tuple[tuple[bytes, ...], str]]) -> list[tuple[int, str]]:
     """(start, label) of every place where a phrase's words stand consecutively."""
     found, have = [], None
@@ -60,14 +68,12 @@ def _frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text_column: str
 
 
 def _index(docs: DataFrame, templates: list[tuple[str, str]], threshold: float, text_column: str) -> DataFrame:
-    """(template, label, token, place, in_prefix, n, least): the templates' words in global order."""
+    """(template, step, label, token, place, in_prefix, n, least): the templates' words in global order."""
     spark = docs.sparkSession
-    sets = [(k, label, sorted({x.decode() for x in license_words(text)})) for k, (label, text) in enumerate(templates)]
-    if any(len(license_words(text)) > STEP for _, text in templates):
-        raise ValueError(f"templates have at most {STEP} words")
-    vocabulary = frozenset(x.encode() for _, _, tokens in sets for x in tokens)
-    rows = [(k, label, token, len(tokens), ceil(threshold * len(tokens) - 1e-9)) for k, label, tokens in sets for token in tokens]
-    words = spark.createDataFrame(rows, "template int, label string, token string, n int, least int")
+    sets = [(k, step_of(text), label, sorted({x.decode() for x in license_words(text)})) for k, (label, text) in enumerate(templates)]
+    vocabulary = frozenset(x.encode() for *_, tokens in sets for x in tokens)
+    rows = [(k, step, label, token, len(tokens), ceil(threshold * len(tokens) - 1e-9)) for k, step, label, tokens in sets for token in tokens]
+    words = spark.createDataFrame(rows, "template int, step int, label string, token string, n int, least int")
     ordered = words.join(_frequencies(docs, vocabulary, text_column), "token", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
     place = F.row_number().over(Window.partitionBy("template").orderBy("docs", "token")) - 1
     return ordered.withColumn("place", place).withColumn("in_prefix", F.col("place") <= F.col("n") - F.col("least"))
@@ -78,8 +84,11 @@ def scan(docs: DataFrame, phrases: dict[str, str], templates: list[tuple[str, st
     n_blocks): phrase places, and labels of blocks that meet a template.
     ``phrases``: phrase to label; ``templates``: (label, text)."""
     index = stored(_index(docs, templates, threshold, text_column))
-    prefix = frozenset(r.token.encode() for r in index.where("in_prefix").select("token").distinct().collect())  # a few words of each template
-    vocabulary = frozenset(x for _, text in templates for x in license_words(text))
+    heads = index.where("in_prefix").select("step", "token").distinct().collect()  # a few words of each template
+    steps = sorted({step_of(text) for _, text in templates})
+    prefixes = {step: frozenset(r.token.encode() for r in heads if r.step == step) for step in steps}
+    vocabularies = {step: frozenset(x for _, text in templates if step_of(text) == step for x in license_words(text)) for step in steps}
+    n_words = sum(map(len, vocabularies.values()))
     wanted = [(tuple(license_words(phrase)), label) for phrase, label in phrases.items()]
 
     def each():
@@ -87,11 +96,13 @@ def scan(docs: DataFrame, phrases: dict[str, str], templates: list[tuple[str, st
             words = license_words(text)
             places = phrase_places(words, wanted)
             blocks = []
-            if not prefix.isdisjoint(words):
-                for k in range(0, max(1, len(words) - STEP), STEP):
-                    inside = vocabulary.intersection(words[k : k + BLOCK])
+            for step, prefix in prefixes.items():
+                if prefix.isdisjoint(words):
+                    continue
+                for k in range(0, max(1, len(words) - step), step):
+                    inside = vocabularies[step].intersection(words[k : k + 2 * step])
                     if not prefix.isdisjoint(inside):
-                        blocks.append({"block": k, "tokens": sorted(x.decode() for x in inside)})
+                        blocks.append({"block": k, "step": step, "tokens": sorted(x.decode() for x in inside)})
             starts = [k for k, _ in places]
             return len(words), len(places), min(starts, default=None), max(starts, default=None), sorted({x for _, x in places}), blocks
 
@@ -102,21 +113,21 @@ def scan(docs: DataFrame, phrases: dict[str, str], templates: list[tuple[str, st
         return work
 
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<block: int, tokens: array<string>>>"
+    schema = f"`{id_column}` {kind}, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<block: int, step: int, tokens: array<string>>>"
     scanned = stored(map_rows(docs, schema, each, id_column, text_column))
 
-    sets = index.groupBy("template", "label", "n", "least").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("t"))
+    sets = index.groupBy("template", "step", "label", "n", "least").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("t"))
     sets = sets.withColumn("t", F.transform("t", lambda x: x["token"]))
     heads = index.where("in_prefix").select("template", "token", "place").join(sets, "template")
-    if len(vocabulary) * len(templates) <= BROADCAST_ROWS:
+    if n_words * len(templates) <= BROADCAST_ROWS:
         heads = F.broadcast(heads)
     blocks = scanned.where(F.size("blocks") > 0).select(id_column, F.explode("blocks").alias("b")).select(id_column, "b.*")
-    met = blocks.withColumn("token", F.explode("tokens")).join(heads, "token").where(F.size("tokens") >= F.col("least"))
+    met = blocks.withColumn("token", F.explode("tokens")).join(heads, ["token", "step"]).where(F.size("tokens") >= F.col("least"))
     # words of the block that stand at or after the met one in the template: no more can be shared if it is the first
     shared = F.size(F.array_intersect("tokens", F.slice("t", F.col("place") + 1, F.col("n"))))
     met = met.where(F.col("n") - F.col("place") >= F.col("least")).withColumn("after", shared).where(F.col("after") + F.col("place") >= F.col("least"))
     verified = met.withColumn("k", F.size(F.array_intersect("tokens", "t"))).where(F.col("k") >= F.col("least"))
-    by_doc = verified.groupBy(id_column).agg(F.collect_set("label").alias("met"), F.max(F.col("k") / F.col("n")).alias("best"), F.countDistinct("block").alias("n_blocks"))
+    by_doc = verified.groupBy(id_column).agg(F.collect_set("label").alias("met"), F.max(F.col("k") / F.col("n")).alias("best"), F.countDistinct("block", "step").alias("n_blocks"))
     met_key = by_doc.withColumnRenamed(id_column, "__id")
     joined = scanned.join(met_key, scanned[id_column].eqNullSafe(met_key["__id"]), "left")
     every = F.array_sort(F.array_union("base", F.coalesce("met", F.array().cast("array<string>"))))

@@ -350,6 +350,15 @@ def test_license_scan(spark):
     assert licenses.scan(docs.limit(0), queries.LICENSE_PHRASES, queries.LICENSE_TEMPLATES).count() == 0
 
 
+def test_license_templates_of_any_length(spark):
+    draw = random.Random(3)
+    notices = {n: " ".join(f"{draw.choice(LOREM)}{draw.randrange(60)}" for _ in range(n)) for n in (20, 60, 200)}
+    texts = [f"{prose(k, 37 * k)} {text} {prose(k + 9, 50)}" for k, text in enumerate(notices.values(), 1)] + [notices[200][:300], prose(1, 500)]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    rows = {r.doc_id: r for r in licenses.scan(docs, {}, [(f"n{n}", text) for n, text in notices.items()]).collect()}
+    assert [rows[i].labels for i in range(5)] == ["n20", "n60", "n200", "", ""] and all(rows[i].score >= 0.9 for i in range(3))
+
+
 def test_empty_tables(spark, corpus):
     none = corpus.limit(0)
     assert minhash.near_duplicates(none).count() == 0
