@@ -8,15 +8,18 @@ where the lengths of all pieces and matches up to it add up to. The patterns
 are possessive and begin only where a longer match couldn't, which finds the
 same spans and keeps long runs of one character class linear.
 
-The method adds secrets and identifiers that stand behind a label (``token =``,
-``id:``). Values that look like a seed of their kind have score 1, whatever
-their label. A label's confidence in a kind is the summed score of its distinct
-values found so far over the number of all, and a value's score the chance that
-one of its labels is right; labels with fewer than ``support`` found values
-count nothing. A value at or above ``least`` is found, keeps its score and
-counts for its other labels from the next round on, over the graph of distinct
-(label, value) edges, until a round finds nothing. Values found are spans of
-their kind, unless a base span overlaps them.
+The method adds secrets by bootstrapped contexts. A candidate is a value with a
+digit behind a label (``token =``, ``id:``), or a word with four digits or more,
+that no base span overlaps. Its lexical patterns are the label, the word to its
+left, the two words to its left, and the words on both sides. Values that look
+like a seed (SEEDS) are found from the start, whatever stands around them. In
+each round every pattern's confidence is the summed score of its distinct values
+found so far over the number of all its values and one more; patterns with fewer
+than ``support`` found values count nothing. A value's score is that of its best
+pattern. Values at or above ``least`` are found, keep their score and speak for
+their other patterns from the next round on, over the graph of distinct
+(pattern, value) edges, until a round finds nothing. Base kinds are no seeds: their
+tests decide them, and a number that fails its test isn't made one by context.
 
 Null and empty texts have no spans. Repeated rows are judged each by itself.
 Places are code points, the end exclusive.
@@ -38,9 +41,12 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A label, a separator and a value.
-LABELLED = r"""(?<![\w-])[A-Za-z_][\w-]{0,40}+\x20?[:=#]\x20?["']?[^\s"'<>,;]{8,}+"""
-VALUE = r"""[^\s"'<>,;]+$"""
+#: A label, a separator and a value with a digit; or a word with four digits.
+LABELLED = r"""(?<![\w-])[A-Za-z_][\w-]*+\x20?[:=#]\x20?["']?(?=[^\s"'<>,;0-9]*+[0-9])[^\s"'<>,;]++"""
+CANDIDATE = LABELLED + r"|(?<![\w-])(?=(?:[A-Za-z_-]*+[0-9]){4})[\w-]++"
+LABEL = r"""^[A-Za-z_][\w-]*+\x20?[:=#]\x20?["']?"""
+#: A word of a context, and the characters of it that are looked at.
+WORD, REACH = r"[\p{L}_][\p{L}\p{N}_-]*", 120
 #: Looks of seed values of the kinds that the method adds.
 SEEDS = {"secret": r"^(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}$"}
 CHUNK = 256
@@ -68,9 +74,10 @@ def _phone(m: Column) -> Column:
 TESTS = {"email": lambda m: F.lit(True), "ip": _ip, "card": _luhn, "phone": _phone}
 
 
-def located(df: DataFrame, text: str, patterns: dict[str, str], guards: dict[str, Column] | None = None) -> DataFrame:
+def located(df: DataFrame, text: str, patterns: dict[str, str], guards: dict[str, Column] | None = None, contexts: tuple[str, ...] = ()) -> DataFrame:
     """Adds for each name array<struct<value, start, end>> of all matches, null
-    where there is none. Sums run by chunks of matches, so that many matches in
+    where there is none; those in ``contexts`` have before and after as well,
+    REACH characters of the text up to the neighbouring matches. Sums run by chunks of matches, so that many matches in
     one text don't cost the square of their number."""
     guards = guards or {}
     some = lambda n: F.size(f"{n}_m") > 0
@@ -88,15 +95,23 @@ def located(df: DataFrame, text: str, patterns: dict[str, str], guards: dict[str
     df = df.withColumns({f"{n}_c": F.when(some(n), by_chunk(n)) for n in patterns})
     df = df.withColumns({f"{n}_o": F.aggregate(f"{n}_c", zero, lambda acc, c: grow(acc, F.element_at(c, -1))) for n in patterns})
     df = df.withColumns({f"{n}_e": F.flatten(F.zip_with(F.col(f"{n}_c"), F.slice(f"{n}_o", F.lit(1), F.size(f"{n}_c")), lambda c, o: F.transform(F.slice(c, 2, CHUNK), lambda x: x + o))) for n in patterns})
-    span = lambda m, e: F.struct(m.alias("value"), (e - F.length(m)).alias("start"), e.alias("end"))
-    df = df.withColumns({n: F.when(some(n), F.zip_with(F.col(f"{n}_m"), F.col(f"{n}_e"), span)) for n in patterns})
+
+    def spans(n):
+        def span(m, i):
+            end = F.get(f"{n}_e", i)
+            around = [F.right(F.get(f"{n}_g", i), F.lit(REACH)).alias("before"), F.left(F.get(f"{n}_g", i + 1), F.lit(REACH)).alias("after")]
+            return F.struct(m.alias("value"), (end - F.length(m)).alias("start"), end.alias("end"), *(around if n in contexts else ()))
+
+        return F.when(some(n), F.transform(f"{n}_m", span))
+
+    df = df.withColumns({n: spans(n) for n in patterns})
     return df.drop(*(f"{n}_{x}" for n in patterns for x in "mgscoe"))
 
 
 def base_spans(docs: DataFrame, text: str) -> DataFrame:
-    """Adds email, ip, card, phone and labelled: arrays of (value, start, end)."""
-    guards = {"email": F.col(text).contains("@"), "phone": F.col(text).contains("+"), "labelled": F.col(text).rlike(r"[:=#]\x20?[\"']?[^\s\"'<>,;]*[0-9]")}
-    found = located(docs, text, {**BASE, "labelled": LABELLED}, guards)
+    """Adds email, ip, card, phone and candidate: arrays of (value, start, end)."""
+    guards = {"email": F.col(text).contains("@"), "phone": F.col(text).contains("+"), "candidate": F.col(text).rlike("[0-9]")}
+    found = located(docs, text, {**BASE, "candidate": CANDIDATE}, guards, ("candidate",))
     empty = F.array().cast("array<struct<value:string,start:bigint,end:bigint>>")
 
     def passing(n):
@@ -105,33 +120,43 @@ def base_spans(docs: DataFrame, text: str) -> DataFrame:
     return found.withColumns({n: F.coalesce(passing(n), empty) for n in BASE})
 
 
-def _labelled(found: DataFrame) -> DataFrame:
-    """Adds ``mentions``: (label, value, start, end) of labelled values with four
-    digits or more that no base span overlaps."""
+def _mentions(found: DataFrame) -> DataFrame:
+    """Adds ``mentions``: (patterns, value, start, end) of the candidates that no base span overlaps."""
     def mention(x):
-        value = F.regexp_extract(x["value"], VALUE, 0)
-        label = F.lower(F.regexp_replace(F.regexp_extract(x["value"], r"^([\w-]+\x20?[:=#])", 1), r"\x20", ""))
-        return F.struct(label.alias("label"), value.alias("value"), (x["end"] - F.length(value)).alias("start"), x["end"].alias("end"))
+        head = F.regexp_extract(x["value"], LABEL, 0)
+        value = F.substring(x["value"], F.length(head) + 1, F.length(x["value"]))
+        label = F.regexp_replace(F.lower(head), r"""[\x20"']""", "")
+        left = F.regexp_extract_all(F.lower(F.concat(x["before"], F.lit(" "), head)), F.lit(WORD), F.lit(0))
+        one, two = F.get(left, F.size(left) - 1), F.get(left, F.size(left) - 2)
+        right = F.nullif(F.regexp_extract(F.lower(x["after"]), WORD, 0), F.lit(""))
+        patterns = F.array(
+            F.when(label != "", F.concat(F.lit("label "), label)),
+            F.concat(F.lit("left "), one),
+            F.concat(F.lit("left "), two, F.lit(" "), one),
+            F.concat(F.lit("both "), one, F.lit(" | "), right),
+        )
+        return F.struct(F.array_compact(patterns).alias("patterns"), value.alias("value"), (x["end"] - F.length(value)).alias("start"), x["end"].alias("end"))
 
-    digits = F.filter("labelled", lambda x: x["value"].rlike("(?:[0-9][^0-9]*){4}"))
     clear = lambda m: reduce(lambda a, n: a & ~F.exists(n, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), BASE, F.lit(True))
-    return found.withColumn("__m", F.transform(digits, mention)).withColumn("mentions", F.filter("__m", clear)).drop("__m", "labelled")
+    return found.withColumn("__m", F.transform("candidate", mention)).withColumn("mentions", F.filter("__m", clear)).drop("candidate", "__m")
 
 
 def score_values(mentions: DataFrame, support: int = 3, least: float = 0.5) -> DataFrame:
     """(value, kind, score) of values at or above ``least``. ``mentions`` has
-    label and value. Rounds go on until one finds no value that is new; every
-    round weighs all labels by the values found up to then."""
-    edges = stored(mentions.select("label", "value").distinct())
+    patterns (array) and value. Rounds go on until one finds no value that is
+    new; every round weighs all patterns by the values found up to then."""
     kind = F.coalesce(*(F.when(F.col("value").rlike(p), k) for k, p in SEEDS.items()), F.lit(None).cast("string"))
-    found = stored(edges.select("value").distinct().select("value", kind.alias("kind"), F.lit(1.0).alias("score")).where("kind is not null"))
-    totals = stored(edges.groupBy("label").agg(F.count(F.lit(1)).alias("values")))
+    seeds = mentions.select("value").distinct().select("value", kind.alias("kind"), F.lit(1.0).alias("score"))
+    found = stored(seeds.where("kind is not null"))
     n = found.count()
+    if n:
+        edges = stored(mentions.select("value", F.explode("patterns").alias("pattern")).distinct())
+        totals = stored(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= support))
     while n:
-        trust = edges.join(found, "value").groupBy("label", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score")).where(F.col("n") >= support)
-        trust = trust.join(totals, "label").select("label", "kind", (F.col("score") / (F.col("values") + 1)).alias("trust"))
-        heard = edges.join(trust, "label").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
-        new = stored(heard.where(F.col("score") >= least).join(found, ["value", "kind"], "left_anti"))
+        trust = edges.join(found, "value").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score")).where(F.col("n") >= support)
+        trust = trust.join(totals, "pattern").select("pattern", "kind", (F.col("score") / (F.col("values") + 1)).alias("trust"))
+        heard = edges.join(trust.where(F.col("trust") >= least), "pattern").groupBy("value", "kind").agg(F.max("trust").alias("score"))
+        new = stored(heard.join(found, ["value", "kind"], "left_anti"))
         n = new.count()
         if n:
             found = stored(found.unionByName(new))
@@ -148,7 +173,7 @@ def scan(docs: DataFrame, keep: list[str], text_column: str = "text") -> DataFra
     """Columns ``keep`` with the base kinds' span arrays and ``added``:
     array<struct<kind, start, end, value>> in order of kind and start."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    found = _labelled(base_spans(docs.select(F.struct(*keep).alias("__keep"), text.alias("__text")), "__text"))
+    found = _mentions(base_spans(docs.select(F.struct(*keep).alias("__keep"), text.alias("__text")), "__text"))
     found = stored(found.drop("__text").withColumn("__row", F.monotonically_increasing_id()))
     mentions = found.where(F.size("mentions") > 0).select("__row", F.inline("mentions"))
     scored = score_values(mentions)
@@ -195,7 +220,7 @@ def redacted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     values = found.select(F.col(id_column).alias("__of"), F.explode("added").alias("s")).groupBy("__of")
     values = stored(values.agg(F.sort_array(F.collect_set(F.struct("s.value", "s.kind"))).alias("__added")))
     rows = docs.select(F.struct(*columns).alias("__keep"), F.col(id_column).alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
-    rows = _labelled(base_spans(rows, "__text")).join(values, F.col("__id").eqNullSafe(F.col("__of")), "left")
+    rows = _mentions(base_spans(rows, "__text")).join(values, F.col("__id").eqNullSafe(F.col("__of")), "left")
     told = F.map_from_entries(F.coalesce("__added", F.array().cast("array<struct<value:string,kind:string>>")))
     # a value that isn't one of the id's has no kind
     mine = F.filter(F.transform("mentions", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.element_at("__told", m["value"]).alias("kind"))), lambda m: m["kind"].isNotNull())
