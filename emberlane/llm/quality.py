@@ -2,20 +2,27 @@
 
 Everything here is DataFrame functions. Each text gives counts (words, symbols,
 repeated lines and three-word windows) and from them a vector of transformed
-statistics. For each language and source the minimum-covariance-determinant
-estimate of its mean and covariance is found by concentration steps; documents
-whose squared Mahalanobis distance from it is over ``cutoff`` are rejected.
+statistics. The minimum-covariance-determinant estimate of its mean and
+covariance is found for each language and source, each language and all texts:
+concentration steps run from ``STARTS`` starts at once until no determinant
+changes, and the start with the least determinant counts. Documents whose
+squared Mahalanobis distance from their group's estimate is over ``cutoff`` are
+rejected.
 
-A step adds up counts and moments by (group, bin of the distance), which Spark
-combines before its shuffle, so that a source with a third of all documents
-weighs no more than another. The nearest ``share`` of a group are whole bins;
-the bins are ``BINS_PER_E`` to a factor of e, so the share is met from above to
-within one bin. The start is the median and the interquartile range of each
-statistic, from histograms in the same way. Variances have a floor, so constant
-statistics don't make the covariance singular.
+A step adds up counts and moments by (group, start, bin of the distance), which
+Spark combines before its shuffle, so that a source with a third of all
+documents weighs no more than another. The nearest ``share`` of a group are
+whole bins; the bins are ``BINS_PER_E`` to a factor of e, so the share is met
+from above to within one bin, and a group has at most some thousand bins. The
+starts are the median and interquartile range of each statistic, the moments of
+all rows, and those of the rows within one such range of the medians in every
+statistic. Variances have a floor, so constant statistics don't make the
+covariance singular and single exceptions to them aren't infinitely far.
 
-Groups of fewer than ``min_group`` documents are pooled by language, languages
-that stay below it altogether. Null languages and sources count as empty ones.
+A source's estimate is drawn to its language's as if ``prior`` documents more
+came from there, and a language's to that of all texts likewise, so that every
+group has its own estimate and small ones lean on the larger: no size decides
+between two rules. Null languages and sources count as empty ones.
 
 Null and empty texts have no words and fail the base rule. Repeated rows are
 judged alike. Texts that fail the base rule take no part in the estimates.
@@ -37,6 +44,10 @@ START_BINS = 200
 #: name, and the smallest standard deviation that is told apart from a constant
 STATISTICS = {"word_length": 0.1, "symbols": 0.04, "dup_lines": 0.15, "repeats": 0.15}
 P = len(STATISTICS)
+STARTS = 3
+MOST_STEPS = 30
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+KEYS = ["group", "start"]
 
 
 def text_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -105,16 +116,32 @@ def _consistency(share: float) -> float:
 
 
 def _nearest(binned: DataFrame, share: float) -> DataFrame:
-    """Rows (group, bin, n, ...) of the lowest bins that hold ``share`` of each group."""
-    by = Window.partitionBy("group").orderBy("bin")
+    """Rows (group, start, bin, n, ...) of the lowest bins that hold ``share`` of each group."""
+    by = Window.partitionBy(*KEYS).orderBy("bin")
     return (
-        binned.withColumns({"__below": F.sum("n").over(by) - F.col("n"), "__all": F.sum("n").over(Window.partitionBy("group"))})
+        binned.withColumns({"__below": F.sum("n").over(by) - F.col("n"), "__all": F.sum("n").over(Window.partitionBy(*KEYS))})
         .where(F.col("__below") < F.col("__all") * share)
         .drop("__below", "__all")
     )
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _sums() -> list[Column]:
+    """Aggregates n, s0.. and q00..: count, sums and sums of products."""
+    return [
+        F.count(F.lit(1)).alias("n"),
+        *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)),
+        *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS),
+    ]
+
+
+def _moments(sums: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
+    """(keys, m0.., c00..) of sums; the covariance times ``factor``."""
+    mean = {f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)}
+    covariance = {f"c{i}{j}": (F.col(f"q{i}{j}") / F.col("n") - mean[f"m{i}"] * mean[f"m{j}"]) * factor for i, j in PAIRS}
+    return sums.select(*keys, *(c.alias(n) for n, c in (mean | covariance).items()))
+
+
+def _medians(rows: DataFrame) -> DataFrame:
     """Median and robust variance of each statistic: (group, m0.., c00..)."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(F.col(f"x{k}") * START_BINS).alias("bin")) for k in range(P))))
     bins = rows.select("group", each.alias("b")).groupBy("group", "b.k", "b.bin").agg(F.count(F.lit(1)).alias("n"))
@@ -129,67 +156,122 @@ def _start(rows: DataFrame) -> DataFrame:
     return wide.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)})
 
 
-def _cholesky(estimate: DataFrame) -> DataFrame:
-    """(group, m0.., l00..): the covariance with its floors as a lower triangle."""
-    floors = list(STATISTICS.values())
+def _starts(rows: DataFrame, floors: list[float]) -> DataFrame:
+    """(group, start, m0.., c00..) of the starts that a group has rows for."""
+    medians = stored(_medians(rows))
+    everything = _moments(rows.groupBy("group").agg(*_sums()), ["group"])
+    inside = F.lit(True)
+    for i in range(P):
+        inside = inside & (F.abs(F.col(f"x{i}") - F.col(f"m{i}")) <= F.sqrt(F.col(f"c{i}{i}")) * 1.349 + floors[i])
+    core = _moments(rows.join(medians, "group").where(inside).groupBy("group").agg(*_sums()), ["group"])
+    columns = ["group", *(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in PAIRS)]
+    named = [df.select(F.lit(k).alias("start"), *columns) for k, df in enumerate((medians, everything, core))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def _cholesky(estimate: DataFrame, floors: list[float]) -> DataFrame:
+    """Adds l00.. and logdet: the covariance with its floors as a lower triangle."""
     for i in range(P):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") + (floors[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             estimate = estimate.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return estimate.select("group", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)))
+    return estimate.withColumn("logdet", sum(2 * F.log(f"l{i}{i}") for i in range(P)))
 
 
 def _distance(rows: DataFrame, triangles: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance; null where a group has no estimate."""
-    joined = rows.join(triangles, "group", "left")
+    """Adds d2, the squared Mahalanobis distance; null where a group has no
+    estimate. A group with several starts gives a row for each."""
+    joined = rows.join(triangles.drop("logdet", *(f"c{i}{j}" for i, j in PAIRS)), "group", "left")
     for i in range(P):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
         for j in range(i):
             rest = rest - F.col(f"l{i}{j}") * F.col(f"__y{j}")
         joined = joined.withColumn(f"__y{i}", rest / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"__y{i}") * F.col(f"__y{i}") for i in range(1, P)), F.col("__y0") * F.col("__y0"))
-    return joined.withColumn("d2", d2).drop(*triangles.columns[1:], *(f"__y{i}" for i in range(P)))
+    return joined.withColumn("d2", d2).drop(*(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS), *(f"__y{i}" for i in range(P)))
 
 
 def _concentrate(rows: DataFrame, triangles: DataFrame, share: float) -> DataFrame:
-    """One step: mean and covariance of the nearest ``share`` of each group."""
+    """One step: mean and covariance of the nearest ``share`` of each group, for each start."""
     near = _distance(rows, triangles).withColumn("bin", F.floor(F.log1p("d2") * BINS_PER_E))
-    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
-    names = [f"s{i}" for i in range(P)] + [f"q{i}{j}" for i, j in pairs]
-    sums = [F.sum(f"x{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]
-    binned = near.groupBy("group", "bin").agg(F.count(F.lit(1)).alias("n"), *(s.alias(n) for s, n in zip(sums, names)))
-    total = _nearest(binned, share).groupBy("group").agg(F.sum("n").alias("n"), *(F.sum(n).alias(n) for n in names))
-    mean = {f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)}
-    factor = _consistency(share)
-    return total.select("group", *(c.alias(n) for n, c in mean.items()), *(((F.col(f"q{i}{j}") / F.col("n") - mean[f"m{i}"] * mean[f"m{j}"]) * factor).alias(f"c{i}{j}") for i, j in pairs))
+    total = _nearest(near.groupBy(*KEYS, "bin").agg(*_sums()), share).groupBy(*KEYS)
+    names = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
+    return _moments(total.agg(*(F.sum(n).alias(n) for n in names)), KEYS, _consistency(share))
 
 
-def _grouped(rows: DataFrame, min_group: int) -> DataFrame:
-    """Adds ``group``: language and source, pooled where they are too few."""
-    rows = rows.withColumns({"__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))})
-    sizes = rows.where(~F.col("base_failed")).groupBy("__lang", "__source").agg(F.count(F.lit(1)).alias("n"))
-    small = F.sum(F.when(F.col("n") < min_group, F.col("n"))).over(Window.partitionBy("__lang"))
-    name = F.when(F.col("n") >= min_group, F.concat_ws("|", F.lit("source"), "__lang", "__source")).when(small >= min_group, F.concat_ws("|", F.lit("lang"), "__lang")).otherwise("all")
-    names = stored(sizes.select("__lang", "__source", name.alias("group")))
-    return rows.join(names, ["__lang", "__source"], "left").drop("__lang", "__source")
+def least_determinants(rows: DataFrame, share: float, floors: list[float]) -> DataFrame:
+    """(group, m0.., c00.., l00.., logdet) of rows (group, x0..): the start whose
+    concentration steps end at the least determinant. Steps go on until every
+    group's determinants stand still, MOST_STEPS at most."""
+    estimate = stored(_cholesky(_starts(rows, floors), floors))
+    for _ in range(MOST_STEPS):
+        ahead = stored(_cholesky(_concentrate(rows, estimate, share), floors))
+        before = estimate.select(*KEYS, F.col("logdet").alias("before"))
+        moved = ahead.join(before, KEYS).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+        estimate = ahead
+        if not moved or moved < 1e-6:
+            break
+    best = estimate.groupBy("group").agg(F.min_by(F.struct(*(c for c in estimate.columns if c not in KEYS)), F.struct("logdet", "start")).alias("e"))
+    return best.select("group", "e.*")
 
 
-def judge(docs: DataFrame, keep: list[str], text_column: str = "text", share: float = 0.75, steps: int = 3, cutoff: float = 30.0, min_group: int = 100) -> DataFrame:
-    """Columns ``keep`` of the documents with their counts, base_failed, d2 and kept."""
-    vectors = statistics(text_counts(docs.select(*keep, F.col(text_column).alias("__text"), F.col("lang").alias("__l"), F.col("source").alias("__s")), "__text"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def _drawn(estimate: DataFrame, above: DataFrame, keys: list[str], prior: float) -> DataFrame:
+    """Estimates (keys, n, m0.., c00..) weighed with those of ``above`` as if
+    ``prior`` documents came from there; the means' difference adds to the covariance."""
+    moments = [*(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in PAIRS)]
+    shared = [k for k in keys if k in above.columns]
+    if shared:
+        joined = estimate.join(above.select(*shared, *(F.col(c).alias(f"__{c}") for c in moments)), shared)
+    else:
+        whole = above.first()  # the one estimate of all texts; none without texts
+        joined = estimate.withColumns({f"__{c}": F.lit(whole[c] if whole else 0.0) for c in moments})
+    own, theirs = F.col("n") / (F.col("n") + prior), F.lit(prior) / (F.col("n") + prior)
+    gap = lambda i: F.col(f"m{i}") - F.col(f"__m{i}")
+    mean = [(own * F.col(f"m{i}") + theirs * F.col(f"__m{i}")).alias(f"m{i}") for i in range(P)]
+    covariance = [(own * F.col(f"c{i}{j}") + theirs * F.col(f"__c{i}{j}") + own * theirs * gap(i) * gap(j)).alias(f"c{i}{j}") for i, j in PAIRS]
+    return joined.select(*keys, "n", *mean, *covariance)
+
+
+def group_estimates(rows: DataFrame, share: float, floors: list[float], prior: float) -> DataFrame:
+    """(lang, source, m0.., l00.., logdet) of rows (lang, source, x0..)."""
+    levels = [("lang", "source"), ("lang",), ()]
+    name = lambda level: F.to_json(F.struct(F.lit(len(level)).alias("n"), *level))
+    grouped = rows.withColumn("group", F.explode(F.array(*(name(level) for level in levels)))).select("group", *(f"x{i}" for i in range(P)))
+    found = stored(least_determinants(stored(grouped), share, floors))
+    drawn = None
+    for level in reversed(levels):
+        sizes = rows.groupBy(*level).agg(F.count(F.lit(1)).alias("n"))
+        own = sizes.withColumn("group", name(level)).join(found, "group").select(*level, "n", *(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in PAIRS))
+        drawn = own if drawn is None else _drawn(own, drawn, list(level), prior)
+    return _cholesky(drawn.drop("n"), floors)
+
+
+def judge(docs: DataFrame, keep: list[str], text_column: str = "text", share: float = 0.75, cutoff: float = 30.0, prior: float = 50.0, floors: list[float] | None = None) -> DataFrame:
+    """Columns ``keep`` of the documents with their counts, base_failed, d2 and
+    kept; columns of ``keep`` that have one of these names go."""
+    floors = floors or list(STATISTICS.values())
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    measured = vectors.select(
-        F.struct(*(F.col(c) for c in keep)).alias("kept_columns"), *counts, *(f"x{i}" for i in range(P)), failed.alias("base_failed"), F.col("__l").alias("lang"), F.col("__s").alias("source")
-    )
-    measured = stored(measured)
-    rows = _grouped(measured, min_group)
-    sound = rows.where(~F.col("base_failed")).select("group", *(f"x{i}" for i in range(P)))
-    estimate = stored(_cholesky(_start(sound)))
-    for _ in range(steps):
-        estimate = stored(_cholesky(_concentrate(sound, estimate, share)))
-    judged = _distance(rows, estimate)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
-    return judged.select("kept_columns.*", *counts, "base_failed", kept.alias("kept"), "d2")
+    rows = measured(docs, F.struct(*keep), text_column)
+    mine = [c for c in keep if c not in (*counts, "base_failed", "kept", "d2")]
+    judged = verdicts(rows, share, cutoff, prior, floors)
+    return judged.select(*(F.col("__keep").getField(c).alias(c) for c in mine), *counts, "base_failed", "kept", "d2")
+
+
+def measured(docs: DataFrame, keep: Column, text_column: str = "text") -> DataFrame:
+    """(__keep, counts, x0.., base_failed, lang, source) of every document, stored."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    picked = docs.select(keep.alias("__keep"), F.col(text_column).alias("__text"), empty("lang").alias("lang"), empty("source").alias("source"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    vectors = statistics(text_counts(picked, "__text")).withColumn("base_failed", failed)
+    return stored(vectors.drop("__text", "n_lines"))
+
+
+def verdicts(rows: DataFrame, share: float = 0.75, cutoff: float = 30.0, prior: float = 50.0, floors: list[float] | None = None) -> DataFrame:
+    """Adds d2 and kept to what ``measured`` gives."""
+    floors = floors or list(STATISTICS.values())
+    sound = rows.where(~F.col("base_failed")).select("lang", "source", *(f"x{i}" for i in range(P)))
+    estimates = stored(group_estimates(sound, share, floors, prior).withColumn("group", F.struct("lang", "source")).drop("lang", "source"))
+    judged = _distance(rows.withColumn("group", F.struct("lang", "source")), estimates).drop("group")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
