@@ -20,16 +20,20 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-CACHE = 400_000
-#: Texts are encoded together up to so many characters.
-CHUNK_CHARS = 2_000_000
+CACHE = 150_000
+#: Pre-tokens that are looked up together; longer texts are split piecemeal.
+CHUNK_PIECES = 100_000
+#: Bytes of new pre-tokens that share one queue.
+QUEUE_BYTES = 100_000
 #: Longer pre-tokens are encoded each time, so that the cache stays small.
 CACHED_CHARS = 64
 
@@ -140,11 +144,38 @@ def encode_pieces(pieces: list[bytes], ranks: dict[bytes, int], two: dict) -> li
     return out
 
 
+#: Code points (hexadecimal ranges) that the tokenizer library's
+#: tables leave unassigned and ``regex`` calls letters or numbers.
+LATER_LETTERS = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF
+10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1-11DF1 16EA0-16EB8 16EBB-16ED3
+16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128
+1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5
+1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
+
+def _ranges(text: str) -> str:
+    """Hexadecimal ranges as the inside of a character class."""
+    ends = (r.split("-") for r in text.split())
+    return "".join("-".join(rf"\U{int(e, 16):08X}" for e in r) for r in ends)
+
+
 def splitter(pattern: str):
-    """findall of ``pattern``. Where it only tells letters, numbers and space
-    apart, texts without characters past U+024F go through the standard ``re``,
-    which is faster, with those classes spelt out; the sets are the same."""
-    general = regex.compile(pattern).findall
+    """Function from a text to the compiled form of ``pattern`` that suits it.
+
+    Where the pattern only tells letters, numbers and space apart, texts without
+    characters past U+024F go through the standard ``re``, which is faster, with
+    those classes spelt out; the sets are the same. Texts with characters that
+    were assigned after the library's tables get a form that leaves them out.
+    """
+    letters, numbers = _ranges(LATER_LETTERS), _ranges(LATER_NUMBERS)
+    general = regex.compile(pattern)
+    later = regex.compile(f"[{letters}{numbers}]").search
+    older = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{letters}]]").replace(r"\p{N}", rf"[\p{{N}}--[{numbers}]]")
+    older = regex.compile(older, regex.V1)
+    special = lambda text: older if later(text) else general
     plain = re.compile("[^\x00-\u024f]").search
     low = [chr(c) for c in range(0x250)]
     of = {k: "".join(re.escape(c) for c in low if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s")}
@@ -157,9 +188,9 @@ def splitter(pattern: str):
     for kind, characters in of.items():
         spelt = spelt.replace(kind, "[" + characters + "]")
     if re.search(r"\\[pPsSwWdDbB]", re.sub(r"\\\\", "", spelt)):
-        return general
-    fast = re.compile(spelt).findall
-    return lambda text: general(text) if plain(text) else fast(text)
+        return special
+    fast = re.compile(spelt)
+    return lambda text: special(text) if plain(text) else fast
 
 
 class Codec:
@@ -168,45 +199,87 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.two = pair_ranks(ranks)
-        self.split = splitter(pattern)
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.form = splitter(pattern)
+        self.known: dict[str, tuple[int, ...]] = {}
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
-    def by_piece(self, texts: list[str | None]) -> Iterator[list[tuple[int, ...]]]:
-        """For each text the ids of its pre-tokens, some texts at a time."""
-        begun = 0
-        while begun < len(texts):
-            split, size = [], 0
-            while begun < len(texts) and size < CHUNK_CHARS:
-                text = texts[begun]
-                begun += 1
-                split.append(self.split(text) if text else [])
-                size += len(text or "")
-            known = self.pieces
-            new = list(set(chain.from_iterable(split)).difference(known))
-            if len(known) + len(new) > CACHE:
-                known = self.pieces = {}
-                new = list(set(chain.from_iterable(split)))
-            # a token as it stands needs no merge
-            whole = [self.ranks.get(x.encode("utf-8", "replace")) for x in new]
-            known.update((x, (rank,)) for x, rank in zip(new, whole) if rank is not None)
-            new = [x for x, rank in zip(new, whole) if rank is None]
-            known.update(zip(new, encode_pieces([x.encode("utf-8", "replace") for x in new], self.ranks, self.two)))
-            get = known.__getitem__
-            for found in split:
-                yield list(map(get, found))
-            for x in new:
-                if len(x) > CACHED_CHARS:
-                    del known[x]
+    def _split(self, texts: list[str | None]) -> Iterator[tuple[list[str], bool]]:
+        """(pre-tokens, whether the text ends with them) of every text in order."""
+        for text in texts:
+            if not text:
+                yield [], True
+            elif len(text) <= CHUNK_PIECES:
+                yield self.form(text).findall(text), True
+            else:
+                found = (m.group() for m in self.form(text).finditer(text))
+                part, ended = list(islice(found, CHUNK_PIECES)), False
+                while not ended:
+                    ahead = list(islice(found, CHUNK_PIECES))
+                    ended = not ahead
+                    yield part, ended
+                    part = ahead
+
+    def _learn(self, wanted: list[list[str]]) -> list[str]:
+        """Puts the ids of all these pre-tokens into ``known``; returns the ones too long to stay."""
+        known = self.known
+        new = set(chain.from_iterable(wanted)).difference(known)
+        if len(known) + len(new) > CACHE:
+            known = self.known = {}
+            new = set(chain.from_iterable(wanted))
+        group, size = [], 0
+        for x in new:
+            raw = x.encode("utf-8", "replace")
+            rank = self.ranks.get(raw)
+            if rank is not None:  # a token as it stands needs no merge
+                known[x] = (rank,)
+                continue
+            group.append((x, raw))
+            size += len(raw)
+            if size > QUEUE_BYTES:
+                known.update(zip((g[0] for g in group), encode_pieces([g[1] for g in group], self.ranks, self.two)))
+                group, size = [], 0
+        known.update(zip((g[0] for g in group), encode_pieces([g[1] for g in group], self.ranks, self.two)))
+        return [x for x in new if len(x) > CACHED_CHARS]
+
+    def by_piece(self, texts: list[str | None]) -> Iterator[tuple[list[tuple[int, ...]], bool]]:
+        """(ids of pre-tokens, whether the text ends with them) of every text in
+        order; no more than about CHUNK_PIECES pre-tokens are held at a time."""
+        held, size = [], 0
+
+        def told():
+            long = self._learn([found for found, _ in held])
+            get = self.known.__getitem__
+            for found, ended in held:
+                yield list(map(get, found)), ended
+            for x in long:
+                del self.known[x]
+
+        for part in self._split(texts):
+            held.append(part)
+            size += len(part[0])
+            if size >= CHUNK_PIECES:
+                yield from told()
+                held, size = [], 0
+        yield from told()
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
-        for pieces in self.by_piece(texts):
-            yield list(chain.from_iterable(pieces))
+        ids: list[int] = []
+        for pieces, ended in self.by_piece(texts):
+            ids += chain.from_iterable(pieces)
+            if ended:
+                yield ids
+                ids = []
 
     def count(self, texts: list[str | None]) -> list[int]:
-        return [sum(map(len, pieces)) for pieces in self.by_piece(texts)]
+        out, n = [], 0
+        for pieces, ended in self.by_piece(texts):
+            n += sum(map(len, pieces))
+            if ended:
+                out.append(n)
+                n = 0
+        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -251,24 +324,46 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column:
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes and decodes every text in one pass: (id, n_tokens, ids_sha256,
     decoded_sha256, n_bytes, exact), the digests over the decimal ids joined by
-    commas and over the decoded bytes; ids as well if ``with_ids``."""
+    commas and over the decoded bytes; ids as well if ``with_ids``.
+
+    Long texts pass through piecemeal; only ids that are returned are kept, as
+    32-bit integers."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    told = ("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "exact")
 
     def each():
         codec = codec_for(ranks, pattern)
         decimal = [str(i) for i in range(len(codec.bytes_of))]
 
         def work(key, text):
-            out = {n: [] for n in ("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "exact", "ids")}
-            for t, ids in zip(text, codec.encode(text)):
+            out: dict = {n: [] for n in told}
+            kept, offsets = [], [0]
+            source = iter(text)
+
+            def begin():
+                return [0, hashlib.sha256(), hashlib.sha256(), 0, hashlib.sha256((next(source, None) or "").encode("utf-8", "replace"))]
+
+            now = begin() if text else None
+            for pieces, ended in codec.by_piece(text):
+                ids = list(chain.from_iterable(pieces))
                 back = codec.decode(ids)
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
-                out["n_bytes"].append(len(back))
+                if now[0] and ids:
+                    now[1].update(b",")
+                now[0] += len(ids)
+                now[1].update(",".join(map(decimal.__getitem__, ids)).encode())
+                now[2].update(back)
+                now[3] += len(back)
                 if with_ids:
-                    out["ids"].append(ids)
-                out["exact"].append(back == (t or "").encode("utf-8", "replace"))
+                    kept.append(np.fromiter(ids, np.int32, len(ids)))
+                if ended:
+                    row = (now[0], now[1].hexdigest(), now[2].hexdigest(), now[3], now[2].digest() == now[4].digest())
+                    for name, value in zip(told, row):
+                        out[name].append(value)
+                    offsets.append(offsets[-1] + now[0])
+                    now = begin()
+            if with_ids:
+                values = np.concatenate(kept) if kept else np.empty(0, np.int32)
+                out["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
             return out | {id_column: key}
 
         return work
