@@ -6,20 +6,27 @@
    form a class; the smallest id stands for it, so copies are never paired.
 2. Every band bucket with more than one class ties its classes to one of them,
    the hub, which a hash picks anew for each bucket. A row makes one edge for
-   each band at most, however large its bucket is.
-3. Edges whose signatures are too far apart for the threshold are dropped; the
-   closest edge of every class is confirmed on the full sets, and of the others
-   those that join different components.
-4. Buckets that still hold classes of different components make up the
+   each band at most, however large its bucket is. Edges whose signatures are
+   too far apart for the threshold are dropped.
+3. The closest edge of every class is confirmed on the full sets; then that of
+   every component to another one, ``CLOSEST`` times over; then all edges that
+   still join different components. Edges within a component aren't needed.
+4. Components come from alternating large-star and small-star, over the
+   confirmed edges in the first turn and over pairs of components in the later
+   ones, so that a large group costs its members once.
+5. Buckets that still hold classes of different components make up the
    neighbourhood of their largest component. Classes outside it are compared
-   with everything in its neighbourhood, in blocks of bounded size and on whole
-   sets, so that links hubs have missed are found and other pairs are never
-   emitted. Groups that hang together by then add nothing.
-5. Components come from alternating large-star and small-star.
+   with everything in its neighbourhood, a block of bounded size with a block:
+   signatures first, then whole sets where those allow a link. A block pair
+   yields one link for each two components it joins. The blocks of a
+   neighbourhood are dealt to many tasks by a salt.
 
 With 50 bands of 6 rows a pair at similarity 0.8 shares no bucket with
 probability 2.5e-7, and the signature estimate lies under ``SLACK`` below the
-threshold with less than 1e-6.
+threshold with less than 1e-6. Equal sets are told by a 128-bit digest of their
+64-bit shingle hashes; all other links are confirmed on the words themselves.
+The comparisons of step 5 grow with the square of a neighbourhood only as far as
+its classes neither link nor fall into one component; they emit nothing then.
 
 Texts without words link with nothing and stand alone; texts with fewer words
 than a shingle have their whole sequence as one shingle. Null ids are returned
@@ -43,7 +50,9 @@ from .components import connected_components
 BANDS, ROWS = 50, 6
 SLACK = 0.12
 KNOWN_WORDS = 250_000
-BLOCK = 128  # documents that are compared with so many others at once
+CLOSEST = 2  # turns in which each component tries its closest edge alone
+BLOCK, BLOCK_SHINGLES = 256, 65_536  # about so many documents or shingles are compared with as many at once
+BLOCKS_IN_TASK = 8
 _CHUNK = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # 2^64 / golden ratio, odd
 
@@ -166,60 +175,96 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     return map_rows(met, f"a {kind}, b {kind}, linked boolean", each, "a", "b", "text_a", "text_b").where("linked").select("a", "b").distinct()
 
 
-def _between(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
+def _between(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Pairs whose ends lie in different components, with those as c_a and c_b."""
+    if components is None:
+        return pairs.withColumns({"c_a": F.col("a"), "c_b": F.col("b")})
     of = lambda c: components.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
-    met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return met.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(pairs.columns)
+    met = pairs.drop("c_a", "c_b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return met.withColumns({f"c_{c}": F.coalesce(f"c_{c}", c) for c in "ab"}).where("c_a != c_b")
 
 
-def _blocks(places: DataFrame, hashed: DataFrame) -> DataFrame:
-    """(around, members): about BLOCK members of a neighbourhood with their sets."""
-    sizes = places.groupBy("around").agg(F.count(F.lit(1)).alias("n"))
-    dealt = places.join(sizes, "around").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-    return dealt.join(hashed, "id").groupBy("around", "salt").agg(F.collect_list(F.struct("id", "component", "h")).alias("members")).drop("salt")
+def _closest(between: DataFrame) -> DataFrame:
+    """(a, b): the best edge of every component."""
+    ends = between.select(F.explode(F.array("c_a", "c_b")).alias("x"), F.struct("estimate", "a", "b").alias("e"))
+    return ends.groupBy("x").agg(F.max("e").alias("e")).select("e.a", "e.b").distinct()
 
 
-def _across(places: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _grown(components: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components with these links added: whole components are tied, not their members."""
+    if components is None:
+        return connected_components(links)
+    tied = connected_components(_between(links, components).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    moved = components.join(tied.select(F.col("id").alias("component"), F.col("component").alias("__to")), "component", "left")
+    return stored(moved.select("id", F.coalesce("__to", "component").alias("component")).unionByName(tied))
+
+
+def _blocks(places: DataFrame) -> DataFrame:
+    """Adds ``block``: places are dealt to as many blocks as their number and shingles ask for."""
+    sizes = places.groupBy("around").agg(F.count(F.lit(1)).alias("__n"), F.sum("n_shingles").alias("__s"))
+    blocks = F.ceil(F.greatest(F.col("__n") / BLOCK, F.col("__s") / BLOCK_SHINGLES))
+    return places.join(sizes, "around").withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("blocks", blocks).drop("__n", "__s")
+
+
+def _across(places: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Linked pairs (a, b) of different components. ``places`` (around, id,
     component) names the ids of each neighbourhood; those outside the component
-    that it is named for are compared with all of it, a block with a block, by
-    merging their sorted shingle hashes. Only links leave a task."""
+    that it is named for are compared with all of it. Only links leave a task."""
+    least = percent / 100
 
     def each():
         shingler = Shingler(shingle)
         return lambda key, text: {"id": key, "h": [shingler.hashes(words(t)).tobytes() for t in text]}
 
     kind = texts.schema["id"].dataType.simpleString()
-    near = texts.join(places.select("id").distinct(), "id", "left_semi")
-    hashed = stored(map_rows(near, f"id {kind}, h binary", each, "id", "text").dropDuplicates(["id"]))
-    inner = _blocks(places, hashed)
-    outer = _blocks(places.where("component != around"), hashed).withColumnRenamed("members", "others")
-
-    def flat(members):
-        sets = [np.frombuffer(m["h"], np.uint64) for m in members]
-        sizes = np.array([len(x) for x in sets])
-        return np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes
+    near = texts.join(places.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    hashed = map_rows(near, f"id {kind}, h binary", each, "id", "text")
+    hashed = stored(hashed.join(sets.select("id", "n_shingles", "bits").dropDuplicates(["id"]), "id"))
+    sized = stored(places.join(hashed.select("id", "n_shingles"), "id"))
+    packed = lambda blocks, name: blocks.join(hashed.select("id", "bits", "h"), "id").groupBy("around", "block").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("id", "component", "bits", "h")).alias(name))
+    inner = packed(_blocks(sized), "members")
+    outer = packed(_blocks(sized.where("component != around")), "others")
+    # a task takes some blocks of outsiders with one of the members, and members go to as many salts
+    salts = lambda blocks: F.ceil(blocks / BLOCKS_IN_TASK)
+    dealt = outer.select("around", "others", F.pmod("block", salts(F.col("blocks"))).alias("salt"))
+    shares = outer.groupBy("around").agg(F.max("blocks").alias("outside"))
+    copies = inner.join(shares, "around").select("around", "members", F.explode(F.sequence(F.lit(0).cast("long"), salts(F.col("outside")) - 1)).alias("salt"))
+
+    def linked(ours: list[dict], theirs: list[dict]) -> list[tuple]:
+        x, y = ([np.frombuffer(m["h"], np.uint64) for m in side] for side in (ours, theirs))
+        n_x, n_y = (np.array([len(h) for h in side]) for side in (x, y))
+        bits = np.frombuffer(b"".join(m["bits"] for m in theirs), np.uint8).reshape(len(theirs), -1)
+        enough = bits.shape[1] * ((least - SLACK) * 255 / 256 + 1 / 256)
+        joined: dict = {}
+
+        def root(c):
+            while c in joined:
+                c = joined[c]
+            return c
+
+        found = []
+        for i, m in enumerate(ours):
+            able = 100 * np.minimum(n_x[i], n_y) >= percent * np.maximum(n_x[i], n_y)
+            at = np.flatnonzero(able)
+            at = at[(bits[at] == np.frombuffer(m["bits"], np.uint8)).sum(axis=1) >= enough]
+            for j in at.tolist():
+                one, two = root(m["component"]), root(theirs[j]["component"])
+                if one == two:
+                    continue
+                both = len(np.intersect1d(x[i], y[j], assume_unique=True))
+                if 100 * both >= percent * (n_x[i] + n_y[j] - both):
+                    joined[one] = two
+                    found.append(tuple(sorted((m["id"], theirs[j]["id"]))))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            id_type = batch.column(0).type.value_type.field("id").type
             for k in range(batch.num_rows):
-                ours, theirs = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                x, of_x, n_x = flat(ours)
-                y, of_y, n_y = flat(theirs)
-                order = np.argsort(y, kind="stable")
-                y, of_y = y[order], of_y[order]
-                low, high = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
-                met = high - low
-                at = np.repeat(low - np.concatenate([[0], np.cumsum(met)[:-1]]), met) + np.arange(met.sum())
-                both = np.bincount(np.repeat(of_x, met) * len(theirs) + of_y[at], minlength=len(ours) * len(theirs)).reshape(len(ours), -1)
-                for i, j in np.argwhere(100 * both >= percent * (n_x[:, None] + n_y - both)).tolist():
-                    if ours[i]["component"] != theirs[j]["component"]:
-                        found.append(sorted((ours[i]["id"], theirs[j]["id"])))
-            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], batch.column(0).type.value_type.field("id").type) for c in (0, 1)], ["a", "b"])
-
-    return outer.join(inner, "around").select("others", "members").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+                found = linked(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], id_type) for c in (0, 1)], ["a", "b"])
+
+    return dealt.join(copies, ["around", "salt"]).select("others", "members").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -239,23 +284,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     edges = stored(_estimated(tested, able.select("id", "bits", "n_shingles"), least))
     texts = stored(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(shared.select("id").distinct(), "id", "left_semi"))
 
-    ends = edges.select("a", "b", F.explode(F.array("a", "b")).alias("x"), F.struct("estimate", "a", "b").alias("e"))
-    closest = stored(ends.groupBy("x").agg(F.max("e").alias("e")).select("e.a", "e.b").distinct())
-    links = stored(_confirmed(closest, texts, shingle, percent))
-    parts = connected_components(links)
-    others = stored(_between(edges.select("a", "b").join(closest, ["a", "b"], "left_anti"), parts))
-    if not others.isEmpty():
-        links = stored(links.unionByName(_confirmed(others, texts, shingle, percent)))
-        parts = connected_components(links)
+    parts = None
+    for turn in range(CLOSEST + 2):
+        edges = stored(_between(edges, parts))
+        if turn and edges.isEmpty():
+            break
+        chosen = stored(_closest(edges)) if turn <= CLOSEST else edges
+        parts = _grown(parts, stored(_confirmed(chosen, texts, shingle, percent)))
+        edges = edges.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
 
     held = shared.select("key", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     counts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and size > 2")
     places = stored(held.join(mixed.select("key", F.col("main").alias("around")), "key").select("around", "id", "component").distinct())
-    near = stored(_across(places, texts, shingle, percent))
+    near = stored(_across(places, able, texts, shingle, percent))
     if not near.isEmpty():
-        links = stored(links.unionByName(_confirmed(near, texts, shingle, percent)))
-        parts = connected_components(links)
+        parts = _grown(parts, stored(_confirmed(near, texts, shingle, percent)))
 
     named = classes.join(parts.withColumnRenamed("id", "first"), "first", "left").select("set_id", F.coalesce("component", "first").alias("least"))
     out = sets.select("id", "n_shingles", "set_id").join(named, "set_id", "left")
