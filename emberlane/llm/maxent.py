@@ -14,6 +14,14 @@ task runs mini-batch gradient steps on its part of a slice from the broadcast
 weights and returns its change of each block of rows; changes are averaged by
 block in Spark, weighted by tokens, and the new weights broadcast.
 
+The vocabulary is cut where words begin to tie: words as frequent as the first
+one beyond ``vocabulary`` are all left out. Where the cut lies is read from a
+histogram of counts, so only the vocabulary itself reaches the driver.
+
+The order in which texts are met is part of stochastic gradient descent: the
+same texts dealt to other tasks give slightly other weights, and so scores. The
+base columns don't depend on it.
+
 Counts of all words are kept in a table. Texts are scored in sparse batches
 with the weights and the vocabulary, whose sizes are parameters; occurrences of
 all other words, wherever they are many, meet their counts in a join.
@@ -34,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, words
+from .common import map_rows, sliced, stored, words
 
 VOCABULARY = 200_000
 CLASSES = 32
@@ -52,7 +60,8 @@ def held_out(key: Column) -> Column:
 
 
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
-    """(word binary, n): occurrences of every word, added up in tasks first."""
+    """(word binary, n): occurrences of every word, added up in tasks first; the
+    null word has the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -62,11 +71,15 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
             counts.clear()
             return out
 
+        texts = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words(text))
-                if len(counts) > FLUSH:
-                    yield rows()
+            texts += batch.num_rows
+            for part in sliced(batch):
+                for text in part.column(0).to_pylist():
+                    counts.update(words(text))
+                    if len(counts) > FLUSH:
+                        yield rows()
+        counts[None] = texts
         yield rows()
 
     return texts.select(column).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -161,7 +174,7 @@ def _round(slice_: DataFrame, vocabulary, weights, column: str, rate: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, begun = vocabulary.value, weights.value
         own, power, n = begun.copy(), np.zeros(ROWS, np.float32), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             for _, held in _chunks(batch.column(0).to_pylist()):
                 flat, _ = known.encode(held)
                 real = flat != BEGIN
@@ -187,16 +200,31 @@ def _round(slice_: DataFrame, vocabulary, weights, column: str, rate: float) ->
     return tasks.repartition("block").mapInArrow(add, schema)
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` words, in order of falling counts; words whose counts
+    share a bin of the histogram stay or go together. Bins are single counts up
+    to 1,024 and a 64th of a doubling beyond, so there are a few thousand."""
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 384)
+    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, held = 0, 0
+    for row in sorted(levels, reverse=True):
+        held += row.words
+        if held > most:
+            least = row.level + 1
+            break
+    top = counts.where(level >= least).collect()  # at most ``most`` rows
+    return sorted(((bytes(r.word), r.n) for r in top), key=lambda x: (-x[1], x[0]))
+
+
 def fit(docs: DataFrame, id_column: str, text_column: str, rounds: int = ROUNDS, rate: float = 0.1):
     """(counts table, broadcast vocabulary, broadcast weights)."""
     spark = docs.sparkSession
     training = docs.where(~held_out(F.col(id_column)))
-    counts = stored(word_counts(training, text_column))
+    counted = stored(word_counts(training, text_column))
+    counts = counted.where("word is not null")
+    texts = counted.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    top = top.toPandas()  # at most VOCABULARY rows
-    pairs = sorted(zip(map(bytes, top["word"]), map(int, top["n"])), key=lambda x: (-x[1], x[0]))
-    vocabulary = spark.sparkContext.broadcast(Words(pairs, total, distinct, training.count()))
+    vocabulary = spark.sparkContext.broadcast(Words(most_frequent(counts, VOCABULARY), total, distinct, texts))
     weights = np.zeros((ROWS, CLASSES), np.float32)
     part = F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit("slice")), F.lit(rounds))
     for k in range(rounds):

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -58,6 +59,23 @@ def test_bpe_equals_the_library(codec, library):
     assert list(codec.encode(texts)) == [library.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_characters_assigned_later(codec, library):
+    letters = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    ends = [c for r in (bpe.LATER_LETTERS + bpe.LATER_NUMBERS).split() for c in r.split("-")]
+    near = sorted({int(c, 16) + k for c in ends for k in (-1, 0, 1)})
+    texts = [f"a{chr(c)}b {chr(c)}1{chr(c)}." for c in near]
+    texts += ["".join(f"a{chr(c)}b" for c in letters[k : k + 2048]) for k in range(0, len(letters), 2048)]
+    assert list(codec.encode(texts)) == [library.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_long_texts_piecemeal(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_PIECES", 50)
+    monkeypatch.setattr(bpe, "QUEUE_BYTES", 100)
+    texts = [prose(3, 900), "", None, prose(4, 5), "x  \n " * 300, prose(6, 700)]
+    assert list(codec.encode(texts)) == [library.encode_ordinary(t or "") for t in texts]
+    assert codec.count(texts) == [len(library.encode_ordinary(t or "")) for t in texts]
+
+
 def test_bpe_query_columns(spark, corpus, library):
     for row in bpe.round_trip(corpus, PATH, PATTERN).join(corpus.select("doc_id", "text"), "doc_id").collect():
         ids = library.encode_ordinary(row.text or "")
@@ -118,20 +136,56 @@ def test_near_duplicates(corpus, size):
             assert (r.component_id, r.n_shingles, r.kept) == (components[r.doc_id], sizes[r.doc_id], components[r.doc_id] == r.doc_id)
 
 
+def joined(pairs):
+    """Least member of each set of ids that ``pairs`` tie together."""
+    up: dict = {}
+
+    def top(i):
+        while up.get(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    return {i: top(i) for pair in pairs for i in pair}
+
+
 def test_blocks_find_every_link_across(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "BLOCKS_IN_TASK", 2)
     draw = random.Random(8)
     base = prose(5, 60).split()
     texts = {i: " ".join(w if draw.random() > 0.02 * (i % 6) else f"e{draw.randrange(400)}" for w in base) for i in range(60)}
     places = [("g", i, 0 if i % 3 else i) for i in texts] + [("other", i, i) for i in range(10, 20)]
     rows = spark.createDataFrame([({"g": 0, "other": 13}[g], i, c) for g, i, c in places], "around long, id long, component long")
-    found = {tuple(r) for r in minhash._across(rows, spark.createDataFrame(list(texts.items()), "id long, text string"), 2, 80).collect()}
+    table = spark.createDataFrame(list(texts.items()), "id long, text string")
+    found = [tuple(r) for r in minhash._across(rows, minhash.signatures(table, 2, "id", "text"), table, 2, 80).collect()]
     sets = {i: set(zip(t.lower().split(), t.lower().split()[1:])) for i, t in texts.items()}
-    part = {i: 0 if i % 3 else i for i in texts}
-    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
-    want = {(a, b) for a, b in itertools.combinations(texts, 2) if part[a] != part[b] and alike(a, b)}
-    want |= {(a, b) for a, b in itertools.combinations(range(10, 20), 2) if alike(a, b)}
-    assert found == want and want
+    want = []
+    for g in ("g", "other"):
+        of = {i: c for h, i, c in places if h == g}
+        for i, j in itertools.combinations(sorted(of), 2):
+            both = len(sets[i] & sets[j])
+            if of[i] != of[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                want.append((i, j))
+    assert set(found) <= set(want)
+    same = [(c, i) for g, i, c in places if g == "g"]  # the components that are known already
+    assert joined(found + same) == joined(want + same)
+
+
+def test_one_bucket_of_near_copies_and_strangers(spark, monkeypatch):
+    """A hot bucket: many near copies of one text beside many texts that share only a long passage."""
+    draw = random.Random(9)
+    base, passage = prose(61, 120).split(), prose(62, 120)
+    texts = [" ".join(f"v{k}" if i == k % 120 else w for i, w in enumerate(base)) for k in range(300)]
+    texts += [f"{passage} " + " ".join(f"u{k}x{draw.randrange(60)}" for _ in range(60)) for k in range(300)]
+    emitted, whole = [], minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda *a: (emitted.append(whole(*a)), emitted[-1])[1])
+    rows = minhash.near_duplicates(frame(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)]), 5).collect()
+    components, _ = plain_components(dict(enumerate(texts)), 5, 80)
+    assert {r.doc_id: r.component_id for r in rows} == components
+    assert emitted[0].count() < 600
 
 
 def test_components_of_a_long_path(spark):
@@ -182,11 +236,74 @@ def test_labels_keep_seeds_and_promote_other_labels(spark):
     pairs += [("token =", hexa(20 + k)) for k in range(30)] + [("token =", v) for v in found]
     pairs += [("second =", v) for v in found] + [("second =", "other-123456")]  # no seed of its own
     pairs += [("third =", "other-123456"), ("third =", "last-1234567")]
-    rows = pii.score_values(spark.createDataFrame([(x.replace(" ", ""), v) for x, v in pairs], "label string, value string")).collect()
+    rows = pii.score_values(spark.createDataFrame([([x.replace(" ", "")], v) for x, v in pairs], "patterns array<string>, value string")).collect()
     assert {r.value for r in rows} == {hexa(k) for k in (0, 1, 2, 9, 10, *range(20, 50))} | set(found) | {"other-123456"}
     assert all(r.score == 1.0 for r in rows if len(r.value) == 32)
 
 
+def plain_scores(mentions, support=3, least=0.5):
+    edges = {(p, v) for patterns, v in mentions for p in patterns}
+    found = {v: 1.0 for _, v in mentions if re.fullmatch("[0-9a-f]{32,}", v) and re.search("[a-f]", v) and re.search("[0-9]", v)}
+    while True:
+        trust = {}
+        for p in {p for p, _ in edges}:
+            of = [v for q, v in edges if q == p]
+            known = [found[v] for v in of if v in found]
+            if len(known) >= support:
+                trust[p] = sum(known) / (len(of) + 1)
+        new = {}
+        for p, v in edges:
+            if v not in found and trust.get(p, 0) >= least:
+                new[v] = max(new.get(v, 0), trust[p])
+        if not new:
+            return found
+        found |= new
+
+
+def test_scores_equal_a_plain_graph(spark):
+    draw = random.Random(21)
+    value = lambda k: hashlib.md5(str(k).encode()).hexdigest() if k % 3 == 0 else f"v-{k}"
+    for dense in (2, 6):
+        mentions = [([f"p{min(int(draw.expovariate(0.15)), 39)}" for _ in range(draw.randrange(1, dense))], value(draw.randrange(150))) for _ in range(400)]
+        rows = pii.score_values(spark.createDataFrame(mentions, "patterns array<string>, value string")).collect()
+        assert {r.value: pytest.approx(r.score) for r in rows} == plain_scores(mentions)
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    draw = random.Random(22)
+    hexa = lambda k: hashlib.md5(str(k).encode()).hexdigest()
+    unseen = lambda: f"{draw.randrange(1000, 9999)}-{draw.choice('XYZ')}{draw.randrange(100, 999)}"
+    texts, planted = [], set()
+
+    def put(before, value, after):
+        if not re.fullmatch("[0-9a-f]{32}", value):
+            planted.add((len(texts), len(before), len(before) + len(value)))
+        texts.append(before + value + after)
+
+    for k in range(40):
+        put(f"{prose(k, 8)} his member number ", hexa(k) if k % 3 else unseen(), f" {prose(k, 3)}")  # two words to the left
+        put(f"{prose(k, 5)} under (", hexa(100 + k) if k % 3 else unseen(), f") archived {prose(k, 3)}")  # both sides
+        put(f'{prose(k, 5)} session_key: "', hexa(200 + k) if k % 3 else unseen(), f'" {prose(k, 3)}')  # a label
+    known = [texts[i][a:b] for i, a, b in sorted(planted) if "member number" in texts[i]]
+    for k, value in enumerate(known):
+        put("case-ref # ", value, f" {prose(k, 3)}")
+    put("x case-ref # ", "77-not-seen-12", " end")  # a label without seeds, from values found
+    clean = len(texts)
+    texts += [f"see page number {draw.randrange(10_000, 99_999)} of {draw.randrange(1900, 2020)} under {draw.randrange(10_000, 99_999)} pages" for _ in range(60)]
+    rows = {r.doc_id: r.spans for r in pii.report(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    found = {(i, *map(int, x.split(":")[1:])) for i, spans in rows.items() for x in spans.split(",") if x}
+    assert len(found & planted) >= 0.95 * len(planted) and all(not rows[i] for i in range(clean, len(texts)))
+
+
+def test_personal_data_repeated_and_long(spark):
+    long = " ".join(f"{w} {k}@b.cd" if k % 50 == 0 else w for k, w in enumerate(prose(3, 60_000).split()))
+    docs = frame(spark, [(1, long, "en", "s", 0), (1, long, "en", "s", 0), (2, "a@b.cd", None, None, None)])
+    rows = [(r.doc_id, r.n_email, r.base_sha256) for r in pii.report(docs).collect()]
+    assert sorted(r[:2] for r in rows) == [(1, 1200), (1, 1200), (2, 1)]
+    assert rows.count(rows[[r[0] for r in rows].index(1)]) == 2
+    assert next(r[2] for r in rows if r[0] == 1) == hashlib.sha256(",".join(plain_spans(long)).encode()).hexdigest()
+
+
 def test_redaction_is_of_the_original_text(spark):
     key = hashlib.md5(b"x").hexdigest()
     texts = [f"é😀 key = {key} again {key}, a@b.c", "+4111 1111 1111 1111 and 4111 1111 1111 1111", "a@1.2.3.4 b", "plain", None, "", "10.0.0.5 4111111111111116"]
@@ -295,7 +412,7 @@ def test_quality_counts_and_outliers(spark, corpus):
     extra += [(3000, "a a a a b\na a a a b\n\n#", "en", "s0", 0)]
     docs = corpus.select("doc_id", "text", "lang", "source", "n_chars").unionByName(frame(spark, extra)).withColumn("d2", F.lit("clash"))
     texts = {r.doc_id: r.text for r in docs.collect()}
-    for r in quality.judge(docs, ["doc_id"], min_group=50).collect():
+    for r in quality.judge(docs, ["doc_id"]).collect():
         want = plain_counts(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 50 or 2 * want[4] > want[0])
@@ -323,6 +440,141 @@ def test_maxent_scores(spark, monkeypatch):
     assert sum(rows[i].score for i in held) > 1.05 * sum(rows[i].base_score for i in held)
 
 
+def plain_mcd(x, share, floors, starts=200):
+    """Numpy: mean and covariance (with floors) of least determinant over random starts, to convergence."""
+    draw = np.random.default_rng(5)
+    h = math.ceil(share * len(x))
+    best = None
+    for _ in range(starts):
+        near = draw.choice(len(x), 6, replace=False)
+        for _ in range(50):
+            m = x[near].mean(axis=0)
+            c = (x[near] - m).T @ (x[near] - m) / len(near) * quality._consistency(share) + np.diag(np.square(floors))
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            ahead = np.argsort(d, kind="stable")[:h]
+            if set(ahead) == set(near):
+                break
+            near = ahead
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], m, c, d
+    return best
+
+
+def test_least_determinant_equals_a_plain_search(spark):
+    draw = np.random.default_rng(3)
+    mix = np.array([[1, 0, 0, 0], [0.8, 0.5, 0, 0], [0, 0.3, 1, 0], [-0.5, 0, 0.2, 0.7]])
+    floors, rows, want = [0.01] * 4, [], {}
+    for group, off in (("a", 3.0), ("b", -2.0), ("c", 0.0)):
+        x = draw.normal(size=(400, 4)) @ mix.T + off
+        x[:80] = draw.normal(size=(80, 4)) * 0.3 + off + np.array([6, -6, 6, 6])  # a fifth are outliers that sit together
+        rows += [(group, *map(float, r)) for r in x]
+        want[group] = plain_mcd(x, 0.75, floors), x
+    table = spark.createDataFrame(rows, "group string, x0 double, x1 double, x2 double, x3 double")
+    found = {r.group: r for r in quality.least_determinants(table, 0.75, floors).collect()}
+    for group, ((logdet, m, c, d), x) in want.items():
+        r = found[group]
+        assert r.logdet == pytest.approx(logdet, abs=0.15)
+        mean = np.array([r[f"m{i}"] for i in range(4)])
+        cov = np.array([[r[f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)]) + np.diag(np.square(floors))
+        assert np.abs(mean - m).max() < 0.15
+        ours = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        assert ((ours > 30) == (d > 30)).mean() > 0.99 and (ours[:80] > 30).all() and (ours[80:] < 30).mean() > 0.99
+
+
+def test_quality_ties_long_texts_and_small_groups(spark):
+    draw = random.Random(12)
+    rows = [(i, prose(7, 80), "en", "s", 0) for i in range(60)]  # all tie
+    rows += [(100 + i, prose(i, 70), "fr" if i % 2 else None, f"alone{i}", 0) for i in range(12)]
+    rows += [(200, "\n".join(" ".join(f"{draw.choice(LOREM)}{draw.randrange(10**6)}" for _ in range(10)) for _ in range(12_000)), "en", "s", 0)]
+    rows += [(300, "\n".join(f"{w}%%% ***" for w in prose(1, 90).split()), "de", "only", 0)]
+    docs = frame(spark, rows).withColumn("n_words", F.lit("clash")).withColumn("group", F.lit(1)).withColumn("kept", F.lit("clash"))
+    judged = {r.doc_id: r for r in quality.judge(docs, docs.columns).collect()}
+    long = judged.pop(200)
+    assert (long.n_words, long.base_failed) == (120_000, False) and long.d2 is not None
+    assert not judged.pop(300).kept and all(r.kept for r in judged.values()) and len(judged) == 72
+
+
+def plain_maxent(texts, parts, top, total, distinct, rate=0.1):
+    """score of each (id, words, in training), by loops over tokens; ``top``: (word, count) by falling counts."""
+    n, v = total, distinct
+    ids = {w: k for k, (w, _) in enumerate(top, 3)}
+    mass = list(itertools.accumulate(math.sqrt(c) for _, c in top))
+    bands = maxent.CLASSES - 2
+    class_of = {0: 0, 1: 1} | {k: 2 + min(int(m * bands / mass[-1]), bands - 1) for k, m in enumerate(mass, 3)}
+    sums = Counter()
+    for k, (_, c) in enumerate(top, 3):
+        sums[class_of[k]] += c + 0.5
+    within = {k: math.log10((c + 0.5) / sums[class_of[k]]) for k, (_, c) in enumerate(top, 3)}
+
+    def rows(back, last):
+        flat = maxent.features(np.array([back, last, 0], np.int64))
+        return [int(flat[k][2]) for k in range(4)]
+
+    def places(words):
+        flat = [2, 2] + [ids.get(w, 0) for w in words] + [1]
+        return [(rows(flat[k - 2], flat[k - 1]), flat[k]) for k in range(2, len(flat))]
+
+    weights, power = {}, {}
+    row_of = lambda r: weights.setdefault(r, [0.0] * maxent.CLASSES)
+
+    def softmax(at):
+        z = [sum(x) for x in zip(*(row_of(r) for r in at))]
+        e = [math.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    for k in range(maxent.ROUNDS):
+        power = Counter()
+        met = [p for i, words, training in texts if training and parts[i] == k for p in places(words)]
+        for first in range(0, len(met), maxent.BATCH):
+            batch = met[first : first + maxent.BATCH]
+            g = [[p - (c == class_of[word]) for c, p in enumerate(softmax(at))] for at, word in batch]
+            bias = [sum(x) for x in zip(*g)]
+            power[0] += sum(x * x for x in bias) / len(bias)
+            weights[0] = [w - rate * x / math.sqrt(power[0] + 1) for w, x in zip(row_of(0), bias)]
+            for f in (1, 2, 3):
+                for (at, _), x in zip(batch, g):
+                    power[at[f]] += sum(y * y for y in x) / len(x)
+                for (at, _), x in zip(batch, g):
+                    scale = rate / math.sqrt(power[at[f]] + 1)
+                    weights[at[f]] = [w - scale * y for w, y in zip(row_of(at[f]), x)]
+    rest_n, rest_v = n - sum(c for _, c in top) - sum(t for *_, t in texts), v - len(top) - 1
+    count = Counter(w for _, words, training in texts if training for w in words)
+    out = {}
+    for i, words, _ in texts:
+        score = 0.0
+        for (at, word), raw in zip(places(words), [*words, None]):
+            score += math.log10(softmax(at)[class_of[word]])
+            if word > 2:
+                score += within[word]
+            elif word == 0:
+                score += math.log10((count[raw] + 0.5) / (rest_n + 0.5 * (rest_v + 1)))
+        out[i] = score
+    return out
+
+
+def test_maxent_equals_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "VOCABULARY", 40)
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate([prose(k, 40) for k in range(40)] + [None, "", "unseen words only"])]).coalesce(1)
+    rows = {r.doc_id: r for r in maxent.score(docs).collect()}
+    parts = {r.doc_id: r.part for r in docs.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("slice")), F.lit(maxent.ROUNDS)).alias("part")).collect()}
+    texts = [(r.doc_id, (r.text or "").encode().lower().split(), zlib.crc32(str(r.doc_id).encode()) % 5 != 1) for r in docs.collect()]
+    c = Counter(w for _, words, training in texts if training for w in words)
+    cut = sorted(c.values(), reverse=True)[40]
+    top = sorted(((w, k) for w, k in c.items() if k > cut), key=lambda x: (-x[1], x[0]))
+    assert 0 < len(top) <= 40
+    want = plain_maxent(texts, parts, top, sum(c.values()) + sum(t for *_, t in texts), len(c) + 1)
+    for i, score in want.items():
+        assert rows[i].score == pytest.approx(score, rel=1e-3)
+
+
+def test_maxent_repeated_rows_and_long_texts(spark):
+    long = prose(3, 150_000)
+    docs = frame(spark, [(2, long, "en", "s", 0), (2, long, "en", "s", 0), (3, "a", None, None, None)]).withColumn("word", F.lit("clash")).withColumn("n", F.lit(1))
+    rows = maxent.score(docs).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == [(2, 150_001), (2, 150_001), (3, 2)]
+    assert len({round(r.score, 6) for r in rows if r.doc_id == 2}) == 1
+
+
 def test_maxent_is_a_distribution():
     top = [(b"a", 9), (b"b", 4), (b"c", 1)]
     known = maxent.Words(top, 20, 6, 3)
