@@ -6,28 +6,36 @@ shingles, similarity 0.8), then documents that hold benchmark passages; personal
 data in the rest is replaced by its kind, and the texts are encoded, with the
 decoded bytes' digest as proof that nothing was lost.
 
-Scratch tables of a stage are deleted when the next one begins, as its input
-has been written by then.
+Rows are told apart by a number of their own and not by ``doc_id``, so rows
+without an id are judged like others, and of repeated rows one stays. Columns
+that documents have besides pass through, whatever their names.
+
+A stage's result reads scratch tables, which are deleted when the next stage
+begins in the same thread: it has to be written by then. ``run`` does so, and
+deletes those of its last stage as well.
 """
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlane.llm import bpe, decontaminate, minhash, pii, quality
-from emberlane.llm.common import dropped, read, recorded, scratch
+from emberlane.llm.common import dropped, numbered, read, recorded, scratch
 
-_last: list[str] = []
+_last: ContextVar[tuple[str, ...]] = ContextVar("pipeline_scratch", default=())
+ROW = "__pipeline_row"
 
 
 def _stage(work):
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        dropped(spark, _last)
+        dropped(spark, _last.get())
         with recorded() as paths:
             out = work(spark, docs, sf_dir)
-        _last[:] = paths
+        _last.set(tuple(paths))
         return out
 
     return stage
@@ -35,24 +43,32 @@ def _stage(work):
 
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs, docs.columns).where("kept").select(docs.columns)
+    judged = quality.verdicts(quality.measured(docs, F.struct(*docs.columns)))
+    return judged.where("kept").select("__keep.*")
 
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs, ROW)
+    groups = minhash.near_duplicates(rows, id_column=ROW).select(ROW, "component_id")
+    # the least id of a group stays; rows without an id come last
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    kept = rows.select("doc_id", ROW).join(groups, ROW).groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(kept.select(F.col("first").getField(ROW).alias(ROW)), ROW, "left_semi").select(docs.columns)
 
 
 @_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs, ROW)
+    leaks = decontaminate.find_leaks(rows, read(spark, sf_dir, "benchmark"), id_column=ROW)
+    return rows.join(leaks.where("contaminated").select(ROW), ROW, "left_anti").select(docs.columns)
 
 
 @_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    clean = pii.redacted(numbered(docs, ROW), id_column=ROW)
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return clean.withColumn("n_chars", n_chars).select(docs.columns)
 
 
 @_stage
@@ -78,4 +94,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+    dropped(spark, _last.get())
+    _last.set(())
     return docs
