@@ -21,28 +21,57 @@ ignored. Results without conversation or identifier are orphans.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored
 
+#: Halves of surrogate pairs, which JSON may escape but UTF-8 can't hold.
+_HALVES = re.compile("[\ud800-\udfff]")
 #: JSON types by schema name. A bool isn't a number here.
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
 def canonical_json(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """Keys sorted, no spaces, characters as they are but for lone surrogates, which stay escaped."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _HALVES.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
+def same_json(a, b) -> bool:
+    """Equality of JSON values: 1 equals 1.0, true isn't 1."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same_json(a[k], b[k]) for k in a)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same_json, a, b))
+    return a == b
+
+
+def _is(value, kind: str) -> bool:
+    if isinstance(value, bool) and kind in ("integer", "number"):
+        return False
+    if kind == "integer" and isinstance(value, float):
+        return value.is_integer()
+    return isinstance(value, TYPES[kind])
 
 
 def schema_problem(value, schema: dict, at: str = "$") -> str | None:
     """The first way in which ``value`` departs from a schema with type, enum,
     required, properties, additionalProperties, items, minLength, maxLength,
-    minimum and maximum; None if it conforms."""
-    kind = schema.get("type")
-    if kind and (not isinstance(value, TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
-        return f"{at}: not {kind}"
-    if "enum" in schema and value not in schema["enum"]:
+    minimum and maximum; None if it conforms. ``type`` may be a list; a type that
+    JSON doesn't have is a problem of the schema and told as such."""
+    kinds = schema.get("type") or []
+    kinds = [kinds] if isinstance(kinds, str) else list(kinds)
+    for kind in kinds:
+        if kind not in TYPES:
+            return f"{at}: the schema's type {kind} is unknown"
+    if kinds and not any(_is(value, kind) for kind in kinds):
+        return f"{at}: not {' or '.join(kinds)}"
+    if "enum" in schema and not any(same_json(value, x) for x in schema["enum"]):
         return f"{at}: not in enum"
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0):
@@ -105,25 +134,31 @@ def levels(calls: DataFrame) -> DataFrame:
     chains = _chains(edges.join(degree.where("n = 1"), ["conv_id", "call_id"]))
     settled = stored(nodes.join(degree, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
     tops = chains.select("conv_id", F.col("call_id").alias("needed"), "to", "steps")
+    empty = F.lit(None).cast("int").alias("level")
     meet = edges.join(degree.where("n > 1"), ["conv_id", "call_id"]).join(tops, ["conv_id", "needed"], "left")
-    waiting = stored(meet.select("conv_id", "call_id", F.coalesce("to", "needed").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
-    known = settled.withColumnRenamed("call_id", "to")
+    waiting = stored(meet.select("conv_id", "call_id", F.coalesce("to", "needed").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), empty))
+    freed, all_settled = settled, settled
     while not waiting.isEmpty():
-        found = waiting.join(known, ["conv_id", "to"], "left").groupBy("conv_id", "call_id")
-        found = found.agg(F.max(F.col("level") + F.col("steps")).alias("level"), (F.count("level") == F.count(F.lit(1))).alias("all"))
+        # only calls that the last round settled are new; what waits shrinks with every round
+        new = freed.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("__level"))
+        told = waiting.join(new, ["conv_id", "to"], "left").withColumn("level", F.coalesce("level", "__level")).drop("__level")
+        told = stored(told)
+        found = told.groupBy("conv_id", "call_id").agg(F.max(F.col("level") + F.col("steps")).alias("level"), (F.count("level") == F.count(F.lit(1))).alias("all"))
         freed = stored(found.where("all").select("conv_id", "call_id", "level"))
         if freed.isEmpty():
             break
-        settled = stored(settled.unionByName(freed))
-        known = settled.withColumnRenamed("call_id", "to")
-        waiting = stored(waiting.join(freed, ["conv_id", "call_id"], "left_anti"))
-    return settled.unionByName(chains.join(known, ["conv_id", "to"]).select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level")))
+        all_settled = all_settled.unionByName(freed)
+        waiting = told.join(freed, ["conv_id", "call_id"], "left_anti").select(waiting.columns)
+    known = all_settled.withColumnRenamed("call_id", "to")
+    return all_settled.unionByName(chains.join(known, ["conv_id", "to"]).select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level")))
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], messages: DataFrame | None = None) -> DataFrame:
     """calls (conv_id, call_id, turn, name, arguments JSON, depends_on array) and
     results (conv_id, call_id, turn, content) as one row a call or result that
     stands alone: conv_id, turn, call_id, name, level, status, problem, line.
+    ``messages`` (conv_id, turn, name, content) are neither and pass as
+    ``message``.
 
     Order a conversation by (level, turn, call_id) to replay it.
     """
@@ -171,15 +206,21 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         return work
 
     rows = linked.unionByName(repeats).unionByName(orphans)
+    if messages is not None:
+        plain = messages.select("conv_id", "turn", no("string", "call_id"), "name", no("int", "level"), F.lit("message").alias("status"), no("string", "arguments"), "content")
+        rows = rows.unionByName(plain)
     kind = rows.schema["conv_id"].dataType.simpleString()
     return map_rows(rows, f"conv_id {kind}, turn long, call_id string, name string, level int, status string, problem string, line string", each, *rows.columns)
 
 
-def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Conversations without tools as calls of one: a user's turn asks ``reply``
-    and needs the reply before it; an assistant's turn answers the turn before."""
-    key = lambda back: F.concat_ws(":", F.col("conv_id"), F.col("turn") - back)
+    and needs the reply before it; an assistant's turn answers the turn before;
+    turns of all other roles are messages. Turns without a number have no
+    identifier."""
+    key = lambda back: F.when(F.col("turn").isNotNull() & F.col("conv_id").isNotNull(), F.concat_ws(":", F.col("conv_id"), F.col("turn") - back))
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn")))
     calls = conversations.where("role = 'user'").select("conv_id", key(0).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"), F.array(key(2)).alias("depends_on"))
     results = conversations.where("role = 'assistant'").select("conv_id", key(1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return calls, results
+    others = conversations.where("role is null or role not in ('user', 'assistant')")
+    return calls, results, others.select("conv_id", "turn", F.col("role").alias("name"), F.col("text").alias("content"))
