@@ -1,13 +1,15 @@
 """Benchmark decontamination by template windows.
 
 Words are stripped of outer punctuation and lower-cased (what is nothing but
-punctuation is left out); numbers, units and
-names (words inside a sentence that are capitalised but not in capitals throughout) become typed placeholders. Every
+punctuation is left out); numbers (in digits or words, also with a unit
+attached), units right behind a number and names (words inside a sentence that
+are capitalised but not in capitals throughout) become typed placeholders. Every
 ``window`` consecutive words are a template window, known by a 64-bit hash.
 Windows of documents meet those of benchmark items in a hash join on it, and
 the templates themselves are compared, so a hash collision doesn't count.
-Windows of one item that lie on one diagonal are then checked for slots: each
-value of the item stands for one value of the document and the other way round.
+Windows of one item that lie on one diagonal are then checked for slots: equal
+values of the item stand for equal values of the document; different ones may
+stand for the same, as a variant may have two equal numbers.
 A question with other numbers, names or units is caught, also if only part of
 it is there; chance agreement of placeholders isn't. Where the whole diagonal
 doesn't agree, its runs of windows count that are verbatim over ``VERBATIM``
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, stored
 
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS = 200_000  # of at most some hundred bytes each
 LITERALS = 0.5  # least share of words in a window that aren't placeholders, or it is matched literally
 VERBATIM = 13  # words of a literal copy that count whatever stands around it
 AGREEING = 3  # lengths of a window over which slots agree that count likewise
@@ -49,9 +51,16 @@ UNITS = frozenset(
     " meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres"
     " dollar dollars euro euros cent cents usd eur gbp mph kmh km/h m/s degree degrees °c °f kwh w kw mw v hz percent".split()
 )
+#: Numbers in words ("one" is a pronoun as well and stays a word).
+NUMBER_WORDS = frozenset(
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    " eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+)
 _NUMBER = re.compile(r"[-+$€£¥]?\d[\d.,:/]*(?:%|st|nd|rd|th|e[-+]?\d+)?$")
+_ATTACHED = re.compile(r"[-+]?\d[\d.,]*([^\d.,].*)$")
 _OUTER = re.compile(r"^[^\w$€£¥%°+-]+|[^\w%°$€£¥]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_UNIT = np.uint64(xxhash.xxh3_64_intdigest("<unit>") >> 1 << 1 | 1)
 _BITMAP = 22
 _CLOSING = "\"')]}»”’*_"
 _SIGNS = "$€£¥%°+-"
@@ -59,13 +68,23 @@ _SIGNS = "$€£¥%°+-"
 BEGINS, NAMES, LITERAL = 0, 1, 2
 
 
-def canonical_word(raw: str) -> tuple[str, str]:
-    """The word inside a sentence and at the beginning of one."""
+def is_number(low: str) -> bool:
+    if low.isalpha():
+        return low in NUMBER_WORDS
+    if _NUMBER.match(low):
+        return True
+    attached = _ATTACHED.match(low)
+    return bool(attached) and attached.group(1) in UNITS
+
+
+def canonical_word(raw: str, counted: bool = False) -> tuple[str, str]:
+    """The word inside a sentence and at the beginning of one; ``counted`` if a
+    number stands before it."""
     word = raw if raw.isalpha() else _OUTER.sub("", raw)
     low = word.lower()
-    if not raw.isalpha() and _NUMBER.match(low):
+    if is_number(low):
         return "<num>", "<num>"
-    if low in UNITS:
+    if counted and low in UNITS:
         return "<unit>", "<unit>"
     if word[:1].isupper() and not word.isupper():
         return "<name>", low
@@ -84,7 +103,7 @@ class Canoniser:
 
     def clear(self):
         self.index: dict[str, int] = {}
-        self.table = np.empty((KNOWN_WORDS // 4, 6), np.uint64)
+        self.table = np.empty((KNOWN_WORDS // 4, 7), np.uint64)
 
     def words(self, text: str | None) -> Words:
         raw, lines = [], []
@@ -105,7 +124,9 @@ class Canoniser:
                 other = hashed if start == mid else xxhash.xxh3_64_intdigest(start) >> 1 << 1 | (start[:1] == "<")
                 own = hashed if literal == mid else other if literal == start else xxhash.xxh3_64_intdigest(literal)
                 opens = not w[0].isalnum() and w[0] not in _SIGNS
-                rows.append((hashed, other, (w.rstrip(_CLOSING) or w)[-1] in ".!?:", start == "", own, opens))
+                # 1: a number, 2: a unit where a number stands before it
+                kind = 1 if mid == "<num>" else 2 if literal in UNITS else 0
+                rows.append((hashed, other, (w.rstrip(_CLOSING) or w)[-1] in ".!?:", start == "", own, opens, kind))
             while first + len(rows) > len(self.table):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
             self.table[first : first + len(rows)] = np.array(rows, np.uint64)
@@ -119,15 +140,22 @@ class Canoniser:
         lines = np.asarray(lines, np.int64)
         unclear[lines[lines < len(raw)]] = True
         unclear &= ~begins
-        return Words(raw, np.where(begins | unclear, at[:, 1], at[:, 0]), np.where(begins, at[:, 1], at[:, 0]), at[:, 4], begins, unclear)
+        first, second = np.where(begins | unclear, at[:, 1], at[:, 0]), np.where(begins, at[:, 1], at[:, 0])
+        counted = np.zeros(len(raw), bool)
+        counted[1:] = at[:-1, 6] == 1
+        units = counted & (at[:, 6] == 2)
+        if units.any():
+            first[units] = second[units] = _UNIT
+        return Words(raw, first, second, at[:, 4], begins, unclear, counted)
 
 
 class Words:
     """Raw words, their hashes with unclear words in either form and as they are,
-    and which begin a sentence or may do so."""
+    which begin a sentence or may do so, and which follow a number."""
 
-    def __init__(self, raw: list[str], first: np.ndarray, second: np.ndarray, literal: np.ndarray, begins: np.ndarray, unclear: np.ndarray):
-        self.raw, self.first, self.second, self.literal, self.begins, self.unclear = raw, first, second, literal, begins, unclear
+    def __init__(self, raw: list[str], first: np.ndarray, second: np.ndarray, literal: np.ndarray, begins: np.ndarray, unclear: np.ndarray, counted: np.ndarray):
+        self.raw, self.first, self.second, self.literal = raw, first, second, literal
+        self.begins, self.unclear, self.counted = begins, unclear, counted
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, forms and hashes of all windows, some in more than one form."""
@@ -168,7 +196,7 @@ class Words:
         words, slots = [], []
         for k in range(first, first + size):
             unclear = bool(self.unclear[k])
-            word = canonical_word(self.raw[k])[bool(self.begins[k]) or unclear and form == BEGINS]
+            word = canonical_word(self.raw[k], bool(self.counted[k]))[bool(self.begins[k]) or unclear and form == BEGINS]
             words.append(word)
             if word.startswith("<"):
                 value = _OUTER.sub("", self.raw[k]).lower()
@@ -176,8 +204,9 @@ class Words:
         return words, slots
 
 
-def one_to_one(pairs: set) -> bool:
-    return len({i for i, _ in pairs}) == len(pairs) == len({d for _, d in pairs})
+def consistent(pairs: set) -> bool:
+    """Whether every value of the item (first) stands for one value of the document."""
+    return len({i for i, _ in pairs}) == len(pairs)
 
 
 def agreeing(met: list[dict], window: int) -> int:
@@ -185,11 +214,11 @@ def agreeing(met: list[dict], window: int) -> int:
     their slots agree, or else those that are literal or in a run that is long
     enough. ``met``: item_at, size, literal, i and d (the slots) of each."""
     pairs = [set(zip(w["i"], w["d"])) for w in met]
-    if one_to_one(set().union(*pairs)):
+    if consistent(set().union(*pairs)):
         return len({w["item_at"] for w in met})
     kept = {w["item_at"] for w in met if w["literal"]}
     order = sorted(range(len(met)), key=lambda k: met[k]["item_at"])
-    for least, fits in (VERBATIM, lambda p: all(i == d for i, d in p)), (AGREEING * window, one_to_one):
+    for least, fits in (VERBATIM, lambda p: all(i == d for i, d in p)), (AGREEING * window, consistent):
         first = 0
         for last in range(len(order)):
             at = met[order[last]]["item_at"]
