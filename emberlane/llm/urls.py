@@ -8,6 +8,9 @@ The filter has ``bits_per_key`` bits for each listed URL; it is broadcast while
 it has at most ``broadcast_blocks`` blocks (72 bytes each) and is joined by
 shuffle beyond that.
 
+Columns of the pages that bear a name of the result (host, path, rule, verdict,
+in_list) are replaced.
+
 A null URL, or one without ``://``, has an empty host and path, no canonical
 form and no rule, and is allowed. Repeated rows are judged row by row.
 """
@@ -17,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WORDS = 8
 
 
@@ -80,14 +85,16 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     ``listed`` has a column ``canonical``. The verdict is the rule's; without a
     rule, listed pages are blocked and others allowed.
     """
-    listed = listed.where(F.col("canonical").isNotNull()).select("canonical").distinct()
+    pages = pages.drop("host", "path", "rule", "rule_verdict", "verdict", "in_list")
+    listed = stored(listed.where(F.col("canonical").isNotNull()).select("canonical").distinct())
     blocks = max(1, -(-listed.count() * bits_per_key // (64 * WORDS)))
     table = bloom_filter(listed, blocks)
     if blocks <= broadcast_blocks:
         table = F.broadcast(table)
     table = table.select(F.col("block").alias("__block"), *(F.col(f"w{i}").alias(f"__w{i}") for i in range(WORDS)))
+    nowhere = -1 - F.pmod(F.xxhash64(*pages.columns), F.lit(4096))  # pages without a key don't meet in one task
     judged = match_rules(pages, rules, url_column).withColumn("__key", canonical_url(F.col(url_column)))
-    judged = judged.withColumn("__block", F.coalesce(F.pmod(F.xxhash64("__key"), F.lit(blocks)), F.lit(-1)))
+    judged = judged.withColumn("__block", F.coalesce(F.pmod(F.xxhash64("__key"), F.lit(blocks)), nowhere))
     probed = judged.join(table, "__block", "left")
     every = F.lit(True)
     for i, bit in enumerate(_bits(F.col("__key"))):
