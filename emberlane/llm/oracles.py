@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from .licenses import license_words
+from .licenses import license_words, step_of
 from .queries import LICENSE_PHRASES, LICENSE_TEMPLATES, LISTED_HOSTS, URL_RULES
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -28,7 +28,10 @@ OP4 = """WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role = '
 SELECT conv_id, turn, call_id, name, level, CASE WHEN ra IS NULL THEN 'unanswered' WHEN problem IS NOT NULL THEN 'invalid' ELSE 'linked' END AS status, problem,
  '{"arguments":{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"call_id":"' || call_id || '","level":' || level || ',"name":"reply"' || CASE WHEN ra IS NULL THEN '' ELSE ',"result":' || to_json(content)::VARCHAR END || '}' AS line FROM l
 UNION ALL
-SELECT conv_id, ra, conv_id || ':' || turn, NULL, NULL, 'orphan', NULL, '{"call_id":"' || conv_id || ':' || turn || '","result":' || to_json(content)::VARCHAR || '}' FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.turn = r.turn)"""
+SELECT conv_id, ra, conv_id || ':' || turn, NULL, NULL, 'orphan', NULL, '{"call_id":"' || conv_id || ':' || turn || '","result":' || to_json(content)::VARCHAR || '}' FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.turn = r.turn)
+UNION ALL
+SELECT conv_id, turn, NULL, role, NULL, 'message', NULL, '{' || coalesce('"name":' || to_json(role)::VARCHAR || CASE WHEN text IS NULL THEN '' ELSE ',' END, '') || coalesce('"result":' || to_json(text)::VARCHAR, '') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')"""
 
 
 def _rule(what: int) -> str:
@@ -48,18 +51,18 @@ SELECT page_id, host, path, {_rule(0)} AS rule, coalesce({_rule(1)}, CASE WHEN i
 
 
 def _op9() -> str:
-    """Blocks of 48 words begin every 24; the last begins before the last 24."""
+    """Blocks of two steps begin at every step; the last begins before the last step."""
     sets = [sorted({w.decode() for w in license_words(text)}) for _, text in LICENSE_TEMPLATES]
-    words = ", ".join(f"({k}, '{LICENSE_TEMPLATES[k][0]}', '{w}', {len(s)}, {ceil(0.9 * len(s) - 1e-9)})" for k, s in enumerate(sets) for w in s)
+    words = ", ".join(f"({k}, '{LICENSE_TEMPLATES[k][0]}', '{w}', {len(s)}, {ceil(0.9 * len(s) - 1e-9)}, {step_of(LICENSE_TEMPLATES[k][1])})" for k, s in enumerate(sets) for w in s)
     phrases = ", ".join(f"({k}, '{label}', {phrase.split()!r}, {len(phrase.split())})" for k, (phrase, label) in enumerate(LICENSE_PHRASES.items()))
     return rf"""WITH w AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
- t(t, label, word, n, least) AS (VALUES {words}), f(f, label, ws, k) AS (VALUES {phrases}),
+ t(t, label, word, n, least, step) AS (VALUES {words}), f(f, label, ws, k) AS (VALUES {phrases}),
  p AS (SELECT doc_id, l, len(l) AS n, generate_subscripts(l, 1) AS i, unnest(l) AS word FROM w),
  b AS (SELECT doc_id, i - 1 AS pos, f.label FROM p JOIN f ON word = ws[1] AND l[i:i + k - 1] = ws),
  bb AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS base FROM b GROUP BY 1),
- k AS (SELECT doc_id, word, unnest([(i - 1) // 24, (i - 1) // 24 - 1]) AS block, n FROM p WHERE word IN (SELECT word FROM t)),
- v AS (SELECT doc_id, block, t, label, any_value(t.n) AS tn, count(DISTINCT word) AS c FROM k JOIN t USING (word) WHERE block = 0 OR block > 0 AND block * 24 < k.n - 24 GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT word) >= any_value(least)),
- vv AS (SELECT doc_id, list(DISTINCT label) AS met, max(c / tn) AS best, count(DISTINCT block) AS n_blocks FROM v GROUP BY 1)
+ k AS (SELECT doc_id, p.n, t, label, word, t.n AS tn, least, step, unnest([(i - 1) // step, (i - 1) // step - 1]) AS block FROM p JOIN t USING (word)),
+ v AS (SELECT doc_id, block, step, t, label, tn, count(DISTINCT word) AS c FROM k WHERE block = 0 OR block > 0 AND block * step < n - step GROUP BY 1, 2, 3, 4, 5, 6, least HAVING count(DISTINCT word) >= least),
+ vv AS (SELECT doc_id, list(DISTINCT label) AS met, max(c / tn) AS best, count(DISTINCT (block, step)) AS n_blocks FROM v GROUP BY 1)
 SELECT w.doc_id, len(l) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(met, [])))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score, coalesce(n_blocks, 0) AS n_blocks
 FROM w LEFT JOIN bb ON bb.doc_id = w.doc_id LEFT JOIN vv ON vv.doc_id = w.doc_id"""

@@ -348,6 +348,32 @@ def test_levels_of_random_graphs(spark):
     assert found == {(1, k): v for k, v in want.items()} | {(2, f"c{k}"): k for k in range(300)} | {(3, "free"): 0}
 
 
+def test_json_of_odd_arguments(spark):
+    many = {"type": ["integer", "null"]}
+    assert chat.schema_problem(None, many) is None and chat.schema_problem("x", many) == "$: not integer or null"
+    assert chat.schema_problem(True, {"enum": [1]}) == "$: not in enum" and chat.schema_problem(1.0, {"enum": [1]}) is None
+    assert chat.schema_problem(3, {"type": "tuple"}) == "$: the schema's type tuple is unknown"
+    assert chat.schema_problem(2.0, {"type": "integer"}) is None and chat.schema_problem(True, {"type": "number"}) == "$: not number"
+    calls = spark.createDataFrame([(1, "a", 0, "add", '"\\ud800"', []), (1, "b", 1, "add", '{"\\udfff": "\\ud83d\\ude00"}', None), (1, None, None, None, None, None)], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(1, "b", 2, "x" * 300_000)], "conv_id long, call_id string, turn long, content string")
+    for extra in (calls, calls.withColumn("status", F.lit("clash")).withColumn("level", F.lit(1))):
+        rows = {r.call_id: r for r in chat.link_calls(extra, results, {"add": {}}).collect()}
+        assert json.loads(rows["a"].line)["arguments"] == "\ud800" and "\\ud800" in rows["a"].line
+        assert "\\udfff" in rows["b"].line and "😀" in rows["b"].line and rows["b"].status == "linked" and rows[None].status == "unidentified"
+
+
+def test_every_role_has_a_row(spark):
+    turns = [(1, 0, "system", "be brief"), (1, 1, "user", "what is the answer to all of it"), (1, 2, "assistant", "42"), (1, None, "user", "when"), (1, None, "user", "where"), (2, 0, None, None), (2, 1, "tool", "x"), (1, 0, "system", "be brief")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("name", F.lit("clash"))
+    calls, results, messages = chat.turns_as_calls(table)
+    rows = [(r.conv_id, r.turn, r.name, r.status, r.line) for r in chat.link_calls(calls, results, queries.REPLY, messages).collect()]
+    assert [r[3] for r in rows].count("message") == 4 and [r[3] for r in rows].count("unidentified") == 2
+    assert (2, 0, None, "message", "{}") in rows and (2, 1, "tool", "message", '{"name":"tool","result":"x"}') in rows
+    assert [r[3] for r in rows if r[1] == 1 and r[0] == 1] == ["linked"]
+    empty = table.limit(0)
+    assert chat.link_calls(*chat.turns_as_calls(empty)[:2], queries.REPLY, chat.turns_as_calls(empty)[2]).count() == 0
+
+
 def test_templates_catch_other_numbers(spark):
     item = "A train leaves Leeds at 9 and covers 120 km in 2 hours before it meets another train from Leeds"
     bench = spark.createDataFrame([(1, item), (2, "one two"), (3, None), (4, "who was the first king of Spain")], "item_id long, text string")
@@ -377,6 +403,123 @@ def test_leaks_with_clashes_many_values_and_unclear_starts(spark):
     assert {(r.n_windows, r.item_ids) for r in decontaminate.find_leaks(both, bench).collect()} == {(len(story.split()) - 7, "0")}
 
 
+def plain_template(text):
+    """(raw words, canonical words, values) by the docstring; clear sentence starts only."""
+    raw, out, begins, before = [], [], False, ""
+    for line in (text or "").splitlines():
+        for w in line.split():
+            core = re.sub(r"^[^\w$€£¥%°+-]+|[^\w%°$€£¥]+$", "", w)
+            if not core:
+                continue
+            low = core.lower()
+            number = low in decontaminate.NUMBER_WORDS or re.fullmatch(r"[-+$€£¥]?\d[\d.,:/]*(%|st|nd|rd|th|e[-+]?\d+)?", low)
+            attached = re.fullmatch(r"[-+]?\d[\d.,]*([^\d.,].*)", low)
+            if number or attached and attached.group(1) in decontaminate.UNITS:
+                c = "<num>"
+            elif before == "<num>" and low in decontaminate.UNITS:
+                c = "<unit>"
+            elif core[:1].isupper() and not core.isupper() and not begins:
+                c = "<name>"
+            else:
+                c = low
+            raw.append(low)
+            out.append(c)
+            before, begins = c, (w.rstrip("\"')]}»”’*_") or w)[-1] in ".!?:"
+    return raw, out
+
+
+def plain_leaks(docs, items, window=8, shortest=5):
+    """{doc: {item: windows}} by comparing every window of each pair. Texts begin with a word in small letters."""
+    found = {}
+    for d, text in docs.items():
+        raw_d, can_d = plain_template(text)
+        for i, item in items.items():
+            raw_i, can_i = plain_template(item)
+            size = min(window, len(raw_i))
+            if size < shortest:
+                continue
+            lines = {}
+            for a in range(len(raw_i) - size + 1):
+                for b in range(len(raw_d) - size + 1):
+                    x, y = can_i[a : a + size], can_d[b : b + size]
+                    heavy = lambda t: sum(w[0] == "<" for w in t) > size / 2
+                    if heavy(x) or heavy(y):
+                        met = heavy(x) and heavy(y) and raw_i[a : a + size] == raw_d[b : b + size]
+                        pairs = set()
+                    else:
+                        met = x == y
+                        pairs = {(raw_i[a + k], raw_d[b + k]) for k in range(size) if x[k][0] == "<"}
+                    if met:
+                        lines.setdefault(b - a, []).append({"item_at": a, "size": size, "literal": heavy(x), "i": [p for p, _ in sorted(pairs)], "d": [q for _, q in sorted(pairs)]})
+            n = sum(plain_agreeing(w, window) for w in lines.values())
+            if n:
+                found.setdefault(d, {})[i] = n
+    return found
+
+
+def plain_agreeing(met, window):
+    pairs = [set(zip(w["i"], w["d"])) for w in met]
+    function = lambda p: len(dict(p)) == len(p)
+    if function(set().union(*pairs)):
+        return len({w["item_at"] for w in met})
+    kept = {w["item_at"] for w in met if w["literal"]}
+    by_place = {w["item_at"]: k for k, w in enumerate(met)}
+    for least, fits in ((13, lambda p: all(i == d for i, d in p)), (3 * window, function)):
+        for first in by_place:
+            last = first
+            while last in by_place:
+                held = set().union(*(pairs[by_place[k]] for k in range(first, last + 1)))
+                if fits(held) and last + met[by_place[last]]["size"] - first >= least:
+                    kept.update(range(first, last + 1))
+                last += 1
+    return len(kept)
+
+
+def test_leaks_equal_a_plain_search(spark):
+    draw = random.Random(31)
+    words = ["the", "a", "train", "covers", "in", "of", "Leeds", "Derby", "Anna", "km", "m", "hours", "second", "kg", "5", "7", "12", "3.5kg", "two", "seven", "and", "to", "from", "sold", "cost", "$4"]
+    item = lambda: "from " + " ".join(draw.choice(words) for _ in range(draw.randrange(3, 40)))
+    items = {k: item() for k in range(25)}
+    items |= {90: None, 91: "", 92: "from here on we go"}
+    docs = {}
+    for k in range(120):
+        base = items[draw.randrange(25)].split()
+        changed = [draw.choice(words) if draw.random() < draw.choice((0, 0.05, 0.2)) else w for w in base]
+        swap = {"5": "12", "Leeds": "Anna", "7": "12", "km": "hours"} if k % 3 == 0 else {}
+        docs[k] = "so " + " ".join([prose(k, 6)] + [swap.get(w, w) for w in changed] + [prose(k + 500, 6)])
+    docs |= {900: None, 901: "", 902: prose(77, 40_000) + " " + items[3], 903: docs[0]}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    table = frame(spark, [(i, t, "en", "s", 0) for i, t in docs.items()] + [(0, docs[0], "en", "s", 0)]).withColumn("hash", F.lit("clash")).withColumn("template", F.lit(1))
+    rows = decontaminate.find_leaks(table, bench).collect()
+    assert len(rows) == len(docs) + 1
+    small = {d: t for d, t in docs.items() if d != 902}
+    want = plain_leaks(small, items)
+    for r in rows:
+        if r.doc_id == 902:
+            assert "3" in r.item_ids.split(",") and r.n_words > 40_000
+            continue
+        mine = want.get(r.doc_id, {})
+        assert (r.n_windows, r.item_ids or "") == (sum(mine.values()), ",".join(map(str, sorted(mine)))), (docs[r.doc_id], mine)
+    assert len(want) > 30
+
+
+def test_leaks_of_other_parameters_are_found(spark):
+    draw = random.Random(32)
+    names, places = ["Anna", "Bodo", "Clara", "Dirk", "Emma", "Fritz"], ["Leeds", "Derby", "Paris", "Rome", "Oslo", "Cork"]
+    item = lambda n: f"so when {draw.choice(names)} drives {n[0]} km from {draw.choice(places)} in {n[1]} hours and then rests for {n[2]} minutes how far is it from there to the harbour {prose(n[3], 12)}"
+    items, docs = {}, {}
+    for k in range(60):
+        numbers = [draw.randrange(2, 99) for _ in range(3)] + [k]
+        items[k] = item(numbers)
+        again = item([draw.randrange(2, 99) for _ in range(3)] + [k])
+        docs[k] = f"{prose(k + 900, 30)} {again} {prose(k + 990, 30)}"
+    docs |= {1000 + k: prose(5000 + k, 90) for k in range(60)}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.find_leaks(frame(spark, [(i, t, "en", "s", 0) for i, t in docs.items()]), bench).collect()}
+    assert sum(str(k) in (rows[k].item_ids or "").split(",") for k in range(60)) >= 0.9 * 60
+    assert not any(rows[1000 + k].contaminated for k in range(60))
+
+
 def test_urls(spark):
     texts = ["http://WWW.Example.com/en/1", "https://m.example.com/en/2?x=1", "http://a.net/es/q#t", "http://net/fr", "http://bad.org/x/?utm_source=a", "http://www.bad.org/x.html#top", "http://good.org/x", None, "nothing", "http://", "http://com"]
     pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, url string")
@@ -390,6 +533,16 @@ def test_urls(spark):
     assert urls.judge(pages, listed.limit(0), queries.URL_RULES).where("in_list").count() == 0
 
 
+def test_urls_clashing_columns_repeats_and_no_pages(spark):
+    pages = spark.createDataFrame([(1, "http://bad.org/x", "own"), (1, "http://bad.org/x", "own"), (2, None, "own"), (3, "http://ok.org/" + "y" * 5000, None)], "page_id long, url string, host string")
+    pages = pages.withColumns({c: F.lit("clash") for c in ("path", "rule", "verdict", "in_list", "block", "canonical")})
+    listed = spark.createDataFrame([("bad.org/x",)], "canonical string")
+    for at_most in (0, 1000):
+        rows = sorted((r.page_id, r.host, r.verdict, r.in_list) for r in urls.judge(pages, listed, [], broadcast_blocks=at_most).collect())
+        assert rows == [(1, "bad.org", "block", True), (1, "bad.org", "block", True), (2, "", "allow", False), (3, "ok.org", "allow", False)]
+    assert urls.judge(pages.limit(0), listed, []).count() == 0
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     listed = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("canonical"))
     pages = spark.range(6000).select("id", F.concat(F.lit("http://h"), "id").alias("url"))
