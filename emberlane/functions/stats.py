@@ -77,4 +77,5 @@ def trailing(df: DataFrame, by: list[str], day: str, value: str, days: int, min_
 
 
 def change_pct(now: Column, before: Column) -> Column:
-    return F.try_divide(now - before, F.abs(before)) * 100
+    """Change against ``before`` in percent of it; null where that is 0."""
+    return F.try_divide(now - before, before) * 100

@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import floor_percentile, lower_quartile, ols, upper_quartile
 from ..thresholds import AIR_WH_PER_M3_K, AirChange, Loft
+from .alignment import interpolated
 from .meters import local_time
 
 
 def baseline_ppm(readings: DataFrame, by: list[str], rule: AirChange = AirChange(), measured: DataFrame | None = None, configured: float | None = None) -> DataFrame:
-    """(by, baseline, baseline_source): the outdoor sensor's median, else the
-    configured value, else a low percentile of the readings."""
+    """(by, baseline, baseline_source): the median of the home's outdoor sensor,
+    else the configured value, else a low percentile of the readings. ``measured``
+    meets on the columns of ``by`` that it has, such as the home."""
     own = readings.groupBy(*by).agg(floor_percentile("value", rule.baseline_p).alias("low"))
     if measured is not None:
-        own = own.join(measured.groupBy().agg(F.median("value").alias("out")), how="cross")
+        home = [c for c in by if c in measured.columns]
+        outdoors = measured.groupBy(*home).agg(F.median("value").alias("out"))
+        own = own.join(outdoors, home, "left") if home else own.crossJoin(outdoors)  # one row
     else:
         own = own.withColumn("out", F.lit(None).cast("double"))
     fixed = F.lit(configured).cast("double")
@@ -66,6 +70,32 @@ def split_losses(df: DataFrame, hlc: str, ach: str, volume_m3: Column) -> DataFr
     return df.withColumns({"ventilation_w_per_k": F.when(fits, vent), "fabric_w_per_k": F.when(fits, F.col(hlc) - vent), "share_pct": F.when(fits, F.try_divide(vent, F.col(hlc)) * 100)})
 
 
+def gates(df: DataFrame, rule: Loft = Loft()) -> Column:
+    """Whether ratios (ratio, rows, iqr, outside_pct) may be reported."""
+    steady = (F.col("iqr") <= rule.max_iqr) & (F.col("outside_pct") <= rule.max_outside * 100)
+    return (F.col("rows") >= rule.min_rows) & F.col("ratio").between(0, 1) & steady
+
+
+def loft_ratio_filled(inside: DataFrame, loft: DataFrame, outdoor: DataFrame, by: list[str], tz: str, rule: Loft = Loft(), most: int = 24) -> DataFrame:
+    """Like ``loft_ratio`` over all stamps of the three series, each one's gaps
+    filled on a line for up to ``most`` stamps, with interpolated quartiles."""
+    name = lambda df, n: df.select(*by, "sec", F.col("value").alias(n))
+    met = name(inside, "i").join(name(loft, "l"), [*by, "sec"], "full").join(name(outdoor, "o"), [*by, "sec"], "full")
+    for column in "ilo":
+        met = interpolated(met, by, most, column)
+    whole = met.where("i is not null and l is not null and o is not null")
+    night = F.hour(local_time(F.col("sec"), tz)).between(*rule.hours)
+    rows = whole.where(night & (F.col("i") - F.col("o") > rule.min_delta_t)).withColumn("r", (F.col("l") - F.col("o")) / (F.col("i") - F.col("o")))
+    outside = (~F.col("r").between(0, 1)).cast("double")
+    out = rows.groupBy(*by).agg(
+        F.median("r").alias("ratio"),
+        F.count("r").alias("rows"),
+        (F.percentile("r", 0.75) - F.percentile("r", 0.25)).alias("iqr"),
+        (F.avg(outside) * 100).alias("outside_pct"),
+    )
+    return out.withColumn("usable", gates(out, rule))
+
+
 def loft_ratio(inside: DataFrame, loft: DataFrame, outdoor: DataFrame, by: list[str], tz: str, rule: Loft = Loft()) -> DataFrame:
     """(by, ratio, rows, iqr, outside_pct, verdict, usable) over cold night hours."""
     name = lambda df, n: df.select(*by, "sec", F.col("value").alias(n))
@@ -75,6 +105,5 @@ def loft_ratio(inside: DataFrame, loft: DataFrame, outdoor: DataFrame, by: list[
     out = rows.groupBy(*by).agg(
         F.median("r").alias("ratio"), F.count("r").alias("rows"), (upper_quartile("r") - lower_quartile("r")).alias("iqr"), (F.avg((~F.col("r").between(0, 1)).cast("double")) * 100).alias("outside_pct")
     )
-    usable = (F.col("rows") >= rule.min_rows) & F.col("ratio").between(0, 1) & (F.col("iqr") <= rule.max_iqr) & (F.col("outside_pct") <= rule.max_outside * 100)
     verdict = F.when(F.col("ratio") > 0.5, "loft follows the house").when(F.col("ratio") > 0.25, "between house and outdoors").otherwise("loft follows outdoors")
-    return out.withColumns({"usable": usable, "verdict": verdict})
+    return out.withColumns({"usable": gates(out, rule), "verdict": verdict})

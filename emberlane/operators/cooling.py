@@ -79,10 +79,60 @@ def fit_tau(night_rows: DataFrame, rule: Cooling = Cooling()) -> DataFrame:
     return out.withColumn("rejection_reason", reason).drop("__steps", "__t", "__best", "__mean")
 
 
-def summary(fits: DataFrame, by: list[str]) -> DataFrame:
-    """(by, room, nights_fitted, tau_median_h, tau_min_h, tau_max_h, last_night) of every room."""
+def summary(fits: DataFrame, by: list[str], rooms: DataFrame | None = None) -> DataFrame:
+    """(by, room, nights_fitted, tau_median_h, tau_min_h, tau_max_h, last_night)
+    of every room that has nights; with ``rooms`` (by, room) of all of these, with
+    0 nights where there are none."""
     good = F.col("rejection_reason").isNull()
     tau = F.when(good, F.col("tau_h"))
-    return fits.groupBy(*by, "room").agg(
+    out = fits.groupBy(*by, "room").agg(
         F.count(tau).alias("nights_fitted"), F.median(tau).alias("tau_median_h"), F.min(tau).alias("tau_min_h"), F.max(tau).alias("tau_max_h"), F.max(F.when(good, F.col("d"))).alias("last_night")
     )
+    if rooms is None:
+        return out
+    return rooms.select(*by, "room").distinct().join(out, [*by, "room"], "left").withColumn("nights_fitted", F.coalesce("nights_fitted", F.lit(0)))
+
+
+def long_nights(readings: DataFrame, outdoor: DataFrame, by: list[str], tz: str, start_h: float = 23.5, end_h: float = 6.5, max_gap_s: int = 600, min_hours: float = 3.0, min_delta_t: float = 3.0, min_drop: float = 0.3, heat: DataFrame | None = None, max_heat_pct: float = 1.0, heat_coverage: float = 0.8) -> DataFrame:
+    """(by, d, points, n_points, rejection_reason) of nights across midnight,
+    named for the evening they begin on, for ``fit_tau``.
+
+    Readings without an outdoor one at their stamp go. Nights that the readings
+    don't span whole are left out.
+    """
+    named = lambda df, n: df.select(*by, "sec", F.col("value").alias(n))
+    rows = named(readings, "temp")
+    rows = rows.join(named(heat, "heat"), [*by, "sec"], "left") if heat is not None else rows.withColumn("heat", F.lit(None).cast("double"))
+    rows = rows.join(named(outdoor, "out"), [*by, "sec"], "left")
+    local = local_time(F.col("sec"), tz)
+    hour = F.hour(local) + F.minute(local) / 60 + F.second(local) / 3600
+    day = F.when(hour >= start_h, local.cast("date")).when(hour <= end_h, F.date_sub(local.cast("date"), 1))
+    at = lambda d, h: F.timestamp_add("SECOND", F.lit(int(h * 3600)), d.cast("timestamp_ntz"))
+    spans = rows.groupBy(*by).agg(F.min(local).alias("__first"), F.max(local).alias("__last"))
+    inside = rows.withColumn("d", day).where(F.col("d").isNotNull())
+    spanned = inside.join(spans, by) if by else inside.crossJoin(spans)  # one row
+    spanned = spanned.where((at(F.col("d"), start_h) >= F.col("__first")) & (at(F.date_add("d", 1), end_h) <= F.col("__last")))
+    both = F.col("out").isNotNull()
+    point = F.when(both, F.struct("sec", "temp", "out"))
+    nights_ = spanned.groupBy(*by, "d").agg(
+        F.array_sort(F.collect_list(point)).alias("points"),
+        F.count("out").alias("n_points"),
+        F.count(F.lit(1)).alias("n"),
+        F.count("heat").alias("n_heat"),
+        F.max("heat").alias("most_heat"),
+        F.min(F.col("temp") - F.col("out")).alias("least_dt"),
+    )
+    seconds = lambda i: F.get("points", i)["sec"]
+    gaps = F.transform(F.sequence(F.lit(1), F.greatest(F.size("points") - 1, F.lit(1))), lambda i: F.coalesce(seconds(i) - seconds(i - 1), F.lit(0)))
+    hours = (F.element_at("points", -1)["sec"] - F.get("points", F.lit(0))["sec"]) / 3600
+    drop = F.get("points", F.lit(0))["temp"] - F.element_at("points", -1)["temp"]
+    reason = F.when(F.col("n_points") == 0, "no points")
+    if heat is not None:
+        reason = reason.when(F.col("n_heat") < F.col("n") * heat_coverage, "heating unknown").when(F.col("most_heat") > max_heat_pct, "heated")
+    reason = (
+        reason.when(F.array_max(gaps) > max_gap_s, "gap")
+        .when(hours < min_hours, "too short")
+        .when(F.col("least_dt") < min_delta_t, "too warm outside")
+        .when(drop < min_drop, "no drop")
+    )
+    return nights_.select(*by, "d", "points", "n_points", reason.alias("rejection_reason"))

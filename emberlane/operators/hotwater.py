@@ -72,10 +72,11 @@ def attribute(days: DataFrame, rule: HotWater = HotWater()) -> DataFrame:
 
     A day without heating is all hot water; else litres tell, unless they are
     an outlier; else the baseline scaled by the mains; never more than q. Days
-    without outdoor temperature stay without.
+    without outdoor temperature stay without. Every heating day with more litres
+    than the limit counts as outlier, whether or not a rate is known.
     """
     metered = F.col("rate").isNotNull() & F.col("water").isNotNull() & F.col("outdoor").isNotNull()
-    outlier = F.coalesce(metered & (F.col("water") > F.col("limit")), F.lit(False))
+    outlier = F.coalesce(F.col("water") > F.col("limit"), F.lit(False))
     by_litres = F.least(litres_kwh(F.col("water"), F.col("rate"), F.col("outdoor"), rule), F.col("q"))
     by_mains = F.least(scaled_kwh(F.col("baseline"), F.col("outdoor"), F.col("reference_c"), rule), F.col("q"))
     pick = lambda a, b, c: F.when(F.col("off"), a).when(metered & ~outlier, b).when(F.col("outdoor").isNotNull() & F.col("baseline").isNotNull(), c)
@@ -84,9 +85,10 @@ def attribute(days: DataFrame, rule: HotWater = HotWater()) -> DataFrame:
     )
 
 
-def gas_water(gas: DataFrame, water: DataFrame, by: list[str], min_hours: int = 200, min_r2: float = 0.5, ideal_wh: float = 34.8) -> DataFrame:
-    """Hourly regression of gas steps on water steps at the same stamps."""
+def gas_water(gas: DataFrame, water: DataFrame, by: list[str], min_hours: int = 200, min_r2: float = 0.5, ideal_wh: float = 34.8, min_distinct: int = 10) -> DataFrame:
+    """Hourly regression of gas steps on water steps at the same stamps. Fewer
+    than ``min_distinct`` different water steps make it unusable."""
     both = gas.select(*by, "sec", F.col("step").alias("gas")).join(water.select(*by, "sec", F.col("step").alias("litres")), [*by, "sec"])
-    lines = both.groupBy(*by).agg(*ols("gas", "litres"))
-    usable = (F.col("n") >= min_hours) & (F.col("slope") > 0) & (F.col("r2") >= min_r2)
+    lines = both.groupBy(*by).agg(*ols("gas", "litres"), F.countDistinct("litres").alias("distinct_litres"))
+    usable = (F.col("n") >= min_hours) & (F.col("distinct_litres") >= min_distinct) & (F.col("slope") > 0) & (F.col("r2") >= min_r2)
     return lines.withColumns({"wh_per_litre": F.col("slope") * 1000, "hot_pct": F.least(F.lit(100.0), F.col("slope") * 1000 / ideal_wh * 100), "usable": usable})

@@ -55,17 +55,110 @@ def baseline_offset(anchor: DataFrame, other: DataFrame, by: list[str], toleranc
     return joined(middle, spread).withColumn("proven", (F.col("pairs") >= min_pairs) & (F.col("mad") <= limit))
 
 
-def merge_cumulative(cache: DataFrame, by: list[str], sources: list[str], tolerance_s: int) -> tuple[DataFrame, list[str]]:
-    """The merged meter (by, sec, value) and the sources whose offset couldn't be
-    proven. The first source anchors; later ones are shifted by their offset to
-    what is merged so far and win at equal stamps. ``sources`` are a few names."""
-    part = lambda s: cache.where(F.col("source") == s).select(*by, "sec", "value")
-    merged, rejected = part(sources[0]), []
-    for source in sources[1:]:
-        offset = baseline_offset(merged, part(source), by, tolerance_s).where("proven")
-        shifted = part(source).join(offset.select(*by, "offset"), by).select(*by, "sec", (F.col("value") - F.col("offset")).alias("value"))
-        if shifted.isEmpty():
-            rejected.append(source)
-        else:
-            merged = upsert(merged, shifted, [*by, "sec"])
-    return merged, rejected
+def spans(cache: DataFrame, by: list[str]) -> DataFrame:
+    """(by, source, rows, start, end, kind) of each source of a cache; the kind
+    is null where rows have none."""
+    kind = F.max("kind") if "kind" in cache.columns else F.lit(None).cast("string")
+    found = cache.groupBy(*by, "source").agg(F.count(F.lit(1)).alias("rows"), F.min("sec").alias("start"), F.max("sec").alias("end"), kind.alias("kind"))
+    return found
+
+
+def anchors(found: DataFrame, by: list[str], first: str = "lts") -> DataFrame:
+    """(by, anchor): the source named ``first``, else that of the widest span,
+    then of most rows, then the least name."""
+    order = F.struct(F.col("source") != first, F.col("start") - F.col("end"), -F.col("rows"), F.col("source"))
+    return found.groupBy(*by).agg(F.min_by("source", order).alias("anchor"))
+
+
+def overlap_tolerance(readings: DataFrame, by: list[str]) -> DataFrame:
+    """(by, tolerance_s): half the cadence, 5 to 45 minutes; half an hour without one."""
+    half = F.least(F.greatest(F.col("cadence_s") / 2, F.lit(300)), F.lit(2700))
+    every = readings.select(*by).distinct().join(cadence(readings, by), by, "left")
+    return every.select(*by, F.coalesce(half, F.lit(1800)).cast("long").alias("tolerance_s"))
+
+
+def source_offsets(cache: DataFrame, by: list[str], chosen: DataFrame, min_pairs: int = 3) -> DataFrame:
+    """(by, source, pairs, offset, mad, proven) of every source but the anchor,
+    each against its home's anchor at nearest stamps."""
+    rows = cache.join(chosen, by)
+    anchor = rows.where("source = anchor").select(*by, "sec", "value")
+    others = rows.where("source != anchor").select(*by, "source", "sec", "value")
+    copies = others.select(*by, "source").distinct().join(anchor, by).select(*by, "source", "sec", "value")
+    limits = overlap_tolerance(anchor, by)
+    key = [*by, "source"]
+    near = nearest(others, copies, key, 2700).where("right_sec is not null").join(limits, by)
+    near = near.where(F.abs(F.col("sec") - F.col("right_sec")) <= F.col("tolerance_s")).withColumn("diff", F.col("value") - F.col("right_value"))
+    middle = near.groupBy(*key).agg(F.median("diff").alias("offset"), F.count("diff").alias("pairs"))
+    spread = near.join(middle.select(*key, "offset"), key).groupBy(*key).agg(F.median(F.abs(F.col("diff") - F.col("offset"))).alias("mad"))
+    found = others.select(*key).distinct().join(middle, key, "left").join(spread, key, "left")
+    limit = F.greatest(F.lit(0.25), F.least(F.lit(2.0), 0.001 * F.abs("offset")))
+    proven = F.coalesce((F.col("pairs") >= min_pairs) & (F.col("mad") <= limit), F.lit(False))
+    return found.select(*key, F.coalesce("pairs", F.lit(0)).alias("pairs"), "offset", "mad", proven.alias("proven"))
+
+
+def merge_cumulative(cache: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(merged meter, decisions) of cache rows (by, source, sec, value).
+
+    The anchor's rows stay as they are; sources whose offset from the anchor is
+    proven are shifted by it and, by name, later ones win at equal stamps.
+    Decisions (by, source, used, pairs, offset) tell of every source of every
+    home, so rejected ones are listed by home.
+    """
+    chosen = anchors(spans(cache, by), by)
+    offsets = source_offsets(cache, by, chosen)
+    known = cache.select(*by, "source").distinct().join(chosen, by).join(offsets, [*by, "source"], "left")
+    is_anchor = F.col("source") == F.col("anchor")
+    used = is_anchor | F.coalesce("proven", F.lit(False))
+    decisions = known.select(*by, "source", used.alias("used"), "pairs", F.when(is_anchor, 0.0).otherwise(F.col("offset")).alias("offset"), is_anchor.alias("anchor"))
+    rows = cache.join(decisions.where("used"), [*by, "source"]).withColumn("value", F.col("value") - F.col("offset"))
+    rank = F.when(F.col("anchor"), "").otherwise(F.concat(F.lit("1"), F.col("source")))
+    merged = keep_last(rows.select(*by, "sec", "value", rank.alias("__rank")), [*by, "sec"], F.col("__rank")).drop("__rank")
+    return merged, decisions
+
+
+def merge_measurements(cache: DataFrame, by: list[str], last: str = "rest") -> DataFrame:
+    """(by, sec, value): all sources, by name; ``last`` wins at equal stamps."""
+    rank = F.struct(F.col("source") == last, F.col("source"))
+    return keep_last(cache.select(*by, "sec", "value", rank.alias("__rank")), [*by, "sec"], F.col("__rank")).drop("__rank")
+
+
+def load_policy(cache: DataFrame, by: list[str], first: str = "lts") -> DataFrame:
+    """(by, policy, kinds, preferred): how a home's sources are combined.
+
+    ``merge cumulative`` if all kinds that are told are cumulative; ``one source``
+    if they conflict: that named ``first``, else that of most rows; otherwise
+    ``merge measurements``.
+    """
+    found = spans(cache, by)
+    order = F.struct(F.col("source") != first, -F.col("rows"), F.col("source"))
+    told = found.groupBy(*by).agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.min_by("source", order).alias("best"))
+    cumulative = F.array_contains("kinds", "cumulative")
+    policy = F.when(cumulative & (F.size("kinds") == 1), "merge cumulative").when(cumulative, "one source").otherwise("merge measurements")
+    return told.select(*by, policy.alias("policy"), "kinds", F.when(policy == "one source", F.col("best")).alias("preferred"))
+
+
+def load(cache: DataFrame, by: list[str], source: str | None = None) -> DataFrame:
+    """(by, sec, value) of a cache: of exactly ``source`` if given, else as
+    ``load_policy`` says for each home."""
+    if source is not None:
+        return cache.where(F.col("source") == source).select(*by, "sec", "value")
+    rows = cache.join(load_policy(cache, by), by)
+    merged, _ = merge_cumulative(rows.where("policy = 'merge cumulative'").select(cache.columns), by)
+    single = rows.where("policy = 'one source' and source = preferred").select(*by, "sec", "value")
+    plain = merge_measurements(rows.where("policy = 'merge measurements'"), by)
+    return merged.unionByName(single).unionByName(plain)
+
+
+def repair(cache: DataFrame, by: list[str], max_step: float) -> tuple[DataFrame, DataFrame]:
+    """(canonical rows, statuses) of cache rows (by, source, sec, value, seq):
+    ordered by stamp with one finite value each, the last by ``seq``. Sources
+    with mixed baselines are ``refused`` and not rewritten, as they can't be told
+    apart without a clean copy; the others are ``rewritten``."""
+    key = [*by, "source"]
+    finite = cache.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    clean = keep_last(finite, [*key, "sec"], F.col("seq")).drop("seq")
+    marked = audit(clean, key, max_step).select(*key, "mixed", "rows")
+    statuses = cache.select(*key).distinct().join(marked, key, "left")
+    status = F.when(F.col("rows").isNull(), "missing").when(F.col("mixed"), "refused").otherwise("rewritten")
+    statuses = statuses.select(*key, status.alias("status"), F.when(status == "rewritten", F.col("rows")).alias("rows"))
+    return clean.join(statuses.where("status = 'rewritten'").select(*key), key, "left_semi"), statuses

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import air, alignment, cooling, daily, heatloss, hotwater, meters, quality, usage
+from ..sources.scratch import written
 from ..thresholds import AirChange, Cooling, HeatLoss, HotWater, Loft, Meter
 from . import report
 from .adapter import C, DAY, GAS, H, HOUSE, OFF, OUTDOOR, ROOMS, STEPS, WATER, hourly, house_days, means
@@ -38,17 +39,22 @@ def lineitem_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.agg(F.sum("l_quantity").alias("delta_t"), (F.sum("l_extendedprice") / 1000).alias("q")).withColumn("home", F.lit("all"))
 
 
-FIT_SQL = """, l AS (SELECT home, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, count(*) AS n, regr_sxx(y, x) AS sxx, max(x) - min(x) AS spread FROM p GROUP BY home),
+FIT_CTES = """, l AS (SELECT home, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, count(*) AS n, regr_sxx(y, x) AS sxx, max(x) - min(x) AS spread FROM p GROUP BY home),
  e AS (SELECT p.home, d, y - intercept - slope * x AS e FROM p JOIN l USING (home)),
  m AS (SELECT home, d, e, avg(e) OVER (PARTITION BY home) AS m, lag(e) OVER w AS pe, d - lag(d) OVER w AS gd FROM e WINDOW w AS (PARTITION BY home ORDER BY d)),
  a AS (SELECT home, count(*) FILTER (gd = 1) AS pairs, avg((e - m) * (pe - m)) FILTER (gd = 1) / var_pop(e) AS r, sum(e * e) AS sse FROM m GROUP BY home),
  v AS (SELECT *, CASE WHEN pairs < 10 THEN 0 ELSE r END AS r1 FROM a),
  f AS (SELECT *, (1 + least(greatest(r1, 0), 0.9)) / (1 - least(greatest(r1, 0), 0.9)) AS vif FROM v JOIN l USING (home)),
- k AS (SELECT *, slope * 1000 / 24 AS hlc, sqrt(sse / (n - 2) / sxx) * sqrt(vif) AS se FROM f)
+ k AS (SELECT *, slope * 1000 / 24 AS hlc, sqrt(sse / (n - 2) / sxx) * sqrt(vif) AS se FROM f)"""
+FIT_REASON = """CASE WHEN n < 20 THEN 'too few days' WHEN spread < 3 THEN 'too little spread' WHEN slope <= 0 THEN 'slope isn''t positive' WHEN r2 < 0.5 THEN 'weak fit'
+  WHEN hlc < 10 OR hlc > 1500 THEN 'out of bounds' WHEN slope - 1.96 * se <= 0 THEN 'limits include zero' END"""
+FIT_SQL = (
+    FIT_CTES
+    + f"""
 SELECT home, round(slope, 4) AS slope, round(intercept, 3) AS intercept, round(r2, 4) AS r2, n, pairs, round(r1, 4) AS r1, round(hlc, 3) AS hlc, round(n / vif, 2) AS effective_days,
  round((slope - 1.96 * se) * 1000 / 24, 2) AS ci_low, round((slope + 1.96 * se) * 1000 / 24, 2) AS ci_high,
- CASE WHEN n < 20 THEN 'too few days' WHEN spread < 3 THEN 'too little spread' WHEN slope <= 0 THEN 'slope isn''t positive' WHEN r2 < 0.5 THEN 'weak fit' WHEN hlc < 10 OR hlc > 1500 THEN 'out of bounds'
-  WHEN slope - 1.96 * se <= 0 THEN 'limits include zero' END AS rejection_reason FROM k"""
+ {FIT_REASON} AS rejection_reason FROM k"""
+)
 
 
 def _fit_columns(fit: DataFrame) -> DataFrame:
@@ -108,7 +114,7 @@ def daily_busiest(spark, sf_dir):
 
 
 def _off_days(spark, sf_dir):
-    days = house_days(spark, sf_dir)
+    days = written(house_days(spark, sf_dir))
     off = daily.heating_off(days.select("home", "d", "delta_t"), days.where("heat_pct is not null").select("home", "d", "heat_pct"), HOME)
     return days.join(off, ["home", "d"])
 
@@ -133,11 +139,10 @@ BASE = (
 )
 
 
-def _hot_water(spark, sf_dir):
-    days = _off_days(spark, sf_dir)
+def _hot_water(days):
     limits = hotwater.outlier_limit(days, HOME)
     rates = hotwater.water_rate(days.join(limits, HOME), HOME, limit="limit")
-    return days, hotwater.baseline(days, HOME), rates, limits
+    return hotwater.baseline(days, HOME), rates, limits
 
 
 @query(f"WITH {BASE} SELECT home, round(baseline, 3) AS baseline, round(reference_c, 3) AS reference_c, days_used, away_days, round(CASE WHEN away_days >= 3 THEN idle END, 3) AS idle_kwh, CASE WHEN days_used < 7 THEN 'invalid' WHEN days_used >= 14 THEN 'valid' ELSE 'provisional' END AS status FROM bl")
@@ -147,23 +152,28 @@ def baseline_away_days(spark, sf_dir):
 
 @query(f"WITH {BASE} SELECT home, round(rate, 4) AS rate, rate_days, round(rate_iqr, 4) AS rate_iqr, rate_days >= 10 AND rate BETWEEN 0.05 AND 1.5 AS usable FROM ra")
 def water_rate(spark, sf_dir):
-    return _hot_water(spark, sf_dir)[2].select("home", r("rate", 4), "rate_days", r("rate_iqr", 4), "usable")
+    return _hot_water(_off_days(spark, sf_dir))[1].select("home", r("rate", 4), "rate_days", r("rate_iqr", 4), "usable")
 
 
 ATTRIBUTED = (
     BASE
     + ", att AS (SELECT ho.*, baseline, reference_c, CASE WHEN rate_days >= 10 AND rate BETWEEN 0.05 AND 1.5 THEN rate END AS rate, lim FROM ho JOIN bl USING (home) JOIN ra USING (home) JOIN li USING (home)),"
-    + f" a2 AS (SELECT *, rate IS NOT NULL AND water > lim AS outl, least(q, water * rate * (55 - {MAINS.format('outdoor')}) / 1000) AS bw, least(q, baseline * (55 - {MAINS.format('outdoor')}) / (55 - {MAINS.format('reference_c')})) AS bm FROM att),"
+    + f" a2 AS (SELECT *, water > lim AS outl, least(q, water * rate * (55 - {MAINS.format('outdoor')}) / 1000) AS bw, least(q, baseline * (55 - {MAINS.format('outdoor')}) / (55 - {MAINS.format('reference_c')})) AS bm FROM att),"
     + " a3 AS (SELECT *, CASE WHEN off THEN q WHEN rate IS NOT NULL AND NOT outl THEN bw ELSE bm END AS hot_kwh, CASE WHEN off THEN 'off' WHEN rate IS NOT NULL AND NOT outl THEN 'litres' ELSE 'mains' END AS how, NOT off AND outl AS outlier FROM a2)"
 )
 
 
-def _attributed(spark, sf_dir):
-    days, base, rates, limits = _hot_water(spark, sf_dir)
-    known = base.select("home", "baseline", "reference_c").join(rates.select("home", F.when(F.col("usable"), F.col("rate")).alias("rate")), "home", "left").join(limits, "home", "left")
+def _attribution(days):
+    base, rates, limits = _hot_water(days)
+    usable = rates.select("home", F.when(F.col("usable"), F.col("rate")).alias("rate"))
+    known = base.select("home", "baseline", "reference_c").join(usable, "home", "left").join(limits, "home", "left")
     return hotwater.attribute(days.join(known, "home"))
 
 
+def _attributed(spark, sf_dir):
+    return written(_attribution(_off_days(spark, sf_dir)))
+
+
 @query(f"WITH {ATTRIBUTED} SELECT home, d, how, outlier, round(hot_kwh, 3) AS hot_kwh FROM a3")
 def attribution(spark, sf_dir):
     return _attributed(spark, sf_dir).select("home", "d", "how", "outlier", r("hot_kwh"))
@@ -260,7 +270,7 @@ def loss_split(spark, sf_dir):
     return out.select(r("ach", 4), "windows", r("baseline"), "sensors", r("ventilation_w_per_k"), r("fabric_w_per_k"))
 
 
-COOL = Cooling(min_points=4, max_gap_s=5400, min_delta_t=-1000.0, min_drop=0.3, grid=(1.0, 40.0, 0.5), min_r2=-1000.0)
+COOL = Cooling(min_points=4, max_gap_s=5400, min_delta_t=-1000.0, min_drop=0.3, grid=(1.0, 200.0, 0.25), min_r2=-1000.0)
 
 
 def _night_fits(spark, sf_dir):
@@ -277,12 +287,12 @@ TAU = (
  qg AS (SELECT *, sec - lag(sec) OVER w AS gap, (o + lag(o) OVER w) / 2 AS bd FROM q WINDOW w AS (PARTITION BY room, d ORDER BY sec)),
  nt AS (SELECT room, d, count(*) AS n_points, CASE WHEN count(*) < 4 THEN 'too few points' WHEN max(gap) > 5400 THEN 'gap' WHEN count(o) < count(*) THEN 'no outdoor temperature'
    WHEN min_by(t, sec) - max_by(t, sec) < 0.3 THEN 'no drop' END AS why, list({{'h': gap / 3600.0::DOUBLE, 'b': bd, 't': t}} ORDER BY sec) AS l, min_by(t, sec) AS t0 FROM qg GROUP BY 1, 2),
- gr AS (SELECT room, d, k * 0.5 AS tau, l[2:] AS l, t0 FROM nt, range(2, 81) r(k) WHERE why IS NULL),
+ gr AS (SELECT room, d, k * 0.25 AS tau, l[2:] AS l, t0 FROM nt, range(4, 801) r(k) WHERE why IS NULL),
  sm AS (SELECT room, d, tau, list_reduce(list_transform(l, lambda x: {{'h': x.h, 'b': x.b, 't': x.t, 'm': 0.0::DOUBLE, 's': 0.0::DOUBLE}}),
    lambda a, x: {{'h': x.h, 'b': x.b, 't': x.t, 'm': x.b + (a.m - x.b) * exp(-x.h / tau), 's': a.s + (x.b + (a.m - x.b) * exp(-x.h / tau) - x.t) ** 2}},
    {{'h': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 't': t0, 'm': t0, 's': 0.0::DOUBLE}}).s AS sse FROM gr),
  bt AS (SELECT room, d, min({{'sse': sse, 'tau': tau}}) AS b FROM sm GROUP BY 1, 2),
- tf AS (SELECT nt.room, nt.d, n_points, b.tau::DOUBLE AS tau_h, b.sse AS sse, coalesce(why, CASE WHEN b.tau >= 40 THEN 'at the end of the grid' END) AS rejection_reason FROM nt LEFT JOIN bt USING (room, d))"""
+ tf AS (SELECT nt.room, nt.d, n_points, b.tau::DOUBLE AS tau_h, b.sse AS sse, coalesce(why, CASE WHEN b.tau >= 200 THEN 'at the end of the grid' END) AS rejection_reason FROM nt LEFT JOIN bt USING (room, d))"""
 )
 
 
@@ -330,7 +340,7 @@ def water_usage(spark, sf_dir):
 
 
 @query(
-    f"WITH {HOUSE}, t AS (SELECT home, d, avg(kwh) OVER w7 AS a, count(*) OVER w7 AS n, avg(kwh) OVER w30 AS b, count(*) OVER w30 AS m, avg(kwh) OVER p30 AS c, count(*) OVER p30 AS k, median(kwh) OVER w30 AS md FROM hd WINDOW w7 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW), p30 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 59 DAYS PRECEDING AND INTERVAL 30 DAYS PRECEDING)) SELECT home, d, round(CASE WHEN n >= 5 THEN a END, 3) AS last_7d, round(CASE WHEN m >= 20 THEN b END, 3) AS last_30d, round(CASE WHEN m >= 20 THEN md END, 3) AS typical_30d, round(CASE WHEN k >= 20 THEN c END, 3) AS previous_30d, round(CASE WHEN m >= 20 AND k >= 20 AND c <> 0 THEN (b - c) / abs(c) * 100 END, 3) AS change_pct, n AS days_7 FROM t"
+    f"WITH {HOUSE}, t AS (SELECT home, d, avg(kwh) OVER w7 AS a, count(*) OVER w7 AS n, avg(kwh) OVER w30 AS b, count(*) OVER w30 AS m, avg(kwh) OVER p30 AS c, count(*) OVER p30 AS k, median(kwh) OVER w30 AS md FROM hd WINDOW w7 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW), p30 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 59 DAYS PRECEDING AND INTERVAL 30 DAYS PRECEDING)) SELECT home, d, round(CASE WHEN n >= 5 THEN a END, 3) AS last_7d, round(CASE WHEN m >= 20 THEN b END, 3) AS last_30d, round(CASE WHEN m >= 20 THEN md END, 3) AS typical_30d, round(CASE WHEN k >= 20 THEN c END, 3) AS previous_30d, round(CASE WHEN m >= 20 AND k >= 20 AND c <> 0 THEN (b - c) / c * 100 END, 3) AS change_pct, n AS days_7 FROM t"
 )
 def trailing_7_30(spark, sf_dir):
     t = lambda *a, **b: stats.trailing(None, HOME, "d", "kwh", *a, **b)
@@ -339,9 +349,16 @@ def trailing_7_30(spark, sf_dir):
     return rows.select("home", "d", r("last_7d"), r("last_30d"), r("typical_30d"), r("previous_30d"), r("change_pct"), "days_7")
 
 
-@query(f"WITH {ATTRIBUTED}, md AS (SELECT home, max(d) AS md FROM hd WHERE delta_t > 4 AND q > 0.5 AND (heat_pct IS NULL OR heat_pct > 1) GROUP BY 1), z AS (SELECT a3.*, md FROM a3 JOIN md USING (home) WHERE d <= md AND md - d <= 365) SELECT home, max(md) AS model_day, count(*) AS days, round(avg(hot_kwh), 3) AS hot_kwh FROM z GROUP BY 1")
+MODEL_DAY = """, md AS (SELECT home, max(d) AS md FROM hd WHERE delta_t > 4 AND q > 0.5 AND (heat_pct IS NULL OR heat_pct > 1) GROUP BY 1),
+ ol AS (SELECT ho.*, md FROM ho JOIN md USING (home) WHERE d <= md AND md - d <= 365)"""
+#: The attribution of days up to the last heated one, from nothing but those.
+LOCKED_ATTRIBUTION = OFF + MODEL_DAY + ATTRIBUTED[len(OFF) :].replace("FROM ho)", "FROM ol)").replace("FROM ho ", "FROM ol ").replace("ho.", "ol.")
+
+
+@query(f"WITH {LOCKED_ATTRIBUTION} SELECT home, max(md) AS model_day, count(*) AS days, round(avg(hot_kwh), 3) AS hot_kwh FROM a3 GROUP BY 1")
 def season_lock(spark, sf_dir):
-    rows = report.season_locked(_attributed(spark, sf_dir), HOME, 365)
+    days = report.season_locked(_off_days(spark, sf_dir), HOME, 365)
+    rows = _attribution(days)
     return rows.groupBy("home").agg(F.max("model_day").alias("model_day"), F.count(F.lit(1)).alias("days"), F.round(F.avg("hot_kwh"), 3).alias("hot_kwh"))
 
 
@@ -377,10 +394,10 @@ def baseline_offset(spark, sf_dir):
 
 
 @query(
-    f"WITH {C}, g AS (SELECT series_id, sec, value, sec - lag(sec) OVER w AS gap, value - lag(value) OVER w AS step FROM c WINDOW w AS (PARTITION BY series_id ORDER BY sec)), k AS (SELECT series_id, median(gap) AS cad FROM g WHERE gap > 0 GROUP BY 1) SELECT series_id, count(*) AS rows, min(sec) AS start, max(sec) AS \"end\", max(cad)::DOUBLE AS cadence_s, count(*) FILTER (gap > 1.5 * cad) AS gaps, count(*) FILTER (step < 0) AS negative, count(*) FILTER (step > 400) AS over FROM g JOIN k USING (series_id) GROUP BY 1"
+    f"WITH {C}, g AS (SELECT series_id, sec, value, sec - lag(sec) OVER w AS gap, value - lag(value) OVER w AS step FROM c WINDOW w AS (PARTITION BY series_id ORDER BY sec)), k AS (SELECT series_id, median(gap) AS cad FROM g WHERE gap > 0 GROUP BY 1) SELECT series_id, count(*) AS rows, min(sec) AS start, max(sec) AS \"end\", max(cad)::DOUBLE AS cadence_s, count(*) FILTER (gap > 1.5 * cad) AS gaps, count(*) FILTER (step < 0) AS negative, count(*) FILTER (step > 400) AS over, coalesce(count(*) FILTER (step < 0) >= 2 AND count(*) FILTER (step > 400) >= 2 AND abs(median(step) FILTER (step > 400) - median(-step) FILTER (step < 0)) <= greatest(400, 0.1 * greatest(median(step) FILTER (step > 400), median(-step) FILTER (step < 0))), false) AS mixed FROM g JOIN k USING (series_id) GROUP BY 1"
 )
 def cadence_audit(spark, sf_dir):
-    return quality.audit(meter_rows(spark, sf_dir), S, 400.0).drop("mixed")
+    return quality.audit(meter_rows(spark, sf_dir), S, 400.0)
 
 
 @query(
@@ -408,24 +425,18 @@ def weekly_mean(spark, sf_dir):
     return alignment.bucket_mean(means(spark, sf_dir), S, 604_800).select("series_id", "sec", r("value"), "n")
 
 
-@query(f"WITH {HOUSE}, v AS (SELECT home, d, q * 10 AS hlc FROM hd) SELECT home, d, CASE WHEN hlc < 100 THEN 'excellent' WHEN hlc < 180 THEN 'good' WHEN hlc < 280 THEN 'fair' WHEN hlc < 400 THEN 'poor' ELSE 'beyond' END AS band FROM v")
+@query(f"WITH {HOUSE}, v AS (SELECT home, d, q / delta_t * 1000 / 24 AS hlc FROM hd WHERE delta_t > 4) SELECT home, d, CASE WHEN hlc < 100 THEN 'excellent' WHEN hlc < 180 THEN 'good' WHEN hlc < 280 THEN 'fair' WHEN hlc < 400 THEN 'poor' ELSE 'beyond' END AS band FROM v")
 def gauge_bands(spark, sf_dir):
-    return house_days(spark, sf_dir).select("home", "d", report.band(F.col("q") * 10, report.HLC_BANDS).alias("band"))
+    """Bands of each day's own loss for a kelvin."""
+    days = house_days(spark, sf_dir).where("delta_t > 4")
+    return days.select("home", "d", report.band(F.col("q") / F.col("delta_t") * 1000 / 24, report.HLC_BANDS).alias("band"))
 
 
-@query(f"WITH {TAU}, s AS (SELECT room, median(tau_h) FILTER (rejection_reason IS NULL) AS tau_median_h FROM tf GROUP BY 1) SELECT room, tau_median_h, row_number() OVER (ORDER BY tau_median_h NULLS LAST, room)::INT AS place FROM s")
+@query(f"WITH {TAU}, s AS (SELECT room, median(tau_h) FILTER (rejection_reason IS NULL) AS tau_median_h FROM tf GROUP BY 1) SELECT room, tau_median_h, row_number() OVER (ORDER BY tau_median_h NULLS LAST, room)::INT AS place, CASE WHEN tau_median_h IS NOT NULL THEN row_number() OVER (ORDER BY tau_median_h DESC NULLS LAST, room)::INT END AS slowest_place FROM s")
 def room_rank(spark, sf_dir):
     return report.ranked(cooling.summary(_night_fits(spark, sf_dir), []).select("room", "tau_median_h"))
 
 
-@query(
-    "SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' OR lower(p_name) LIKE '%gas%' THEN 'gas' WHEN lower(p_name) LIKE '%water%' THEN 'water' WHEN p_brand LIKE '%1' THEN 'temperature' ELSE 'other' END AS category FROM part"
-)
-def entity_categorise(spark, sf_dir):
-    rules = [("gas", F.col("p_type").contains("STEEL") | F.lower("p_name").contains("gas")), ("water", F.lower("p_name").contains("water")), ("temperature", F.col("p_brand").endswith("1"))]
-    return table(spark, sf_dir, "part").select("p_partkey", report.first_rule(rules).alias("category"))
-
-
 @query(
     "WITH u AS (SELECT o_orderkey, o_totalprice AS v, CASE o_orderkey % 4 WHEN 0 THEN 'GBP/kWh' WHEN 1 THEN 'p / kWh' WHEN 2 THEN 'gbp/MWh' ELSE 'EUR/kWh' END AS unit FROM orders) SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 0 THEN v WHEN 1 THEN v / 100 WHEN 2 THEN v / 1000 END, 6) AS rate FROM u"
 )

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import heatloss, hotwater
-from ..thresholds import HeatLoss
+from ..functions.stats import change_pct
+from ..operators import air, heatloss, hotwater
+from ..thresholds import HeatLoss, HotWater
 
 #: Upper ends of gauge bands; the last has none.
 HLC_BANDS = [(100, "excellent"), (180, "good"), (280, "fair"), (400, "poor"), (None, "beyond")]
+VENTILATION_BANDS = [(120, "low"), (200, "usual"), (300, "high"), (None, "beyond")]
 ACH_BANDS = [(0.35, "tight"), (0.7, "usual"), (1.0, "leaky"), (None, "beyond")]
 
 
@@ -20,17 +24,83 @@ def band(value: Column, bands: list[tuple[float | None, str]]) -> Column:
     return F.when(value.isNotNull(), out)
 
 
-def first_rule(rules: list[tuple[str, Column]], other: str = "other") -> Column:
+def first_rule(rules: list[tuple[str, Column]], other: str | None = "other") -> Column:
     """The name of the first rule that holds."""
-    out = F.lit(other)
+    out = F.lit(other).cast("string")
     for name, holds in reversed(rules):
         out = F.when(holds, name).otherwise(out)
     return out
 
 
 def ranked(summary: DataFrame) -> DataFrame:
-    """Rooms by time constant, those without at the end; rooms of a home are few."""
-    return summary.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("tau_median_h"), "room")))
+    """Adds place, by time constant, those without at the end, and slowest_place,
+    the other way round and null without; rooms of a home are few."""
+    up = F.row_number().over(Window.orderBy(F.asc_nulls_last("tau_median_h"), "room"))
+    down = F.row_number().over(Window.orderBy(F.desc_nulls_last("tau_median_h"), "room"))
+    return summary.withColumns({"place": up, "slowest_place": F.when(F.col("tau_median_h").isNotNull(), down)})
+
+
+def fastest(summary: DataFrame, by: list[str], n: int = 2) -> DataFrame:
+    """(by, fastest): the ``n`` rooms that cool fastest, with a time constant, in order."""
+    known = summary.where("tau_median_h is not null")
+    order = F.array_sort(F.collect_list(F.struct("tau_median_h", "room")))
+    rooms = F.transform(F.slice(order, 1, n), lambda x: x["room"])
+    return known.groupBy(*by).agg(F.array_join(rooms, ", ").alias("fastest"))
+
+
+def decision(fabric: Column, ventilation: Column) -> Column:
+    """What to look at first."""
+    return (
+        F.when(fabric.isNull() | ventilation.isNull(), "no split available")
+        .when(fabric > 2 * ventilation, "fabric first")
+        .otherwise("ventilation matters")
+    )
+
+
+#: Words of names, in the order of the rules below.
+LOFT_HINTS, OUTDOOR_HINTS, GAS_HINTS = ("loft", "attic"), ("outdoor", "outside", "external", "garden", "balcony"), ("gas",)
+
+
+def categorised(entities: DataFrame) -> DataFrame:
+    """Adds category to entities (entity_id, friendly_name, device_class, unit);
+    null for those of no use. The first rule that holds decides."""
+    domain = F.substring_index("entity_id", ".", 1)
+    name = F.lower(F.coalesce(F.nullif("friendly_name", F.lit("")), F.col("entity_id")))
+    unit, kind = F.coalesce("unit", F.lit("")), F.coalesce("device_class", F.lit(""))
+    hinted = lambda words: reduce(lambda a, w: a | name.contains(w) | F.col("entity_id").contains(w), words, F.lit(False))
+    temperature = (kind == "temperature") | unit.isin("°C", "°F")
+    rate = (kind == "monetary") & F.lower(unit).contains("kwh")
+    sensor = first_rule(
+        [
+            ("loft_temperature", temperature & hinted(LOFT_HINTS)),
+            ("outdoor_temperature", temperature & hinted(OUTDOOR_HINTS)),
+            ("indoor_temperature", temperature),
+            ("heating_power", (unit == "%") & hinted(("heating",))),
+            ("energy", kind.isin("energy", "gas") | unit.isin("kWh", "m³")),
+            ("co2", kind == "carbon_dioxide"),
+            ("gas_rate", rate & hinted(GAS_HINTS)),
+        ],
+        None,
+    )
+    return entities.withColumn("category", F.when(domain.isin("climate", "weather"), domain).when(domain == "sensor", sensor))
+
+
+def drafted_rooms(found: DataFrame) -> DataFrame:
+    """(room, temp_series, heat_series): a room for each indoor temperature, with
+    the heating sensor of the same name; of equal names the last entity counts."""
+    bare = lambda c, suffix: F.regexp_replace(F.regexp_replace(c, "^sensor\\.", ""), suffix, "")
+    # endings go one after the other, as names may bear several
+    name = reduce(lambda c, s: F.regexp_replace(c, f"{s}$", ""), ("_temperature", "_temp", "_thermometer"), F.regexp_replace("entity_id", "^sensor\\.", ""))
+    rooms = found.where("category = 'indoor_temperature'").groupBy(name.alias("room")).agg(F.max("entity_id").alias("temp_series"))
+    heats = found.where("category = 'heating_power'").groupBy(bare("entity_id", "_heating$").alias("room")).agg(F.max("entity_id").alias("heat_series"))
+    return rooms.join(heats, "room", "left")
+
+
+def drafted_roles(found: DataFrame) -> DataFrame:
+    """(role, entity_id): the first entity of each role that a configuration has one of."""
+    roles = {"energy": "gas_kwh_entity", "gas_rate": "gas_unit_rate_entity", "outdoor_temperature": "outdoor_entity", "loft_temperature": "loft_entity", "co2": "co2_entity", "weather": "weather_entity"}
+    role = reduce(lambda c, r: c.when(F.col("category") == r[0], r[1]), roles.items(), F.when(F.lit(False), ""))
+    return found.withColumn("role", role).where("role is not null").groupBy("role").agg(F.min("entity_id").alias("entity_id"))
 
 
 def model_day(days: DataFrame, by: list[str], rule: HeatLoss = HeatLoss()) -> DataFrame:
@@ -47,12 +117,16 @@ def season_locked(days: DataFrame, by: list[str], window_days: int, rule: HeatLo
     return rows.where(F.col("model_day").isNull() | age.between(0, window_days))
 
 
-def suggested_rooms(thermostats: DataFrame) -> DataFrame:
-    """(area, temp_series, heat_series) of thermostat entities (area, entity_id,
-    kind): the first temperature; a heating sensor only if the area has just one."""
-    of = lambda k: F.when(F.col("kind") == k, F.col("entity_id"))
-    found = thermostats.groupBy("area").agg(F.min(of("temperature")).alias("temp_series"), F.min(of("heating")).alias("h"), F.countDistinct(of("heating")).alias("n"))
-    return found.where("temp_series is not null").select("area", "temp_series", F.when(F.col("n") == 1, F.col("h")).alias("heat_series"))
+def suggested_rooms(thermostats: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_id, area, temp_series, heat_series) of thermostats (entity_id,
+    device_id, area): the first smoothed temperature of the same device, and the
+    heating sensor of the same area if there is just one. ``entities``:
+    entity_id, device_id, area."""
+    smooth = entities.where(F.col("entity_id").endswith("_ema_temperature")).groupBy("device_id").agg(F.min("entity_id").alias("temp_series"))
+    power = entities.where(F.col("entity_id").endswith("_heating_power")).groupBy("area")
+    power = power.agg(F.min("entity_id").alias("h"), F.countDistinct("entity_id").alias("n"))
+    met = thermostats.join(smooth, "device_id", "left").join(power, "area", "left")
+    return met.select("entity_id", "area", "temp_series", F.when(F.col("n") == 1, F.col("h")).alias("heat_series"))
 
 
 def invalid_rooms(rooms: DataFrame) -> DataFrame:
@@ -63,24 +137,298 @@ def invalid_rooms(rooms: DataFrame) -> DataFrame:
     return marked.where("problem is not null").select("room", "problem")
 
 
-def composite(days: DataFrame, by: list[str], efficiency: float, area_m2: float, window_days: int = 365) -> DataFrame:
-    """One row a home: season-locked hot water, the raw and adjusted fits, the
-    delivered coefficient and its band. ``days`` has off, q, outdoor, delta_t,
-    water and heat_pct; a home keeps its row whatever a gate rejects."""
-    locked = season_locked(days, by, window_days)
-    base = hotwater.baseline(locked, by)
-    limits = hotwater.outlier_limit(locked, by)
-    rates = hotwater.water_rate(locked.join(limits, by, "left"), by, limit="limit")
-    known = base.select(*by, "baseline", "reference_c", F.col("status").alias("hot_water_status")).join(limits, by, "left")
-    known = known.join(rates.select(*by, F.when(F.col("usable"), F.col("rate")).alias("rate")), by, "left")
-    split = hotwater.attribute(locked.join(known, by, "left"))
-    raw = heatloss.fit(heatloss.fit_points(locked), by).select(*by, F.col("hlc").alias("fuel_input_hlc"), F.col("status").alias("fuel_input_status"))
-    net = heatloss.fit(heatloss.fit_points(split, hot_water="hot_kwh"), by)
-    out = locked.select(*by, "model_day").distinct().join(known, by, "left").join(raw, by, "left").join(net, by, "left")
-    delivered = F.col("hlc") * efficiency
+def complete_days(days: DataFrame, by: list[str]) -> DataFrame:
+    """Days before each home's last one, which isn't over, with that one as ``today``."""
+    marked = days.withColumn("today", F.max("d").over(Window.partitionBy(*by)))
+    return marked.where("d < today")
+
+
+def water_model(near: DataFrame, all_days: DataFrame, by: list[str], rule: HotWater = HotWater()) -> DataFrame:
+    """(by, baseline, ..., rate, rate_days, limit) of homes whose hot-water
+    baseline holds: baseline and rate from the days of ``near``, the limit of
+    litres from the last days of ``all_days``. The rate is null if unusable."""
+    limits = hotwater.outlier_limit(all_days, by)
+    rates = hotwater.water_rate(near.join(limits, by, "left"), by, rule, limit="limit")
+    usable = F.col("usable")
+    rates = rates.select(*by, F.when(usable, F.col("rate")).alias("rate"), F.when(usable, F.col("rate_days")).alias("rate_days"))
+    base = hotwater.baseline(near, by, rule).where("status <> 'invalid'")
+    return base.join(rates, by, "left").join(limits, by, "left")
+
+
+def attributed(days: DataFrame, model: DataFrame, by: list[str], rule: HotWater = HotWater()) -> DataFrame:
+    """Days of homes with a hot-water model, with hot_kwh, how, outlier and space_kwh."""
+    known = model.select(*by, "baseline", "reference_c", "rate", "limit")
+    rows = hotwater.attribute(days.join(known, by), rule)
+    return rows.withColumn("space_kwh", F.when(F.col("hot_kwh").isNotNull(), F.greatest(F.col("q") - F.col("hot_kwh"), F.lit(0.0))))
+
+
+def in_window(days: DataFrame, window_days: int) -> DataFrame:
+    return days.where(F.datediff("today", "d") <= window_days)
+
+
+def recent(value: str, age: str, days: int, least: int) -> Column:
+    """Aggregate: mean over rows whose ``age`` is below ``days``; null with fewer than ``least``."""
+    near = F.when((F.col(age) >= 0) & (F.col(age) < days), F.col(value))
+    return F.when(F.count(near) >= least, F.avg(near))
+
+
+def hot_water(days: DataFrame, by: list[str], window_days: int, rate: float, rule: HotWater = HotWater()) -> DataFrame:
+    """One row a home: baseline, rate, attribution counts, dates and costs."""
+    model = water_model(in_window(days, window_days), days, by, rule)
+    counts = attributed(days, model, by, rule).groupBy(*by).agg(
+        F.count_if((~F.col("off")) & (F.col("how") == "litres")).alias("water_days"),
+        F.count_if(F.col("how") == "mains").alias("fallback_days"),
+        F.count_if("outlier").alias("outlier_days"),
+        (F.avg("hot_kwh") * 365).alias("annual_kwh"),
+    )
+    dates = days.groupBy(*by).agg(
+        F.max("d").alias("latest_gas_day"),
+        F.max(F.when(F.col("water").isNotNull(), F.col("d"))).alias("latest_water_day"),
+        F.max("today").alias("today"),
+    )
+    out = dates.join(model, by, "left").join(counts, by, "left")
+    return out.select(
+        *by,
+        F.round("baseline", 2).alias("kwh_per_day"),
+        "status",
+        "days_used",
+        F.col("away_days").alias("low_water_days_excluded"),
+        F.round("idle_kwh", 2).alias("idle_gas"),
+        F.round("rate", 3).alias("water_rate"),
+        F.col("rate_days").alias("water_rate_days_used"),
+        "water_days",
+        "fallback_days",
+        "outlier_days",
+        F.round("limit", 0).alias("outlier_limit"),
+        "latest_gas_day",
+        "latest_water_day",
+        (F.datediff("today", "latest_water_day") - 1).alias("water_lag_days"),
+        F.round(F.col("baseline") * rate, 2).alias("cost_per_day"),
+        F.round(F.col("annual_kwh") * rate, 0).alias("cost_per_year"),
+        F.round("annual_kwh", 1).alias("annual_kwh"),
+    )
+
+
+def gas_use(days: DataFrame, by: list[str], window_days: int, rate: float, rule: HotWater = HotWater()) -> DataFrame:
+    """One row a home: hot water and space heating over the last 7 and 30 days."""
+    model = water_model(in_window(days, window_days), days, by, rule)
+    rows = attributed(days, model, by, rule).withColumn("age", F.datediff("today", "d") - 1)
+    out = rows.groupBy(*by).agg(
+        recent("hot_kwh", "age", 7, 5).alias("hot_7d"),
+        recent("hot_kwh", "age", 30, 20).alias("hot_30d"),
+        recent("space_kwh", "age", 7, 5).alias("space_7d"),
+        recent("space_kwh", "age", 30, 20).alias("space_30d"),
+        F.count_if(F.col("off") & F.col("hot_kwh").isNotNull()).alias("heating_off_days"),
+        F.count_if(~F.col("off") & F.col("hot_kwh").isNotNull()).alias("modelled_days"),
+        F.count_if(F.col("off") & F.col("heat_pct").isNotNull()).alias("from_power_days"),
+    )
+    rounded = lambda c: F.round(c, 2).alias(c)
+    return out.select(
+        *by,
+        *(rounded(c) for c in ("hot_7d", "hot_30d", "space_7d", "space_30d")),
+        F.round(F.col("hot_7d") * rate, 2).alias("hot_cost_7d"),
+        F.round(F.col("space_7d") * rate, 2).alias("space_cost_7d"),
+        "heating_off_days",
+        "modelled_days",
+        "from_power_days",
+    )
+
+
+def electricity_use(days: DataFrame, by: list[str], window_days: int, rate: float, least: int = 14) -> DataFrame:
+    """One row a home: baseload and use of the last 30 days against the 30
+    before; without enough days only how many there are and are needed."""
+    rows = in_window(days, window_days).where("kwh is not null")
+    rows = rows.withColumn("age", F.datediff(F.max("d").over(Window.partitionBy(*by)), "d"))
+    now = lambda c: F.when(F.col("age") < 30, F.col(c))
+    found = rows.groupBy(*by).agg(
+        F.count("kwh").alias("days"),
+        F.count(now("kwh")).alias("days_30d"),
+        F.count_if(F.col("age") < 7).alias("days_7d"),
+        F.avg(now("kwh")).alias("mean"),
+        F.avg("kwh").alias("historical"),
+        F.median(now("least")).alias("base"),
+        recent("kwh", "age", 7, 5).alias("last_7d"),
+        recent("kwh", "age", 30, 20).alias("last_30d"),
+        F.when(F.count_if(F.col("age").between(30, 59)) >= 20, F.avg(F.when(F.col("age").between(30, 59), F.col("kwh")))).alias("previous_30d"),
+        F.max("d").alias("latest_day"),
+    )
+    out = days.groupBy(*by).agg(F.max("today").alias("today")).join(found, by, "left")
+    usable = F.coalesce((F.col("days") >= least) & (F.col("days_30d") >= least), F.lit(False))
+    shown = lambda c, digits: F.round(F.when(usable, c), digits)
+    base, mean = F.col("base"), F.col("mean")
+    change = change_pct(F.col("last_30d"), F.col("previous_30d"))
     return out.select(
-        *by, "model_day", F.round("baseline", 2).alias("hot_water_kwh"), "hot_water_status", F.round("rate", 3).alias("water_rate"), F.round("fuel_input_hlc", 1).alias("fuel_input_hlc"), "fuel_input_status",
-        F.round(delivered, 1).alias("hlc_w_per_k"), F.round(F.col("ci_low") * efficiency, 1).alias("ci_low"), F.round(F.col("ci_high") * efficiency, 1).alias("ci_high"),
-        F.round(delivered / area_m2, 2).alias("hlc_per_m2"), F.round("r1", 2).alias("residual_autocorrelation"), F.round("effective_days", 0).alias("effective_days"),
-        F.coalesce("status", F.lit("invalid")).alias("status"), "rejection_reason", band(F.when(F.col("status") != "invalid", delivered), HLC_BANDS).alias("band"),
+        *by,
+        shown(base * 1000, 0).alias("baseload_w"),
+        shown(mean, 2).alias("kwh_per_day"),
+        shown(F.col("historical"), 2).alias("historical"),
+        shown(F.col("last_7d"), 2).alias("last_7d"),
+        shown(F.col("last_30d"), 2).alias("last_30d"),
+        shown(F.col("previous_30d"), 2).alias("previous_30d"),
+        shown(change, 1).alias("change_pct"),
+        shown(base * 24, 2).alias("baseload_kwh"),
+        shown(F.least(F.lit(100.0), F.try_divide(base * 24, mean) * 100), 1).alias("share_pct"),
+        shown(mean * 1000 / 24, 0).alias("implied_gains_w"),
+        shown(mean * rate, 2).alias("cost_day"),
+        shown(mean * rate * 365, 0).alias("cost_year"),
+        shown(base * 24 * rate * 365, 0).alias("baseload_cost_year"),
+        F.when(usable, F.col("days_7d")).alias("days_7d"),
+        F.when(usable, F.col("days_30d")).alias("days_30d"),
+        F.when(usable, F.col("latest_day")).alias("latest_day"),
+        F.when(usable, F.datediff("today", "latest_day") - 1).alias("lag_days"),
+        *unavailable(usable, F.coalesce("days", F.lit(0)), least),
     )
+
+
+def water_use(days: DataFrame, by: list[str], window_days: int, least: int = 5) -> DataFrame:
+    """One row a home: litres of the last 7 and 30 days, a typical day, days of
+    high use and their limit; without enough days how many there are and are needed."""
+    rows = in_window(days, window_days).where("water is not null")
+    limits = hotwater.outlier_limit(rows, by, min_days=least)
+    rows = rows.join(limits, by, "left").withColumn("age", F.datediff(F.max("d").over(Window.partitionBy(*by)), "d"))
+    near = F.when(F.col("age") < 30, F.col("water"))
+    found = rows.groupBy(*by).agg(
+        F.count("water").alias("days"),
+        recent("water", "age", 7, 5).alias("litres_7d"),
+        recent("water", "age", 30, 20).alias("litres_30d"),
+        F.when(F.count(near) >= 20, F.median(near)).alias("typical_30d"),
+        F.count_if((F.col("age") < 30) & (F.col("water") > F.col("limit"))).alias("high_days"),
+        F.max("limit").alias("limit"),
+        F.count_if(F.col("age") < 7).alias("days_7d"),
+        F.count(near).alias("days_30d"),
+        F.max("d").alias("latest_day"),
+    )
+    out = days.groupBy(*by).agg(F.max("today").alias("today")).join(found, by, "left")
+    usable = F.coalesce((F.col("days") >= least) & F.col("litres_7d").isNotNull(), F.lit(False))
+    shown = lambda c, digits: F.round(F.when(usable, F.col(c)), digits)
+    return out.select(
+        *by,
+        shown("litres_7d", 1).alias("litres_7d"),
+        shown("litres_30d", 1).alias("litres_30d"),
+        shown("typical_30d", 1).alias("typical_30d"),
+        F.when(usable, F.col("high_days")).alias("high_usage_days"),
+        shown("limit", 0).alias("threshold"),
+        F.when(usable, F.col("latest_day")).alias("latest_day"),
+        F.when(usable, F.datediff("today", "latest_day") - 1).alias("lag_days"),
+        F.when(usable, F.col("days_7d")).alias("days_7d"),
+        F.when(usable, F.col("days_30d")).alias("days_30d"),
+        *unavailable(usable, F.coalesce("days", F.lit(0)), least),
+    )
+
+
+def unavailable(usable: Column, have: Column, need: int) -> list[Column]:
+    """Columns usable_days, required_days and unavailable_reason of a value that isn't shown."""
+    return [
+        F.when(~usable, have).alias("usable_days"),
+        F.when(~usable, F.lit(need)).alias("required_days"),
+        F.when(~usable & (have < need), F.format_string("%d of %d days", have.cast("int"), F.lit(need))).when(~usable, "too few recent days").alias("unavailable_reason"),
+    ]
+
+
+def heat_loss(days: DataFrame, by: list[str], efficiency: float, area_m2: float, windows: list[int], rule: HeatLoss = HeatLoss(), water: HotWater = HotWater()) -> DataFrame:
+    """One row a home: the coefficient delivered, its limits and what it rests
+    on, held at the last heated day; homes keep their row whatever a gate rejects.
+
+    All inputs end at that day before anything is estimated from them, so later
+    days move nothing. All fits run in one pass over (home, fit) groups: raw
+    energy, without hot water, and the latter over each shorter window, of which
+    the first that passes counts as recent.
+    """
+    window_days = windows[-1]
+    last = model_day(in_window(days, window_days), by, rule)
+    locked = days.join(last, by, "left").where("model_day is null or d <= model_day")
+    age = F.datediff(F.coalesce("model_day", "today"), "d")
+    near = locked.where(age <= window_days)
+    model = water_model(near, locked, by, water)
+    rows = near.join(model.select(*by, "baseline", "reference_c", "rate", "limit"), by, "left")
+    rows = hotwater.attribute(rows, water).withColumn("hot_kwh", F.when(F.col("baseline").isNotNull(), F.col("hot_kwh")))
+    kinds = F.array(
+        F.struct(F.lit("raw").alias("fit"), F.lit(0.0).alias("hot")),
+        F.struct(F.lit("net").alias("fit"), F.col("hot_kwh").alias("hot")),
+        *(F.when(F.col("model_day").isNotNull() & (age <= w), F.struct(F.lit(f"{w}").alias("fit"), F.col("hot_kwh").alias("hot"))) for w in windows[:-1]),
+    )
+    fits = heatloss.fit(heatloss.fit_points(rows.select(*by, "d", "q", "delta_t", F.inline(F.array_compact(kinds))), rule, hot_water="hot"), [*by, "fit"], rule)
+    passed = fits.where("rejection_reason is null")
+    # a home without a hot-water model has no net fit of its own
+    values = ["hlc", "ci_low", "ci_high", "r2", "n", "r1", "effective_days", "free_gains_w", "intercept", "status"]
+    of = lambda kind: F.max(F.when(F.col("fit") == kind, F.struct(*values)))
+    short = F.min(F.when(F.col("fit").rlike("^[0-9]+$"), F.struct(F.col("fit").cast("int").alias("w"), "hlc", "n")))
+    wide = passed.groupBy(*by).agg(of("raw").alias("raw"), of("net").alias("net"), short.alias("short"))
+    why = fits.where("fit = 'raw'").select(*by, F.col("rejection_reason").alias("why"))
+    out = days.select(*by).distinct().join(last, by, "left").join(model.select(*by, "baseline", "days_used"), by, "left").join(wide, by, "left").join(why, by, "left")
+    shown = F.col("raw").isNotNull()
+    best = F.when(shown, F.when(F.col("baseline").isNotNull() & F.col("net").isNotNull(), F.col("net")).otherwise(F.col("raw")))
+    corrected = shown & F.col("baseline").isNotNull() & F.col("net").isNotNull()
+    delivered = best["hlc"] * efficiency
+    return out.select(
+        *by,
+        F.round(delivered, 1).alias("hlc_w_per_k"),
+        F.coalesce(best["status"], F.lit("invalid")).alias("status"),
+        F.round(best["r2"], 3).alias("r_squared"),
+        best["n"].alias("days_used"),
+        F.when(shown, F.lit(window_days)).alias("window_days"),
+        F.round(best["ci_low"] * efficiency, 1).alias("ci_low"),
+        F.round(best["ci_high"] * efficiency, 1).alias("ci_high"),
+        F.round(best["r1"], 2).alias("residual_autocorrelation"),
+        F.round(best["effective_days"], 0).alias("effective_independent_days"),
+        F.round(best["free_gains_w"] * efficiency, 0).alias("free_gains_w"),
+        F.round("raw.hlc", 1).alias("fuel_input_hlc"),
+        F.round(best["hlc"], 1).alias("space_heating_fuel_input_hlc"),
+        F.when(shown, F.lit(efficiency)).alias("boiler_efficiency_used"),
+        F.round(best["intercept"], 1).alias("regression_intercept"),
+        F.round(delivered / area_m2, 2).alias("hlc_per_m2"),
+        F.when(shown, F.round("baseline", 1)).alias("dhw_baseline"),
+        F.when(shown, F.col("days_used")).alias("dhw_baseline_days_used"),
+        F.when(shown, F.col("model_day")).alias("model_data_through"),
+        F.round(F.when(shown, F.col("short.hlc")) * efficiency, 1).alias("recent_hlc"),
+        F.when(shown, F.col("short.w")).alias("recent_window_days"),
+        F.when(shown, F.col("short.n")).alias("recent_days_used"),
+        F.round(F.when(corrected, delivered), 1).alias("space_heating_hlc"),
+        band(delivered, HLC_BANDS).alias("band"),
+        F.when(~shown, F.coalesce("why", F.lit("no usable days"))).alias("unavailable_reason"),
+    )
+
+
+def losses(loss: DataFrame, air_changes: DataFrame, by: list[str], area_m2: float, ceiling_m: float) -> DataFrame:
+    """One row a home: air changes (by, ach, windows, baseline, sensors,
+    baseline_source), the loss they make of the home's volume, what the fabric
+    loses, with bands and what to look at first. ``loss`` has hlc_w_per_k."""
+    met = loss.select(*by, "hlc_w_per_k").join(air_changes, by, "left")
+    split = air.split_losses(met, "hlc_w_per_k", "ach", F.lit(area_m2 * ceiling_m))
+    rounded = lambda c, digits: F.round(c, digits).alias(c)
+    return split.select(
+        *by,
+        rounded("ach", 3),
+        "windows",
+        F.round("baseline", 0).alias("baseline_ppm"),
+        F.col("sensors").alias("sensors_used"),
+        "baseline_source",
+        rounded("ventilation_w_per_k", 1),
+        rounded("fabric_w_per_k", 1),
+        rounded("share_pct", 1),
+        F.col("hlc_w_per_k").alias("hlc_delivered"),
+        band(F.col("ach"), ACH_BANDS).alias("ach_band"),
+        band(F.col("ventilation_w_per_k"), VENTILATION_BANDS).alias("ventilation_band"),
+        decision(F.col("fabric_w_per_k"), F.col("ventilation_w_per_k")).alias("decision"),
+    )
+
+
+def recency(loss: DataFrame, by: list[str]) -> DataFrame:
+    """(by, recent_change_pct): the recent coefficient against the full window's."""
+    return loss.select(*by, F.round(change_pct(F.col("recent_hlc"), F.col("hlc_w_per_k")), 1).alias("recent_change_pct"))
+
+
+def composite(days: DataFrame, by: list[str], efficiency: float, area_m2: float, gas_rate: float, electricity_rate: float, windows: list[int] = [60, 120, 365]) -> DataFrame:  # noqa: B006
+    """The whole report, one row a home: heat loss, hot water, gas, electricity
+    and water use, their columns prefixed by hlc_, dhw_, gas_, elec_ and water_."""
+    parts = {
+        "hlc": heat_loss(days, by, efficiency, area_m2, windows),
+        "dhw": hot_water(days, by, windows[-1], gas_rate),
+        "gas": gas_use(days, by, windows[-1], gas_rate),
+        "elec": electricity_use(days, by, windows[-1], electricity_rate),
+        "water": water_use(days, by, windows[-1]),
+    }
+    out = days.select(*by).distinct()
+    for prefix, part in parts.items():
+        out = out.join(part.select(*by, *(F.col(c).alias(f"{prefix}_{c.removeprefix('hlc_')}") for c in part.columns if c not in by)), by, "left")
+    return out

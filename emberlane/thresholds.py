@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date
 
 
 @dataclass(frozen=True)
@@ -82,7 +83,8 @@ BOILER_EFFICIENCY = 0.88
 
 @dataclass(frozen=True)
 class Home:
-    """Configuration of one home, with its bounds."""
+    """Configuration of one home, with its bounds. Numbers and the date may come
+    as text, as a form gives them."""
 
     rooms: dict[str, str]
     timezone: str = "Europe/London"
@@ -93,18 +95,29 @@ class Home:
     boiler_efficiency: float = BOILER_EFFICIENCY
     window_days: int = 365
     co2_series: list[str] = field(default_factory=list)
+    loft_since: date | None = None
 
     def __post_init__(self):
         if not self.rooms:
             raise ValueError("at least one room is needed")
         if isinstance(self.co2_series, str):  # an older form has a single id
             object.__setattr__(self, "co2_series", [self.co2_series])
+        for name in ("floor_area_m2", "ceiling_m", "outdoor_ppm", "away_litres", "boiler_efficiency"):
+            if (value := getattr(self, name)) is not None:
+                object.__setattr__(self, name, float(value))
+        object.__setattr__(self, "window_days", int(float(self.window_days)))
+        if isinstance(self.loft_since, str):
+            object.__setattr__(self, "loft_since", date.fromisoformat(self.loft_since))
         limits = {"floor_area_m2": (1, 2000), "ceiling_m": (1.8, 10), "outdoor_ppm": (350, 550), "away_litres": (0, 2000), "boiler_efficiency": (0.5, 1), "window_days": (30, 730)}
         for name, (low, high) in limits.items():
             value = getattr(self, name)
             if value is not None and not low <= float(value) <= high:
                 raise ValueError(f"{name} must lie in {low}..{high}")
 
+    def loft_cutoff(self, since: date) -> date:
+        """First day of loft readings: a sensor that moved there counts from then on."""
+        return max(since, self.loft_since) if self.loft_since else since
+
     def windows(self) -> list[int]:
         """Lookback windows to try, shortest first."""
         return [d for d in (60, 120, 365) if d < self.window_days] + [self.window_days]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlane.functions import stats
-from emberlane.operators import air, alignment, cooling, daily, heatloss, hotwater, meters, quality, usage
+from emberlane.operators import air, alignment, cooling, daily, heatloss, hotwater, meters, offline, quality, usage
 from emberlane.plans import report
 from emberlane.sources import telemetry
 from emberlane.streaming import ingest
@@ -241,9 +241,182 @@ def test_cache_upsert_and_merge(spark, tmp_path):
     for _ in range(2):
         telemetry.save(rows([(3600, 12.5)]), path)
     assert sorted((r.sec, r.value) for r in spark.read.parquet(path).collect()) == [(0, 10.0), (3600, 12.5)]
-    both = rows([(k * 3600, 100 + k) for k in range(4)]).union(spark.createDataFrame([("s", "rest", k * 3600, 1100.0 + k) for k in range(4)]))
-    merged, rejected = quality.merge_cumulative(both, ["series_id"], ["lts", "rest"], 1800)
-    assert sorted(r.value for r in merged.collect()) == [100, 101, 102, 103] and not rejected
+
+
+def cache(spark, rows):
+    return spark.createDataFrame([(*r[:3], float(r[3])) for r in rows], "home string, source string, sec long, value double")
+
+
+def test_merge_takes_proven_offsets_and_tells_what_it_rejects(spark):
+    hours = range(6)
+    rows = [("a", "lts", k * 3600, 100 + k) for k in hours] + [("a", "rest", k * 3600 + 60, 1100 + k) for k in range(3, 8)]
+    rows += [("b", "lts", k * 3600, 50 + k) for k in hours] + [("b", "rest", k * 3600, 70 + 9 * k) for k in hours]  # no constant offset
+    rows += [("c", "own", k * 3600, k) for k in range(9)] + [("c", "rest", k * 3600, 5 + k) for k in range(4)]  # no lts: the widest
+    merged, decisions = quality.merge_cumulative(cache(spark, rows), ["home"])
+    told = {(r.home, r.source): (r.used, r.anchor, r.offset) for r in decisions.collect()}
+    assert told[("a", "rest")] == (True, False, 1000.0) and told[("b", "rest")][0] is False
+    assert told[("c", "own")] == (True, True, 0.0) and told[("c", "rest")] == (True, False, 5.0)
+    values = {}
+    for r in merged.collect():
+        values.setdefault(r.home, {})[r.sec] = r.value
+    assert values["b"] == {k * 3600: 50.0 + k for k in hours} and values["c"] == {k * 3600: float(k) for k in range(9)}
+    assert values["a"][7 * 3600 + 60] == 107.0 and len(values["a"]) == 11
+
+
+def test_load_policy(spark):
+    rows = [("a", "lts", 0, 1, "cumulative"), ("a", "rest", 0, 1, "cumulative"), ("b", "rest", 0, 1, "cumulative"), ("b", "x", 0, 2, "measurement"), ("b", "x", 60, 2, "measurement")]
+    rows += [("c", "lts", 0, 1, "measurement"), ("c", "rest", 0, 2, None), ("d", "own", 0, 3, None)]
+    table = spark.createDataFrame([(a, b, c, float(d), e) for a, b, c, d, e in rows], "home string, source string, sec long, value double, kind string")
+    found = {r.home: (r.policy, r.preferred) for r in quality.load_policy(table, ["home"]).collect()}
+    assert found == {"a": ("merge cumulative", None), "b": ("one source", "x"), "c": ("merge measurements", None), "d": ("merge measurements", None)}
+    got = sorted(tuple(r) for r in quality.load(table, ["home"]).collect())
+    assert got == [("a", 0, 1.0), ("b", 0, 2.0), ("b", 60, 2.0), ("c", 0, 2.0), ("d", 0, 3.0)]  # rest wins in c
+    assert [tuple(r) for r in quality.load(table, ["home"], "rest").where("home = 'b'").collect()] == [("b", 0, 1.0)]
+
+
+def test_repair_refuses_mixed_baselines(spark):
+    rows = [("a", "x", k * 3600, v, 1) for k, v in enumerate([100, 1100, 101, 1101, 102, 1102])]
+    rows += [("a", "y", 0, 5, 1), ("a", "y", 0, 6, 2), ("a", "y", 3600, 7, 1), ("a", "z", 0, float("nan"), 1)]
+    table = spark.createDataFrame([(*r[:3], float(r[3]), r[4]) for r in rows], "home string, source string, sec long, value double, seq long")
+    clean, statuses = quality.repair(table, ["home"], 40.0)
+    assert {r.source: (r.status, r.rows) for r in statuses.collect()} == {"x": ("refused", None), "y": ("rewritten", 2), "z": ("missing", None)}
+    assert sorted((r.source, r.sec, r.value) for r in clean.collect()) == [("y", 0, 6.0), ("y", 3600, 7.0)]
+
+
+def test_saves_keep_one_row_of_a_stamp(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = lambda x: spark.createDataFrame([("s", "lts", *r) for r in x], "series_id string, source string, sec long, value double, seq long")
+    telemetry.save(rows([(0, 1.0, 1), (0, 3.0, 3), (0, 2.0, 2)]), path, kind="cumulative")
+    assert [(r.value, r.kind) for r in spark.read.parquet(path).collect()] == [(3.0, "cumulative")]
+    telemetry.save(rows([(0, 9.0, 1), (0, 8.0, 2), (60, 5.0, 1)]), path)
+    assert sorted((r.sec, r.value) for r in spark.read.parquet(path).collect()) == [(0, 8.0), (60, 5.0)]
+    assert [tuple(r) for r in telemetry.available_sources(spark.read.parquet(path)).collect()] == [("s", ["lts"])]
+
+
+def test_files_that_may_be_absent(spark, tmp_path):
+    assert telemetry.read_csv_cache(spark, str(tmp_path / "none.csv"), "s") is None
+    (tmp_path / "some.csv").write_text("timestamp,value\n2026-01-01T00:00:00Z,4\n")
+    assert telemetry.read_csv_cache(spark, str(tmp_path / "some.csv"), "s").first().value == 4.0
+    assert telemetry.read_sidecar(spark, str(tmp_path / "none.json")) == {}
+    (tmp_path / "bad.json").write_text("{nothing")
+    (tmp_path / "good.json").write_text('{"kind": "cumulative", "rows": 3}')
+    assert telemetry.read_sidecar(spark, str(tmp_path / "bad.json")) == {}
+    assert telemetry.read_sidecar(spark, str(tmp_path / "good.json")) == {"kind": "cumulative", "rows": 3}
+    for k, rows in enumerate([[(0, 1.0), (1, 2.0)], [(1, 5.0), (2, 3.0)]]):
+        spark.createDataFrame(rows, "sec long, value double").write.parquet(str(tmp_path / f"slice{k}"))
+    both = telemetry.read_chunks(spark, [str(tmp_path / f"slice{k}") for k in (0, 1)], ["sec"])
+    assert sorted(tuple(r) for r in both.collect()) == [(0, 1.0), (1, 5.0), (2, 3.0)]
+    config = spark.createDataFrame([("rooms", ["a", "FILL_ME_IN", "", None]), ("loft", ["a"])], "role string, series_ids array<string>")
+    assert sorted(tuple(r) for r in telemetry.wanted_ids(config).collect()) == [("loft", "a"), ("rooms", "a")]
+
+
+def test_first_statistics_row_of_a_stamp_stays(spark):
+    rows = spark.createDataFrame([("s", 3600.0, 1.0, None), ("s", 3600.0, 2.0, None)], "series_id string, start double, mean double, sum double").coalesce(1)
+    assert [r.value for r in telemetry.read_statistics(rows).collect()] == [1.0]
+
+
+def test_outliers_count_without_a_rate(spark):
+    rows = [("h", date(2026, 1, k), False, 20.0, 5.0, w, 10.0, 12.0, None, 300.0) for k, w in ((1, 900.0), (2, 100.0), (3, None))]
+    rows.append(("h", date(2026, 1, 4), True, 20.0, 5.0, 900.0, 10.0, 12.0, None, 300.0))
+    df = spark.createDataFrame(rows, "home string, d date, off boolean, q double, outdoor double, water double, baseline double, reference_c double, rate double, limit double")
+    got = [(r.how, r.outlier) for r in hotwater.attribute(df).orderBy("d").collect()]
+    assert got == [("mains", True), ("mains", False), ("mains", False), ("off", False)]
+
+
+def test_outdoor_air_is_of_the_home(spark):
+    rows = spark.createDataFrame([(h, "in", k, 500.0 + k) for h in "ab" for k in range(5)], "home string, series_id string, sec long, value double")
+    outside = spark.createDataFrame([("a", 0, 410.0), ("a", 1, 430.0)], "home string, sec long, value double")
+    found = {r.home: (r.baseline, r.baseline_source) for r in air.baseline_ppm(rows, ["home", "series_id"], measured=outside).collect()}
+    assert found == {"a": (420.0, "sensor"), "b": (500.0, "percentile")}
+
+
+def test_change_is_against_what_was_before(spark):
+    row = spark.range(1).select(stats.change_pct(F.lit(3.0), F.lit(-2.0)).alias("a"), stats.change_pct(F.lit(3.0), F.lit(0.0)).alias("b")).first()
+    assert row.a == -250.0 and row.b is None
+
+
+def cooled(tau, hours, step=300, out=2.0, first=20.0):
+    return [out + (first - out) * math.exp(-k * step / 3600 / tau) for k in range(int(hours * 3600 / step) + 1)]
+
+
+def test_nights_across_midnight(spark):
+    start = sec(2026, 1, 5, 22)
+    rows = [("den", start + k * 300, v) for k, v in enumerate(cooled(30.0, 34))]
+    room = spark.createDataFrame(rows, "room string, sec long, value double")
+    outdoor = spark.createDataFrame([(r[0], r[1], 2.0) for r in rows], "room string, sec long, value double")
+    fits = cooling.fit_tau(cooling.long_nights(room, outdoor, ["room"], "UTC")).orderBy("d").collect()
+    assert [(r.d, r.tau_h, r.rejection_reason, r.n_points) for r in fits] == [(date(2026, 1, 5), 30.0, None, 85), (date(2026, 1, 6), 30.0, None, 85)]
+    heat = room.withColumn("value", F.when(F.col("sec") < sec(2026, 1, 6, 12), 50.0).otherwise(0.0))
+    told = {r.d: r.rejection_reason for r in cooling.long_nights(room, outdoor, ["room"], "UTC", heat=heat).collect()}
+    assert told == {date(2026, 1, 5): "heated", date(2026, 1, 6): None}
+    rooms = spark.createDataFrame([("den",), ("hall",)], "room string")
+    found = {r.room: (r.nights_fitted, r.tau_median_h) for r in cooling.summary(spark.createDataFrame(fits, "room string, d date, points array<struct<sec:long,temp:double,out:double>>, n_points long, rejection_reason string, tau_h double, sse double, r2 double"), [], rooms).collect()}
+    assert found == {"den": (2, 30.0), "hall": (0, None)}
+
+
+def test_offline_fit_and_its_notes(spark):
+    dt = [4.5 + k * 0.3 for k in range(40)]
+    days = days_frame(spark, [10 + 5.76 * x for x in dt], dt).withColumn("home", F.lit("h"))
+    heat, delta = days.select("home", "d", "q"), days.select("home", "d", "delta_t")
+    good = offline.fit_joined(heat, delta, ["home"]).first()
+    assert good.note is None and good.hlc == pytest.approx(240.0)
+    few = offline.fit_joined(heat.orderBy("d").limit(10), delta, ["home"]).first()
+    assert few.hlc is None and few.note == "Fewer than 20 usable heating days"
+    zones = spark.createDataFrame([("s", k * 3600, 50.0) for k in range(24)] + [("t", k * 3600, 100.0) for k in range(24)], "series_id string, sec long, value double")
+    assert offline.zone_heat_kwh(zones, 28.0, [], "UTC").first().q == pytest.approx(0.75 * 28 * 24)
+
+
+def test_categories_in_order(spark):
+    rows = [("sensor.loft_outdoor_temp", None, "temperature", "°C"), ("sensor.x", "Garden air", "temperature", None), ("sensor.den_temperature", None, None, "°F"), ("sensor.den_heating", "Den", None, "%"), ("sensor.meter", "Meter", "gas", "m³"), ("sensor.air", "", "carbon_dioxide", "ppm"), ("sensor.tariff", "Gas price", "monetary", "GBP/kWh"), ("sensor.power_price", "Price", "monetary", "GBP/kWh"), ("climate.den", None, None, None), ("light.gas", None, "gas", "kWh")]
+    found = report.categorised(spark.createDataFrame(rows, "entity_id string, friendly_name string, device_class string, unit string"))
+    got = {r.entity_id: r.category for r in found.collect()}
+    assert list(map(got.get, (r[0] for r in rows))) == ["loft_temperature", "outdoor_temperature", "indoor_temperature", "heating_power", "energy", "co2", "gas_rate", None, "climate", None]
+    assert [tuple(r) for r in report.drafted_rooms(found).collect()] == [("den", "sensor.den_temperature", "sensor.den_heating")]
+    assert {tuple(r) for r in report.drafted_roles(found).collect()} >= {("gas_kwh_entity", "sensor.meter"), ("co2_entity", "sensor.air")}
+
+
+def season(first, n, home="a"):
+    rows = []
+    for k in range(n):
+        outdoor = 12 - 10 * math.sin(k / 200 * math.pi)
+        dt = 20 - outdoor
+        off = dt < 9
+        rows.append((home, first + timedelta(days=k), off, 10.0 + (0 if off else 5.76 * dt), outdoor, dt, 300.0, 0.0 if off else 50.0, 8.0 + k % 3, 0.1))
+    return rows
+
+
+DAYS = "home string, d date, off boolean, q double, outdoor double, delta_t double, water double, heat_pct double, kwh double, least double"
+
+
+def test_summer_moves_nothing_of_the_heating_model(spark):
+    rows = season(date(2025, 9, 1), 200)
+    last = max(r[1] for r in rows if not r[2])
+    rows = [r for r in rows if r[1] <= last]
+    summer = [("a", last + timedelta(days=k), True, 60.0 + k, 22.0, -2.0, 2000.0, 0.0, 8.0, 0.1) for k in range(1, 41)]
+    of = lambda x: report.heat_loss(report.complete_days(spark.createDataFrame(x + [("a", x[-1][1] + timedelta(days=1), True, 1.0, 20.0, 0.0, 1.0, 0.0, 1.0, 0.1)], DAYS), ["home"]), ["home"], 0.9, 100.0, [60, 120, 365]).first()
+    before, after = of(rows), of(rows + summer)
+    assert before == after and before.model_data_through == last
+    assert before.recent_window_days == 60 and before.recent_days_used >= 20
+
+
+def test_reports_tell_what_is_missing(spark):
+    rows = season(date(2025, 9, 1), 200) + [("b", date(2025, 9, 1) + timedelta(days=k), True, 5.0, 15.0, 2.0, None, None, 3.0 if k < 4 else None, 0.1) for k in range(12)]
+    days = report.complete_days(spark.createDataFrame(rows, DAYS), ["home"])
+    power = {r.home: r for r in report.electricity_use(days, ["home"], 365, 0.25).collect()}
+    assert power["b"].unavailable_reason == "4 of 14 days" and power["b"].kwh_per_day is None
+    assert power["a"].unavailable_reason is None and power["a"].kwh_per_day == 9.0 and power["a"].lag_days == 0
+    water = {r.home: r for r in report.water_use(days, ["home"], 365).collect()}
+    assert water["b"].unavailable_reason == "0 of 5 days" and (water["a"].litres_7d, water["a"].threshold) == (300.0, 900.0)
+    hot = {r.home: r for r in report.hot_water(days, ["home"], 365, 0.07).collect()}
+    assert hot["a"].kwh_per_day == 10.0 and hot["a"].status == "provisional" and hot["b"].kwh_per_day == 5.0 and hot["b"].latest_water_day is None
+
+
+def test_what_to_look_at_first(spark):
+    df = spark.createDataFrame([(300.0, 100.0), (150.0, 100.0), (None, 100.0)], "f double, v double")
+    assert [r.x for r in df.select(report.decision(F.col("f"), F.col("v")).alias("x")).collect()] == ["fabric first", "ventilation matters", "no split available"]
+    rooms = spark.createDataFrame([("den", 20.0), ("hall", None), ("bath", 9.0), ("loft", 12.0)], "room string, tau_median_h double")
+    assert report.fastest(rooms, []).first().fastest == "bath, loft"
+    assert {r.room: (r.place, r.slowest_place) for r in report.ranked(rooms).collect()} == {"bath": (1, 3), "loft": (2, 2), "den": (3, 1), "hall": (4, None)}
 
 
 def test_normalised_stamps(spark):
@@ -271,32 +444,35 @@ def test_trailing_windows(spark):
 
 
 def test_composite_keeps_every_home(spark):
-    first = date(2025, 9, 1)
-    rows = []
-    for k in range(200):
-        outdoor = 12 - 10 * math.sin(k / 200 * math.pi)
-        dt = 20 - outdoor
-        rows.append(("a", first + timedelta(days=k), dt < 9, 10.0 + (5.76 * dt if dt >= 9 else 0), outdoor, dt, 300.0, 0.0 if dt < 9 else 50.0))
-    rows.append(("b", first, True, 5.0, 15.0, 2.0, None, None))
-    df = spark.createDataFrame(rows, "home string, d date, off boolean, q double, outdoor double, delta_t double, water double, heat_pct double")
-    out = {r.home: r for r in report.composite(df, ["home"], 0.9, 100.0).collect()}
-    assert set(out) == {"a", "b"} and out["b"].status == "invalid"
-    assert out["a"].status == "valid" and abs(out["a"].hlc_w_per_k - 0.9 * 240) < 20 and out["a"].band in ("fair", "good")
+    rows = season(date(2025, 9, 1), 200) + [("b", date(2025, 9, 1) + timedelta(days=k), True, 5.0, 15.0, 2.0, None, None, None, None) for k in range(2)]
+    days = report.complete_days(spark.createDataFrame(rows, DAYS), ["home"])
+    out = {r.home: r for r in report.composite(days, ["home"], 0.9, 100.0, 0.07, 0.25).collect()}
+    assert set(out) == {"a", "b"} and out["b"].hlc_status == "invalid" and out["b"].hlc_unavailable_reason == "no usable days"
+    assert out["a"].hlc_status == "valid" and abs(out["a"].hlc_w_per_k - 0.9 * 240) < 20 and out["a"].hlc_band in ("fair", "good")
+    assert out["a"].dhw_kwh_per_day == 10.0 and out["a"].elec_kwh_per_day == 9.0
 
 
 def test_home_bounds():
     assert Home({"r": "t"}, co2_series="one").co2_series == ["one"]
     assert Home({"r": "t"}, window_days=100).windows() == [60, 100]
     assert Home({"r": "t"}, away_litres=0).away_litres == 0
-    for bad in ({"rooms": {}}, {"rooms": {"r": "t"}, "ceiling_m": 1.0}, {"rooms": {"r": "t"}, "boiler_efficiency": 1.2}):
+    typed = Home({"r": "t"}, floor_area_m2="80", window_days="90", loft_since="2026-01-02")
+    assert (typed.floor_area_m2, typed.window_days) == (80.0, 90) and typed.loft_cutoff(date(2025, 1, 1)) == date(2026, 1, 2)
+    for bad in ({"rooms": {"r": "t"}, "loft_since": "soon"}, {"rooms": {}}, {"rooms": {"r": "t"}, "ceiling_m": 1.0}, {"rooms": {"r": "t"}, "boiler_efficiency": 1.2}):
         with pytest.raises(ValueError):
             Home(**bad)
     assert HeatLoss().bounds == (10.0, 1500.0) and Meter().coverage == 0.9
 
 
 def test_rooms_of_thermostats(spark):
-    found = spark.createDataFrame([("den", "t1", "temperature"), ("den", "h1", "heating"), ("hall", "t2", "temperature"), ("hall", "h2", "heating"), ("hall", "h3", "heating"), ("attic", "h4", "heating")], "area string, entity_id string, kind string")
-    assert {tuple(r) for r in report.suggested_rooms(found).collect()} == {("den", "t1", "h1"), ("hall", "t2", None)}
+    thermostats = spark.createDataFrame([("climate.den", "d1", "den"), ("climate.hall", "d2", "hall"), ("climate.new", None, None)], "entity_id string, device_id string, area string")
+    entities = spark.createDataFrame(
+        [("sensor.b_ema_temperature", "d1", "den"), ("sensor.a_ema_temperature", "d1", "den"), ("sensor.t", "d1", "den"), ("sensor.den_heating_power", "d9", "den")]
+        + [("sensor.h1_heating_power", "d2", "hall"), ("sensor.h2_heating_power", "d2", "hall"), ("sensor.c_ema_temperature", "d3", "hall")],
+        "entity_id string, device_id string, area string",
+    )
+    found = {r.entity_id: (r.area, r.temp_series, r.heat_series) for r in report.suggested_rooms(thermostats, entities).collect()}
+    assert found == {"climate.den": ("den", "sensor.a_ema_temperature", "sensor.den_heating_power"), "climate.hall": ("hall", None, None), "climate.new": (None, None, None)}
     names = spark.createDataFrame([("Living room",), ("living-room",), ("??",), ("den",)], "room string")
     assert {tuple(r) for r in report.invalid_rooms(names).collect()} == {("Living room", "duplicate"), ("living-room", "duplicate"), ("??", "empty")}
 
