@@ -5,7 +5,7 @@ repeated lines and three-word windows) and from them a vector of transformed
 statistics. The minimum-covariance-determinant estimate of its mean and
 covariance is found for each language and source, each language and all texts:
 concentration steps run from ``STARTS`` starts at once until no determinant
-changes, and the start with the least determinant counts. Documents whose
+falls, and the start with the least determinant counts. Documents whose
 squared Mahalanobis distance from their group's estimate is over ``cutoff`` are
 rejected.
 
@@ -195,7 +195,7 @@ def _distance(rows: DataFrame, triangles: DataFrame) -> DataFrame:
 
 def _concentrate(rows: DataFrame, triangles: DataFrame, share: float) -> DataFrame:
     """One step: mean and covariance of the nearest ``share`` of each group, for each start."""
-    near = _distance(rows, triangles).withColumn("bin", F.floor(F.log1p("d2") * BINS_PER_E))
+    near = _distance(rows, triangles).where("d2 is not null").withColumn("bin", F.floor(F.log1p("d2") * BINS_PER_E))
     total = _nearest(near.groupBy(*KEYS, "bin").agg(*_sums()), share).groupBy(*KEYS)
     names = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
     return _moments(total.agg(*(F.sum(n).alias(n) for n in names)), KEYS, _consistency(share))
@@ -203,16 +203,18 @@ def _concentrate(rows: DataFrame, triangles: DataFrame, share: float) -> DataFra
 
 def least_determinants(rows: DataFrame, share: float, floors: list[float]) -> DataFrame:
     """(group, m0.., c00.., l00.., logdet) of rows (group, x0..): the start whose
-    concentration steps end at the least determinant. Steps go on until every
-    group's determinants stand still, MOST_STEPS at most."""
-    estimate = stored(_cholesky(_starts(rows, floors), floors))
+    concentration steps end at the least determinant. A start's steps end when
+    its determinant falls no more, after MOST_STEPS at most; as the nearest rows
+    are whole bins, a step may also raise it, and then isn't taken."""
+    starts = stored(_cholesky(_starts(rows, floors), floors))
+    estimate = moving = stored(_cholesky(_concentrate(rows, starts, share), floors))
     for _ in range(MOST_STEPS):
-        ahead = stored(_cholesky(_concentrate(rows, estimate, share), floors))
-        before = estimate.select(*KEYS, F.col("logdet").alias("before"))
-        moved = ahead.join(before, KEYS).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
-        estimate = ahead
-        if not moved or moved < 1e-6:
+        ahead = _cholesky(_concentrate(rows, moving, share), floors)
+        before = moving.select(*KEYS, F.col("logdet").alias("__before"))
+        fallen = stored(ahead.join(before, KEYS).where(F.col("logdet") < F.col("__before") - 1e-6).drop("__before"))
+        if fallen.isEmpty():
             break
+        estimate, moving = stored(estimate.join(fallen.select(*KEYS), KEYS, "left_anti").unionByName(fallen)), fallen
     best = estimate.groupBy("group").agg(F.min_by(F.struct(*(c for c in estimate.columns if c not in KEYS)), F.struct("logdet", "start")).alias("e"))
     return best.select("group", "e.*")
 
