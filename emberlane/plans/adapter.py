@@ -56,13 +56,17 @@ def house_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 H = """h AS (SELECT event_type AS series_id, (epoch(date_trunc('hour', ts)))::BIGINT AS sec, avg(value) AS mean, sum(value) AS inc FROM events GROUP BY 1, 2)"""
 C = H + """, c AS (SELECT series_id, sec, sum(inc) OVER (PARTITION BY series_id ORDER BY sec) AS value FROM h)"""
 #: steps of meters; {0} is the largest one allowed
-STEPS = C + """, g AS (SELECT series_id, sec, sec - lag(sec) OVER w AS gap, value - lag(value) OVER w AS step FROM c WINDOW w AS (PARTITION BY series_id ORDER BY sec)),
+STEPS = C + """, g AS (SELECT series_id, sec, sec - lag(sec) OVER w AS gap, value - lag(value) OVER w AS step
+  FROM c
+  WINDOW w AS (PARTITION BY series_id ORDER BY sec)),
  st AS (SELECT series_id, sec, step FROM g WHERE gap > 0 AND gap <= 5400 AND step >= 0 AND step <= {0})"""
 DAY = "(TIMESTAMP '1970-01-01' + to_seconds({0}))::DATE"
 HOUSE = """b AS (SELECT l_returnflag AS home, l_shipdate::DATE AS d, sum(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY 1, 2),
  b1 AS (SELECT *, 10 - 8 * cos(dayofyear(d) * 2 * 3.141592653589793::DOUBLE / 365) + (s % 7) / 2 - 1.5 AS outdoor FROM b),
- b2 AS (SELECT *, greatest(20 - outdoor, 0.0::DOUBLE) AS delta_t, CASE WHEN n % 11 = 0 THEN 5.0::DOUBLE ELSE 100 + (s * 13) % 400 END AS water FROM b1),
+ b2 AS (SELECT *, greatest(20 - outdoor, 0.0::DOUBLE) AS delta_t, CASE WHEN n % 11 = 0 THEN 5.0::DOUBLE ELSE 100 + (s * 13) % 400 END AS water
+  FROM b1),
  b3 AS (SELECT *, CASE WHEN n % 4 <> 0 THEN CASE WHEN delta_t < 6 THEN 0.5::DOUBLE ELSE 30.0::DOUBLE END END AS heat_pct FROM b2),
- hd AS (SELECT home, d, outdoor, delta_t, water, heat_pct, 3 + CASE WHEN delta_t > 4 THEN 5.5::DOUBLE * delta_t ELSE 0 END + (s % 5) / 2 + water * 0.02::DOUBLE AS q,
+ hd AS (SELECT home, d, outdoor, delta_t, water, heat_pct,
+   3 + CASE WHEN delta_t > 4 THEN 5.5::DOUBLE * delta_t ELSE 0 END + (s % 5) / 2 + water * 0.02::DOUBLE AS q,
    6 + (s % 9) AS kwh, 0.1::DOUBLE + (n % 5) * 0.02::DOUBLE AS least FROM b3)"""
 OFF = HOUSE + """, ho AS (SELECT *, CASE WHEN heat_pct IS NOT NULL THEN heat_pct <= 1.0 ELSE delta_t < 3 END AS off FROM hd)"""

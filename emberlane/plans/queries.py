@@ -39,10 +39,17 @@ def lineitem_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.agg(F.sum("l_quantity").alias("delta_t"), (F.sum("l_extendedprice") / 1000).alias("q")).withColumn("home", F.lit("all"))
 
 
-FIT_CTES = """, l AS (SELECT home, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, count(*) AS n, regr_sxx(y, x) AS sxx, max(x) - min(x) AS spread FROM p GROUP BY home),
+FIT_CTES = """, l AS (SELECT home, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, count(*) AS n, regr_sxx(y,
+  x) AS sxx, max(x) - min(x) AS spread
+  FROM p
+  GROUP BY home),
  e AS (SELECT p.home, d, y - intercept - slope * x AS e FROM p JOIN l USING (home)),
- m AS (SELECT home, d, e, avg(e) OVER (PARTITION BY home) AS m, lag(e) OVER w AS pe, d - lag(d) OVER w AS gd FROM e WINDOW w AS (PARTITION BY home ORDER BY d)),
- a AS (SELECT home, count(*) FILTER (gd = 1) AS pairs, avg((e - m) * (pe - m)) FILTER (gd = 1) / var_pop(e) AS r, sum(e * e) AS sse FROM m GROUP BY home),
+ m AS (SELECT home, d, e, avg(e) OVER (PARTITION BY home) AS m, lag(e) OVER w AS pe, d - lag(d) OVER w AS gd
+  FROM e
+  WINDOW w AS (PARTITION BY home ORDER BY d)),
+ a AS (SELECT home, count(*) FILTER (gd = 1) AS pairs, avg((e - m) * (pe - m)) FILTER (gd = 1) / var_pop(e) AS r, sum(e * e) AS sse
+  FROM m
+  GROUP BY home),
  v AS (SELECT *, CASE WHEN pairs < 10 THEN 0 ELSE r END AS r1 FROM a),
  f AS (SELECT *, (1 + least(greatest(r1, 0), 0.9)) / (1 - least(greatest(r1, 0), 0.9)) AS vif FROM v JOIN l USING (home)),
  k AS (SELECT *, slope * 1000 / 24 AS hlc, sqrt(sse / (n - 2) / sxx) * sqrt(vif) AS se FROM f)"""
@@ -51,7 +58,8 @@ FIT_REASON = """CASE WHEN n < 20 THEN 'too few days' WHEN spread < 3 THEN 'too l
 FIT_SQL = (
     FIT_CTES
     + f"""
-SELECT home, round(slope, 4) AS slope, round(intercept, 3) AS intercept, round(r2, 4) AS r2, n, pairs, round(r1, 4) AS r1, round(hlc, 3) AS hlc, round(n / vif, 2) AS effective_days,
+SELECT home, round(slope, 4) AS slope, round(intercept, 3) AS intercept, round(r2, 4) AS r2, n, pairs, round(r1, 4) AS r1, round(hlc, 3) AS hlc,
+  round(n / vif, 2) AS effective_days,
  round((slope - 1.96 * se) * 1000 / 24, 2) AS ci_low, round((slope + 1.96 * se) * 1000 / 24, 2) AS ci_high,
  {FIT_REASON} AS rejection_reason FROM k"""
 )
@@ -79,7 +87,10 @@ def meter_steps(spark, sf_dir):
     return meters.steps(meter_rows(spark, sf_dir), S, METER).select("series_id", "sec", r("step", 2))
 
 
-@query(f"WITH {STEPS.format(400)} SELECT series_id, {DAY.format('sec')} AS d, round(sum(step), 2) AS total, round(min(step), 2) AS least, count(*) AS hours, count(*) >= 23 * 0.9 AS complete FROM st GROUP BY 1, 2")
+@query(f"""WITH {STEPS.format(400)} SELECT series_id, {DAY.format('sec')} AS d, round(sum(step), 2) AS total, round(min(step), 2) AS least, count(*) AS hours,
+  count(*) >= 23 * 0.9 AS complete
+  FROM st
+  GROUP BY 1, 2""")
 def daily_meter_complete(spark, sf_dir):
     days = meters.daily(meters.steps(meter_rows(spark, sf_dir), S, METER), S, "UTC", METER)
     return days.select("series_id", "d", r("total", 2), r("least", 2), "hours", "complete")
@@ -103,12 +114,19 @@ def daily_mean(spark, sf_dir):
 ALL = "(SELECT sec, avg(mean) AS v, max(mean) AS m FROM h WHERE series_id IN ('view', 'click') GROUP BY sec HAVING count(DISTINCT series_id) = 2)"
 
 
-@query(f"WITH {H}, i AS {ALL} SELECT {DAY.format('i.sec')} AS d, round(avg(v - mean), 3) AS delta_t, count(*) AS hours FROM i JOIN h ON h.sec = i.sec AND series_id = 'error' GROUP BY 1 HAVING count(*) >= 18")
+@query(f"""WITH {H}, i AS {ALL} SELECT {DAY.format('i.sec')} AS d, round(avg(v - mean), 3) AS delta_t, count(*) AS hours
+  FROM i
+  JOIN h ON h.sec = i.sec AND series_id = 'error'
+  GROUP BY 1
+  HAVING count(*) >= 18""")
 def daily_delta_all_rooms(spark, sf_dir):
     return daily.daily_delta_t(means(spark, sf_dir), ROOMS, OUTDOOR, [], "UTC").select("d", r("delta_t"), "hours")
 
 
-@query(f"WITH {H}, i AS {ALL} SELECT {DAY.format('sec')} AS d, round(avg(m), 3) AS heat_pct, count(*) AS hours FROM i GROUP BY 1 HAVING count(*) >= 18")
+@query(f"""WITH {H}, i AS {ALL} SELECT {DAY.format('sec')} AS d, round(avg(m), 3) AS heat_pct, count(*) AS hours
+  FROM i
+  GROUP BY 1
+  HAVING count(*) >= 18""")
 def daily_busiest(spark, sf_dir):
     return daily.daily_busiest(means(spark, sf_dir), ROOMS, [], "UTC").select("d", r("heat_pct"), "hours")
 
@@ -127,15 +145,24 @@ def day_classification(spark, sf_dir):
 MAINS = "(4 + 12 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({0} - 2) / 16)))"
 BASE = (
     OFF
-    + """, bl AS (SELECT home, median(q) FILTER (NOT (water < 50)) AS baseline, avg(outdoor) FILTER (NOT (water < 50)) AS reference_c, count(*) FILTER (NOT (water < 50)) AS days_used,
+    + """, bl AS (SELECT home, median(q) FILTER (NOT (water < 50)) AS baseline, avg(outdoor) FILTER (NOT (water < 50)) AS reference_c,
+      count(*) FILTER (NOT (water < 50)) AS days_used,
    count(*) FILTER (water < 50) AS away_days, median(q) FILTER (water < 50) AS idle FROM ho WHERE off GROUP BY home),
- lr AS (SELECT home, water, row_number() OVER (PARTITION BY home ORDER BY water) - 1 AS k, count(*) OVER (PARTITION BY home) AS n FROM (SELECT *, max(d) OVER (PARTITION BY home) AS last FROM ho) WHERE last - d < 30),
- li AS (SELECT home, greatest(3 * median(water), max(water) FILTER (k = 3 * n // 4) + 3 * (max(water) FILTER (k = 3 * n // 4) - max(water) FILTER (k = n // 4))) AS lim FROM lr GROUP BY home),
+ lr AS (SELECT home, water, row_number() OVER (PARTITION BY home ORDER BY water) - 1 AS k, count(*) OVER (PARTITION BY home) AS n
+  FROM (SELECT *, max(d) OVER (PARTITION BY home) AS last
+  FROM ho)
+  WHERE last - d < 30),
+ li AS (SELECT home, greatest(3 * median(water),
+   max(water) FILTER (k = 3 * n // 4) + 3 * (max(water) FILTER (k = 3 * n // 4) - max(water) FILTER (k = n // 4))) AS lim
+  FROM lr
+  GROUP BY home),
  rr AS (SELECT ho.home, q * 1000 / water / (55 - """
     + MAINS.format("outdoor")
     + """) AS r FROM ho JOIN li USING (home) WHERE off AND q > 0 AND water >= 50 AND water <= lim),
  rk AS (SELECT home, r, row_number() OVER (PARTITION BY home ORDER BY r) - 1 AS k, count(*) OVER (PARTITION BY home) AS n FROM rr),
- ra AS (SELECT home, median(r) AS rate, count(*) AS rate_days, max(r) FILTER (k = 3 * n // 4) - max(r) FILTER (k = n // 4) AS rate_iqr FROM rk GROUP BY home)"""
+ ra AS (SELECT home, median(r) AS rate, count(*) AS rate_days, max(r) FILTER (k = 3 * n // 4) - max(r) FILTER (k = n // 4) AS rate_iqr
+  FROM rk
+  GROUP BY home)"""
 )
 
 
@@ -145,12 +172,16 @@ def _hot_water(days):
     return hotwater.baseline(days, HOME), rates, limits
 
 
-@query(f"WITH {BASE} SELECT home, round(baseline, 3) AS baseline, round(reference_c, 3) AS reference_c, days_used, away_days, round(CASE WHEN away_days >= 3 THEN idle END, 3) AS idle_kwh, CASE WHEN days_used < 7 THEN 'invalid' WHEN days_used >= 14 THEN 'valid' ELSE 'provisional' END AS status FROM bl")
+@query(f"""WITH {BASE} SELECT home, round(baseline, 3) AS baseline, round(reference_c, 3) AS reference_c, days_used, away_days,
+  round(CASE WHEN away_days >= 3 THEN idle END, 3) AS idle_kwh,
+  CASE WHEN days_used < 7 THEN 'invalid' WHEN days_used >= 14 THEN 'valid' ELSE 'provisional' END AS status
+  FROM bl""")
 def baseline_away_days(spark, sf_dir):
     return hotwater.baseline(_off_days(spark, sf_dir), HOME).select("home", r("baseline"), r("reference_c"), "days_used", "away_days", r("idle_kwh"), "status")
 
 
-@query(f"WITH {BASE} SELECT home, round(rate, 4) AS rate, rate_days, round(rate_iqr, 4) AS rate_iqr, rate_days >= 10 AND rate BETWEEN 0.05 AND 1.5 AS usable FROM ra")
+@query(f"""WITH {BASE} SELECT home, round(rate, 4) AS rate, rate_days, round(rate_iqr, 4) AS rate_iqr, rate_days >= 10 AND rate BETWEEN 0.05 AND 1.5 AS usable
+  FROM ra""")
 def water_rate(spark, sf_dir):
     return _hot_water(_off_days(spark, sf_dir))[1].select("home", r("rate", 4), "rate_days", r("rate_iqr", 4), "usable")
 
@@ -179,7 +210,10 @@ def attribution(spark, sf_dir):
     return _attributed(spark, sf_dir).select("home", "d", "how", "outlier", r("hot_kwh"))
 
 
-@query(f"WITH {ATTRIBUTED} SELECT home, year(d)::BIGINT AS year, count(*) AS days, count(*) FILTER (off) AS off_days, round(avg(hot_kwh), 3) AS hot_kwh, round(avg(greatest(q - hot_kwh, 0.0::DOUBLE)), 3) AS space_kwh, round(avg(hot_kwh) * 365 * 0.07, 2) AS cost_year FROM a3 GROUP BY 1, 2")
+@query(f"""WITH {ATTRIBUTED} SELECT home, year(d)::BIGINT AS year, count(*) AS days, count(*) FILTER (off) AS off_days, round(avg(hot_kwh), 3) AS hot_kwh,
+  round(avg(greatest(q - hot_kwh, 0.0::DOUBLE)), 3) AS space_kwh, round(avg(hot_kwh) * 365 * 0.07, 2) AS cost_year
+  FROM a3
+  GROUP BY 1, 2""")
 def usage_split(spark, sf_dir):
     rows = _attributed(spark, sf_dir).withColumn("space", F.greatest(F.col("q") - F.col("hot_kwh"), F.lit(0.0)))
     out = rows.groupBy("home", F.year("d").cast("long").alias("year")).agg(
@@ -193,21 +227,30 @@ def hlc_adjusted(spark, sf_dir):
     return _fit_columns(heatloss.fit(heatloss.fit_points(_attributed(spark, sf_dir), hot_water="hot_kwh"), HOME))
 
 
-@query(f"WITH {HOUSE}, p AS (SELECT home, d, delta_t AS x, q AS y FROM hd WHERE q > 0.5 AND delta_t > 4), l AS (SELECT home, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM p GROUP BY 1) SELECT home, d, round(y - i - s * x, 3) AS residual FROM p JOIN l USING (home)")
+@query(f"""WITH {HOUSE}, p AS (SELECT home, d, delta_t AS x, q AS y FROM hd WHERE q > 0.5 AND delta_t > 4),
+l AS (SELECT home, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM p GROUP BY 1)
+SELECT home, d, round(y - i - s * x, 3) AS residual FROM p JOIN l USING (home)""")
 def ols_residuals(spark, sf_dir):
     points = heatloss.fit_points(house_days(spark, sf_dir))
     lines = points.groupBy("home").agg(*stats.ols("y", "delta_t"))
     return points.join(lines.select("home", "slope", "intercept"), "home").select("home", "d", F.round(F.col("y") - F.col("intercept") - F.col("slope") * F.col("delta_t"), 3).alias("residual"))
 
 
-@query(f"WITH {HOUSE} SELECT home, d, round({MAINS.format('outdoor')}, 3) AS mains_c, round(12 * (55 - {MAINS.format('outdoor')}) / (55 - {MAINS.format('10.0::DOUBLE')}), 3) AS scaled_kwh FROM hd")
+@query(f"""WITH {HOUSE} SELECT home, d, round({MAINS.format('outdoor')}, 3) AS mains_c,
+  round(12 * (55 - {MAINS.format('outdoor')}) / (55 - {MAINS.format('10.0::DOUBLE')}), 3) AS scaled_kwh
+  FROM hd""")
 def mains_model(spark, sf_dir):
     days = house_days(spark, sf_dir)
     return days.select("home", "d", F.round(hotwater.mains_c(F.col("outdoor")), 3).alias("mains_c"), F.round(hotwater.scaled_kwh(F.lit(12.0), F.col("outdoor"), F.lit(10.0)), 3).alias("scaled_kwh"))
 
 
 @query(
-    f"WITH {STEPS.format(400)}, j AS (SELECT a.step AS y, b.step AS x FROM st a JOIN st b ON a.sec = b.sec AND a.series_id = 'purchase' AND b.series_id = 'signup') SELECT round(regr_slope(y, x) * 1000, 3) AS wh_per_litre, round(regr_r2(y, x), 5) AS r2, count(*) AS n, round(least(100, regr_slope(y, x) * 1000 / 34.8 * 100), 3) AS hot_pct, count(*) >= 200 AND regr_slope(y, x) > 0 AND regr_r2(y, x) >= 0.5 AS usable FROM j"
+    f"""WITH {STEPS.format(400)}, j AS (SELECT a.step AS y, b.step AS x
+  FROM st a
+  JOIN st b ON a.sec = b.sec AND a.series_id = 'purchase' AND b.series_id = 'signup')
+SELECT round(regr_slope(y, x) * 1000, 3) AS wh_per_litre, round(regr_r2(y, x), 5) AS r2, count(*) AS n, round(least(100, regr_slope(y,
+  x) * 1000 / 34.8 * 100), 3) AS hot_pct, count(*) >= 200 AND regr_slope(y, x) > 0 AND regr_r2(y, x) >= 0.5 AS usable
+  FROM j"""
 )
 def gas_water_regression(spark, sf_dir):
     steps = meters.steps(meter_rows(spark, sf_dir), S, METER)
@@ -216,7 +259,22 @@ def gas_water_regression(spark, sf_dir):
 
 
 @query(
-    f"WITH {H}, v AS (SELECT sec FROM h WHERE series_id = 'view'), e AS (SELECT sec FROM h WHERE series_id = 'error') SELECT (SELECT count(*) FROM (SELECT sec FROM v INTERSECT SELECT sec FROM e)) AS both_hours, (SELECT count(*) FROM (SELECT sec FROM v UNION SELECT sec FROM e)) AS any_hours, (SELECT count(*) FROM (SELECT sec FROM v EXCEPT SELECT sec FROM e)) AS view_only, (SELECT count(*) FROM h WHERE series_id = 'click' AND sec IN (SELECT sec FROM e)) AS click_semi"
+    f"""WITH {H}, v AS (SELECT sec FROM h WHERE series_id = 'view'),
+e AS (SELECT sec FROM h WHERE series_id = 'error')
+SELECT (SELECT count(*)
+  FROM (SELECT sec
+  FROM v INTERSECT SELECT sec
+  FROM e)) AS both_hours, (SELECT count(*)
+  FROM (SELECT sec
+  FROM v
+  UNION SELECT sec
+  FROM e)) AS any_hours, (SELECT count(*)
+  FROM (SELECT sec
+  FROM v EXCEPT SELECT sec
+  FROM e)) AS view_only, (SELECT count(*)
+  FROM h
+  WHERE series_id = 'click' AND sec IN (SELECT sec
+  FROM e)) AS click_semi"""
 )
 def hour_sets(spark, sf_dir):
     rows = means(spark, sf_dir)
@@ -229,15 +287,22 @@ def hour_sets(spark, sf_dir):
 
 RUNS = (
     H
-    + """, n AS (SELECT series_id, sec, mean AS v, CASE WHEN sec - lag(sec) OVER w <= 5400 AND mean <= lag(mean) OVER w + 2 THEN 0 ELSE 1 END AS b FROM h WINDOW w AS (PARTITION BY series_id ORDER BY sec)),
+    + """, n AS (SELECT series_id, sec, mean AS v, CASE WHEN sec - lag(sec) OVER w <= 5400 AND mean <= lag(mean) OVER w + 2 THEN 0 ELSE 1 END AS b
+  FROM h
+  WINDOW w AS (PARTITION BY series_id ORDER BY sec)),
  rn AS (SELECT *, sum(b) OVER (PARTITION BY series_id ORDER BY sec) AS run FROM n),
  k0 AS (SELECT series_id, v, row_number() OVER (PARTITION BY series_id ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY series_id) AS n FROM rn),
  bs AS (SELECT series_id, v AS baseline FROM k0 WHERE k = floor(0.02 * (n - 1))),
- x AS (SELECT rn.*, baseline, v - baseline AS ex, (sec - min(sec) OVER (PARTITION BY rn.series_id, run)) / 3600.0::DOUBLE AS hours FROM rn JOIN bs USING (series_id)),
+ x AS (SELECT rn.*, baseline, v - baseline AS ex, (sec - min(sec) OVER (PARTITION BY rn.series_id, run)) / 3600.0::DOUBLE AS hours
+  FROM rn
+  JOIN bs USING (series_id)),
  z AS (SELECT *, CASE WHEN ex > 0 THEN ln(ex) END AS le FROM x),
- fr AS (SELECT series_id, run::BIGINT AS run, count(*) AS points, max(sec) - min(sec) AS seconds, min_by(ex, sec) AS first_excess, min(ex) AS least_excess,
+ fr AS (SELECT series_id, run::BIGINT AS run, count(*) AS points, max(sec) - min(sec) AS seconds, min_by(ex, sec) AS first_excess,
+   min(ex) AS least_excess,
    CASE WHEN min(hours) FILTER (le IS NOT NULL) = max(hours) FILTER (le IS NOT NULL) THEN 0 ELSE regr_slope(le, hours) END AS slope,
-   CASE WHEN min(hours) FILTER (le IS NOT NULL) = max(hours) FILTER (le IS NOT NULL) OR min(le) = max(le) THEN 0 ELSE regr_r2(le, hours) END AS r2 FROM z GROUP BY 1, 2),
+   CASE WHEN min(hours) FILTER (le IS NOT NULL) = max(hours) FILTER (le IS NOT NULL) OR min(le) = max(le) THEN 0 ELSE regr_r2(le, hours) END AS r2
+  FROM z
+  GROUP BY 1, 2),
  ct AS (SELECT *, coalesce(seconds >= 7200 AND first_excess >= 3 AND least_excess > 0 AND slope < 0 AND r2 >= 0.5, false) AS counts FROM fr)"""
 )
 FALL = AirChange(min_window_s=7200, min_excess=3.0, min_r2=0.5, min_windows=3)
@@ -249,7 +314,8 @@ def _decays(spark, sf_dir):
     return air.decay_fits(rows, base, S, FALL), base
 
 
-@query(f"WITH {RUNS} SELECT series_id, run, points, seconds, round(first_excess, 3) AS first_excess, round(slope, 4) AS slope, round(r2, 4) AS r2, counts FROM ct")
+@query(f"""WITH {RUNS} SELECT series_id, run, points, seconds, round(first_excess, 3) AS first_excess, round(slope, 4) AS slope, round(r2, 4) AS r2, counts
+  FROM ct""")
 def co2_runs(spark, sf_dir):
     return _decays(spark, sf_dir)[0].select("series_id", "run", "points", "seconds", r("first_excess"), r("slope", 4), r("r2", 4), F.coalesce("counts", F.lit(False)).alias("counts"))
 
@@ -262,7 +328,10 @@ def air_change_rate(spark, sf_dir):
     return air.air_change_rate(_decays(spark, sf_dir)[0], S, FALL).select("series_id", r("ach", 4), "windows", "usable")
 
 
-@query(f"WITH {ACH} SELECT round(median(ach), 4) AS ach, sum(windows)::BIGINT AS windows, round(median(baseline), 3) AS baseline, count(*) AS sensors, round(median(ach) * 240 * 0.335, 3) AS ventilation_w_per_k, round(300 - median(ach) * 240 * 0.335, 3) AS fabric_w_per_k FROM ac JOIN bs USING (series_id)")
+@query(f"""WITH {ACH} SELECT round(median(ach), 4) AS ach, sum(windows)::BIGINT AS windows, round(median(baseline), 3) AS baseline, count(*) AS sensors,
+  round(median(ach) * 240 * 0.335, 3) AS ventilation_w_per_k, round(300 - median(ach) * 240 * 0.335, 3) AS fabric_w_per_k
+  FROM ac
+  JOIN bs USING (series_id)""")
 def loss_split(spark, sf_dir):
     fits, base = _decays(spark, sf_dir)
     rates = air.air_change_rate(fits, S, FALL).join(base, "series_id")
@@ -282,17 +351,23 @@ def _night_fits(spark, sf_dir):
 
 TAU = (
     H
-    + f""", q AS (SELECT a.series_id AS room, a.sec, a.mean AS t, o.mean AS o, {DAY.format('a.sec')} AS d FROM h a LEFT JOIN h o ON o.sec = a.sec AND o.series_id = 'error'
+    + f""", q AS (SELECT a.series_id AS room, a.sec, a.mean AS t, o.mean AS o, {DAY.format('a.sec')} AS d
+  FROM h a
+  LEFT JOIN h o ON o.sec = a.sec AND o.series_id = 'error'
    WHERE a.series_id IN ('view', 'click') AND (a.sec // 3600) % 24 BETWEEN 0 AND 5),
  qg AS (SELECT *, sec - lag(sec) OVER w AS gap, (o + lag(o) OVER w) / 2 AS bd FROM q WINDOW w AS (PARTITION BY room, d ORDER BY sec)),
- nt AS (SELECT room, d, count(*) AS n_points, CASE WHEN count(*) < 4 THEN 'too few points' WHEN max(gap) > 5400 THEN 'gap' WHEN count(o) < count(*) THEN 'no outdoor temperature'
+ nt AS (SELECT room, d, count(*) AS n_points,
+   CASE WHEN count(*) < 4 THEN 'too few points' WHEN max(gap) > 5400 THEN 'gap' WHEN count(o) < count(*) THEN 'no outdoor temperature'
    WHEN min_by(t, sec) - max_by(t, sec) < 0.3 THEN 'no drop' END AS why, list({{'h': gap / 3600.0::DOUBLE, 'b': bd, 't': t}} ORDER BY sec) AS l, min_by(t, sec) AS t0 FROM qg GROUP BY 1, 2),
  gr AS (SELECT room, d, k * 0.25 AS tau, l[2:] AS l, t0 FROM nt, range(4, 801) r(k) WHERE why IS NULL),
  sm AS (SELECT room, d, tau, list_reduce(list_transform(l, lambda x: {{'h': x.h, 'b': x.b, 't': x.t, 'm': 0.0::DOUBLE, 's': 0.0::DOUBLE}}),
    lambda a, x: {{'h': x.h, 'b': x.b, 't': x.t, 'm': x.b + (a.m - x.b) * exp(-x.h / tau), 's': a.s + (x.b + (a.m - x.b) * exp(-x.h / tau) - x.t) ** 2}},
    {{'h': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 't': t0, 'm': t0, 's': 0.0::DOUBLE}}).s AS sse FROM gr),
  bt AS (SELECT room, d, min({{'sse': sse, 'tau': tau}}) AS b FROM sm GROUP BY 1, 2),
- tf AS (SELECT nt.room, nt.d, n_points, b.tau::DOUBLE AS tau_h, b.sse AS sse, coalesce(why, CASE WHEN b.tau >= 200 THEN 'at the end of the grid' END) AS rejection_reason FROM nt LEFT JOIN bt USING (room, d))"""
+ tf AS (SELECT nt.room, nt.d, n_points, b.tau::DOUBLE AS tau_h, b.sse AS sse, coalesce(why,
+   CASE WHEN b.tau >= 200 THEN 'at the end of the grid' END) AS rejection_reason
+  FROM nt
+  LEFT JOIN bt USING (room, d))"""
 )
 
 
@@ -301,7 +376,11 @@ def tau_grid_fit(spark, sf_dir):
     return _night_fits(spark, sf_dir).select("room", "d", "n_points", "tau_h", r("sse"), "rejection_reason")
 
 
-@query(f"WITH {TAU} SELECT room, count(*) FILTER (rejection_reason IS NULL) AS nights_fitted, median(tau_h) FILTER (rejection_reason IS NULL) AS tau_median_h, min(tau_h) FILTER (rejection_reason IS NULL) AS tau_min_h, max(tau_h) FILTER (rejection_reason IS NULL) AS tau_max_h, max(d) FILTER (rejection_reason IS NULL) AS last_night FROM tf GROUP BY 1")
+@query(f"""WITH {TAU} SELECT room, count(*) FILTER (rejection_reason IS NULL) AS nights_fitted, median(tau_h) FILTER (rejection_reason IS NULL) AS tau_median_h,
+  min(tau_h) FILTER (rejection_reason IS NULL) AS tau_min_h, max(tau_h) FILTER (rejection_reason IS NULL) AS tau_max_h,
+  max(d) FILTER (rejection_reason IS NULL) AS last_night
+  FROM tf
+  GROUP BY 1""")
 def tau_summary(spark, sf_dir):
     return cooling.summary(_night_fits(spark, sf_dir), [])
 
@@ -310,7 +389,17 @@ LOFT = Loft(min_delta_t=2.0)
 
 
 @query(
-    f"WITH {H}, i AS (SELECT sec, avg(mean) AS i FROM h WHERE series_id IN ('view', 'click') GROUP BY sec), j AS (SELECT (l.mean - o.mean) / (i - o.mean) AS r FROM i JOIN h l ON l.sec = i.sec AND l.series_id = 'signup' JOIN h o ON o.sec = i.sec AND o.series_id = 'error' WHERE (i.sec // 3600) % 24 BETWEEN 1 AND 5 AND i - o.mean > 2), k AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k, count(*) OVER () AS n FROM j) SELECT round(median(r), 4) AS ratio, count(*) AS rows, round(max(r) FILTER (k = 3 * n // 4) - max(r) FILTER (k = n // 4), 4) AS iqr, round(avg(CASE WHEN r BETWEEN 0 AND 1 THEN 0 ELSE 1 END) * 100, 3) AS outside_pct, CASE WHEN median(r) > 0.5 THEN 'loft follows the house' WHEN median(r) > 0.25 THEN 'between house and outdoors' ELSE 'loft follows outdoors' END AS verdict FROM k"
+    f"""WITH {H}, i AS (SELECT sec, avg(mean) AS i FROM h WHERE series_id IN ('view', 'click') GROUP BY sec),
+j AS (SELECT (l.mean - o.mean) / (i - o.mean) AS r
+  FROM i
+  JOIN h l ON l.sec = i.sec AND l.series_id = 'signup'
+  JOIN h o ON o.sec = i.sec AND o.series_id = 'error'
+  WHERE (i.sec // 3600) % 24 BETWEEN 1 AND 5 AND i - o.mean > 2),
+k AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k, count(*) OVER () AS n FROM j)
+SELECT round(median(r), 4) AS ratio, count(*) AS rows, round(max(r) FILTER (k = 3 * n // 4) - max(r) FILTER (k = n // 4), 4) AS iqr,
+  round(avg(CASE WHEN r BETWEEN 0 AND 1 THEN 0 ELSE 1 END) * 100, 3) AS outside_pct,
+  CASE WHEN median(r) > 0.5 THEN 'loft follows the house' WHEN median(r) > 0.25 THEN 'between house and outdoors' ELSE 'loft follows outdoors' END AS verdict
+  FROM k"""
 )
 def loft_ratio(spark, sf_dir):
     rows = means(spark, sf_dir)
@@ -319,18 +408,30 @@ def loft_ratio(spark, sf_dir):
     return out.select(r("ratio", 4), "rows", r("iqr", 4), r("outside_pct"), "verdict")
 
 
-@query(f"WITH {H}, f AS (SELECT series_id, sec, mean, count(*) OVER w AS n, max(mean) OVER w - min(mean) OVER w AS s FROM h WINDOW w AS (PARTITION BY series_id ORDER BY sec ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) SELECT series_id, sec, round(mean, 8) AS value FROM f WHERE NOT (n = 6 AND s < 25)")
+@query(f"""WITH {H}, f AS (SELECT series_id, sec, mean, count(*) OVER w AS n, max(mean) OVER w - min(mean) OVER w AS s
+  FROM h
+  WINDOW w AS (PARTITION BY series_id ORDER BY sec ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
+SELECT series_id, sec, round(mean, 8) AS value FROM f WHERE NOT (n = 6 AND s < 25)""")
 def flatline_drop(spark, sf_dir):
     return daily.drop_flatlines(means(spark, sf_dir), S, rows=6, span=25.0).select("series_id", "sec", r("value", 8))
 
 
-@query(f"WITH {HOUSE}, l AS (SELECT *, max(d) OVER (PARTITION BY home) - d AS age FROM hd) SELECT home, count(*) FILTER (age < 30) AS days, round(avg(kwh) FILTER (age < 30), 3) AS kwh_per_day, round(avg(kwh), 3) AS historical, round(median(least) FILTER (age < 30) * 1000, 2) AS baseload_w, round(least(100, median(least) FILTER (age < 30) * 24 / avg(kwh) FILTER (age < 30) * 100), 2) AS share_pct, count(*) FILTER (age < 30) >= 14 AS usable FROM l GROUP BY 1")
+@query(f"""WITH {HOUSE}, l AS (SELECT *, max(d) OVER (PARTITION BY home) - d AS age FROM hd)
+SELECT home, count(*) FILTER (age < 30) AS days, round(avg(kwh) FILTER (age < 30), 3) AS kwh_per_day, round(avg(kwh), 3) AS historical,
+  round(median(least) FILTER (age < 30) * 1000, 2) AS baseload_w, round(least(100,
+  median(least) FILTER (age < 30) * 24 / avg(kwh) FILTER (age < 30) * 100), 2) AS share_pct, count(*) FILTER (age < 30) >= 14 AS usable
+  FROM l
+  GROUP BY 1""")
 def electricity_baseload(spark, sf_dir):
     days = house_days(spark, sf_dir).select("home", "d", F.col("kwh").alias("total"), "least")
     return usage.electricity(days, HOME).select("home", "days", r("kwh_per_day"), r("historical"), r("baseload_w", 2), r("share_pct", 2), "usable")
 
 
-@query(f"WITH {BASE}, w AS (SELECT ho.*, lim, max(d) OVER (PARTITION BY home) - d AS age FROM ho JOIN li USING (home)) SELECT home, round(avg(water) FILTER (age < 7), 2) AS litres_7d, round(avg(water) FILTER (age < 30), 2) AS litres_30d, round(median(water) FILTER (age < 30), 2) AS typical_30d, count(*) FILTER (age < 30 AND water > lim) AS high_days, round(max(lim), 2) AS lim FROM w GROUP BY 1")
+@query(f"""WITH {BASE}, w AS (SELECT ho.*, lim, max(d) OVER (PARTITION BY home) - d AS age FROM ho JOIN li USING (home))
+SELECT home, round(avg(water) FILTER (age < 7), 2) AS litres_7d, round(avg(water) FILTER (age < 30), 2) AS litres_30d,
+  round(median(water) FILTER (age < 30), 2) AS typical_30d, count(*) FILTER (age < 30 AND water > lim) AS high_days, round(max(lim), 2) AS lim
+  FROM w
+  GROUP BY 1""")
 def water_usage(spark, sf_dir):
     days = house_days(spark, sf_dir)
     rows = days.join(hotwater.outlier_limit(days, HOME), "home").withColumn("age", F.datediff(F.max("d").over(Window.partitionBy("home")), "d"))
@@ -340,7 +441,16 @@ def water_usage(spark, sf_dir):
 
 
 @query(
-    f"WITH {HOUSE}, t AS (SELECT home, d, avg(kwh) OVER w7 AS a, count(*) OVER w7 AS n, avg(kwh) OVER w30 AS b, count(*) OVER w30 AS m, avg(kwh) OVER p30 AS c, count(*) OVER p30 AS k, median(kwh) OVER w30 AS md FROM hd WINDOW w7 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW), p30 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 59 DAYS PRECEDING AND INTERVAL 30 DAYS PRECEDING)) SELECT home, d, round(CASE WHEN n >= 5 THEN a END, 3) AS last_7d, round(CASE WHEN m >= 20 THEN b END, 3) AS last_30d, round(CASE WHEN m >= 20 THEN md END, 3) AS typical_30d, round(CASE WHEN k >= 20 THEN c END, 3) AS previous_30d, round(CASE WHEN m >= 20 AND k >= 20 AND c <> 0 THEN (b - c) / c * 100 END, 3) AS change_pct, n AS days_7 FROM t"
+    f"""WITH {HOUSE}, t AS (SELECT home, d, avg(kwh) OVER w7 AS a, count(*) OVER w7 AS n, avg(kwh) OVER w30 AS b, count(*) OVER w30 AS m,
+  avg(kwh) OVER p30 AS c, count(*) OVER p30 AS k, median(kwh) OVER w30 AS md
+  FROM hd
+  WINDOW w7 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW),
+w30 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW),
+p30 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 59 DAYS PRECEDING AND INTERVAL 30 DAYS PRECEDING))
+SELECT home, d, round(CASE WHEN n >= 5 THEN a END, 3) AS last_7d, round(CASE WHEN m >= 20 THEN b END, 3) AS last_30d,
+  round(CASE WHEN m >= 20 THEN md END, 3) AS typical_30d, round(CASE WHEN k >= 20 THEN c END, 3) AS previous_30d,
+  round(CASE WHEN m >= 20 AND k >= 20 AND c <> 0 THEN (b - c) / c * 100 END, 3) AS change_pct, n AS days_7
+  FROM t"""
 )
 def trailing_7_30(spark, sf_dir):
     t = lambda *a, **b: stats.trailing(None, HOME, "d", "kwh", *a, **b)
@@ -362,12 +472,24 @@ def season_lock(spark, sf_dir):
     return rows.groupBy("home").agg(F.max("model_day").alias("model_day"), F.count(F.lit(1)).alias("days"), F.round(F.avg("hot_kwh"), 3).alias("hot_kwh"))
 
 
-@query(f"WITH {HOUSE}, p AS (SELECT home, max(d) OVER (PARTITION BY home) - d AS age FROM hd WHERE q > 0.5 AND delta_t > 4), c AS (SELECT home, count(*) FILTER (age <= 60) AS a, count(*) FILTER (age <= 120) AS b, count(*) FILTER (age <= 365) AS c FROM p GROUP BY 1) SELECT home, (CASE WHEN a >= 70 THEN 60 WHEN b >= 70 THEN 120 ELSE 365 END)::INT AS window_days, CASE WHEN a >= 70 THEN a WHEN b >= 70 THEN b ELSE c END AS n FROM c")
+@query(f"""WITH {HOUSE}, p AS (SELECT home, max(d) OVER (PARTITION BY home) - d AS age
+  FROM hd
+  WHERE q > 0.5 AND delta_t > 4),
+c AS (SELECT home, count(*) FILTER (age <= 60) AS a, count(*) FILTER (age <= 120) AS b, count(*) FILTER (age <= 365) AS c
+  FROM p
+  GROUP BY 1)
+SELECT home, (CASE WHEN a >= 70 THEN 60 WHEN b >= 70 THEN 120 ELSE 365 END)::INT AS window_days,
+  CASE WHEN a >= 70 THEN a WHEN b >= 70 THEN b ELSE c END AS n
+  FROM c""")
 def expanding_window(spark, sf_dir):
     return heatloss.first_sufficient(heatloss.fit_points(house_days(spark, sf_dir)), HOME, [60, 120, 365], 70)
 
 
-@query("WITH a AS (SELECT o_custkey AS series_id, o_orderdate::DATE AS d, o_totalprice AS value, o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS p FROM orders), b AS (SELECT *, row_number() OVER (PARTITION BY series_id, d ORDER BY p DESC, k DESC) AS n FROM a) SELECT series_id, d, round(value, 2) AS value FROM b WHERE n = 1")
+@query("""WITH a AS (SELECT o_custkey AS series_id, o_orderdate::DATE AS d, o_totalprice AS value, o_orderkey AS k,
+  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS p
+  FROM orders),
+b AS (SELECT *, row_number() OVER (PARTITION BY series_id, d ORDER BY p DESC, k DESC) AS n FROM a)
+SELECT series_id, d, round(value, 2) AS value FROM b WHERE n = 1""")
 def upsert_keep_last(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("series_id"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("seq"), (F.col("o_orderstatus") == "F").alias("new"))
     part = lambda flag: quality.keep_last(rows.where(F.col("new") if flag else ~F.col("new")), ["series_id", "d"], F.col("seq")).select("series_id", "d", "value")
@@ -375,7 +497,19 @@ def upsert_keep_last(spark, sf_dir):
 
 
 @query(
-    "WITH e AS (SELECT event_type, user_id, floor(epoch(ts))::BIGINT AS sec, value, event_id FROM events), l AS (SELECT user_id, sec, max_by(value, event_id) AS value FROM e WHERE event_type = 'purchase' GROUP BY 1, 2), rr AS (SELECT user_id, sec, max_by(value, event_id) AS value FROM e WHERE event_type = 'view' GROUP BY 1, 2), m AS (SELECT l.user_id, l.sec, l.value, rr.sec AS right_sec, rr.value AS right_value, row_number() OVER (PARTITION BY l.user_id, l.sec ORDER BY abs(l.sec - rr.sec), rr.sec) AS n FROM l LEFT JOIN rr ON l.user_id = rr.user_id AND abs(l.sec - rr.sec) <= 43200) SELECT user_id, sec, round(value, 3) AS value, right_sec, round(right_value, 3) AS right_value FROM m WHERE n = 1"
+    """WITH e AS (SELECT event_type, user_id, floor(epoch(ts))::BIGINT AS sec, value, event_id FROM events),
+l AS (SELECT user_id, sec, max_by(value, event_id) AS value
+  FROM e
+  WHERE event_type = 'purchase'
+  GROUP BY 1, 2),
+rr AS (SELECT user_id, sec, max_by(value, event_id) AS value FROM e WHERE event_type = 'view' GROUP BY 1, 2),
+m AS (SELECT l.user_id, l.sec, l.value, rr.sec AS right_sec, rr.value AS right_value, row_number() OVER (PARTITION BY l.user_id,
+  l.sec ORDER BY abs(l.sec - rr.sec), rr.sec) AS n
+  FROM l
+  LEFT JOIN rr ON l.user_id = rr.user_id AND abs(l.sec - rr.sec) <= 43200)
+SELECT user_id, sec, round(value, 3) AS value, right_sec, round(right_value, 3) AS right_value
+  FROM m
+  WHERE n = 1"""
 )
 def asof_nearest(spark, sf_dir):
     second = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
@@ -385,7 +519,11 @@ def asof_nearest(spark, sf_dir):
 
 
 @query(
-    f"WITH {C}, p AS (SELECT a.sec, a.value - b.value AS diff FROM c a JOIN c b ON a.sec = b.sec AND a.series_id = 'click' AND b.series_id = 'view'), m AS (SELECT median(diff) AS o, count(*) AS n FROM p) SELECT n AS pairs, round(o, 2) AS offset_value, round(median(abs(diff - o)), 2) AS mad FROM p, m GROUP BY n, o"
+    f"""WITH {C}, p AS (SELECT a.sec, a.value - b.value AS diff
+  FROM c a
+  JOIN c b ON a.sec = b.sec AND a.series_id = 'click' AND b.series_id = 'view'),
+m AS (SELECT median(diff) AS o, count(*) AS n FROM p)
+SELECT n AS pairs, round(o, 2) AS offset_value, round(median(abs(diff - o)), 2) AS mad FROM p, m GROUP BY n, o"""
 )
 def baseline_offset(spark, sf_dir):
     rows = meter_rows(spark, sf_dir)
@@ -394,24 +532,44 @@ def baseline_offset(spark, sf_dir):
 
 
 @query(
-    f"WITH {C}, g AS (SELECT series_id, sec, value, sec - lag(sec) OVER w AS gap, value - lag(value) OVER w AS step FROM c WINDOW w AS (PARTITION BY series_id ORDER BY sec)), k AS (SELECT series_id, median(gap) AS cad FROM g WHERE gap > 0 GROUP BY 1) SELECT series_id, count(*) AS rows, min(sec) AS start, max(sec) AS \"end\", max(cad)::DOUBLE AS cadence_s, count(*) FILTER (gap > 1.5 * cad) AS gaps, count(*) FILTER (step < 0) AS negative, count(*) FILTER (step > 400) AS over, coalesce(count(*) FILTER (step < 0) >= 2 AND count(*) FILTER (step > 400) >= 2 AND abs(median(step) FILTER (step > 400) - median(-step) FILTER (step < 0)) <= greatest(400, 0.1 * greatest(median(step) FILTER (step > 400), median(-step) FILTER (step < 0))), false) AS mixed FROM g JOIN k USING (series_id) GROUP BY 1"
+    f"""WITH {C}, g AS (SELECT series_id, sec, value, sec - lag(sec) OVER w AS gap, value - lag(value) OVER w AS step
+  FROM c
+  WINDOW w AS (PARTITION BY series_id ORDER BY sec)),
+k AS (SELECT series_id, median(gap) AS cad FROM g WHERE gap > 0 GROUP BY 1)
+SELECT series_id, count(*) AS rows, min(sec) AS start, max(sec) AS \"end\", max(cad)::DOUBLE AS cadence_s, count(*) FILTER (gap > 1.5 * cad) AS gaps,
+  count(*) FILTER (step < 0) AS negative, count(*) FILTER (step > 400) AS over,
+  coalesce(count(*) FILTER (step < 0) >= 2 AND count(*) FILTER (step > 400) >= 2 AND abs(median(step) FILTER (step > 400) - median(-step) FILTER (step < 0)) <= greatest(400,
+  0.1 * greatest(median(step) FILTER (step > 400), median(-step) FILTER (step < 0))), false) AS mixed
+  FROM g
+  JOIN k USING (series_id)
+  GROUP BY 1"""
 )
 def cadence_audit(spark, sf_dir):
     return quality.audit(meter_rows(spark, sf_dir), S, 400.0)
 
 
 @query(
-    f"WITH {H}, s AS (SELECT series_id, (sec // 7200) * 7200 AS sec, avg(mean) AS v FROM h GROUP BY 1, 2), sp AS (SELECT series_id, unnest(range(min(sec), max(sec) + 1, 7200)) AS sec FROM s GROUP BY 1), j AS (SELECT sp.series_id, sp.sec, v FROM sp LEFT JOIN s USING (series_id, sec)) SELECT series_id, sec, round(last_value(v IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY sec ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 8) AS value, v IS NULL AS filled FROM j"
+    f"""WITH {H}, s AS (SELECT series_id, (sec // 7200) * 7200 AS sec, avg(mean) AS v FROM h GROUP BY 1, 2),
+sp AS (SELECT series_id, unnest(range(min(sec), max(sec) + 1, 7200)) AS sec FROM s GROUP BY 1),
+j AS (SELECT sp.series_id, sp.sec, v FROM sp LEFT JOIN s USING (series_id, sec))
+SELECT series_id, sec, round(last_value(v IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY sec ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),
+  8) AS value, v IS NULL AS filled
+  FROM j"""
 )
 def grid_ffill(spark, sf_dir):
     return alignment.on_grid(means(spark, sf_dir), S, 7200, 2).select("series_id", "sec", r("value", 8), "filled")
 
 
 INTERP = f"""WITH {H}, sp AS (SELECT series_id, unnest(range(min(sec), max(sec) + 1, 3600)) AS sec FROM h GROUP BY 1),
- j AS (SELECT sp.series_id, sp.sec, mean AS v, row_number() OVER (PARTITION BY sp.series_id ORDER BY sp.sec) AS i FROM sp LEFT JOIN h USING (series_id, sec)),
- x AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i0, last_value(v IGNORE NULLS) OVER b AS v0, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS i1, first_value(v IGNORE NULLS) OVER a AS v1 FROM j
+ j AS (SELECT sp.series_id, sp.sec, mean AS v, row_number() OVER (PARTITION BY sp.series_id ORDER BY sp.sec) AS i
+  FROM sp
+  LEFT JOIN h USING (series_id, sec)),
+ x AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i0, last_value(v IGNORE NULLS) OVER b AS v0,
+   first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS i1, first_value(v IGNORE NULLS) OVER a AS v1
+  FROM j
    WINDOW b AS (PARTITION BY series_id ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY sec ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT series_id, sec, round(CASE WHEN v IS NOT NULL THEN v WHEN i - i0 <= 1 THEN v0 + coalesce((v1 - v0) * (i - i0) / (i1 - i0), 0) END, 8) AS value FROM x"""
+SELECT series_id, sec, round(CASE WHEN v IS NOT NULL THEN v WHEN i - i0 <= 1 THEN v0 + coalesce((v1 - v0) * (i - i0) / (i1 - i0), 0) END, 8) AS value
+  FROM x"""
 
 
 @query(INTERP)
@@ -425,20 +583,31 @@ def weekly_mean(spark, sf_dir):
     return alignment.bucket_mean(means(spark, sf_dir), S, 604_800).select("series_id", "sec", r("value"), "n")
 
 
-@query(f"WITH {HOUSE}, v AS (SELECT home, d, q / delta_t * 1000 / 24 AS hlc FROM hd WHERE delta_t > 4) SELECT home, d, CASE WHEN hlc < 100 THEN 'excellent' WHEN hlc < 180 THEN 'good' WHEN hlc < 280 THEN 'fair' WHEN hlc < 400 THEN 'poor' ELSE 'beyond' END AS band FROM v")
+@query(f"""WITH {HOUSE}, v AS (SELECT home, d, q / delta_t * 1000 / 24 AS hlc FROM hd WHERE delta_t > 4)
+SELECT home, d, CASE WHEN hlc < 100 THEN 'excellent' WHEN hlc < 180 THEN 'good' WHEN hlc < 280 THEN 'fair' WHEN hlc < 400 THEN 'poor' ELSE 'beyond' END AS band
+  FROM v""")
 def gauge_bands(spark, sf_dir):
     """Bands of each day's own loss for a kelvin."""
     days = house_days(spark, sf_dir).where("delta_t > 4")
     return days.select("home", "d", report.band(F.col("q") / F.col("delta_t") * 1000 / 24, report.HLC_BANDS).alias("band"))
 
 
-@query(f"WITH {TAU}, s AS (SELECT room, median(tau_h) FILTER (rejection_reason IS NULL) AS tau_median_h FROM tf GROUP BY 1) SELECT room, tau_median_h, row_number() OVER (ORDER BY tau_median_h NULLS LAST, room)::INT AS place, CASE WHEN tau_median_h IS NOT NULL THEN row_number() OVER (ORDER BY tau_median_h DESC NULLS LAST, room)::INT END AS slowest_place FROM s")
+@query(f"""WITH {TAU}, s AS (SELECT room, median(tau_h) FILTER (rejection_reason IS NULL) AS tau_median_h
+  FROM tf
+  GROUP BY 1)
+SELECT room, tau_median_h, row_number() OVER (ORDER BY tau_median_h NULLS LAST, room)::INT AS place,
+  CASE WHEN tau_median_h IS NOT NULL THEN row_number() OVER (ORDER BY tau_median_h DESC NULLS LAST, room)::INT END AS slowest_place
+  FROM s""")
 def room_rank(spark, sf_dir):
     return report.ranked(cooling.summary(_night_fits(spark, sf_dir), []).select("room", "tau_median_h"))
 
 
 @query(
-    "WITH u AS (SELECT o_orderkey, o_totalprice AS v, CASE o_orderkey % 4 WHEN 0 THEN 'GBP/kWh' WHEN 1 THEN 'p / kWh' WHEN 2 THEN 'gbp/MWh' ELSE 'EUR/kWh' END AS unit FROM orders) SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 0 THEN v WHEN 1 THEN v / 100 WHEN 2 THEN v / 1000 END, 6) AS rate FROM u"
+    """WITH u AS (SELECT o_orderkey, o_totalprice AS v,
+  CASE o_orderkey % 4 WHEN 0 THEN 'GBP/kWh' WHEN 1 THEN 'p / kWh' WHEN 2 THEN 'gbp/MWh' ELSE 'EUR/kWh' END AS unit
+  FROM orders)
+SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 0 THEN v WHEN 1 THEN v / 100 WHEN 2 THEN v / 1000 END, 6) AS rate
+  FROM u"""
 )
 def tariff_normalise(spark, sf_dir):
     unit = F.when(F.col("o_orderkey") % 4 == 0, "GBP/kWh").when(F.col("o_orderkey") % 4 == 1, "p / kWh").when(F.col("o_orderkey") % 4 == 2, "gbp/MWh").otherwise("EUR/kWh")

@@ -71,7 +71,9 @@ lr AS (
   SELECT home, water, row_number() OVER (PARTITION BY home ORDER BY water) - 1 AS k, count(*) OVER (PARTITION BY home) AS n
   FROM (SELECT home, d, water, max(d) OVER (PARTITION BY home) AS last FROM {every} WHERE water IS NOT NULL)
   WHERE last - d < 30),
-lq AS (SELECT home, count(*) AS n, median(water) AS m, max(water) FILTER (k = n // 4) AS q1, max(water) FILTER (k = 3 * n // 4) AS q3 FROM lr GROUP BY 1),
+lq AS (SELECT home, count(*) AS n, median(water) AS m, max(water) FILTER (k = n // 4) AS q1, max(water) FILTER (k = 3 * n // 4) AS q3
+  FROM lr
+  GROUP BY 1),
 li AS (SELECT home, CASE WHEN n >= 5 THEN greatest(3 * m, q3 + 3 * (q3 - q1)) END AS lim FROM lq),
 rr AS (
   SELECT home, q * 1000 / water / (55 - {MAINS.format('outdoor')}) AS r
@@ -148,12 +150,14 @@ g AS (
 v AS (SELECT * FROM g WHERE days >= 14 AND days_30d >= 14)
 SELECT home, round(v.base * 1000, 0) AS baseload_w, round(v.mean, 2) AS kwh_per_day, round(v.historical, 2) AS historical, round(v.l7, 2) AS last_7d,
   round(v.l30, 2) AS last_30d, round(v.p30, 2) AS previous_30d, round((v.l30 - v.p30) / v.p30 * 100, 1) AS change_pct,
-  round(v.base * 24, 2) AS baseload_kwh, CASE WHEN v.mean > 0 THEN round(least(100, v.base * 24 / v.mean * 100), 1) END AS share_pct, round(v.mean * 1000 / 24, 0) AS implied_gains_w,
+  round(v.base * 24, 2) AS baseload_kwh, CASE WHEN v.mean > 0 THEN round(least(100, v.base * 24 / v.mean * 100), 1) END AS share_pct,
+    round(v.mean * 1000 / 24, 0) AS implied_gains_w,
   round(v.mean * {POWER_RATE}, 2) AS cost_day, round(v.mean * {POWER_RATE} * 365, 0) AS cost_year,
   round(v.base * 24 * {POWER_RATE} * 365, 0) AS baseload_cost_year, v.days_7d, v.days_30d, v.latest AS latest_day,
   (today - v.latest - 1)::INT AS lag_days,
   CASE WHEN v.home IS NULL THEN coalesce(g.days, 0) END AS usable_days, CASE WHEN v.home IS NULL THEN 14 END AS required_days,
-  CASE WHEN v.home IS NULL AND coalesce(g.days, 0) < 14 THEN coalesce(g.days, 0) || ' of 14 days' WHEN v.home IS NULL THEN 'too few recent days' END AS unavailable_reason
+  CASE WHEN v.home IS NULL AND coalesce(g.days, 0) < 14 THEN coalesce(g.days,
+    0) || ' of 14 days' WHEN v.home IS NULL THEN 'too few recent days' END AS unavailable_reason
 FROM homes LEFT JOIN g USING (home) LEFT JOIN v USING (home)"""
 )
 def report_electricity(spark, sf_dir):
@@ -173,7 +177,8 @@ v AS (SELECT * FROM g WHERE days >= 5 AND l7 IS NOT NULL)
 SELECT home, round(v.l7, 1) AS litres_7d, round(v.l30, 1) AS litres_30d, round(v.typical, 1) AS typical_30d, v.high_days AS high_usage_days,
   round(v.lim, 0) AS threshold, v.latest AS latest_day, (today - v.latest - 1)::INT AS lag_days, v.days_7d, v.days_30d,
   CASE WHEN v.home IS NULL THEN coalesce(g.days, 0) END AS usable_days, CASE WHEN v.home IS NULL THEN 5 END AS required_days,
-  CASE WHEN v.home IS NULL AND coalesce(g.days, 0) < 5 THEN coalesce(g.days, 0) || ' of 5 days' WHEN v.home IS NULL THEN 'too few recent days' END AS unavailable_reason
+  CASE WHEN v.home IS NULL AND coalesce(g.days, 0) < 5 THEN coalesce(g.days,
+    0) || ' of 5 days' WHEN v.home IS NULL THEN 'too few recent days' END AS unavailable_reason
 FROM homes LEFT JOIN g USING (home) LEFT JOIN v USING (home)"""
 )
 def report_water(spark, sf_dir):
@@ -199,19 +204,23 @@ net AS (SELECT ft.* FROM ft JOIN model USING (home) WHERE fit = 'net' AND why IS
 sh AS (SELECT home, min({{'w': fit::INT, 'hlc': hlc, 'n': n}}) AS s FROM ft WHERE fit NOT IN ('raw', 'net') AND why IS NULL GROUP BY 1),
 bt AS (
   SELECT home, raw.hlc AS raw_hlc, net.home IS NOT NULL AS corrected,
-    UNNEST(CASE WHEN net.home IS NOT NULL THEN {{'hlc': net.hlc, 'slope': net.slope, 'se': net.se, 'r2': net.r2, 'n': net.n, 'r1': net.r1, 'vif': net.vif, 'intercept': net.intercept}}
+    UNNEST(CASE WHEN net.home IS NOT NULL THEN {{'hlc': net.hlc, 'slope': net.slope, 'se': net.se, 'r2': net.r2, 'n': net.n, 'r1': net.r1,
+      'vif': net.vif, 'intercept': net.intercept}}
       ELSE {{'hlc': raw.hlc, 'slope': raw.slope, 'se': raw.se, 'r2': raw.r2, 'n': raw.n, 'r1': raw.r1, 'vif': raw.vif, 'intercept': raw.intercept}} END)
   FROM raw LEFT JOIN net USING (home) WHERE raw.why IS NULL),
 hl AS (
-  SELECT homes.home, round(bt.hlc * {EFFICIENCY}, 1) AS hlc_w_per_k, CASE WHEN bt.home IS NULL THEN 'invalid' WHEN bt.n >= 30 THEN 'valid' ELSE 'provisional' END AS status,
+  SELECT homes.home, round(bt.hlc * {EFFICIENCY}, 1) AS hlc_w_per_k,
+    CASE WHEN bt.home IS NULL THEN 'invalid' WHEN bt.n >= 30 THEN 'valid' ELSE 'provisional' END AS status,
     round(bt.r2, 3) AS r_squared, bt.n AS days_used, CASE WHEN bt.home IS NOT NULL THEN 365 END AS window_days,
     round((bt.slope - 1.96 * bt.se) * 1000 / 24 * {EFFICIENCY}, 1) AS ci_low, round((bt.slope + 1.96 * bt.se) * 1000 / 24 * {EFFICIENCY}, 1) AS ci_high,
     round(bt.r1, 2) AS residual_autocorrelation, round(bt.n / bt.vif, 0) AS effective_independent_days,
     round(-bt.intercept * 1000 / 24 * {EFFICIENCY}, 0) AS free_gains_w, round(raw_hlc, 1) AS fuel_input_hlc, round(bt.hlc, 1) AS space_heating_fuel_input_hlc,
     CASE WHEN bt.home IS NOT NULL THEN {EFFICIENCY}::DOUBLE END AS boiler_efficiency_used, round(bt.intercept, 1) AS regression_intercept,
     round(bt.hlc * {EFFICIENCY} / {AREA}, 2) AS hlc_per_m2, CASE WHEN bt.home IS NOT NULL THEN round(baseline, 1) END AS dhw_baseline,
-    CASE WHEN bt.home IS NOT NULL THEN model.days_used END AS dhw_baseline_days_used, CASE WHEN bt.home IS NOT NULL THEN model_day END AS model_data_through,
-    CASE WHEN bt.home IS NOT NULL THEN round(s.hlc * {EFFICIENCY}, 1) END AS recent_hlc, CASE WHEN bt.home IS NOT NULL THEN s.w END AS recent_window_days,
+    CASE WHEN bt.home IS NOT NULL THEN model.days_used END AS dhw_baseline_days_used,
+      CASE WHEN bt.home IS NOT NULL THEN model_day END AS model_data_through,
+    CASE WHEN bt.home IS NOT NULL THEN round(s.hlc * {EFFICIENCY}, 1) END AS recent_hlc,
+      CASE WHEN bt.home IS NOT NULL THEN s.w END AS recent_window_days,
     CASE WHEN bt.home IS NOT NULL THEN s.n END AS recent_days_used, CASE WHEN corrected THEN round(bt.hlc * {EFFICIENCY}, 1) END AS space_heating_hlc,
     CASE WHEN bt.hlc * {EFFICIENCY} < 100 THEN 'excellent' WHEN bt.hlc * {EFFICIENCY} < 180 THEN 'good' WHEN bt.hlc * {EFFICIENCY} < 280 THEN 'fair'
       WHEN bt.hlc * {EFFICIENCY} < 400 THEN 'poor' WHEN bt.hlc IS NOT NULL THEN 'beyond' END AS band,
@@ -248,7 +257,8 @@ cb AS (
   SELECT median(ach) AS ach, sum(windows)::BIGINT AS windows, median(baseline) AS baseline, count(*) AS sensors
   FROM ac JOIN bs USING (series_id) WHERE windows >= 3 AND ach BETWEEN 0.05 AND 3),
 ls AS (
-  SELECT home, hlc_w_per_k, cb.*, CASE WHEN ach * {AREA * CEILING} * 0.335::DOUBLE <= hlc_w_per_k THEN ach * {AREA * CEILING} * 0.335::DOUBLE END AS v FROM hl, cb)
+  SELECT home, hlc_w_per_k, cb.*, CASE WHEN ach * {AREA * CEILING} * 0.335::DOUBLE <= hlc_w_per_k THEN ach * {AREA * CEILING} * 0.335::DOUBLE END AS v
+  FROM hl, cb)
 SELECT home, round(ach, 3) AS ach, windows, round(baseline, 0) AS baseline_ppm, sensors AS sensors_used,
   CASE WHEN sensors > 0 THEN 'percentile' END AS baseline_source, round(v, 1) AS ventilation_w_per_k, round(hlc_w_per_k - v, 1) AS fabric_w_per_k,
   round(v / hlc_w_per_k * 100, 1) AS share_pct, hlc_w_per_k AS hlc_delivered,
@@ -317,9 +327,13 @@ def entity_categorise(spark, sf_dir):
 
 @query(
     f"""{ENTITIES},
-rm AS (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(entity_id, '^sensor\\.', ''), '_temperature$', ''), '_temp$', ''), '_thermometer$', '') AS room, max(entity_id) AS temp_series
+rm AS (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(entity_id, '^sensor\\.', ''), '_temperature$', ''), '_temp$', ''),
+  '_thermometer$', '') AS room, max(entity_id) AS temp_series
   FROM c WHERE category = 'indoor_temperature' GROUP BY 1),
-hp AS (SELECT regexp_replace(regexp_replace(entity_id, '^sensor\\.', ''), '_heating$', '') AS room, max(entity_id) AS heat_series FROM c WHERE category = 'heating_power' GROUP BY 1)
+hp AS (SELECT regexp_replace(regexp_replace(entity_id, '^sensor\\.', ''), '_heating$', '') AS room, max(entity_id) AS heat_series
+  FROM c
+  WHERE category = 'heating_power'
+  GROUP BY 1)
 SELECT room, temp_series, heat_series FROM rm LEFT JOIN hp USING (room)"""
 )
 def drafted_rooms(spark, sf_dir):
@@ -379,8 +393,12 @@ def cache_anchor(spark, sf_dir):
 @query(
     f"""WITH {CACHE},
 kd AS (SELECT series_id, list_sort(list(DISTINCT kind)) AS kinds FROM sp GROUP BY 1),
-bs AS (SELECT series_id, source FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY source <> 'lts', -n, source) AS k FROM sp) WHERE k = 1)
-SELECT series_id, CASE WHEN kinds = ['cumulative'] THEN 'merge cumulative' WHEN list_contains(kinds, 'cumulative') THEN 'one source' ELSE 'merge measurements' END AS policy,
+bs AS (SELECT series_id, source
+  FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY source <> 'lts', -n, source) AS k
+  FROM sp)
+  WHERE k = 1)
+SELECT series_id, CASE WHEN kinds = ['cumulative'] THEN 'merge cumulative' WHEN list_contains(kinds,
+  'cumulative') THEN 'one source' ELSE 'merge measurements' END AS policy,
   array_to_string(kinds, ',') AS kinds, CASE WHEN list_contains(kinds, 'cumulative') AND len(kinds) > 1 THEN source END AS preferred
 FROM kd JOIN bs USING (series_id)"""
 )
@@ -395,7 +413,8 @@ OFFSETS = (
 gp AS (SELECT series_id, sec - lag(sec) OVER (PARTITION BY series_id ORDER BY sec) AS gap FROM cr JOIN an USING (series_id) WHERE source = anchor),
 tl AS (SELECT series_id, least(greatest(median(gap) / 2, 300), 2700)::BIGINT AS tol FROM gp WHERE gap > 0 GROUP BY 1),
 pr AS (
-  SELECT o.series_id, o.source, o.value - a.value AS diff, row_number() OVER (PARTITION BY o.series_id, o.source, o.sec ORDER BY abs(o.sec - a.sec), a.sec) AS k
+  SELECT o.series_id, o.source, o.value - a.value AS diff, row_number() OVER (PARTITION BY o.series_id, o.source, o.sec ORDER BY abs(o.sec - a.sec),
+    a.sec) AS k
   FROM cr o JOIN an ON an.series_id = o.series_id AND o.source <> anchor JOIN cr a ON a.series_id = o.series_id AND a.source = anchor
   JOIN tl ON tl.series_id = o.series_id AND abs(o.sec - a.sec) <= tol),
 mo AS (SELECT series_id, source, median(diff) AS off_by, count(*) AS pairs FROM pr WHERE k = 1 GROUP BY 1, 2),
@@ -407,7 +426,9 @@ dc AS (
 )
 
 
-@query(f"WITH {OFFSETS} SELECT series_id, source, anchor, used, CASE WHEN anchor THEN NULL ELSE coalesce(pairs, 0) END AS pairs, round(off_by, 2) AS offset_value FROM dc")
+@query(f"""WITH {OFFSETS} SELECT series_id, source, anchor, used, CASE WHEN anchor THEN NULL ELSE coalesce(pairs, 0) END AS pairs, round(off_by,
+  2) AS offset_value
+  FROM dc""")
 def cache_decisions(spark, sf_dir):
     _, decisions = quality.merge_cumulative(written(cache_rows(spark, sf_dir).drop("kind")), S)
     return decisions.select("series_id", "source", "anchor", "used", "pairs", F.round("offset", 2).alias("offset_value"))
@@ -429,7 +450,10 @@ def cache_merged(spark, sf_dir):
     f"""WITH {CACHE},
 mx AS (SELECT series_id, source, sec, CASE WHEN source = 'own' AND (sec // 3600) % 6 = 0 THEN value + 90000 ELSE value END AS value FROM cr),
 st AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id, source ORDER BY sec) AS step FROM mx),
-ag AS (SELECT series_id, source, count(*) AS n, count(*) FILTER (step < 0) AS dn, count(*) FILTER (step > 400) AS up, median(step) FILTER (step > 400) AS mu, median(-step) FILTER (step < 0) AS md FROM st GROUP BY 1, 2),
+ag AS (SELECT series_id, source, count(*) AS n, count(*) FILTER (step < 0) AS dn, count(*) FILTER (step > 400) AS up,
+  median(step) FILTER (step > 400) AS mu, median(-step) FILTER (step < 0) AS md
+  FROM st
+  GROUP BY 1, 2),
 vd AS (SELECT *, coalesce(dn >= 2 AND up >= 2 AND abs(mu - md) <= greatest(400, 0.1 * greatest(mu, md)), false) AS mixed FROM ag)
 SELECT series_id, source, CASE WHEN mixed THEN 'refused' ELSE 'rewritten' END AS status, CASE WHEN NOT mixed THEN n END AS rows FROM vd"""
 )
@@ -472,7 +496,8 @@ def offline_delta_t(spark, sf_dir):
     f"""WITH {HOUSE},
 p AS (SELECT home, d, delta_t AS x, q AS y FROM hd WHERE q > 0.5 AND delta_t > 4){FIT_CTES},
 v1 AS (SELECT *, {FIT_REASON} AS why FROM k)
-SELECT home, n AS days, CASE WHEN why IS NULL THEN round(hlc, 3) END AS hlc, CASE WHEN why IS NULL THEN round((slope - 1.96 * se) * 1000 / 24, 3) END AS ci_low, round(r2, 5) AS r2,
+SELECT home, n AS days, CASE WHEN why IS NULL THEN round(hlc, 3) END AS hlc, CASE WHEN why IS NULL THEN round((slope - 1.96 * se) * 1000 / 24,
+  3) END AS ci_low, round(r2, 5) AS r2,
   CASE WHEN why = 'too few days' THEN 'Fewer than 20 usable heating days' WHEN why = 'too little spread' THEN 'Days do not span enough temperature variation'
     WHEN why IS NOT NULL THEN 'The fit failed its quality gates' END AS note
 FROM v1"""
@@ -486,7 +511,10 @@ def offline_fit(spark, sf_dir):
 @query(
     f"""WITH {HOUSE},
 b9 AS (SELECT home, median(q) AS baseline, avg(outdoor) AS ref FROM hd WHERE delta_t < 3 GROUP BY 1 HAVING count(*) >= 7),
-y9 AS (SELECT home, d, delta_t, q - baseline * (55 - {MAINS.format('outdoor')}) / (55 - {MAINS.format('ref')}) AS y, baseline FROM hd JOIN b9 USING (home) WHERE q > 0.5 AND delta_t > 4),
+y9 AS (SELECT home, d, delta_t, q - baseline * (55 - {MAINS.format('outdoor')}) / (55 - {MAINS.format('ref')}) AS y, baseline
+  FROM hd
+  JOIN b9 USING (home)
+  WHERE q > 0.5 AND delta_t > 4),
 p AS (SELECT home, d, delta_t AS x, y FROM y9 WHERE y > 0.5){FIT_CTES},
 v1 AS (SELECT *, {FIT_REASON} AS why FROM k)
 SELECT home, n AS days, round(hlc, 3) AS hlc, round(baseline, 3) AS baseline FROM v1 JOIN b9 USING (home) WHERE why IS NULL"""
@@ -514,7 +542,9 @@ x AS (
   FROM j WINDOW b AS (ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY sec ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 f AS (SELECT sec, {_filled_sql('i', 24)} AS i, {_filled_sql('l', 24)} AS l, {_filled_sql('o', 24)} AS o FROM x),
 rr AS (SELECT (l - o) / (i - o) AS r FROM f WHERE (sec // 3600) % 24 BETWEEN 1 AND 5 AND i - o > 2)
-SELECT round(median(r), 4) AS ratio, count(r) AS rows, round(quantile_cont(r, 0.75) - quantile_cont(r, 0.25), 4) AS iqr, round(avg(CASE WHEN r BETWEEN 0 AND 1 THEN 0.0 ELSE 1.0 END) * 100, 3) AS outside_pct FROM rr"""
+SELECT round(median(r), 4) AS ratio, count(r) AS rows, round(quantile_cont(r, 0.75) - quantile_cont(r, 0.25), 4) AS iqr,
+  round(avg(CASE WHEN r BETWEEN 0 AND 1 THEN 0.0 ELSE 1.0 END) * 100, 3) AS outside_pct
+  FROM rr"""
 )
 def offline_loft_ratio(spark, sf_dir):
     rows = means(spark, sf_dir)
