@@ -72,16 +72,18 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     )
 
 
-def answer_limits(histogram: DataFrame, limits: DataFrame) -> DataFrame:
-    """Truncated totals for any ``limits`` (column context_limit), whether or not
-    a document of that length exists. The limits are few; each is matched to the
-    smallest length at or above it through one aggregate."""
-    asked = limits.select(F.col("context_limit").alias("asked")).distinct()
-    met = histogram.join(F.broadcast(asked), F.col("context_limit") >= F.col("asked"))
-    first = met.groupBy("asked").agg(F.min_by(F.struct("docs_at_least", "truncated_total", "context_limit"), "context_limit").alias("at"))
-    top = histogram.agg(F.max("context_limit").alias("longest"), F.max("truncated_total").alias("everything"))
-    return asked.join(first, "asked", "left").crossJoin(F.broadcast(top)).select(
+def answer_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """Totals for any ``limits``, whether or not a document of that length
+    exists: (context_limit, docs_at_least, truncated_total). Each is read from the
+    smallest length at or above it, in one aggregate over the histogram; an empty
+    histogram answers nothing."""
+    asked = histogram.withColumn("asked", F.explode(F.array(*(F.lit(x).cast("long") for x in sorted(set(limits))))))
+    above = F.col("context_limit") >= F.col("asked")
+    first = F.min_by(F.when(above, F.struct("docs_at_least", "truncated_total", "context_limit")), F.when(above, F.col("context_limit")))
+    found = asked.groupBy("asked").agg(first.alias("at"), F.max_by("truncated_total", "context_limit").alias("everything"))
+    cut = F.col("at.truncated_total") - (F.col("at.context_limit") - F.col("asked")) * F.col("at.docs_at_least")
+    return found.select(
         F.col("asked").alias("context_limit"),
-        F.coalesce(F.col("at.docs_at_least"), F.lit(0)).alias("docs_at_least"),
-        F.coalesce(F.col("at.truncated_total") - (F.col("at.context_limit") - F.col("asked")) * F.col("at.docs_at_least"), F.col("everything")).alias("truncated_total"),
+        F.coalesce("at.docs_at_least", F.lit(0)).alias("docs_at_least"),
+        F.coalesce(cut, "everything").alias("truncated_total"),
     )

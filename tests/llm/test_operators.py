@@ -99,8 +99,7 @@ def test_length_histogram(spark, corpus, codec):
         assert row.docs_at_least == sum(s >= limit for s in sizes) and row.tokens_at_least == sum(s for s in sizes if s >= limit)
         assert row.truncated_total == sum(min(s, limit) for s in sizes) and row.lost_tokens == sum(max(0, s - limit) for s in sizes)
         assert row["quantile"] == pytest.approx(sum(s <= limit for s in sizes) / len(sizes))
-    asked = spark.createDataFrame([(0,), (17,), (10**7,)], "context_limit long")
-    told = lengths.answer_limits(lengths.length_histogram(lengths.encoded_lengths(corpus, PATH, PATTERN)), asked)
+    told = lengths.answer_limits(lengths.length_histogram(lengths.encoded_lengths(corpus, PATH, PATTERN)), [0, 17, 10**7])
     assert {r.context_limit: r.truncated_total for r in told.collect()} == {k: sum(min(s, k) for s in sizes) for k in (0, 17, 10**7)}
 
 
