@@ -1,13 +1,15 @@
 """Language-model scoring: a hashed maximum-entropy model with word classes.
 
-p(word | text before) = p(class | features) * p(word | class). The classes of
-the ``vocabulary`` most frequent words come from their frequencies (equal sums
-of square roots); all other words share one class, and the end of a text has
-its own. Features are the last word, the one before it (a skip feature) and
-both together, hashed to ``rows`` rows of a weight matrix, and a bias; the
-class softmax is trained on them. Within a class only a bias for each word is
-used, whose maximum-likelihood weights are counts; half a count is added to
-each, and half for all words never seen.
+p(word | text before) = p(class | features) * p(part | class, features) *
+p(word | part). The classes of the ``vocabulary`` most frequent words come from
+their frequencies (equal sums of square roots), and so do the ``SUBS`` parts of
+each class; all other words share one class, and the end of a text has its own.
+Features are the last word, the one before it (a skip feature) and both
+together, and a bias: for the class softmax hashed to ``ROWS`` rows of a weight
+matrix, for the softmax over a class's parts hashed with the class to as many rows
+of another. Both are trained. Within a part only a bias for each word is used,
+whose maximum-likelihood weights are counts; half a count is added to each, and
+half for all words never seen.
 
 Training takes every training text once, in ``rounds`` disjoint slices: each
 task runs mini-batch gradient steps on its part of a slice from the broadcast
@@ -46,6 +48,7 @@ from .common import map_rows, sliced, stored, words
 
 VOCABULARY = 200_000
 CLASSES = 32
+SUBS = 16
 ROWS = 1 << 14
 ROUNDS = 4
 BATCH = 2048
@@ -86,7 +89,7 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
 
 
 class Words:
-    """Ids, classes and within-class log10 probabilities of the vocabulary."""
+    """Ids, classes, parts and within-part log10 probabilities of the vocabulary."""
 
     def __init__(self, top: list[tuple[bytes, int]], total: int, distinct: int, texts: int):
         self.ids = {w: k for k, (w, _) in enumerate(top, 3)}
@@ -97,9 +100,19 @@ class Words:
         if len(top):
             self.classes[3:] = 2 + np.minimum((mass * (CLASSES - 2) / mass[-1]).astype(np.int64), CLASSES - 3)
         self.n, self.v = total + texts, distinct + (texts > 0)
-        sums = np.bincount(self.classes[3:], c + 0.5, CLASSES) if len(top) else np.ones(CLASSES)
+        # parts of equal mass within each class; words are in order, so a class is a run of them
+        self.parts = np.zeros(len(top) + 3, np.int64)
+        mine = self.classes[3:]
+        if len(top):
+            totals = np.bincount(mine, np.sqrt(c), CLASSES)
+            before = np.concatenate([[0.0], np.cumsum(totals)[:-1]])
+            inside = (mass - before[mine]) / totals[mine]
+            self.parts[3:] = np.clip((inside * SUBS - 1e-9).astype(np.int64), 0, SUBS - 1)
+        cells = mine * SUBS + self.parts[3:]
+        sums = np.bincount(cells, c + 0.5, CLASSES * SUBS)
         self.within = np.zeros(len(top) + 3)
-        self.within[3:] = np.log10((c + 0.5) / sums[self.classes[3:]])
+        self.within[3:] = np.log10((c + 0.5) / sums[cells])
+        self.absent = np.where(sums.reshape(CLASSES, SUBS) > 0, np.float32(0), np.float32(-1e30))
         self.base = np.zeros(len(top) + 3)
         floor = self.n + 0.5 * (self.v + 1)
         self.base[3:] = np.log10((c + 0.5) / floor)
@@ -130,6 +143,36 @@ def features(flat: np.ndarray) -> np.ndarray:
     return np.stack([np.zeros_like(flat), mix(one, 11), mix(two, 23), mix(one * 1_000_003 + two, 37)])
 
 
+def part_features(at: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Rows of the parts' weights: a bias for each class, and the features with the class."""
+    mixed = ((at[1:] * 0x9E3779B1 + classes * 0x7FEB352D + 101) * 0x85EBCA6B >> 17) % (ROWS - CLASSES) + CLASSES
+    return np.concatenate([classes[None], mixed])
+
+
+def part_probabilities(weights: np.ndarray, at: np.ndarray, absent: np.ndarray) -> np.ndarray:
+    z = weights[at[0]] + absent
+    for row in at[1:]:
+        z += weights[row]
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def train_parts(weights: np.ndarray, power: np.ndarray, at: np.ndarray, classes: np.ndarray, target: np.ndarray, absent: np.ndarray, rate: float) -> None:
+    """Mini-batch steps in place on the parts of words that have one."""
+    cells, columns = weights.reshape(-1), np.arange(SUBS)
+    for k in range(0, len(target), BATCH):
+        rows, y = at[:, k : k + BATCH], target[k : k + BATCH]
+        g = part_probabilities(weights, rows, absent[classes[k : k + BATCH]])
+        g[np.arange(len(y)), y] -= 1
+        size = (g * g).mean(axis=1)
+        for row in rows:
+            np.add.at(power, row, size)
+            step = g * (-rate / np.sqrt(power[row] + 1)).astype(np.float32)[:, None]
+            np.add.at(cells, (row[:, None] * SUBS + columns).reshape(-1), step.reshape(-1))
+
+
 def class_probabilities(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     z = weights[at[1]] + weights[at[2]]
     z += weights[at[3]]
@@ -173,25 +216,32 @@ def _round(slice_: DataFrame, vocabulary, weights, column: str, rate: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, begun = vocabulary.value, weights.value
-        own, power, n = begun.copy(), np.zeros(ROWS, np.float32), 0
+        own, n = [w.copy() for w in begun], 0
+        power = [np.zeros(ROWS, np.float32) for _ in begun]
         for batch in (part for whole in batches for part in sliced(whole)):
             for _, held in _chunks(batch.column(0).to_pylist()):
                 flat, _ = known.encode(held)
                 real = flat != BEGIN
-                train(own, power, features(flat)[:, real], known.classes[flat[real]], rate)
+                ids = flat[real]
+                at, classes = features(flat)[:, real], known.classes[ids]
+                train(own[0], power[0], at, classes, rate)
+                told = classes > 1
+                within = part_features(at[:, told], classes[told])
+                train_parts(own[1], power[1], within, classes[told], known.parts[ids[told]], known.absent, rate)
                 n += int(real.sum())
         if n:
-            change = ((own - begun) * n).astype(np.float32)
-            blocks = list(range(0, ROWS, BLOCK))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array([change[b : b + BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "n", "change"])
+            changes = [((a - b) * n).astype(np.float32) for a, b in zip(own, begun)]
+            blocks = [c[b : b + BLOCK].tobytes() for c in changes for b in range(0, ROWS, BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())], ["block", "n", "change"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
             for block, n, change in zip(*(c.to_pylist() for c in batch.columns)):
-                held = sums.setdefault(block, [0, np.zeros(BLOCK * CLASSES, np.float64)])
+                added = np.frombuffer(change, np.float32)
+                held = sums.setdefault(block, [0, np.zeros(len(added), np.float64)])
                 held[0] += n
-                held[1] += np.frombuffer(change, np.float32)
+                held[1] += added
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["block", "n", "change"])
 
     schema = "block int, n long, change binary"
@@ -217,7 +267,7 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 def fit(docs: DataFrame, id_column: str, text_column: str, rounds: int = ROUNDS, rate: float = 0.1):
-    """(counts table, broadcast vocabulary, broadcast weights)."""
+    """(counts table, broadcast vocabulary, broadcast weights of classes and parts)."""
     spark = docs.sparkSession
     training = docs.where(~held_out(F.col(id_column)))
     counted = stored(word_counts(training, text_column))
@@ -225,15 +275,17 @@ def fit(docs: DataFrame, id_column: str, text_column: str, rounds: int = ROUNDS,
     texts = counted.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     vocabulary = spark.sparkContext.broadcast(Words(most_frequent(counts, VOCABULARY), total, distinct, texts))
-    weights = np.zeros((ROWS, CLASSES), np.float32)
+    weights = [np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, SUBS), np.float32)]
     part = F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit("slice")), F.lit(rounds))
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
         changes = _round(training.where(part == k), vocabulary, sent, text_column, rate).collect()  # one row a block: the weights' size
-        weights = weights.copy()
+        weights = [w.copy() for w in weights]
         for row in changes:
             if row.n:
-                weights[row.block : row.block + BLOCK] += np.frombuffer(row.change, np.float32).reshape(-1, CLASSES) / row.n
+                of, block = divmod(row.block, ROWS // BLOCK)
+                held = weights[of][block * BLOCK : (block + 1) * BLOCK]
+                held += np.frombuffer(row.change, np.float32).reshape(held.shape) / row.n
     return counts, vocabulary, spark.sparkContext.broadcast(weights)
 
 
@@ -254,11 +306,17 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 ids = flat[real]
                 at = features(flat)[:, real]
                 classes = words_.classes[ids]
-                logs = np.empty(len(ids))
+                chances = np.empty(len(ids))
                 for k in range(0, len(ids), BATCH * 4):
-                    p = class_probabilities(w, at[:, k : k + BATCH * 4])
-                    logs[k : k + BATCH * 4] = p[np.arange(len(p)), classes[k : k + BATCH * 4]]
-                model = np.log10(np.maximum(logs, 1e-30)) + words_.within[ids]
+                    some = slice(k, k + BATCH * 4)
+                    p = class_probabilities(w[0], at[:, some])
+                    chances[some] = p[np.arange(len(p)), classes[some]]
+                model = np.log10(np.maximum(chances, 1e-30)) + words_.within[ids]
+                told = np.flatnonzero(classes > 1)
+                for k in range(0, len(told), BATCH * 4):
+                    some = told[k : k + BATCH * 4]
+                    p = part_probabilities(w[1], part_features(at[:, some], classes[some]), words_.absent[classes[some]])
+                    model[some] += np.log10(np.maximum(p[np.arange(len(p)), words_.parts[ids[some]]], 1e-30))
                 sizes = np.diff(np.concatenate([[-1], ends])) - 2
                 starts = np.cumsum(sizes) - sizes
                 met = (ids > END) | (ids == END) & words_.end_known

@@ -653,10 +653,14 @@ def plain_maxent(texts, parts, top, total, distinct, rate=0.1):
     mass = list(itertools.accumulate(math.sqrt(c) for _, c in top))
     bands = maxent.CLASSES - 2
     class_of = {0: 0, 1: 1} | {k: 2 + min(int(m * bands / mass[-1]), bands - 1) for k, m in enumerate(mass, 3)}
-    sums = Counter()
+    whole, upto, part_of, sums = Counter(), Counter(), {0: 0, 1: 0}, Counter()
+    for k, (_, c) in enumerate(top, 3):
+        whole[class_of[k]] += math.sqrt(c)
     for k, (_, c) in enumerate(top, 3):
-        sums[class_of[k]] += c + 0.5
-    within = {k: math.log10((c + 0.5) / sums[class_of[k]]) for k, (_, c) in enumerate(top, 3)}
+        upto[class_of[k]] += math.sqrt(c)
+        part_of[k] = max(0, min(int(upto[class_of[k]] / whole[class_of[k]] * maxent.SUBS - 1e-9), maxent.SUBS - 1))
+        sums[class_of[k], part_of[k]] += c + 0.5
+    within = {k: math.log10((c + 0.5) / sums[class_of[k], part_of[k]]) for k, (_, c) in enumerate(top, 3)}
 
     def rows(back, last):
         flat = maxent.features(np.array([back, last, 0], np.int64))
@@ -674,8 +678,16 @@ def plain_maxent(texts, parts, top, total, distinct, rate=0.1):
         e = [math.exp(x - max(z)) for x in z]
         return [x / sum(e) for x in e]
 
+    inner, inner_row = {}, lambda r: inner.setdefault(r, [0.0] * maxent.SUBS)
+
+    def inside(at, c):
+        rows = maxent.part_features(np.array(at)[:, None], np.array([c]))[:, 0].tolist()
+        z = [sum(x) if (c, j) in sums else -math.inf for j, x in enumerate(zip(*(inner_row(r) for r in rows)))]
+        e = [math.exp(x - max(z)) for x in z]
+        return rows, [x / sum(e) for x in e]
+
     for k in range(maxent.ROUNDS):
-        power = Counter()
+        power, inner_power = Counter(), Counter()
         met = [p for i, words, training in texts if training and parts[i] == k for p in places(words)]
         for first in range(0, len(met), maxent.BATCH):
             batch = met[first : first + maxent.BATCH]
@@ -689,6 +701,17 @@ def plain_maxent(texts, parts, top, total, distinct, rate=0.1):
                 for (at, _), x in zip(batch, g):
                     scale = rate / math.sqrt(power[at[f]] + 1)
                     weights[at[f]] = [w - scale * y for w, y in zip(row_of(at[f]), x)]
+        words_only = [(at, word) for at, word in met if word > 2]
+        for first in range(0, len(words_only), maxent.BATCH):
+            batch = words_only[first : first + maxent.BATCH]
+            told = [inside(at, class_of[word]) for at, word in batch]
+            g = [[p - (j == part_of[word]) for j, p in enumerate(chance)] for (_, chance), (_, word) in zip(told, batch)]
+            for f in range(4):
+                for (rows_, _), x in zip(told, g):
+                    inner_power[rows_[f]] += sum(y * y for y in x) / len(x)
+                for (rows_, _), x in zip(told, g):
+                    scale = rate / math.sqrt(inner_power[rows_[f]] + 1)
+                    inner[rows_[f]] = [w - scale * y for w, y in zip(inner_row(rows_[f]), x)]
     rest_n, rest_v = n - sum(c for _, c in top) - sum(t for *_, t in texts), v - len(top) - 1
     count = Counter(w for _, words, training in texts if training for w in words)
     out = {}
@@ -697,7 +720,7 @@ def plain_maxent(texts, parts, top, total, distinct, rate=0.1):
         for (at, word), raw in zip(places(words), [*words, None]):
             score += math.log10(softmax(at)[class_of[word]])
             if word > 2:
-                score += within[word]
+                score += within[word] + math.log10(inside(at, class_of[word])[1][part_of[word]])
             elif word == 0:
                 score += math.log10((count[raw] + 0.5) / (rest_n + 0.5 * (rest_v + 1)))
         out[i] = score
@@ -732,8 +755,13 @@ def test_maxent_is_a_distribution():
     known = maxent.Words(top, 20, 6, 3)
     sums = Counter()
     for word, k in known.ids.items():
-        sums[known.classes[k]] += 10 ** known.within[k]
+        sums[known.classes[k], known.parts[k]] += 10 ** known.within[k]
     assert all(s == pytest.approx(1) for s in sums.values())
+    assert {tuple(x) for x in np.argwhere(known.absent == 0)} == set(sums)
+    classes = np.array([c for c, _ in sums])
+    at = maxent.part_features(np.arange(4 * len(classes)).reshape(4, -1), classes)
+    p = maxent.part_probabilities(np.random.default_rng(1).normal(size=(maxent.ROWS, maxent.SUBS)).astype(np.float32), at, known.absent[classes])
+    assert np.allclose(p.sum(axis=1), 1) and (p[known.absent[classes] < 0] == 0).all()
     assert (known.n, known.v, known.rest_n, known.rest_v) == (23, 7, 6, 3)
 
 
@@ -776,3 +804,22 @@ def test_every_operator_is_registered():
     names = set(queries.__dict__)
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert public_tokenizers.PATTERN == PATTERN
+
+
+def test_whole_notices_inside_texts(spark):
+    whole = [(label, text) for label, text in queries.LICENSE_TEMPLATES if len(text.split()) > 30]
+    texts = {k: f"{prose(k, 300)} {text} {prose(k + 50, 300)}" for k, (_, text) in enumerate(whole)}
+    # a third holds too little of the notice
+    texts |= {100 + k: f"{prose(k, 500)} " + " ".join(text.split()[: len(text.split()) // 3]) for k, (_, text) in enumerate(whole)}
+    docs = frame(spark, [(k, t, "en", "s", 0) for k, t in texts.items()] * 2)
+    rows = licenses.scan(docs, {}, whole).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        words, want = licenses.license_words(texts[r.doc_id]), set()
+        for label, template in whole:
+            step, tokens = licenses.step_of(template), set(licenses.license_words(template))
+            for k in range(0, max(1, len(words) - step), step):
+                if len(tokens.intersection(words[k : k + 2 * step])) >= 0.9 * len(tokens) - 1e-9:
+                    want.add(label)
+        assert set(r.labels.split(",")) - {""} == want
+        assert r.doc_id >= 100 or whole[r.doc_id][0] in want
