@@ -207,15 +207,16 @@ def least_determinants(rows: DataFrame, share: float, floors: list[float]) -> Da
     its determinant falls no more, after MOST_STEPS at most; as the nearest rows
     are whole bins, a step may also raise it, and then isn't taken."""
     starts = stored(_cholesky(_starts(rows, floors), floors))
-    estimate = moving = stored(_cholesky(_concentrate(rows, starts, share), floors))
+    every = moving = stored(_cholesky(_concentrate(rows, starts, share), floors))
     for _ in range(MOST_STEPS):
         ahead = _cholesky(_concentrate(rows, moving, share), floors)
         before = moving.select(*KEYS, F.col("logdet").alias("__before"))
         fallen = stored(ahead.join(before, KEYS).where(F.col("logdet") < F.col("__before") - 1e-6).drop("__before"))
         if fallen.isEmpty():
             break
-        estimate, moving = stored(estimate.join(fallen.select(*KEYS), KEYS, "left_anti").unionByName(fallen)), fallen
-    best = estimate.groupBy("group").agg(F.min_by(F.struct(*(c for c in estimate.columns if c not in KEYS)), F.struct("logdet", "start")).alias("e"))
+        every, moving = every.unionByName(fallen), fallen
+    # a start's last step has its least determinant
+    best = every.groupBy("group").agg(F.min_by(F.struct(*(c for c in every.columns if c not in KEYS)), F.struct("logdet", "start")).alias("e"))
     return best.select("group", "e.*")
 
 
