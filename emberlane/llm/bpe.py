@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-CACHE = 150_000
+CACHE = 400_000
 #: Pre-tokens that are looked up together; longer texts are split piecemeal.
 CHUNK_PIECES = 100_000
 #: Bytes of new pre-tokens that share one queue.
-QUEUE_BYTES = 100_000
+QUEUE_BYTES = 400_000
 #: Longer pre-tokens are encoded each time, so that the cache stays small.
 CACHED_CHARS = 64
 
