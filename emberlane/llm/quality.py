@@ -11,7 +11,7 @@ rejected.
 
 A step adds up counts and moments by (group, start, bin of the distance), which
 Spark combines before its shuffle, so that a source with a third of all
-documents weighs no more than another. The nearest ``share`` of a group are
+documents weighs no more than another; rows meet their group's estimate by a salt as well. The nearest ``share`` of a group are
 whole bins; the bins are ``BINS_PER_E`` to a factor of e, so the share is met
 from above to within one bin, and a group has at most some thousand bins. The
 starts are the median and interquartile range of each statistic, the moments of
@@ -48,6 +48,8 @@ STARTS = 3
 MOST_STEPS = 30
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 KEYS = ["group", "start"]
+#: Rows of a group meet its estimate in so many shares, wherever the estimates are too many to broadcast.
+SALTS = 32
 
 
 def text_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -163,7 +165,7 @@ def _starts(rows: DataFrame, floors: list[float]) -> DataFrame:
     inside = F.lit(True)
     for i in range(P):
         inside = inside & (F.abs(F.col(f"x{i}") - F.col(f"m{i}")) <= F.sqrt(F.col(f"c{i}{i}")) * 1.349 + floors[i])
-    core = _moments(rows.join(medians, "group").where(inside).groupBy("group").agg(*_sums()), ["group"])
+    core = _moments(_met(rows, medians).where(inside).groupBy("group").agg(*_sums()), ["group"])
     columns = ["group", *(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in PAIRS)]
     named = [df.select(F.lit(k).alias("start"), *columns) for k, df in enumerate((medians, everything, core))]
     return named[0].unionByName(named[1]).unionByName(named[2])
@@ -180,10 +182,17 @@ def _cholesky(estimate: DataFrame, floors: list[float]) -> DataFrame:
     return estimate.withColumn("logdet", sum(2 * F.log(f"l{i}{i}") for i in range(P)))
 
 
+def _met(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Rows with their group's estimates, in SALTS shares; null where there are none."""
+    shares = estimates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.join(shares, ["group", "__salt"], "left").drop("__salt")
+
+
 def _distance(rows: DataFrame, triangles: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance; null where a group has no
     estimate. A group with several starts gives a row for each."""
-    joined = rows.join(triangles.drop("logdet", *(f"c{i}{j}" for i, j in PAIRS)), "group", "left")
+    joined = _met(rows, triangles.drop("logdet", *(f"c{i}{j}" for i, j in PAIRS)))
     for i in range(P):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
         for j in range(i):
