@@ -68,4 +68,37 @@ SELECT w.doc_id, len(l) AS n_words, coalesce(n_base, 0) AS n_base, first_word, l
 FROM w LEFT JOIN bb ON bb.doc_id = w.doc_id LEFT JOIN vv ON vv.doc_id = w.doc_id"""
 
 
-ORACLES = {"op1_minhash_dedup": OP1, "op4_chat_format": OP4, "op6_url_filter": OP6, "op9_license_scan": _op9()}
+#: Targets rise with a common level until they meet their cap: the capped sources
+#: are those of the least cap for their weight, as many as the level asks for.
+OP11 = r"""WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+ w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+ o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS k FROM w),
+ p AS (SELECT k, source_size, weight, coalesce(sum(source_size) OVER b, 0)::BIGINT AS capped, sum(weight) OVER r AS rest, sum(source_size) OVER ()::BIGINT AS total
+   FROM o WINDOW b AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ l AS (SELECT (1.5::DOUBLE * total - 2.0::DOUBLE * capped) / rest AS level FROM p WHERE weight * ((1.5::DOUBLE * total - 2.0::DOUBLE * capped) / rest) <= 2.0::DOUBLE * source_size ORDER BY k LIMIT 1),
+ t AS (SELECT source, source_size, CASE WHEN weight * level > 2.0::DOUBLE * source_size THEN 2.0::DOUBLE * source_size ELSE weight * level END AS target FROM w CROSS JOIN l),
+ u AS (SELECT doc_id, size, source_size, target, least(2.0::DOUBLE, coalesce(target / nullif(source_size, 0), 0.0::DOUBLE)) AS rate,
+   ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, ':' || md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM u"""
+
+
+def _terms(text: str) -> str:
+    return rf"regexp_extract_all({_LOW.format(text)}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+OP13 = rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS k, {_terms("coalesce(text, '')")} AS l FROM documents),
+ g AS (SELECT count(*) AS nn, sum(len(l))::BIGINT AS ll FROM d WHERE len(l) > 0),
+ i AS (SELECT item, item_id, unnest(l) AS term FROM (SELECT row_number() OVER () AS item, item_id, {_terms("coalesce(text, '')")} AS l FROM benchmark)),
+ q AS (SELECT item, item_id, term, count(*) AS times FROM i GROUP BY 1, 2, 3),
+ f AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(l) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+ w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f CROSS JOIN g GROUP BY term, nn),
+ m AS (SELECT doc_id, k, 25 + (75 * len(l) * nn) // ll AS m FROM d CROSS JOIN g WHERE len(l) > 0),
+ s AS (SELECT item, item_id, k, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+   FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (k) GROUP BY 1, 2, 3, 4)
+SELECT item_id, (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, k))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+
+ORACLES = {"op1_minhash_dedup": OP1, "op4_chat_format": OP4, "op6_url_filter": OP6, "op9_license_scan": _op9(), "op11_source_mix": OP11, "op13_lexical_search": OP13}

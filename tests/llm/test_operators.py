@@ -802,7 +802,7 @@ def test_empty_tables(spark, corpus):
 
 def test_every_operator_is_registered():
     names = set(queries.__dict__)
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert public_tokenizers.PATTERN == PATTERN
 
 
