@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.stats import floor_percentile, lower_quartile, ols, upper_quartile
 from ..thresholds import AIR_WH_PER_M3_K, AirChange, Loft
 from .alignment import interpolated
-from .meters import local_time
+from .daily import drop_flatlines
+from .meters import Zone, local_time
 
 
-def baseline_ppm(readings: DataFrame, by: list[str], rule: AirChange = AirChange(), measured: DataFrame | None = None, configured: float | None = None) -> DataFrame:
+def baseline_ppm(readings: DataFrame, by: list[str], rule: AirChange = AirChange(), measured: DataFrame | None = None, configured: float | str | None = None) -> DataFrame:
     """(by, baseline, baseline_source): the median of the home's outdoor sensor,
     else the configured value, else a low percentile of the readings. ``measured``
-    meets on the columns of ``by`` that it has, such as the home."""
-    own = readings.groupBy(*by).agg(floor_percentile("value", rule.baseline_p).alias("low"))
+    meets on the columns of ``by`` that it has, such as the home; ``configured`` may
+    be the column of the readings that holds each home's value."""
+    set_ = F.max(configured) if isinstance(configured, str) else F.max(F.lit(configured).cast("double"))
+    own = readings.groupBy(*by).agg(floor_percentile("value", rule.baseline_p).alias("low"), set_.alias("set"))
     if measured is not None:
         home = [c for c in by if c in measured.columns]
         outdoors = measured.groupBy(*home).agg(F.median("value").alias("out"))
         own = own.join(outdoors, home, "left") if home else own.crossJoin(outdoors)  # one row
     else:
         own = own.withColumn("out", F.lit(None).cast("double"))
-    fixed = F.lit(configured).cast("double")
+    fixed = F.col("set")
     source = F.when(F.col("out").isNotNull(), "sensor").when(fixed.isNotNull(), "configured").otherwise("percentile")
     return own.select(*by, F.coalesce("out", fixed, "low").alias("baseline"), source.alias("baseline_source"))
 
@@ -76,7 +79,7 @@ def gates(df: DataFrame, rule: Loft = Loft()) -> Column:
     return (F.col("rows") >= rule.min_rows) & F.col("ratio").between(0, 1) & steady
 
 
-def loft_ratio_filled(inside: DataFrame, loft: DataFrame, outdoor: DataFrame, by: list[str], tz: str, rule: Loft = Loft(), most: int = 24) -> DataFrame:
+def loft_ratio_filled(inside: DataFrame, loft: DataFrame, outdoor: DataFrame, by: list[str], tz: Zone, rule: Loft = Loft(), most: int = 24) -> DataFrame:
     """Like ``loft_ratio`` over all stamps of the three series, each one's gaps
     filled on a line for up to ``most`` stamps, with interpolated quartiles."""
     name = lambda df, n: df.select(*by, "sec", F.col("value").alias(n))
@@ -96,7 +99,7 @@ def loft_ratio_filled(inside: DataFrame, loft: DataFrame, outdoor: DataFrame, by
     return out.withColumn("usable", gates(out, rule))
 
 
-def loft_ratio(inside: DataFrame, loft: DataFrame, outdoor: DataFrame, by: list[str], tz: str, rule: Loft = Loft()) -> DataFrame:
+def loft_ratio(inside: DataFrame, loft: DataFrame, outdoor: DataFrame, by: list[str], tz: Zone, rule: Loft = Loft()) -> DataFrame:
     """(by, ratio, rows, iqr, outside_pct, verdict, usable) over cold night hours."""
     name = lambda df, n: df.select(*by, "sec", F.col("value").alias(n))
     met = name(inside, "i").join(name(loft, "l"), [*by, "sec"]).join(name(outdoor, "o"), [*by, "sec"])
@@ -107,3 +110,31 @@ def loft_ratio(inside: DataFrame, loft: DataFrame, outdoor: DataFrame, by: list[
     )
     verdict = F.when(F.col("ratio") > 0.5, "loft follows the house").when(F.col("ratio") > 0.25, "between house and outdoors").otherwise("loft follows outdoors")
     return out.withColumns({"usable": gates(out, rule), "verdict": verdict})
+
+
+def loft_report(inside: DataFrame, loft: DataFrame, outdoor: DataFrame, homes: DataFrame, by: list[str], tz: Zone, humidity: DataFrame | None = None, rule: Loft = Loft()) -> DataFrame:
+    """(by, ratio, verdict, hours_used, window_days, iqr, out_of_range_pct,
+    humidity_pct, unavailable_reason) of every home of ``homes`` (by, today,
+    window_days, loft_since).
+
+    Readings count from the window's first day, or from the day on which the
+    sensor moved to the loft if that is later; a sensor that stands still is left
+    out. A home whose ratio a gate rejects keeps its row and has no values.
+    """
+    cutoff = F.greatest(F.date_sub("today", F.col("window_days")), F.coalesce("loft_since", F.date_sub("today", F.col("window_days"))))
+    begun = homes.select(*by, cutoff.alias("__from"))
+    since = lambda rows: rows.join(begun, by).where(local_time(F.col("sec"), tz).cast("date") >= F.col("__from")).drop("__from")
+    moving = since(drop_flatlines(loft, by))
+    found = loft_ratio(inside, moving, outdoor, by, tz, rule)
+    out = homes.select(*by, "window_days").join(found, by, "left")
+    if humidity is not None:
+        latest = since(humidity).groupBy(*by).agg(F.max_by("value", "sec").alias("humidity"))
+        out = out.join(latest, by, "left")
+    else:
+        out = out.withColumn("humidity", F.lit(None).cast("double"))
+    ok = F.coalesce("usable", F.lit(False))
+    shown = lambda c: F.when(ok, F.col(c))
+    return out.select(
+        *by, shown("ratio").alias("ratio"), shown("verdict").alias("verdict"), shown("rows").alias("hours_used"), shown("window_days").alias("window_days"), shown("iqr").alias("iqr"),
+        shown("outside_pct").alias("out_of_range_pct"), shown("humidity").alias("humidity_pct"), F.when(~ok, "not enough cold night hours").alias("unavailable_reason"),
+    )

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..thresholds import Cooling
-from .meters import local_time
+from .meters import Zone, local_time
 
 
-def nights(readings: DataFrame, rooms: DataFrame, outdoor: DataFrame, by: list[str], tz: str, rule: Cooling = Cooling(), heat: DataFrame | None = None) -> DataFrame:
+def nights(readings: DataFrame, rooms: DataFrame, outdoor: DataFrame, by: list[str], tz: Zone, rule: Cooling = Cooling(), heat: DataFrame | None = None) -> DataFrame:
     """(by, room, d, points, rejection_reason): each room's night with its sorted
     points (sec, temp, out). ``rooms`` has room, temp_series, heat_series (null
-    if the room has none); a configured series without rows rejects its nights.
+    if the room has none), and those columns of ``by`` that its ids are unique in;
+    a configured series without rows rejects its nights.
     """
     of = lambda df, name: df.select(*[F.col(c) for c in by], "sec", *(["series_id"] if "series_id" in df.columns else []), F.col("value").alias(name))
-    met = of(readings, "temp").join(F.broadcast(rooms), F.col("series_id") == F.col("temp_series")).drop("series_id")
+    met = of(readings, "temp").join(rooms.withColumnRenamed("temp_series", "series_id"), [*(c for c in by if c in rooms.columns), "series_id"]).drop("series_id")
     met = met.join(of(outdoor, "out").drop("series_id"), [*by, "sec"], "left")
     if heat is None:
         met = met.withColumn("heat", F.lit(None).cast("double"))
@@ -47,6 +48,7 @@ def fit_tau(night_rows: DataFrame, rule: Cooling = Cooling()) -> DataFrame:
     Each step relaxes towards the mean outdoor temperature of its ends. For every
     constant on the grid the simulated temperatures' squared error is summed by
     an aggregate over the points; the least error wins, then the smallest constant.
+    The search takes time rather than bytes, so nights are dealt to all tasks.
     """
     low, high, by = rule.grid
     temps = F.transform("points", lambda p: p["temp"])
@@ -58,15 +60,21 @@ def fit_tau(night_rows: DataFrame, rule: Cooling = Cooling()) -> DataFrame:
             F.get("points", i)["temp"].alias("t"),
         ),
     )
-    ready = night_rows.withColumns({"__steps": F.when(F.col("rejection_reason").isNull(), steps), "__t": temps})
+    tasks = int(night_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = night_rows.repartition(tasks, *(c for c in night_rows.columns if c not in ("points", "n_points", "rejection_reason")))
+    ready = dealt.withColumns({"__steps": F.when(F.col("rejection_reason").isNull(), steps), "__t": temps})
     first = F.get("__t", F.lit(0))
 
     def error(tau):
+        # a step adds the error of the one before, so each takes one exponential
+        missed = lambda acc: acc["sse"] + (acc["m"] - acc["t"]) * (acc["m"] - acc["t"])
+
         def step(acc, s):
             m = s["b"] + (acc["m"] - s["b"]) * F.exp(-s["h"] / tau)
-            return F.struct(m.alias("m"), (acc["sse"] + (m - s["t"]) * (m - s["t"])).alias("sse"))
+            return F.struct(m.alias("m"), s["t"].alias("t"), missed(acc).alias("sse"))
 
-        return F.struct(F.aggregate("__steps", F.struct(first.alias("m"), F.lit(0.0).alias("sse")), step)["sse"].alias("sse"), tau.alias("tau"))
+        begun = F.struct(first.alias("m"), first.alias("t"), F.lit(0.0).alias("sse"))
+        return F.struct(F.aggregate("__steps", begun, step, missed).alias("sse"), tau.alias("tau"))
 
     grid = F.transform(F.sequence(F.lit(round(low / by)), F.lit(round(high / by))), lambda k: error(k * by))
     fitted = ready.withColumn("__best", F.when(F.col("__steps").isNotNull(), F.array_min(grid)))
@@ -93,7 +101,7 @@ def summary(fits: DataFrame, by: list[str], rooms: DataFrame | None = None) -> D
     return rooms.select(*by, "room").distinct().join(out, [*by, "room"], "left").withColumn("nights_fitted", F.coalesce("nights_fitted", F.lit(0)))
 
 
-def long_nights(readings: DataFrame, outdoor: DataFrame, by: list[str], tz: str, start_h: float = 23.5, end_h: float = 6.5, max_gap_s: int = 600, min_hours: float = 3.0, min_delta_t: float = 3.0, min_drop: float = 0.3, heat: DataFrame | None = None, max_heat_pct: float = 1.0, heat_coverage: float = 0.8) -> DataFrame:
+def long_nights(readings: DataFrame, outdoor: DataFrame, by: list[str], tz: Zone, start_h: float = 23.5, end_h: float = 6.5, max_gap_s: int = 600, min_hours: float = 3.0, min_delta_t: float = 3.0, min_drop: float = 0.3, heat: DataFrame | None = None, max_heat_pct: float = 1.0, heat_coverage: float = 0.8) -> DataFrame:
     """(by, d, points, n_points, rejection_reason) of nights across midnight,
     named for the evening they begin on, for ``fit_tau``.
 
@@ -136,3 +144,25 @@ def long_nights(readings: DataFrame, outdoor: DataFrame, by: list[str], tz: str,
         .when(drop < min_drop, "no drop")
     )
     return nights_.select(*by, "d", "points", "n_points", reason.alias("rejection_reason"))
+
+
+def in_windows(fits: DataFrame, by: list[str], windows: DataFrame, rooms: DataFrame | None = None, min_nights: int = Cooling.min_nights) -> DataFrame:
+    """(by, room, tau_median_h, nights_fitted, last_night, window_days) of fitted
+    nights by the shortest window with ``min_nights`` good ones, else the longest.
+
+    ``windows`` has by, today and windows, an array of lengths in days: a night
+    counts in those that reach back to it. Each night is fitted once and goes to
+    its windows; medians are exact. Pass stored fits: Catalyst would repeat the
+    search in the filter of good nights. With ``rooms`` (by, room) rooms without a good
+    night keep their row, without values.
+    """
+    good = fits.where("rejection_reason is null").join(windows, by)
+    reach = F.filter("windows", lambda w: F.datediff("today", "d") <= w)
+    spread = good.select(*by, "room", "d", "tau_h", F.array_max("windows").alias("longest"), F.explode(reach).alias("w"))
+    each = spread.groupBy(*by, "room", "w").agg(F.median("tau_h").alias("tau"), F.count(F.lit(1)).alias("n"), F.max("d").alias("last"), F.max("longest").alias("longest"))
+    enough = (F.col("n") >= min_nights) | (F.col("w") == F.col("longest"))
+    best = each.groupBy(*by, "room").agg(F.min(F.when(enough, F.struct("w", "tau", "n", "last"))).alias("best"))
+    out = best if rooms is None else rooms.select(*by, "room").distinct().join(best, [*by, "room"], "left")
+    return out.select(
+        *by, "room", F.col("best.tau").alias("tau_median_h"), F.coalesce("best.n", F.lit(0)).cast("long").alias("nights_fitted"), F.col("best.last").alias("last_night"), F.col("best.w").alias("window_days")
+    )

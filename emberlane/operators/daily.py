@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..thresholds import HotWater
-from .meters import local_time
+from .meters import Zone, local_time
 
 
-def daily_mean(readings: DataFrame, by: list[str], tz: str) -> DataFrame:
+def daily_mean(readings: DataFrame, by: list[str], tz: Zone) -> DataFrame:
     return readings.groupBy(*by, local_time(F.col("sec"), tz).cast("date").alias("d")).agg(F.avg("value").alias("value"), F.count("value").alias("hours"))
 
 
@@ -23,7 +23,7 @@ def hourly_over_any(readings: DataFrame, members: list[str], by: list[str], name
     return readings.where(F.col(name).isin(members)).groupBy(*by, "sec").agg(F.avg("value").alias("value"))
 
 
-def daily_delta_t(readings: DataFrame, rooms: list[str], outdoor: str, by: list[str], tz: str, min_hours: int = 18) -> DataFrame:
+def daily_delta_t(readings: DataFrame, rooms: list[str], outdoor: str, by: list[str], tz: Zone, min_hours: int = 18) -> DataFrame:
     """(by, d, delta_t, hours): mean room temperature less outdoors, over hours in
     which every room and the outdoor sensor report; days of ``min_hours`` or more."""
     inside = hourly_over_all(readings, rooms, by, F.avg("value"))
@@ -33,7 +33,7 @@ def daily_delta_t(readings: DataFrame, rooms: list[str], outdoor: str, by: list[
     return days.where(F.col("hours") >= min_hours).select(*by, "d", F.col("value").alias("delta_t"), "hours")
 
 
-def daily_busiest(readings: DataFrame, sensors: list[str], by: list[str], tz: str, min_hours: int = 18) -> DataFrame:
+def daily_busiest(readings: DataFrame, sensors: list[str], by: list[str], tz: Zone, min_hours: int = 18) -> DataFrame:
     """(by, d, heat_pct, hours): daily mean of the hourly maximum over sensors."""
     days = daily_mean(hourly_over_all(readings, sensors, by, F.max("value")), by, tz)
     return days.where(F.col("hours") >= min_hours).select(*by, "d", F.col("value").alias("heat_pct"), "hours")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import lower_quartile, ols, upper_quartile
-from ..thresholds import HotWater
+from ..thresholds import BOILER_EFFICIENCY, HotWater
 
 
 def mains_c(outdoor: Column, rule: HotWater = HotWater()) -> Column:
@@ -85,10 +85,11 @@ def attribute(days: DataFrame, rule: HotWater = HotWater()) -> DataFrame:
     )
 
 
-def gas_water(gas: DataFrame, water: DataFrame, by: list[str], min_hours: int = 200, min_r2: float = 0.5, ideal_wh: float = 34.8, min_distinct: int = 10) -> DataFrame:
+def gas_water(gas: DataFrame, water: DataFrame, by: list[str], min_hours: int = 200, min_r2: float = 0.5, ideal_wh: float = 34.8, min_distinct: int = 10, efficiency: Column | float = BOILER_EFFICIENCY) -> DataFrame:
     """Hourly regression of gas steps on water steps at the same stamps. Fewer
-    than ``min_distinct`` different water steps make it unusable."""
+    than ``min_distinct`` different water steps make it unusable. hot_pct is the
+    heat delivered for a litre against what a hot one takes (``ideal_wh``)."""
     both = gas.select(*by, "sec", F.col("step").alias("gas")).join(water.select(*by, "sec", F.col("step").alias("litres")), [*by, "sec"])
     lines = both.groupBy(*by).agg(*ols("gas", "litres"), F.countDistinct("litres").alias("distinct_litres"))
     usable = (F.col("n") >= min_hours) & (F.col("distinct_litres") >= min_distinct) & (F.col("slope") > 0) & (F.col("r2") >= min_r2)
-    return lines.withColumns({"wh_per_litre": F.col("slope") * 1000, "hot_pct": F.least(F.lit(100.0), F.col("slope") * 1000 / ideal_wh * 100), "usable": usable})
+    return lines.withColumns({"wh_per_litre": F.col("slope") * 1000, "hot_pct": F.least(F.lit(100.0), F.col("slope") * 1000 * efficiency / ideal_wh * 100), "usable": usable})

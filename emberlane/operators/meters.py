@@ -13,15 +13,23 @@ def epoch_seconds(value: Column) -> Column:
     return F.floor(F.when(value > 1e12, value / 1000).otherwise(value)).cast("long")
 
 
-def local_time(sec: Column, tz: str) -> Column:
+#: A time zone: one name for all rows, or the column that holds each row's, such as its home's.
+Zone = str | Column
+
+
+def zone(tz: Zone) -> Column:
+    return F.lit(tz) if isinstance(tz, str) else tz
+
+
+def local_time(sec: Column, tz: Zone) -> Column:
     """Wall-clock time (without zone) of epoch seconds in ``tz``."""
     utc = F.timestamp_add("SECOND", sec, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
+    return F.convert_timezone(F.lit("UTC"), zone(tz), utc)
 
 
-def day_hours(day: Column, tz: str) -> Column:
+def day_hours(day: Column, tz: Zone) -> Column:
     """Hours of a local calendar day: 24, or 23 and 25 where clocks change."""
-    start = lambda d: F.convert_timezone(F.lit(tz), F.lit("UTC"), d.cast("timestamp_ntz"))
+    start = lambda d: F.convert_timezone(zone(tz), F.lit("UTC"), d.cast("timestamp_ntz"))
     return F.timestamp_diff("HOUR", start(day), start(F.date_add(day, 1)))
 
 
@@ -33,6 +41,11 @@ def series(rows: DataFrame, kind: str, by: list[str], start: str = "start") -> D
     return picked.groupBy(*by, "sec").agg(F.max_by(kind, order).alias("value"))
 
 
+def running(rows: DataFrame, by: list[str], value: str) -> Column:
+    """The running sum of increments, as a cumulative meter shows it."""
+    return F.sum(value).over(Window.partitionBy(*by).orderBy("sec"))
+
+
 def steps(readings: DataFrame, by: list[str], meter: Meter = Meter(), value: str = "value") -> DataFrame:
     """(by, sec, step) of consecutive readings; resets, gaps and leaps are left
     out and never read as 0. A step bears the later stamp."""
@@ -43,9 +56,9 @@ def steps(readings: DataFrame, by: list[str], meter: Meter = Meter(), value: str
     return found.where((F.col("gap") > 0) & (F.col("gap") <= meter.max_gap_s) & F.col("step").between(0, meter.max_step)).select(*by, "sec", "step")
 
 
-def daily(step_rows: DataFrame, by: list[str], tz: str, meter: Meter = Meter()) -> DataFrame:
+def daily(step_rows: DataFrame, by: list[str], tz: Zone, meter: Meter = Meter()) -> DataFrame:
     """(by, d, total, least, hours, complete): a day counts as complete with
-    ``coverage`` of its possible steps."""
+    ``coverage`` of its possible steps. A zone column has to be one of ``by``."""
     days = step_rows.withColumn("d", local_time(F.col("sec"), tz).cast("date")).groupBy(*by, "d").agg(
         F.sum("step").alias("total"), F.min("step").alias("least"), F.count("step").alias("hours")
     )

@@ -9,11 +9,11 @@ from ..thresholds import HeatLoss, HotWater
 from . import heatloss, hotwater, meters
 from .alignment import interpolated
 from .daily import hourly_over_all
-from .meters import day_hours, local_time
+from .meters import Zone, day_hours, local_time
 from .quality import cadence
 
 
-def zone_heat_kwh(zones: DataFrame, output_kw: float, by: list[str], tz: str) -> DataFrame:
+def zone_heat_kwh(zones: DataFrame, output_kw: float, by: list[str], tz: Zone) -> DataFrame:
     """(by, d, q): a day's heat by the mean percentage over zones at each stamp,
     as a share of what the boiler gives in 24 hours."""
     stamps = zones.groupBy(*by, "sec").agg(F.avg("value").alias("pct"))
@@ -21,13 +21,13 @@ def zone_heat_kwh(zones: DataFrame, output_kw: float, by: list[str], tz: str) ->
     return days.agg((F.avg(F.col("pct") / 100 * output_kw) * 24).alias("q"))
 
 
-def meter_heat_kwh(readings: DataFrame, by: list[str], tz: str) -> DataFrame:
+def meter_heat_kwh(readings: DataFrame, by: list[str], tz: Zone) -> DataFrame:
     """(by, d, q) of complete days of a cumulative meter."""
     days = meters.daily(meters.steps(readings, by), by, tz)
     return days.where("complete").select(*by, "d", F.col("total").alias("q"))
 
 
-def daily_delta_t(readings: DataFrame, rooms: list[str], outdoor: str, by: list[str], tz: str, coverage: float = 0.9) -> DataFrame:
+def daily_delta_t(readings: DataFrame, rooms: list[str], outdoor: str, by: list[str], tz: Zone, coverage: float = 0.9) -> DataFrame:
     """(by, d, delta_t, rows): mean of all rooms less outdoors, at stamps at which
     every room reports. One missing outdoor stamp is filled on a line. Days hold
     ``coverage`` of what the series' own cadence, its median gap, lets expect."""
@@ -47,11 +47,7 @@ def fit_or_note(points: DataFrame, by: list[str], rule: HeatLoss = HeatLoss()) -
     lets it pass, and a note on the others."""
     fits = heatloss.fit(points, by, rule)
     passed = F.col("rejection_reason").isNull()
-    note = (
-        F.when(F.col("rejection_reason") == "too few days", F.concat(F.lit("Fewer than "), F.lit(rule.min_days), F.lit(" usable heating days")))
-        .when(F.col("rejection_reason") == "too little spread", "Days do not span enough temperature variation")
-        .when(~passed, "The fit failed its quality gates")
-    )
+    note = F.concat(F.lit("no result: "), F.col("rejection_reason"))  # null where nothing is rejected
     values = [F.when(passed, F.col(c)).alias(c) for c in ("hlc", "ci_low", "ci_high", "intercept", "r1", "effective_days")]
     return fits.select(*by, F.col("n").alias("days"), *values, "r2", note.alias("note"))
 

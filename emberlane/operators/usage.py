@@ -18,9 +18,13 @@ def electricity(days: DataFrame, by: list[str], window: int = 30, min_days: int
     return out.select(*by, "days", "kwh_per_day", "historical", (F.col("base") * 1000).alias("baseload_w"), share.alias("share_pct"), (F.col("days") >= min_days).alias("usable"))
 
 
+#: Pounds for a kWh of 1 in these units.
+TARIFF_UNITS = [(1.0, ("gbp/kwh", "£/kwh")), (0.01, ("p/kwh", "pence/kwh")), (0.001, ("gbp/mwh", "£/mwh"))]
+
+
 def tariff_per_kwh(value: Column, unit: Column) -> Column:
     """Pounds for a kWh; null for other units, text and negative numbers."""
     number = value.try_cast("double")
     clean = F.lower(F.replace(unit, F.lit(" "), F.lit("")))
-    scaled = F.when(clean == "gbp/kwh", number).when(clean == "p/kwh", number / 100).when(clean == "gbp/mwh", number / 1000)
+    scaled = F.coalesce(*(F.when(clean.isin(*names), number * factor) for factor, names in TARIFF_UNITS))
     return F.when((scaled >= 0) & ~F.isnan(scaled) & (scaled < float("inf")), scaled)

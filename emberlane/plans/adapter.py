@@ -70,3 +70,62 @@ HOUSE = """b AS (SELECT l_returnflag AS home, l_shipdate::DATE AS d, sum(l_quant
    3 + CASE WHEN delta_t > 4 THEN 5.5::DOUBLE * delta_t ELSE 0 END + (s % 5) / 2 + water * 0.02::DOUBLE AS q,
    6 + (s % 9) AS kwh, 0.1::DOUBLE + (n % 5) * 0.02::DOUBLE AS least FROM b3)"""
 OFF = HOUSE + """, ho AS (SELECT *, CASE WHEN heat_pct IS NOT NULL THEN heat_pct <= 1.0 ELSE delta_t < 3 END AS off FROM hd)"""
+
+
+#: Zones of the homes, whose clocks change on different days, and hours from UTC to 22 o'clock of each.
+HOME_ZONES = {"A": ("America/New_York", 3), "N": ("Europe/London", 22), "R": ("Asia/Kolkata", 17)}
+
+
+def zone_of(home: str = "home"):
+    """(zone, hour at which the heating goes off in UTC) of a home, as columns."""
+    pick = lambda i: F.coalesce(*(F.when(F.col(home) == k, F.lit(v[i])) for k, v in HOME_ZONES.items()))
+    return pick(0), pick(1)
+
+
+def house_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(home, zone, sec, room_a, room_b, outdoor, heat_a, loft, humidity, co2, litres, gas):
+    the hours of ``house_days``' homes. Rooms cool from 22 o'clock, each day with
+    constants of its own; the loft follows, CO2 falls, and some gas goes with the litres."""
+    days = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("home"), F.col("l_shipdate").cast("date").alias("d")).agg(F.sum("l_quantity").alias("s"), F.count(F.lit(1)).alias("n"))
+    outdoor = 10 - 8 * F.cos(F.dayofyear("d") * 2 * 3.141592653589793 / 365) + (F.col("s") % 7) / 2 - 1.5
+    hours = days.withColumn("outdoor", outdoor).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    zone, off = zone_of()
+    p = (F.col("h") - off + 24) % 24
+    fall = lambda tau: F.col("outdoor") + (21 - F.col("outdoor")) * F.exp(-F.col("p") / tau)
+    hours = hours.withColumns({"zone": zone, "p": p, "sec": F.datediff("d", F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + F.col("h") * 3600})
+    litres = ((F.col("n") * (F.col("h") + 1)) % 13).cast("double")
+    hours = hours.withColumns({"room_a": fall(10.0 + F.col("n") % 25), "room_b": fall(30.0 + F.col("s") % 50)})
+    return hours.select(
+        "home", "zone", "sec", "room_a", "room_b", "outdoor",
+        F.when(F.col("n") % 5 != 0, F.when(F.col("p") >= 18, 40.0).otherwise(0.0)).alias("heat_a"),
+        (F.col("outdoor") + (0.2 + (F.col("n") % 7) / 20) * (F.col("room_a") - F.col("outdoor"))).alias("loft"),
+        F.when(F.col("h") % 6 == 0, 55.0 + F.col("s") % 30).alias("humidity"),
+        (420 + 700 * F.exp(-F.col("p") * (0.2 + (F.col("n") % 4) / 20))).alias("co2"),
+        litres.alias("litres"), (0.1 + 0.018 * litres + (F.col("s") + F.col("h")) % 3 * 0.01).alias("gas"),
+    )
+
+
+def series_of(hours: DataFrame, *names: str) -> DataFrame:
+    """(home, zone, series_id, sec, value) of these columns of ``house_hours``."""
+    parts = F.array(*(F.struct(F.lit(n).alias("series_id"), F.col(n).alias("value")) for n in names))
+    return hours.select("home", "zone", "sec", F.inline(parts)).where("value is not null")
+
+
+ZONES_SQL = "CASE home " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in HOME_ZONES.items()) + " END"
+_OFF_SQL = "CASE home " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in HOME_ZONES.items()) + " END"
+#: Local wall-clock time of {0} seconds in column zone.
+LOCAL = "timezone(zone, timezone('UTC', TIMESTAMP '1970-01-01' + to_seconds({0})))"
+HOURS = f"""hb AS (SELECT l_returnflag AS home, l_shipdate::DATE AS d, sum(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY 1, 2),
+hb1 AS (
+  SELECT home, d, s, n, h, {ZONES_SQL} AS zone, (h - {_OFF_SQL} + 24) % 24 AS p, (d - DATE '1970-01-01')::BIGINT * 86400 + h * 3600 AS sec,
+    10 - 8 * cos(dayofyear(d) * 2 * 3.141592653589793::DOUBLE / 365) + (s % 7) / 2 - 1.5 AS outdoor
+  FROM hb, range(24) r(h)),
+hb2 AS (
+  SELECT *, outdoor + (21 - outdoor) * exp(-p / (10.0::DOUBLE + n % 25)) AS room_a, outdoor + (21 - outdoor) * exp(-p / (30.0::DOUBLE + s % 50)) AS room_b
+  FROM hb1),
+hh AS (
+  SELECT home, zone, sec, room_a, room_b, outdoor, CASE WHEN n % 5 <> 0 THEN CASE WHEN p >= 18 THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END END AS heat_a,
+    outdoor + (0.2::DOUBLE + (n % 7) / 20) * (room_a - outdoor) AS loft, CASE WHEN h % 6 = 0 THEN 55.0::DOUBLE + s % 30 END AS humidity,
+    420 + 700 * exp(-p * (0.2::DOUBLE + (n % 4) / 20)) AS co2,
+    ((n * (h + 1)) % 13)::DOUBLE AS litres, 0.1::DOUBLE + 0.018::DOUBLE * ((n * (h + 1)) % 13) + (s + h) % 3 * 0.01::DOUBLE AS gas
+  FROM hb2)"""

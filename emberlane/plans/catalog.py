@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import report_queries  # noqa: F401  (registers its queries)
+from . import home_queries, report_queries  # noqa: F401  (they register their queries)
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,7 +10,7 @@ from ..operators import air, alignment, cooling, daily, heatloss, hotwater, mete
 from ..sources.scratch import written
 from ..thresholds import AirChange, Cooling, HeatLoss, HotWater, Loft, Meter
 from . import report
-from .adapter import C, DAY, GAS, H, HOUSE, OFF, OUTDOOR, ROOMS, STEPS, WATER, hourly, house_days, means
+from .adapter import C, DAY, GAS, H, HOURS, HOUSE, LOCAL, OFF, OUTDOOR, ROOMS, STEPS, WATER, hourly, house_days, house_hours, means, series_of
 from .adapter import meters as meter_rows
 from .adapter import table
 
@@ -30,7 +30,7 @@ def query(sql: str | None = None):
     return register
 
 
-def r(name: str, digits: int = 3):
+def r(name: str, digits: int = 8):
     return F.round(name, digits).alias(name)
 
 
@@ -58,15 +58,15 @@ FIT_REASON = """CASE WHEN n < 20 THEN 'too few days' WHEN spread < 3 THEN 'too l
 FIT_SQL = (
     FIT_CTES
     + f"""
-SELECT home, round(slope, 4) AS slope, round(intercept, 3) AS intercept, round(r2, 4) AS r2, n, pairs, round(r1, 4) AS r1, round(hlc, 3) AS hlc,
-  round(n / vif, 2) AS effective_days,
- round((slope - 1.96 * se) * 1000 / 24, 2) AS ci_low, round((slope + 1.96 * se) * 1000 / 24, 2) AS ci_high,
+SELECT home, round(slope, 8) AS slope, round(intercept, 8) AS intercept, round(r2, 8) AS r2, n, pairs, round(r1, 8) AS r1, round(hlc, 8) AS hlc,
+  round(n / vif, 8) AS effective_days,
+ round((slope - 1.96 * se) * 1000 / 24, 8) AS ci_low, round((slope + 1.96 * se) * 1000 / 24, 8) AS ci_high,
  {FIT_REASON} AS rejection_reason FROM k"""
 )
 
 
 def _fit_columns(fit: DataFrame) -> DataFrame:
-    return fit.select("home", r("slope", 4), r("intercept"), r("r2", 4), "n", "pairs", r("r1", 4), r("hlc"), r("effective_days", 2), r("ci_low", 2), r("ci_high", 2), "rejection_reason")
+    return fit.select("home", r("slope"), r("intercept"), r("r2"), "n", "pairs", r("r1"), r("hlc"), r("effective_days"), r("ci_low"), r("ci_high"), "rejection_reason")
 
 
 @query("WITH p AS (SELECT 'all' AS home, l_shipdate::DATE AS d, sum(l_quantity) AS x, sum(l_extendedprice) / 1000 AS y FROM lineitem GROUP BY 2 HAVING sum(l_quantity) > 4 AND sum(l_extendedprice) / 1000 > 0.5)" + FIT_SQL)
@@ -74,26 +74,26 @@ def hlc_fit(spark, sf_dir):
     return _fit_columns(heatloss.fit(heatloss.fit_points(lineitem_days(spark, sf_dir)), HOME))
 
 
-@query(f"WITH {H} SELECT series_id, sec, round(mean, 8) AS mean, round(inc, 2) AS inc FROM h")
+@query(f"WITH {H} SELECT series_id, sec, round(mean, 8) AS mean, round(inc, 8) AS inc FROM h")
 def stats_hourly(spark, sf_dir):
-    return hourly(spark, sf_dir).select("series_id", "sec", r("mean", 8), r("inc", 2))
+    return hourly(spark, sf_dir).select("series_id", "sec", r("mean", 8), r("inc"))
 
 
 METER = Meter(max_step=400.0)
 
 
-@query(f"WITH {STEPS.format(400)} SELECT series_id, sec, round(step, 2) AS step FROM st")
+@query(f"WITH {STEPS.format(400)} SELECT series_id, sec, round(step, 8) AS step FROM st")
 def meter_steps(spark, sf_dir):
-    return meters.steps(meter_rows(spark, sf_dir), S, METER).select("series_id", "sec", r("step", 2))
+    return meters.steps(meter_rows(spark, sf_dir), S, METER).select("series_id", "sec", r("step"))
 
 
-@query(f"""WITH {STEPS.format(400)} SELECT series_id, {DAY.format('sec')} AS d, round(sum(step), 2) AS total, round(min(step), 2) AS least, count(*) AS hours,
+@query(f"""WITH {STEPS.format(400)} SELECT series_id, {DAY.format('sec')} AS d, round(sum(step), 8) AS total, round(min(step), 8) AS least, count(*) AS hours,
   count(*) >= 23 * 0.9 AS complete
   FROM st
   GROUP BY 1, 2""")
 def daily_meter_complete(spark, sf_dir):
     days = meters.daily(meters.steps(meter_rows(spark, sf_dir), S, METER), S, "UTC", METER)
-    return days.select("series_id", "d", r("total", 2), r("least", 2), "hours", "complete")
+    return days.select("series_id", "d", r("total"), r("least"), "hours", "complete")
 
 
 @query(
@@ -114,7 +114,7 @@ def daily_mean(spark, sf_dir):
 ALL = "(SELECT sec, avg(mean) AS v, max(mean) AS m FROM h WHERE series_id IN ('view', 'click') GROUP BY sec HAVING count(DISTINCT series_id) = 2)"
 
 
-@query(f"""WITH {H}, i AS {ALL} SELECT {DAY.format('i.sec')} AS d, round(avg(v - mean), 3) AS delta_t, count(*) AS hours
+@query(f"""WITH {H}, i AS {ALL} SELECT {DAY.format('i.sec')} AS d, round(avg(v - mean), 8) AS delta_t, count(*) AS hours
   FROM i
   JOIN h ON h.sec = i.sec AND series_id = 'error'
   GROUP BY 1
@@ -123,7 +123,7 @@ def daily_delta_all_rooms(spark, sf_dir):
     return daily.daily_delta_t(means(spark, sf_dir), ROOMS, OUTDOOR, [], "UTC").select("d", r("delta_t"), "hours")
 
 
-@query(f"""WITH {H}, i AS {ALL} SELECT {DAY.format('sec')} AS d, round(avg(m), 3) AS heat_pct, count(*) AS hours
+@query(f"""WITH {H}, i AS {ALL} SELECT {DAY.format('sec')} AS d, round(avg(m), 8) AS heat_pct, count(*) AS hours
   FROM i
   GROUP BY 1
   HAVING count(*) >= 18""")
@@ -172,18 +172,18 @@ def _hot_water(days):
     return hotwater.baseline(days, HOME), rates, limits
 
 
-@query(f"""WITH {BASE} SELECT home, round(baseline, 3) AS baseline, round(reference_c, 3) AS reference_c, days_used, away_days,
-  round(CASE WHEN away_days >= 3 THEN idle END, 3) AS idle_kwh,
+@query(f"""WITH {BASE} SELECT home, round(baseline, 8) AS baseline, round(reference_c, 8) AS reference_c, days_used, away_days,
+  round(CASE WHEN away_days >= 3 THEN idle END, 8) AS idle_kwh,
   CASE WHEN days_used < 7 THEN 'invalid' WHEN days_used >= 14 THEN 'valid' ELSE 'provisional' END AS status
   FROM bl""")
 def baseline_away_days(spark, sf_dir):
     return hotwater.baseline(_off_days(spark, sf_dir), HOME).select("home", r("baseline"), r("reference_c"), "days_used", "away_days", r("idle_kwh"), "status")
 
 
-@query(f"""WITH {BASE} SELECT home, round(rate, 4) AS rate, rate_days, round(rate_iqr, 4) AS rate_iqr, rate_days >= 10 AND rate BETWEEN 0.05 AND 1.5 AS usable
+@query(f"""WITH {BASE} SELECT home, round(rate, 8) AS rate, rate_days, round(rate_iqr, 8) AS rate_iqr, rate_days >= 10 AND rate BETWEEN 0.05 AND 1.5 AS usable
   FROM ra""")
 def water_rate(spark, sf_dir):
-    return _hot_water(_off_days(spark, sf_dir))[1].select("home", r("rate", 4), "rate_days", r("rate_iqr", 4), "usable")
+    return _hot_water(_off_days(spark, sf_dir))[1].select("home", r("rate"), "rate_days", r("rate_iqr"), "usable")
 
 
 ATTRIBUTED = (
@@ -205,13 +205,13 @@ def _attributed(spark, sf_dir):
     return written(_attribution(_off_days(spark, sf_dir)))
 
 
-@query(f"WITH {ATTRIBUTED} SELECT home, d, how, outlier, round(hot_kwh, 3) AS hot_kwh FROM a3")
+@query(f"WITH {ATTRIBUTED} SELECT home, d, how, outlier, round(hot_kwh, 8) AS hot_kwh FROM a3")
 def attribution(spark, sf_dir):
     return _attributed(spark, sf_dir).select("home", "d", "how", "outlier", r("hot_kwh"))
 
 
-@query(f"""WITH {ATTRIBUTED} SELECT home, year(d)::BIGINT AS year, count(*) AS days, count(*) FILTER (off) AS off_days, round(avg(hot_kwh), 3) AS hot_kwh,
-  round(avg(greatest(q - hot_kwh, 0.0::DOUBLE)), 3) AS space_kwh, round(avg(hot_kwh) * 365 * 0.07, 2) AS cost_year
+@query(f"""WITH {ATTRIBUTED} SELECT home, year(d)::BIGINT AS year, count(*) AS days, count(*) FILTER (off) AS off_days, round(avg(hot_kwh), 8) AS hot_kwh,
+  round(avg(greatest(q - hot_kwh, 0.0::DOUBLE)), 8) AS space_kwh, round(avg(hot_kwh) * 365 * 0.07, 8) AS cost_year
   FROM a3
   GROUP BY 1, 2""")
 def usage_split(spark, sf_dir):
@@ -219,7 +219,7 @@ def usage_split(spark, sf_dir):
     out = rows.groupBy("home", F.year("d").cast("long").alias("year")).agg(
         F.count(F.lit(1)).alias("days"), F.count_if("off").alias("off_days"), F.avg("hot_kwh").alias("hot_kwh"), F.avg("space").alias("space_kwh"), (F.avg("hot_kwh") * 365 * 0.07).alias("cost_year")
     )
-    return out.select("home", "year", "days", "off_days", r("hot_kwh"), r("space_kwh"), r("cost_year", 2))
+    return out.select("home", "year", "days", "off_days", r("hot_kwh"), r("space_kwh"), r("cost_year"))
 
 
 @query(f"WITH {ATTRIBUTED}, p AS (SELECT home, d, delta_t AS x, q - coalesce(hot_kwh, 0) AS y FROM a3 WHERE q > 0.5 AND delta_t > 4 AND q - coalesce(hot_kwh, 0) > 0)" + FIT_SQL)
@@ -229,33 +229,33 @@ def hlc_adjusted(spark, sf_dir):
 
 @query(f"""WITH {HOUSE}, p AS (SELECT home, d, delta_t AS x, q AS y FROM hd WHERE q > 0.5 AND delta_t > 4),
 l AS (SELECT home, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM p GROUP BY 1)
-SELECT home, d, round(y - i - s * x, 3) AS residual FROM p JOIN l USING (home)""")
+SELECT home, d, round(y - i - s * x, 8) AS residual FROM p JOIN l USING (home)""")
 def ols_residuals(spark, sf_dir):
     points = heatloss.fit_points(house_days(spark, sf_dir))
     lines = points.groupBy("home").agg(*stats.ols("y", "delta_t"))
-    return points.join(lines.select("home", "slope", "intercept"), "home").select("home", "d", F.round(F.col("y") - F.col("intercept") - F.col("slope") * F.col("delta_t"), 3).alias("residual"))
+    return points.join(lines.select("home", "slope", "intercept"), "home").select("home", "d", F.round(F.col("y") - F.col("intercept") - F.col("slope") * F.col("delta_t"), 8).alias("residual"))
 
 
-@query(f"""WITH {HOUSE} SELECT home, d, round({MAINS.format('outdoor')}, 3) AS mains_c,
-  round(12 * (55 - {MAINS.format('outdoor')}) / (55 - {MAINS.format('10.0::DOUBLE')}), 3) AS scaled_kwh
+@query(f"""WITH {HOUSE} SELECT home, d, round({MAINS.format('outdoor')}, 8) AS mains_c,
+  round(12 * (55 - {MAINS.format('outdoor')}) / (55 - {MAINS.format('10.0::DOUBLE')}), 8) AS scaled_kwh
   FROM hd""")
 def mains_model(spark, sf_dir):
     days = house_days(spark, sf_dir)
-    return days.select("home", "d", F.round(hotwater.mains_c(F.col("outdoor")), 3).alias("mains_c"), F.round(hotwater.scaled_kwh(F.lit(12.0), F.col("outdoor"), F.lit(10.0)), 3).alias("scaled_kwh"))
+    return days.select("home", "d", F.round(hotwater.mains_c(F.col("outdoor")), 8).alias("mains_c"), F.round(hotwater.scaled_kwh(F.lit(12.0), F.col("outdoor"), F.lit(10.0)), 8).alias("scaled_kwh"))
 
 
 @query(
     f"""WITH {STEPS.format(400)}, j AS (SELECT a.step AS y, b.step AS x
   FROM st a
   JOIN st b ON a.sec = b.sec AND a.series_id = 'purchase' AND b.series_id = 'signup')
-SELECT round(regr_slope(y, x) * 1000, 3) AS wh_per_litre, round(regr_r2(y, x), 5) AS r2, count(*) AS n, round(least(100, regr_slope(y,
-  x) * 1000 / 34.8 * 100), 3) AS hot_pct, count(*) >= 200 AND regr_slope(y, x) > 0 AND regr_r2(y, x) >= 0.5 AS usable
+SELECT round(regr_slope(y, x) * 1000, 8) AS wh_per_litre, round(regr_r2(y, x), 8) AS r2, count(*) AS n, round(least(100, regr_slope(y,
+  x) * 1000 * 0.88::DOUBLE / 34.8 * 100), 8) AS hot_pct, count(*) >= 200 AND regr_slope(y, x) > 0 AND regr_r2(y, x) >= 0.5 AS usable
   FROM j"""
 )
 def gas_water_regression(spark, sf_dir):
     steps = meters.steps(meter_rows(spark, sf_dir), S, METER)
     of = lambda name: steps.where(F.col("series_id") == name).select("sec", "step")
-    return hotwater.gas_water(of(GAS), of(WATER), []).select(r("wh_per_litre"), r("r2", 5), "n", r("hot_pct"), "usable")
+    return hotwater.gas_water(of(GAS), of(WATER), []).select(r("wh_per_litre"), r("r2"), "n", r("hot_pct"), "usable")
 
 
 @query(
@@ -314,75 +314,92 @@ def _decays(spark, sf_dir):
     return air.decay_fits(rows, base, S, FALL), base
 
 
-@query(f"""WITH {RUNS} SELECT series_id, run, points, seconds, round(first_excess, 3) AS first_excess, round(slope, 4) AS slope, round(r2, 4) AS r2, counts
+@query(f"""WITH {RUNS} SELECT series_id, run, points, seconds, round(first_excess, 8) AS first_excess, round(slope, 8) AS slope, round(r2, 8) AS r2, counts
   FROM ct""")
 def co2_runs(spark, sf_dir):
-    return _decays(spark, sf_dir)[0].select("series_id", "run", "points", "seconds", r("first_excess"), r("slope", 4), r("r2", 4), F.coalesce("counts", F.lit(False)).alias("counts"))
+    return _decays(spark, sf_dir)[0].select("series_id", "run", "points", "seconds", r("first_excess"), r("slope"), r("r2"), F.coalesce("counts", F.lit(False)).alias("counts"))
 
 
 ACH = RUNS + ", ac AS (SELECT series_id, median(-slope) FILTER (counts) AS ach, count(*) FILTER (counts) AS windows FROM ct GROUP BY 1)"
 
 
-@query(f"WITH {ACH} SELECT series_id, round(ach, 4) AS ach, windows, coalesce(windows >= 3 AND ach BETWEEN 0.05 AND 3, false) AS usable FROM ac")
+@query(f"WITH {ACH} SELECT series_id, round(ach, 8) AS ach, windows, coalesce(windows >= 3 AND ach BETWEEN 0.05 AND 3, false) AS usable FROM ac")
 def air_change_rate(spark, sf_dir):
-    return air.air_change_rate(_decays(spark, sf_dir)[0], S, FALL).select("series_id", r("ach", 4), "windows", "usable")
+    return air.air_change_rate(_decays(spark, sf_dir)[0], S, FALL).select("series_id", r("ach"), "windows", "usable")
 
 
-@query(f"""WITH {ACH} SELECT round(median(ach), 4) AS ach, sum(windows)::BIGINT AS windows, round(median(baseline), 3) AS baseline, count(*) AS sensors,
-  round(median(ach) * 240 * 0.335, 3) AS ventilation_w_per_k, round(300 - median(ach) * 240 * 0.335, 3) AS fabric_w_per_k
+@query(f"""WITH {ACH} SELECT round(median(ach), 8) AS ach, sum(windows)::BIGINT AS windows, round(median(baseline), 8) AS baseline, count(*) AS sensors,
+  round(median(ach) * 240 * 0.335, 8) AS ventilation_w_per_k, round(300 - median(ach) * 240 * 0.335, 8) AS fabric_w_per_k
   FROM ac
   JOIN bs USING (series_id)""")
 def loss_split(spark, sf_dir):
     fits, base = _decays(spark, sf_dir)
     rates = air.air_change_rate(fits, S, FALL).join(base, "series_id")
     out = air.split_losses(air.combine(rates).withColumn("hlc", F.lit(300.0)), "hlc", "ach", F.lit(240.0))
-    return out.select(r("ach", 4), "windows", r("baseline"), "sensors", r("ventilation_w_per_k"), r("fabric_w_per_k"))
+    return out.select(r("ach"), "windows", r("baseline"), "sensors", r("ventilation_w_per_k"), r("fabric_w_per_k"))
 
 
-COOL = Cooling(min_points=4, max_gap_s=5400, min_delta_t=-1000.0, min_drop=0.3, grid=(1.0, 200.0, 0.25), min_r2=-1000.0)
+COOL = Cooling()
+#: Rooms of every home; one has a heating sensor.
+HOUSE_ROOMS = [("room_a", "room_a", "heat_a"), ("room_b", "room_b", None)]
+ZONED = ["home", "zone"]
 
 
-def _night_fits(spark, sf_dir):
-    rows = means(spark, sf_dir)
-    rooms = spark.createDataFrame([(x, x, None) for x in ROOMS], "room string, temp_series string, heat_series string")
-    outdoor = rows.where(F.col("series_id") == OUTDOOR).select("sec", "value")
-    return cooling.fit_tau(cooling.nights(rows, rooms, outdoor, [], "UTC", COOL), COOL)
+def house_rooms(spark):
+    return spark.createDataFrame(HOUSE_ROOMS, "room string, temp_series string, heat_series string")
 
 
-TAU = (
-    H
-    + f""", q AS (SELECT a.series_id AS room, a.sec, a.mean AS t, o.mean AS o, {DAY.format('a.sec')} AS d
-  FROM h a
-  LEFT JOIN h o ON o.sec = a.sec AND o.series_id = 'error'
-   WHERE a.series_id IN ('view', 'click') AND (a.sec // 3600) % 24 BETWEEN 0 AND 5),
- qg AS (SELECT *, sec - lag(sec) OVER w AS gap, (o + lag(o) OVER w) / 2 AS bd FROM q WINDOW w AS (PARTITION BY room, d ORDER BY sec)),
- nt AS (SELECT room, d, count(*) AS n_points,
-   CASE WHEN count(*) < 4 THEN 'too few points' WHEN max(gap) > 5400 THEN 'gap' WHEN count(o) < count(*) THEN 'no outdoor temperature'
-   WHEN min_by(t, sec) - max_by(t, sec) < 0.3 THEN 'no drop' END AS why, list({{'h': gap / 3600.0::DOUBLE, 'b': bd, 't': t}} ORDER BY sec) AS l, min_by(t, sec) AS t0 FROM qg GROUP BY 1, 2),
- gr AS (SELECT room, d, k * 0.25 AS tau, l[2:] AS l, t0 FROM nt, range(4, 801) r(k) WHERE why IS NULL),
- sm AS (SELECT room, d, tau, list_reduce(list_transform(l, lambda x: {{'h': x.h, 'b': x.b, 't': x.t, 'm': 0.0::DOUBLE, 's': 0.0::DOUBLE}}),
-   lambda a, x: {{'h': x.h, 'b': x.b, 't': x.t, 'm': x.b + (a.m - x.b) * exp(-x.h / tau), 's': a.s + (x.b + (a.m - x.b) * exp(-x.h / tau) - x.t) ** 2}},
-   {{'h': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 't': t0, 'm': t0, 's': 0.0::DOUBLE}}).s AS sse FROM gr),
- bt AS (SELECT room, d, min({{'sse': sse, 'tau': tau}}) AS b FROM sm GROUP BY 1, 2),
- tf AS (SELECT nt.room, nt.d, n_points, b.tau::DOUBLE AS tau_h, b.sse AS sse, coalesce(why,
-   CASE WHEN b.tau >= 200 THEN 'at the end of the grid' END) AS rejection_reason
-  FROM nt
-  LEFT JOIN bt USING (room, d))"""
-)
+def night_fits(hours):
+    """Fits of all nights in ``hours``, local nights of each home's zone."""
+    outdoor = series_of(hours, "outdoor").drop("series_id")
+    rooms = house_rooms(hours.sparkSession)
+    return cooling.fit_tau(cooling.nights(series_of(hours, "room_a", "room_b"), rooms, outdoor, ZONED, F.col("zone"), COOL, heat=series_of(hours, "heat_a")), COOL)
 
 
-@query(f"WITH {TAU} SELECT room, d, n_points, tau_h, round(sse, 3) AS sse, rejection_reason FROM tf")
+def _night_fits(spark, sf_dir):
+    return night_fits(written(house_hours(spark, sf_dir)))
+
+
+def tau_sql(where: str = "") -> str:
+    """Nights of the hours of ``hh``: up to seven hourly points, the search unrolled."""
+    steps = "".join(f", o[{i}] / 2 + o[{i + 1}] / 2 AS b{i}, b{i} + (m{i - 1} - b{i}) * f AS m{i}" for i in range(1, 7)).replace("(m0 ", "(t[1] ")
+    errors = " + ".join(f"(m{i} - t[{i + 1}]) ** 2" if i < 5 else f"coalesce((m{i} - t[{i + 1}]) ** 2, 0)" for i in range(1, 7))
+    return f"""
+ q AS (
+  SELECT home, zone, unnest([{{'room': 'room_a', 't': room_a, 'heat': heat_a}}, {{'room': 'room_b', 't': room_b, 'heat': NULL}}], recursive := true), outdoor AS o, sec,
+    {LOCAL.format('sec')} AS lt FROM hh),
+ qn AS (SELECT *, lt::DATE AS d, sec - lag(sec) OVER (PARTITION BY home, room, lt::DATE ORDER BY sec) AS gap FROM q WHERE hour(lt) BETWEEN 0 AND 5),
+ nt AS (
+  SELECT home, room, d, count(*) AS n_points, list(t ORDER BY sec) AS t, list(o ORDER BY sec) AS o, avg(t) AS mean,
+    CASE WHEN count(*) < 5 THEN 'too few points' WHEN max(gap) > 5400 THEN 'gap' WHEN count(o) < count(*) THEN 'no outdoor temperature'
+      WHEN room = 'room_a' AND count(heat) < count(*) * 0.8 THEN 'heating unknown' WHEN room = 'room_a' AND max(heat) > 1 THEN 'heated'
+      WHEN min(t - o) < 3 THEN 'too warm outside' WHEN min_by(t, sec) - max_by(t, sec) < 0.3 THEN 'no drop' END AS why
+  FROM qn{where} GROUP BY 1, 2, 3),
+ sm AS (
+  SELECT home, room, d, tau, t, {errors} AS sse
+  FROM (SELECT home, room, d, t, k * 0.25 AS tau, exp(-1 / (k * 0.25::DOUBLE)) AS f{steps} FROM nt, range(4, 801) r(k) WHERE why IS NULL)),
+ bt AS (SELECT home, room, d, min({{'sse': sse, 'tau': tau}}) AS b FROM sm GROUP BY 1, 2, 3),
+ tf AS (
+  SELECT nt.home, nt.room, nt.d, n_points, b.tau::DOUBLE AS tau_h, b.sse AS sse, 1 - b.sse / list_sum(list_transform(t, lambda x: (x - mean) ** 2)) AS r2,
+    coalesce(why, CASE WHEN b.tau >= 200 THEN 'at the end of the grid' WHEN 1 - b.sse / list_sum(list_transform(t, lambda x: (x - mean) ** 2)) < 0.8 THEN 'weak fit' END) AS rejection_reason
+  FROM nt LEFT JOIN bt USING (home, room, d))"""
+
+
+TAU = HOURS + "," + tau_sql()
+
+
+@query(f"WITH {TAU} SELECT home, room, d, n_points, tau_h, round(sse, 8) AS sse, rejection_reason FROM tf")
 def tau_grid_fit(spark, sf_dir):
-    return _night_fits(spark, sf_dir).select("room", "d", "n_points", "tau_h", r("sse"), "rejection_reason")
+    return _night_fits(spark, sf_dir).select("home", "room", "d", "n_points", "tau_h", r("sse"), "rejection_reason")
 
 
-@query(f"""WITH {TAU} SELECT room, count(*) FILTER (rejection_reason IS NULL) AS nights_fitted, median(tau_h) FILTER (rejection_reason IS NULL) AS tau_median_h,
+@query(f"""WITH {TAU} SELECT home, room, count(*) FILTER (rejection_reason IS NULL) AS nights_fitted, median(tau_h) FILTER (rejection_reason IS NULL) AS tau_median_h,
   min(tau_h) FILTER (rejection_reason IS NULL) AS tau_min_h, max(tau_h) FILTER (rejection_reason IS NULL) AS tau_max_h,
   max(d) FILTER (rejection_reason IS NULL) AS last_night
   FROM tf
-  GROUP BY 1""")
+  GROUP BY 1, 2""")
 def tau_summary(spark, sf_dir):
-    return cooling.summary(_night_fits(spark, sf_dir), [])
+    return cooling.summary(_night_fits(spark, sf_dir), HOME)
 
 
 LOFT = Loft(min_delta_t=2.0)
@@ -396,8 +413,8 @@ j AS (SELECT (l.mean - o.mean) / (i - o.mean) AS r
   JOIN h o ON o.sec = i.sec AND o.series_id = 'error'
   WHERE (i.sec // 3600) % 24 BETWEEN 1 AND 5 AND i - o.mean > 2),
 k AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k, count(*) OVER () AS n FROM j)
-SELECT round(median(r), 4) AS ratio, count(*) AS rows, round(max(r) FILTER (k = 3 * n // 4) - max(r) FILTER (k = n // 4), 4) AS iqr,
-  round(avg(CASE WHEN r BETWEEN 0 AND 1 THEN 0 ELSE 1 END) * 100, 3) AS outside_pct,
+SELECT round(median(r), 8) AS ratio, count(*) AS rows, round(max(r) FILTER (k = 3 * n // 4) - max(r) FILTER (k = n // 4), 8) AS iqr,
+  round(avg(CASE WHEN r BETWEEN 0 AND 1 THEN 0 ELSE 1 END) * 100, 8) AS outside_pct,
   CASE WHEN median(r) > 0.5 THEN 'loft follows the house' WHEN median(r) > 0.25 THEN 'between house and outdoors' ELSE 'loft follows outdoors' END AS verdict
   FROM k"""
 )
@@ -405,7 +422,7 @@ def loft_ratio(spark, sf_dir):
     rows = means(spark, sf_dir)
     of = lambda name: rows.where(F.col("series_id") == name).select("sec", "value")
     out = air.loft_ratio(daily.hourly_over_any(rows, ROOMS, []), of(WATER), of(OUTDOOR), [], "UTC", LOFT)
-    return out.select(r("ratio", 4), "rows", r("iqr", 4), r("outside_pct"), "verdict")
+    return out.select(r("ratio"), "rows", r("iqr"), r("outside_pct"), "verdict")
 
 
 @query(f"""WITH {H}, f AS (SELECT series_id, sec, mean, count(*) OVER w AS n, max(mean) OVER w - min(mean) OVER w AS s
@@ -417,19 +434,19 @@ def flatline_drop(spark, sf_dir):
 
 
 @query(f"""WITH {HOUSE}, l AS (SELECT *, max(d) OVER (PARTITION BY home) - d AS age FROM hd)
-SELECT home, count(*) FILTER (age < 30) AS days, round(avg(kwh) FILTER (age < 30), 3) AS kwh_per_day, round(avg(kwh), 3) AS historical,
-  round(median(least) FILTER (age < 30) * 1000, 2) AS baseload_w, round(least(100,
-  median(least) FILTER (age < 30) * 24 / avg(kwh) FILTER (age < 30) * 100), 2) AS share_pct, count(*) FILTER (age < 30) >= 14 AS usable
+SELECT home, count(*) FILTER (age < 30) AS days, round(avg(kwh) FILTER (age < 30), 8) AS kwh_per_day, round(avg(kwh), 8) AS historical,
+  round(median(least) FILTER (age < 30) * 1000, 8) AS baseload_w, round(least(100,
+  median(least) FILTER (age < 30) * 24 / avg(kwh) FILTER (age < 30) * 100), 8) AS share_pct, count(*) FILTER (age < 30) >= 14 AS usable
   FROM l
   GROUP BY 1""")
 def electricity_baseload(spark, sf_dir):
     days = house_days(spark, sf_dir).select("home", "d", F.col("kwh").alias("total"), "least")
-    return usage.electricity(days, HOME).select("home", "days", r("kwh_per_day"), r("historical"), r("baseload_w", 2), r("share_pct", 2), "usable")
+    return usage.electricity(days, HOME).select("home", "days", r("kwh_per_day"), r("historical"), r("baseload_w"), r("share_pct"), "usable")
 
 
 @query(f"""WITH {BASE}, w AS (SELECT ho.*, lim, max(d) OVER (PARTITION BY home) - d AS age FROM ho JOIN li USING (home))
-SELECT home, round(avg(water) FILTER (age < 7), 2) AS litres_7d, round(avg(water) FILTER (age < 30), 2) AS litres_30d,
-  round(median(water) FILTER (age < 30), 2) AS typical_30d, count(*) FILTER (age < 30 AND water > lim) AS high_days, round(max(lim), 2) AS lim
+SELECT home, round(avg(water) FILTER (age < 7), 8) AS litres_7d, round(avg(water) FILTER (age < 30), 8) AS litres_30d,
+  round(median(water) FILTER (age < 30), 8) AS typical_30d, count(*) FILTER (age < 30 AND water > lim) AS high_days, round(max(lim), 8) AS lim
   FROM w
   GROUP BY 1""")
 def water_usage(spark, sf_dir):
@@ -437,7 +454,7 @@ def water_usage(spark, sf_dir):
     rows = days.join(hotwater.outlier_limit(days, HOME), "home").withColumn("age", F.datediff(F.max("d").over(Window.partitionBy("home")), "d"))
     near = lambda n: F.when(F.col("age") < n, F.col("water"))
     out = rows.groupBy("home").agg(F.avg(near(7)).alias("litres_7d"), F.avg(near(30)).alias("litres_30d"), F.median(near(30)).alias("typical_30d"), F.count_if((F.col("age") < 30) & (F.col("water") > F.col("limit"))).alias("high_days"), F.max("limit").alias("lim"))
-    return out.select("home", r("litres_7d", 2), r("litres_30d", 2), r("typical_30d", 2), "high_days", r("lim", 2))
+    return out.select("home", r("litres_7d"), r("litres_30d"), r("typical_30d"), "high_days", r("lim"))
 
 
 @query(
@@ -447,9 +464,9 @@ def water_usage(spark, sf_dir):
   WINDOW w7 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW),
 w30 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW),
 p30 AS (PARTITION BY home ORDER BY d RANGE BETWEEN INTERVAL 59 DAYS PRECEDING AND INTERVAL 30 DAYS PRECEDING))
-SELECT home, d, round(CASE WHEN n >= 5 THEN a END, 3) AS last_7d, round(CASE WHEN m >= 20 THEN b END, 3) AS last_30d,
-  round(CASE WHEN m >= 20 THEN md END, 3) AS typical_30d, round(CASE WHEN k >= 20 THEN c END, 3) AS previous_30d,
-  round(CASE WHEN m >= 20 AND k >= 20 AND c <> 0 THEN (b - c) / c * 100 END, 3) AS change_pct, n AS days_7
+SELECT home, d, round(CASE WHEN n >= 5 THEN a END, 8) AS last_7d, round(CASE WHEN m >= 20 THEN b END, 8) AS last_30d,
+  round(CASE WHEN m >= 20 THEN md END, 8) AS typical_30d, round(CASE WHEN k >= 20 THEN c END, 8) AS previous_30d,
+  round(CASE WHEN m >= 20 AND k >= 20 AND c <> 0 THEN (b - c) / c * 100 END, 8) AS change_pct, n AS days_7
   FROM t"""
 )
 def trailing_7_30(spark, sf_dir):
@@ -465,11 +482,11 @@ MODEL_DAY = """, md AS (SELECT home, max(d) AS md FROM hd WHERE delta_t > 4 AND
 LOCKED_ATTRIBUTION = OFF + MODEL_DAY + ATTRIBUTED[len(OFF) :].replace("FROM ho)", "FROM ol)").replace("FROM ho ", "FROM ol ").replace("ho.", "ol.")
 
 
-@query(f"WITH {LOCKED_ATTRIBUTION} SELECT home, max(md) AS model_day, count(*) AS days, round(avg(hot_kwh), 3) AS hot_kwh FROM a3 GROUP BY 1")
+@query(f"WITH {LOCKED_ATTRIBUTION} SELECT home, max(md) AS model_day, count(*) AS days, round(avg(hot_kwh), 8) AS hot_kwh FROM a3 GROUP BY 1")
 def season_lock(spark, sf_dir):
     days = report.season_locked(_off_days(spark, sf_dir), HOME, 365)
     rows = _attribution(days)
-    return rows.groupBy("home").agg(F.max("model_day").alias("model_day"), F.count(F.lit(1)).alias("days"), F.round(F.avg("hot_kwh"), 3).alias("hot_kwh"))
+    return rows.groupBy("home").agg(F.max("model_day").alias("model_day"), F.count(F.lit(1)).alias("days"), F.round(F.avg("hot_kwh"), 8).alias("hot_kwh"))
 
 
 @query(f"""WITH {HOUSE}, p AS (SELECT home, max(d) OVER (PARTITION BY home) - d AS age
@@ -489,11 +506,11 @@ def expanding_window(spark, sf_dir):
   CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS p
   FROM orders),
 b AS (SELECT *, row_number() OVER (PARTITION BY series_id, d ORDER BY p DESC, k DESC) AS n FROM a)
-SELECT series_id, d, round(value, 2) AS value FROM b WHERE n = 1""")
+SELECT series_id, d, round(value, 8) AS value FROM b WHERE n = 1""")
 def upsert_keep_last(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("series_id"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("seq"), (F.col("o_orderstatus") == "F").alias("new"))
     part = lambda flag: quality.keep_last(rows.where(F.col("new") if flag else ~F.col("new")), ["series_id", "d"], F.col("seq")).select("series_id", "d", "value")
-    return quality.upsert(part(False), part(True), ["series_id", "d"]).select("series_id", "d", r("value", 2))
+    return quality.upsert(part(False), part(True), ["series_id", "d"]).select("series_id", "d", r("value"))
 
 
 @query(
@@ -507,7 +524,7 @@ m AS (SELECT l.user_id, l.sec, l.value, rr.sec AS right_sec, rr.value AS right_v
   l.sec ORDER BY abs(l.sec - rr.sec), rr.sec) AS n
   FROM l
   LEFT JOIN rr ON l.user_id = rr.user_id AND abs(l.sec - rr.sec) <= 43200)
-SELECT user_id, sec, round(value, 3) AS value, right_sec, round(right_value, 3) AS right_value
+SELECT user_id, sec, round(value, 8) AS value, right_sec, round(right_value, 8) AS right_value
   FROM m
   WHERE n = 1"""
 )
@@ -523,12 +540,12 @@ def asof_nearest(spark, sf_dir):
   FROM c a
   JOIN c b ON a.sec = b.sec AND a.series_id = 'click' AND b.series_id = 'view'),
 m AS (SELECT median(diff) AS o, count(*) AS n FROM p)
-SELECT n AS pairs, round(o, 2) AS offset_value, round(median(abs(diff - o)), 2) AS mad FROM p, m GROUP BY n, o"""
+SELECT n AS pairs, round(o, 8) AS offset_value, round(median(abs(diff - o)), 8) AS mad FROM p, m GROUP BY n, o"""
 )
 def baseline_offset(spark, sf_dir):
     rows = meter_rows(spark, sf_dir)
     of = lambda name: rows.where(F.col("series_id") == name).select("sec", "value")
-    return quality.baseline_offset(of("view"), of("click"), [], 1800).select("pairs", F.round("offset", 2).alias("offset_value"), r("mad", 2))
+    return quality.baseline_offset(of("view"), of("click"), [], 1800).select("pairs", F.round("offset", 8).alias("offset_value"), r("mad"))
 
 
 @query(
@@ -578,7 +595,7 @@ def interpolate_limit(spark, sf_dir):
     return alignment.interpolated(grid, S, 1).select("series_id", "sec", r("value", 8))
 
 
-@query(f"WITH {H} SELECT series_id, (sec // 604800) * 604800 AS sec, round(avg(mean), 3) AS value, count(*) AS n FROM h GROUP BY 1, 2")
+@query(f"WITH {H} SELECT series_id, (sec // 604800) * 604800 AS sec, round(avg(mean), 8) AS value, count(*) AS n FROM h GROUP BY 1, 2")
 def weekly_mean(spark, sf_dir):
     return alignment.bucket_mean(means(spark, sf_dir), S, 604_800).select("series_id", "sec", r("value"), "n")
 
@@ -592,23 +609,23 @@ def gauge_bands(spark, sf_dir):
     return days.select("home", "d", report.band(F.col("q") / F.col("delta_t") * 1000 / 24, report.HLC_BANDS).alias("band"))
 
 
-@query(f"""WITH {TAU}, s AS (SELECT room, median(tau_h) FILTER (rejection_reason IS NULL) AS tau_median_h
+@query(f"""WITH {TAU}, s AS (SELECT home, room, median(tau_h) FILTER (rejection_reason IS NULL) AS tau_median_h
   FROM tf
-  GROUP BY 1)
-SELECT room, tau_median_h, row_number() OVER (ORDER BY tau_median_h NULLS LAST, room)::INT AS place,
-  CASE WHEN tau_median_h IS NOT NULL THEN row_number() OVER (ORDER BY tau_median_h DESC NULLS LAST, room)::INT END AS slowest_place
+  GROUP BY 1, 2)
+SELECT home, room, tau_median_h, row_number() OVER (PARTITION BY home ORDER BY tau_median_h NULLS LAST, room)::INT AS place,
+  CASE WHEN tau_median_h IS NOT NULL THEN row_number() OVER (PARTITION BY home ORDER BY tau_median_h DESC NULLS LAST, room)::INT END AS slowest_place
   FROM s""")
 def room_rank(spark, sf_dir):
-    return report.ranked(cooling.summary(_night_fits(spark, sf_dir), []).select("room", "tau_median_h"))
+    return report.ranked(cooling.summary(_night_fits(spark, sf_dir), HOME).select("home", "room", "tau_median_h"), HOME)
 
 
 @query(
     """WITH u AS (SELECT o_orderkey, o_totalprice AS v,
   CASE o_orderkey % 4 WHEN 0 THEN 'GBP/kWh' WHEN 1 THEN 'p / kWh' WHEN 2 THEN 'gbp/MWh' ELSE 'EUR/kWh' END AS unit
   FROM orders)
-SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 0 THEN v WHEN 1 THEN v / 100 WHEN 2 THEN v / 1000 END, 6) AS rate
+SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 0 THEN v WHEN 1 THEN v / 100 WHEN 2 THEN v / 1000 END, 8) AS rate
   FROM u"""
 )
 def tariff_normalise(spark, sf_dir):
     unit = F.when(F.col("o_orderkey") % 4 == 0, "GBP/kWh").when(F.col("o_orderkey") % 4 == 1, "p / kWh").when(F.col("o_orderkey") % 4 == 2, "gbp/MWh").otherwise("EUR/kWh")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(usage.tariff_per_kwh(F.col("o_totalprice").cast("string"), unit), 6).alias("rate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(usage.tariff_per_kwh(F.col("o_totalprice").cast("string"), unit), 8).alias("rate"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import change_pct
-from ..operators import air, heatloss, hotwater
+from ..operators import air
 from ..thresholds import HeatLoss, HotWater
+from .analyses import MIN_POWER_DAYS, MIN_WATER_DAYS, analyses, uniform
 
 #: Upper ends of gauge bands; the last has none.
 HLC_BANDS = [(100, "excellent"), (180, "good"), (280, "fair"), (400, "poor"), (None, "beyond")]
@@ -32,11 +33,11 @@ def first_rule(rules: list[tuple[str, Column]], other: str | None = "other") ->
     return out
 
 
-def ranked(summary: DataFrame) -> DataFrame:
-    """Adds place, by time constant, those without at the end, and slowest_place,
-    the other way round and null without; rooms of a home are few."""
-    up = F.row_number().over(Window.orderBy(F.asc_nulls_last("tau_median_h"), "room"))
-    down = F.row_number().over(Window.orderBy(F.desc_nulls_last("tau_median_h"), "room"))
+def ranked(summary: DataFrame, by: list[str]) -> DataFrame:
+    """Adds place among a home's rooms, by time constant, those without at the end,
+    and slowest_place, the other way round and null without."""
+    up = F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last("tau_median_h"), "room"))
+    down = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("tau_median_h"), "room"))
     return summary.withColumns({"place": up, "slowest_place": F.when(F.col("tau_median_h").isNotNull(), down)})
 
 
@@ -57,8 +58,14 @@ def decision(fabric: Column, ventilation: Column) -> Column:
     )
 
 
-#: Words of names, in the order of the rules below.
-LOFT_HINTS, OUTDOOR_HINTS, GAS_HINTS = ("loft", "attic"), ("outdoor", "outside", "external", "garden", "balcony"), ("gas",)
+#: Words of names that tell a category, and endings that aren't part of a room's name.
+NAME_WORDS = {
+    "loft": ("loft", "attic"),
+    "outdoors": ("outdoor", "outside", "external", "garden", "balcony"),
+    "heating": ("heating",),
+    "gas": ("gas",),
+}
+TEMPERATURE_ENDINGS = ("_temperature", "_temp", "_thermometer")
 
 
 def categorised(entities: DataFrame) -> DataFrame:
@@ -72,13 +79,13 @@ def categorised(entities: DataFrame) -> DataFrame:
     rate = (kind == "monetary") & F.lower(unit).contains("kwh")
     sensor = first_rule(
         [
-            ("loft_temperature", temperature & hinted(LOFT_HINTS)),
-            ("outdoor_temperature", temperature & hinted(OUTDOOR_HINTS)),
+            ("loft_temperature", temperature & hinted(NAME_WORDS["loft"])),
+            ("outdoor_temperature", temperature & hinted(NAME_WORDS["outdoors"])),
             ("indoor_temperature", temperature),
-            ("heating_power", (unit == "%") & hinted(("heating",))),
+            ("heating_power", (unit == "%") & hinted(NAME_WORDS["heating"])),
             ("energy", kind.isin("energy", "gas") | unit.isin("kWh", "m³")),
             ("co2", kind == "carbon_dioxide"),
-            ("gas_rate", rate & hinted(GAS_HINTS)),
+            ("gas_rate", rate & hinted(NAME_WORDS["gas"])),
         ],
         None,
     )
@@ -90,7 +97,7 @@ def drafted_rooms(found: DataFrame) -> DataFrame:
     the heating sensor of the same name; of equal names the last entity counts."""
     bare = lambda c, suffix: F.regexp_replace(F.regexp_replace(c, "^sensor\\.", ""), suffix, "")
     # endings go one after the other, as names may bear several
-    name = reduce(lambda c, s: F.regexp_replace(c, f"{s}$", ""), ("_temperature", "_temp", "_thermometer"), F.regexp_replace("entity_id", "^sensor\\.", ""))
+    name = reduce(lambda c, s: F.regexp_replace(c, f"{s}$", ""), TEMPERATURE_ENDINGS, F.regexp_replace("entity_id", "^sensor\\.", ""))
     rooms = found.where("category = 'indoor_temperature'").groupBy(name.alias("room")).agg(F.max("entity_id").alias("temp_series"))
     heats = found.where("category = 'heating_power'").groupBy(bare("entity_id", "_heating$").alias("room")).agg(F.max("entity_id").alias("heat_series"))
     return rooms.join(heats, "room", "left")
@@ -143,179 +150,125 @@ def complete_days(days: DataFrame, by: list[str]) -> DataFrame:
     return marked.where("d < today")
 
 
-def water_model(near: DataFrame, all_days: DataFrame, by: list[str], rule: HotWater = HotWater()) -> DataFrame:
-    """(by, baseline, ..., rate, rate_days, limit) of homes whose hot-water
-    baseline holds: baseline and rate from the days of ``near``, the limit of
-    litres from the last days of ``all_days``. The rate is null if unusable."""
-    limits = hotwater.outlier_limit(all_days, by)
-    rates = hotwater.water_rate(near.join(limits, by, "left"), by, rule, limit="limit")
-    usable = F.col("usable")
-    rates = rates.select(*by, F.when(usable, F.col("rate")).alias("rate"), F.when(usable, F.col("rate_days")).alias("rate_days"))
-    base = hotwater.baseline(near, by, rule).where("status <> 'invalid'")
-    return base.join(rates, by, "left").join(limits, by, "left")
+def _shown(condition: Column, value: Column | str, digits: int | None = None) -> Column:
+    value = F.when(condition, F.col(value) if isinstance(value, str) else value)
+    return value if digits is None else F.round(value, digits)
 
 
-def attributed(days: DataFrame, model: DataFrame, by: list[str], rule: HotWater = HotWater()) -> DataFrame:
-    """Days of homes with a hot-water model, with hot_kwh, how, outlier and space_kwh."""
-    known = model.select(*by, "baseline", "reference_c", "rate", "limit")
-    rows = hotwater.attribute(days.join(known, by), rule)
-    return rows.withColumn("space_kwh", F.when(F.col("hot_kwh").isNotNull(), F.greatest(F.col("q") - F.col("hot_kwh"), F.lit(0.0))))
-
-
-def in_window(days: DataFrame, window_days: int) -> DataFrame:
-    return days.where(F.datediff("today", "d") <= window_days)
+def hot_water_rows(found: DataFrame, by: list[str], gas_water: DataFrame | None = None) -> DataFrame:
+    """One row a home of ``analyses``: baseline, rate, attribution counts, dates and
+    costs; with ``gas_water`` (by, wh_per_litre, hot_pct, usable) also what a litre
+    takes. Homes without a baseline tell why."""
+    if gas_water is not None:
+        met = gas_water.where("usable").select(*by, "wh_per_litre", "hot_pct")
+        found = found.join(met, by, "left")
+    else:
+        found = found.withColumns({"wh_per_litre": F.lit(None).cast("double"), "hot_pct": F.lit(None).cast("double")})
+    ok = F.col("r_valid")
+    used = F.col("r_used")
+    return found.select(
+        *by,
+        _shown(ok, "r_baseline", 2).alias("kwh_per_day"),
+        F.when(ok, F.when(used >= 14, "valid").otherwise("provisional")).alias("status"),
+        _shown(ok, "r_used").alias("days_used"),
+        _shown(ok, "r_away").alias("low_water_days_excluded"),
+        _shown(ok, "away_litres").alias("min_occupied_water_litres"),
+        _shown(ok & (F.col("r_away") >= 3), "r_idle", 2).alias("idle_gas"),
+        F.round("r_rate", 3).alias("water_rate"),
+        _shown(F.col("r_rate").isNotNull(), "r_rate_days").alias("water_rate_days_used"),
+        *(_shown(ok, c).alias(name) for c, name in (("litres_days", "water_days"), ("mains_days", "fallback_days"), ("outlier_days", "outlier_days"))),
+        _shown(ok, "r_limit", 0).alias("outlier_limit"),
+        "latest_gas_day",
+        "latest_water_day",
+        (F.datediff("today", "latest_water_day") - 1).alias("water_lag_days"),
+        _shown(ok, "hot_cost_day", 2).alias("cost_per_day"),
+        _shown(ok, "hot_cost_year", 0).alias("cost_per_year"),
+        _shown(ok, "hot_annual", 1).alias("annual_kwh"),
+        _shown(ok, "wh_per_litre", 1).alias("wh_per_litre"),
+        _shown(ok, "hot_pct", 0).alias("hot_fraction_pct"),
+        F.when(~ok, F.format_string("%d of 7 days without heating", used)).alias("unavailable_reason"),
+    )
 
 
-def recent(value: str, age: str, days: int, least: int) -> Column:
-    """Aggregate: mean over rows whose ``age`` is below ``days``; null with fewer than ``least``."""
-    near = F.when((F.col(age) >= 0) & (F.col(age) < days), F.col(value))
-    return F.when(F.count(near) >= least, F.avg(near))
+def hot_water(days: DataFrame, by: list[str], window_days: int, rate: float, rule: HotWater = HotWater(), gas_water: DataFrame | None = None) -> DataFrame:
+    return hot_water_rows(analyses(uniform(days, window_days=window_days, gas_rate=rate), by, water=rule), by, gas_water)
 
 
-def hot_water(days: DataFrame, by: list[str], window_days: int, rate: float, rule: HotWater = HotWater()) -> DataFrame:
-    """One row a home: baseline, rate, attribution counts, dates and costs."""
-    model = water_model(in_window(days, window_days), days, by, rule)
-    counts = attributed(days, model, by, rule).groupBy(*by).agg(
-        F.count_if((~F.col("off")) & (F.col("how") == "litres")).alias("water_days"),
-        F.count_if(F.col("how") == "mains").alias("fallback_days"),
-        F.count_if("outlier").alias("outlier_days"),
-        (F.avg("hot_kwh") * 365).alias("annual_kwh"),
-    )
-    dates = days.groupBy(*by).agg(
-        F.max("d").alias("latest_gas_day"),
-        F.max(F.when(F.col("water").isNotNull(), F.col("d"))).alias("latest_water_day"),
-        F.max("today").alias("today"),
-    )
-    out = dates.join(model, by, "left").join(counts, by, "left")
-    return out.select(
+def gas_use_rows(found: DataFrame, by: list[str]) -> DataFrame:
+    """One row a home: hot water and space heating over the last 7 and 30 days;
+    homes without a hot-water baseline keep their row and tell so."""
+    ok = F.col("r_valid")
+    return found.select(
         *by,
-        F.round("baseline", 2).alias("kwh_per_day"),
-        "status",
-        "days_used",
-        F.col("away_days").alias("low_water_days_excluded"),
-        F.round("idle_kwh", 2).alias("idle_gas"),
-        F.round("rate", 3).alias("water_rate"),
-        F.col("rate_days").alias("water_rate_days_used"),
-        "water_days",
-        "fallback_days",
-        "outlier_days",
-        F.round("limit", 0).alias("outlier_limit"),
+        *(F.round(c, 2).alias(c) for c in ("hot_7d", "hot_30d", "space_7d", "space_30d")),
+        F.round(F.col("hot_7d") * F.col("gas_rate"), 2).alias("hot_cost_7d"),
+        F.round(F.col("space_7d") * F.col("gas_rate"), 2).alias("space_cost_7d"),
+        *(_shown(ok, c).alias(name) for c, name in (("off_days", "heating_off_days"), ("modelled_days", "modelled_days"), ("from_power_days", "from_power_days"))),
+        *(_shown(ok, c).alias(name) for c, name in (("litres_days", "water_days"), ("mains_days", "fallback_days"), ("outlier_days", "outlier_days"))),
         "latest_gas_day",
         "latest_water_day",
-        (F.datediff("today", "latest_water_day") - 1).alias("water_lag_days"),
-        F.round(F.col("baseline") * rate, 2).alias("cost_per_day"),
-        F.round(F.col("annual_kwh") * rate, 0).alias("cost_per_year"),
-        F.round("annual_kwh", 1).alias("annual_kwh"),
+        F.when(~ok, "needs a gas meter and a hot-water baseline").alias("unavailable_reason"),
     )
 
 
 def gas_use(days: DataFrame, by: list[str], window_days: int, rate: float, rule: HotWater = HotWater()) -> DataFrame:
-    """One row a home: hot water and space heating over the last 7 and 30 days."""
-    model = water_model(in_window(days, window_days), days, by, rule)
-    rows = attributed(days, model, by, rule).withColumn("age", F.datediff("today", "d") - 1)
-    out = rows.groupBy(*by).agg(
-        recent("hot_kwh", "age", 7, 5).alias("hot_7d"),
-        recent("hot_kwh", "age", 30, 20).alias("hot_30d"),
-        recent("space_kwh", "age", 7, 5).alias("space_7d"),
-        recent("space_kwh", "age", 30, 20).alias("space_30d"),
-        F.count_if(F.col("off") & F.col("hot_kwh").isNotNull()).alias("heating_off_days"),
-        F.count_if(~F.col("off") & F.col("hot_kwh").isNotNull()).alias("modelled_days"),
-        F.count_if(F.col("off") & F.col("heat_pct").isNotNull()).alias("from_power_days"),
-    )
-    rounded = lambda c: F.round(c, 2).alias(c)
-    return out.select(
-        *by,
-        *(rounded(c) for c in ("hot_7d", "hot_30d", "space_7d", "space_30d")),
-        F.round(F.col("hot_7d") * rate, 2).alias("hot_cost_7d"),
-        F.round(F.col("space_7d") * rate, 2).alias("space_cost_7d"),
-        "heating_off_days",
-        "modelled_days",
-        "from_power_days",
-    )
+    return gas_use_rows(analyses(uniform(days, window_days=window_days, gas_rate=rate), by, water=rule), by)
 
 
-def electricity_use(days: DataFrame, by: list[str], window_days: int, rate: float, least: int = 14) -> DataFrame:
+def electricity_rows(found: DataFrame, by: list[str]) -> DataFrame:
     """One row a home: baseload and use of the last 30 days against the 30
     before; without enough days only how many there are and are needed."""
-    rows = in_window(days, window_days).where("kwh is not null")
-    rows = rows.withColumn("age", F.datediff(F.max("d").over(Window.partitionBy(*by)), "d"))
-    now = lambda c: F.when(F.col("age") < 30, F.col(c))
-    found = rows.groupBy(*by).agg(
-        F.count("kwh").alias("days"),
-        F.count(now("kwh")).alias("days_30d"),
-        F.count_if(F.col("age") < 7).alias("days_7d"),
-        F.avg(now("kwh")).alias("mean"),
-        F.avg("kwh").alias("historical"),
-        F.median(now("least")).alias("base"),
-        recent("kwh", "age", 7, 5).alias("last_7d"),
-        recent("kwh", "age", 30, 20).alias("last_30d"),
-        F.when(F.count_if(F.col("age").between(30, 59)) >= 20, F.avg(F.when(F.col("age").between(30, 59), F.col("kwh")))).alias("previous_30d"),
-        F.max("d").alias("latest_day"),
-    )
-    out = days.groupBy(*by).agg(F.max("today").alias("today")).join(found, by, "left")
-    usable = F.coalesce((F.col("days") >= least) & (F.col("days_30d") >= least), F.lit(False))
-    shown = lambda c, digits: F.round(F.when(usable, c), digits)
-    base, mean = F.col("base"), F.col("mean")
-    change = change_pct(F.col("last_30d"), F.col("previous_30d"))
-    return out.select(
+    ok, base, mean, rate = F.col("power_ok"), F.col("power_base"), F.col("power_mean"), F.col("power_rate")
+    return found.select(
         *by,
-        shown(base * 1000, 0).alias("baseload_w"),
-        shown(mean, 2).alias("kwh_per_day"),
-        shown(F.col("historical"), 2).alias("historical"),
-        shown(F.col("last_7d"), 2).alias("last_7d"),
-        shown(F.col("last_30d"), 2).alias("last_30d"),
-        shown(F.col("previous_30d"), 2).alias("previous_30d"),
-        shown(change, 1).alias("change_pct"),
-        shown(base * 24, 2).alias("baseload_kwh"),
-        shown(F.least(F.lit(100.0), F.try_divide(base * 24, mean) * 100), 1).alias("share_pct"),
-        shown(mean * 1000 / 24, 0).alias("implied_gains_w"),
-        shown(mean * rate, 2).alias("cost_day"),
-        shown(mean * rate * 365, 0).alias("cost_year"),
-        shown(base * 24 * rate * 365, 0).alias("baseload_cost_year"),
-        F.when(usable, F.col("days_7d")).alias("days_7d"),
-        F.when(usable, F.col("days_30d")).alias("days_30d"),
-        F.when(usable, F.col("latest_day")).alias("latest_day"),
-        F.when(usable, F.datediff("today", "latest_day") - 1).alias("lag_days"),
-        *unavailable(usable, F.coalesce("days", F.lit(0)), least),
+        _shown(ok, base * 1000, 0).alias("baseload_w"),
+        _shown(ok, mean, 2).alias("kwh_per_day"),
+        _shown(ok, "power_historical", 2).alias("historical"),
+        _shown(ok, "power_7d", 2).alias("last_7d"),
+        _shown(ok, "power_30d", 2).alias("last_30d"),
+        _shown(ok, "power_previous", 2).alias("previous_30d"),
+        _shown(ok, "power_change", 1).alias("change_pct"),
+        _shown(ok, base * 24, 2).alias("baseload_kwh"),
+        _shown(ok, "power_share", 1).alias("share_pct"),
+        _shown(ok, mean * 1000 / 24, 0).alias("implied_gains_w"),
+        _shown(ok, mean * rate, 2).alias("cost_day"),
+        _shown(ok, mean * rate * 365, 0).alias("cost_year"),
+        _shown(ok, base * 24 * rate * 365, 0).alias("baseload_cost_year"),
+        _shown(ok, "power_n_7d").alias("days_7d"),
+        _shown(ok, "power_n_30d").alias("days_30d"),
+        _shown(ok, "power_latest").alias("latest_day"),
+        _shown(ok, F.datediff("today", "power_latest") - 1).alias("lag_days"),
+        *unavailable(ok, F.col("power_n"), MIN_POWER_DAYS),
     )
 
 
-def water_use(days: DataFrame, by: list[str], window_days: int, least: int = 5) -> DataFrame:
+def electricity_use(days: DataFrame, by: list[str], window_days: int, rate: float) -> DataFrame:
+    return electricity_rows(analyses(uniform(days, window_days=window_days, power_rate=rate), by), by)
+
+
+def water_rows(found: DataFrame, by: list[str]) -> DataFrame:
     """One row a home: litres of the last 7 and 30 days, a typical day, days of
     high use and their limit; without enough days how many there are and are needed."""
-    rows = in_window(days, window_days).where("water is not null")
-    limits = hotwater.outlier_limit(rows, by, min_days=least)
-    rows = rows.join(limits, by, "left").withColumn("age", F.datediff(F.max("d").over(Window.partitionBy(*by)), "d"))
-    near = F.when(F.col("age") < 30, F.col("water"))
-    found = rows.groupBy(*by).agg(
-        F.count("water").alias("days"),
-        recent("water", "age", 7, 5).alias("litres_7d"),
-        recent("water", "age", 30, 20).alias("litres_30d"),
-        F.when(F.count(near) >= 20, F.median(near)).alias("typical_30d"),
-        F.count_if((F.col("age") < 30) & (F.col("water") > F.col("limit"))).alias("high_days"),
-        F.max("limit").alias("limit"),
-        F.count_if(F.col("age") < 7).alias("days_7d"),
-        F.count(near).alias("days_30d"),
-        F.max("d").alias("latest_day"),
-    )
-    out = days.groupBy(*by).agg(F.max("today").alias("today")).join(found, by, "left")
-    usable = F.coalesce((F.col("days") >= least) & F.col("litres_7d").isNotNull(), F.lit(False))
-    shown = lambda c, digits: F.round(F.when(usable, F.col(c)), digits)
-    return out.select(
+    ok = F.col("water_ok")
+    return found.select(
         *by,
-        shown("litres_7d", 1).alias("litres_7d"),
-        shown("litres_30d", 1).alias("litres_30d"),
-        shown("typical_30d", 1).alias("typical_30d"),
-        F.when(usable, F.col("high_days")).alias("high_usage_days"),
-        shown("limit", 0).alias("threshold"),
-        F.when(usable, F.col("latest_day")).alias("latest_day"),
-        F.when(usable, F.datediff("today", "latest_day") - 1).alias("lag_days"),
-        F.when(usable, F.col("days_7d")).alias("days_7d"),
-        F.when(usable, F.col("days_30d")).alias("days_30d"),
-        *unavailable(usable, F.coalesce("days", F.lit(0)), least),
+        _shown(ok, "litres_7d", 1).alias("litres_7d"),
+        _shown(ok, "litres_30d", 1).alias("litres_30d"),
+        _shown(ok, "litres_typical", 1).alias("typical_30d"),
+        _shown(ok, "high_days").alias("high_usage_days"),
+        _shown(ok, "w_limit", 0).alias("threshold"),
+        _shown(ok, "water_latest").alias("latest_day"),
+        _shown(ok, F.datediff("today", "water_latest") - 1).alias("lag_days"),
+        _shown(ok, "water_n_7d").alias("days_7d"),
+        _shown(ok, "water_n_30d").alias("days_30d"),
+        *unavailable(ok, F.col("water_n"), MIN_WATER_DAYS),
     )
 
 
+def water_use(days: DataFrame, by: list[str], window_days: int) -> DataFrame:
+    return water_rows(analyses(uniform(days, window_days=window_days), by), by)
+
+
 def unavailable(usable: Column, have: Column, need: int) -> list[Column]:
     """Columns usable_days, required_days and unavailable_reason of a value that isn't shown."""
     return [
@@ -325,76 +278,52 @@ def unavailable(usable: Column, have: Column, need: int) -> list[Column]:
     ]
 
 
-def heat_loss(days: DataFrame, by: list[str], efficiency: float, area_m2: float, windows: list[int], rule: HeatLoss = HeatLoss(), water: HotWater = HotWater()) -> DataFrame:
+def heat_loss_rows(found: DataFrame, by: list[str]) -> DataFrame:
     """One row a home: the coefficient delivered, its limits and what it rests
-    on, held at the last heated day; homes keep their row whatever a gate rejects.
-
-    All inputs end at that day before anything is estimated from them, so later
-    days move nothing. All fits run in one pass over (home, fit) groups: raw
-    energy, without hot water, and the latter over each shorter window, of which
-    the first that passes counts as recent.
-    """
-    window_days = windows[-1]
-    last = model_day(in_window(days, window_days), by, rule)
-    locked = days.join(last, by, "left").where("model_day is null or d <= model_day")
-    age = F.datediff(F.coalesce("model_day", "today"), "d")
-    near = locked.where(age <= window_days)
-    model = water_model(near, locked, by, water)
-    rows = near.join(model.select(*by, "baseline", "reference_c", "rate", "limit"), by, "left")
-    rows = hotwater.attribute(rows, water).withColumn("hot_kwh", F.when(F.col("baseline").isNotNull(), F.col("hot_kwh")))
-    kinds = F.array(
-        F.struct(F.lit("raw").alias("fit"), F.lit(0.0).alias("hot")),
-        F.struct(F.lit("net").alias("fit"), F.col("hot_kwh").alias("hot")),
-        *(F.when(F.col("model_day").isNotNull() & (age <= w), F.struct(F.lit(f"{w}").alias("fit"), F.col("hot_kwh").alias("hot"))) for w in windows[:-1]),
-    )
-    fits = heatloss.fit(heatloss.fit_points(rows.select(*by, "d", "q", "delta_t", F.inline(F.array_compact(kinds))), rule, hot_water="hot"), [*by, "fit"], rule)
-    passed = fits.where("rejection_reason is null")
-    # a home without a hot-water model has no net fit of its own
-    values = ["hlc", "ci_low", "ci_high", "r2", "n", "r1", "effective_days", "free_gains_w", "intercept", "status"]
-    of = lambda kind: F.max(F.when(F.col("fit") == kind, F.struct(*values)))
-    short = F.min(F.when(F.col("fit").rlike("^[0-9]+$"), F.struct(F.col("fit").cast("int").alias("w"), "hlc", "n")))
-    wide = passed.groupBy(*by).agg(of("raw").alias("raw"), of("net").alias("net"), short.alias("short"))
-    why = fits.where("fit = 'raw'").select(*by, F.col("rejection_reason").alias("why"))
-    out = days.select(*by).distinct().join(last, by, "left").join(model.select(*by, "baseline", "days_used"), by, "left").join(wide, by, "left").join(why, by, "left")
-    shown = F.col("raw").isNotNull()
-    best = F.when(shown, F.when(F.col("baseline").isNotNull() & F.col("net").isNotNull(), F.col("net")).otherwise(F.col("raw")))
-    corrected = shown & F.col("baseline").isNotNull() & F.col("net").isNotNull()
-    delivered = best["hlc"] * efficiency
-    return out.select(
+    on, held at the last heated day; homes keep their row whatever a gate rejects."""
+    shown, best, delivered, efficiency = F.col("hlc_shown"), F.col("hlc_best"), F.col("hlc_delivered"), F.col("boiler_efficiency")
+    recent_ = F.col("hlc_recent")
+    return found.select(
         *by,
         F.round(delivered, 1).alias("hlc_w_per_k"),
         F.coalesce(best["status"], F.lit("invalid")).alias("status"),
         F.round(best["r2"], 3).alias("r_squared"),
         best["n"].alias("days_used"),
-        F.when(shown, F.lit(window_days)).alias("window_days"),
+        _shown(shown, "window_days").alias("window_days"),
         F.round(best["ci_low"] * efficiency, 1).alias("ci_low"),
         F.round(best["ci_high"] * efficiency, 1).alias("ci_high"),
         F.round(best["r1"], 2).alias("residual_autocorrelation"),
         F.round(best["effective_days"], 0).alias("effective_independent_days"),
-        F.round(best["free_gains_w"] * efficiency, 0).alias("free_gains_w"),
-        F.round("raw.hlc", 1).alias("fuel_input_hlc"),
+        F.round(-best["intercept"] * efficiency * 1000 / 24, 0).alias("free_gains_w"),
+        F.round(F.when(shown, F.col("fit_raw.hlc")), 1).alias("fuel_input_hlc"),
         F.round(best["hlc"], 1).alias("space_heating_fuel_input_hlc"),
-        F.when(shown, F.lit(efficiency)).alias("boiler_efficiency_used"),
+        _shown(shown, "boiler_efficiency").alias("boiler_efficiency_used"),
         F.round(best["intercept"], 1).alias("regression_intercept"),
-        F.round(delivered / area_m2, 2).alias("hlc_per_m2"),
-        F.when(shown, F.round("baseline", 1)).alias("dhw_baseline"),
-        F.when(shown, F.col("days_used")).alias("dhw_baseline_days_used"),
-        F.when(shown, F.col("model_day")).alias("model_data_through"),
-        F.round(F.when(shown, F.col("short.hlc")) * efficiency, 1).alias("recent_hlc"),
-        F.when(shown, F.col("short.w")).alias("recent_window_days"),
-        F.when(shown, F.col("short.n")).alias("recent_days_used"),
-        F.round(F.when(corrected, delivered), 1).alias("space_heating_hlc"),
+        F.round(delivered / F.col("floor_area_m2"), 2).alias("hlc_per_m2"),
+        _shown(shown & F.col("l_valid"), "l_baseline", 1).alias("dhw_baseline"),
+        _shown(shown & F.col("l_valid"), "l_used").alias("dhw_baseline_days_used"),
+        _shown(shown, "model_day").alias("model_data_through"),
+        F.round(recent_["hlc"] * efficiency, 1).alias("recent_hlc"),
+        recent_["w"].alias("recent_window_days"),
+        recent_["n"].alias("recent_days_used"),
+        _shown(F.col("hlc_corrected"), "hlc_delivered", 1).alias("space_heating_hlc"),
         band(delivered, HLC_BANDS).alias("band"),
-        F.when(~shown, F.coalesce("why", F.lit("no usable days"))).alias("unavailable_reason"),
+        F.col("why").alias("unavailable_reason"),
     )
 
 
-def losses(loss: DataFrame, air_changes: DataFrame, by: list[str], area_m2: float, ceiling_m: float) -> DataFrame:
+def heat_loss(days: DataFrame, by: list[str], efficiency: float, area_m2: float, windows: list[int], rule: HeatLoss = HeatLoss(), water: HotWater = HotWater()) -> DataFrame:
+    given = uniform(days, window_days=windows[-1], boiler_efficiency=efficiency, floor_area_m2=area_m2)
+    return heat_loss_rows(analyses(given, by, rule, water, tuple(windows[:-1])), by)
+
+
+def losses(loss: DataFrame, air_changes: DataFrame, by: list[str], volume_m3: Column) -> DataFrame:
     """One row a home: air changes (by, ach, windows, baseline, sensors,
     baseline_source), the loss they make of the home's volume, what the fabric
-    loses, with bands and what to look at first. ``loss`` has hlc_w_per_k."""
-    met = loss.select(*by, "hlc_w_per_k").join(air_changes, by, "left")
-    split = air.split_losses(met, "hlc_w_per_k", "ach", F.lit(area_m2 * ceiling_m))
+    loses, with bands and what to look at first. ``loss`` has hlc_w_per_k,
+    boiler_efficiency_used and what ``volume_m3`` needs."""
+    met = loss.join(air_changes, by, "left")
+    split = air.split_losses(met, "hlc_w_per_k", "ach", volume_m3)
     rounded = lambda c, digits: F.round(c, digits).alias(c)
     return split.select(
         *by,
@@ -403,10 +332,12 @@ def losses(loss: DataFrame, air_changes: DataFrame, by: list[str], area_m2: floa
         F.round("baseline", 0).alias("baseline_ppm"),
         F.col("sensors").alias("sensors_used"),
         "baseline_source",
+        F.when(F.col("sensors") > 0, F.format_string("median of %d sensors, for the home's whole volume", F.col("sensors"))).alias("scope"),
         rounded("ventilation_w_per_k", 1),
         rounded("fabric_w_per_k", 1),
         rounded("share_pct", 1),
         F.col("hlc_w_per_k").alias("hlc_delivered"),
+        "boiler_efficiency_used",
         band(F.col("ach"), ACH_BANDS).alias("ach_band"),
         band(F.col("ventilation_w_per_k"), VENTILATION_BANDS).alias("ventilation_band"),
         decision(F.col("fabric_w_per_k"), F.col("ventilation_w_per_k")).alias("decision"),
@@ -418,17 +349,24 @@ def recency(loss: DataFrame, by: list[str]) -> DataFrame:
     return loss.select(*by, F.round(change_pct(F.col("recent_hlc"), F.col("hlc_w_per_k")), 1).alias("recent_change_pct"))
 
 
+PARTS = {"hlc": heat_loss_rows, "dhw": hot_water_rows, "gas": gas_use_rows, "elec": electricity_rows, "water": water_rows}
+
+
+def _prefixed(found: DataFrame, by: list[str]) -> DataFrame:
+    """All parts of the report side by side, as columns that bear the part's prefix."""
+    columns = {}
+    for prefix, part in PARTS.items():
+        made = part(found.withColumn("__all", F.struct("*")), ["__all", *by])
+        columns[prefix] = [c for c in made.columns if c not in ("__all", *by)]
+        rest = made.select("__all", *by, *(F.col(c).alias(f"{prefix}_{c.removeprefix('hlc_')}") for c in columns[prefix]))
+        kept = [F.col(c) for c in rest.columns if c not in ("__all", *by)]
+        found = rest.select("__all.*", *kept)
+    return found.select(*by, *(f"{prefix}_{c.removeprefix('hlc_')}" for prefix in PARTS for c in columns[prefix]))
+
+
 def composite(days: DataFrame, by: list[str], efficiency: float, area_m2: float, gas_rate: float, electricity_rate: float, windows: list[int] = [60, 120, 365]) -> DataFrame:  # noqa: B006
-    """The whole report, one row a home: heat loss, hot water, gas, electricity
-    and water use, their columns prefixed by hlc_, dhw_, gas_, elec_ and water_."""
-    parts = {
-        "hlc": heat_loss(days, by, efficiency, area_m2, windows),
-        "dhw": hot_water(days, by, windows[-1], gas_rate),
-        "gas": gas_use(days, by, windows[-1], gas_rate),
-        "elec": electricity_use(days, by, windows[-1], electricity_rate),
-        "water": water_use(days, by, windows[-1]),
-    }
-    out = days.select(*by).distinct()
-    for prefix, part in parts.items():
-        out = out.join(part.select(*by, *(F.col(c).alias(f"{prefix}_{c.removeprefix('hlc_')}") for c in part.columns if c not in by)), by, "left")
-    return out
+    """The report of homes that share one configuration, one row a home: heat
+    loss, hot water, gas, electricity and water use, their columns prefixed by
+    hlc_, dhw_, gas_, elec_ and water_."""
+    given = uniform(days, window_days=windows[-1], boiler_efficiency=efficiency, floor_area_m2=area_m2, gas_rate=gas_rate, power_rate=electricity_rate)
+    return _prefixed(analyses(given, by, short=tuple(windows[:-1])), by)

@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import air, alignment, cooling, daily, offline, quality
+from ..operators import air, alignment, cooling, daily, hotwater, meters, offline, quality
 from ..sources.scratch import written
 from ..thresholds import Cooling, Loft
 from . import report
-from .adapter import C, DAY, H, HOUSE, OFF, OUTDOOR, ROOMS, WATER, hourly, house_days, means
+from .adapter import C, DAY, H, HOURS, HOUSE, LOCAL, OFF, OUTDOOR, ROOMS, WATER, hourly, house_days, house_hours, means, series_of
 from .adapter import meters as meter_rows
 from .adapter import table
-from .queries import ACH, FALL, FIT_CTES, FIT_REASON, HOME, MAINS, _decays, _off_days, query, r
+from .queries import FIT_CTES, FIT_REASON, HOME, MAINS, ORACLES, _off_days, query, r
 
 GAS_RATE, POWER_RATE, EFFICIENCY, AREA, CEILING = 0.07, 0.27, 0.88, 100.0, 2.4
 WINDOWS = [60, 120, 365]
@@ -55,48 +55,59 @@ lk AS (SELECT rw.*, model_day FROM rw LEFT JOIN md USING (home) WHERE model_day
 nr AS (SELECT * FROM lk WHERE coalesce(model_day, today) - d <= 365)"""
 
 
-def water_sql(every: str) -> str:
-    """The hot-water model of the days of ``nr``, with the limit of litres from ``every``."""
+def water_sql(every: str, near: str = "nr", s: str = "", away: str = "50") -> str:
+    """The hot-water model (model and suffix ``s``) of the days of ``near``, with the limit of litres from ``every``."""
     return f""",
-bl AS (
+bl{s} AS (
   SELECT home,
-    median(q) FILTER (coalesce(water >= 50, true)) AS baseline,
-    avg(outdoor) FILTER (coalesce(water >= 50, true)) AS reference_c,
-    count(*) FILTER (coalesce(water >= 50, true)) AS days_used,
-    count(*) FILTER (water < 50) AS away_days,
-    CASE WHEN count(*) FILTER (water < 50) >= 3 THEN median(q) FILTER (water < 50) END AS idle
-  FROM nr WHERE off GROUP BY 1
-  HAVING count(*) FILTER (coalesce(water >= 50, true)) >= 7),
-lr AS (
+    median(q) FILTER (coalesce(water >= {away}, true)) AS baseline,
+    avg(outdoor) FILTER (coalesce(water >= {away}, true)) AS reference_c,
+    count(*) FILTER (coalesce(water >= {away}, true)) AS days_used,
+    count(*) FILTER (water < {away}) AS away_days,
+    CASE WHEN count(*) FILTER (water < {away}) >= 3 THEN median(q) FILTER (water < {away}) END AS idle
+  FROM {near} WHERE off GROUP BY 1
+  HAVING count(*) FILTER (coalesce(water >= {away}, true)) >= 7),
+lr{s} AS (
   SELECT home, water, row_number() OVER (PARTITION BY home ORDER BY water) - 1 AS k, count(*) OVER (PARTITION BY home) AS n
   FROM (SELECT home, d, water, max(d) OVER (PARTITION BY home) AS last FROM {every} WHERE water IS NOT NULL)
   WHERE last - d < 30),
-lq AS (SELECT home, count(*) AS n, median(water) AS m, max(water) FILTER (k = n // 4) AS q1, max(water) FILTER (k = 3 * n // 4) AS q3
-  FROM lr
+lq{s} AS (SELECT home, count(*) AS n, median(water) AS m, max(water) FILTER (k = n // 4) AS q1, max(water) FILTER (k = 3 * n // 4) AS q3
+  FROM lr{s}
   GROUP BY 1),
-li AS (SELECT home, CASE WHEN n >= 5 THEN greatest(3 * m, q3 + 3 * (q3 - q1)) END AS lim FROM lq),
-rr AS (
+li{s} AS (SELECT home, CASE WHEN n >= 5 THEN greatest(3 * m, q3 + 3 * (q3 - q1)) END AS lim FROM lq{s}),
+rr{s} AS (
   SELECT home, q * 1000 / water / (55 - {MAINS.format('outdoor')}) AS r
-  FROM nr LEFT JOIN li USING (home)
-  WHERE off AND q > 0 AND water >= 50 AND water <= coalesce(lim, water)),
-ra AS (SELECT home, median(r) AS rate, count(*) AS rate_days FROM rr GROUP BY 1 HAVING count(*) >= 10 AND median(r) BETWEEN 0.05 AND 1.5),
-model AS (SELECT * FROM bl LEFT JOIN ra USING (home) LEFT JOIN li USING (home))"""
+  FROM {near} LEFT JOIN li{s} USING (home)
+  WHERE off AND q > 0 AND water >= {away} AND water <= coalesce(lim, water)),
+ra{s} AS (SELECT home, median(r) AS rate, count(*) AS rate_days FROM rr{s} GROUP BY 1 HAVING count(*) >= 10 AND median(r) BETWEEN 0.05 AND 1.5),
+model{s} AS (SELECT * FROM bl{s} LEFT JOIN ra{s} USING (home) LEFT JOIN li{s} USING (home))"""
 
 
-def split_sql(rows: str) -> str:
-    """Attribution of the days of ``rows`` by the model."""
+def split_sql(rows: str, s: str = "") -> str:
+    """Attribution (a3 and suffix) of the days of ``rows`` by the model."""
     return f""",
-a1 AS (
+a1{s} AS (
   SELECT x.*, baseline, reference_c, rate, coalesce(water > lim, false) AS big,
     least(q, water * rate * (55 - {MAINS.format('outdoor')}) / 1000) AS bw,
     least(q, baseline * (55 - {MAINS.format('outdoor')}) / (55 - {MAINS.format('reference_c')})) AS bm
-  FROM {rows} x JOIN model USING (home)),
-a2 AS (
+  FROM {rows} x JOIN model{s} USING (home)),
+a2{s} AS (
   SELECT *,
     CASE WHEN off THEN 'off' WHEN rate IS NOT NULL AND water IS NOT NULL AND NOT big THEN 'litres' ELSE 'mains' END AS how,
     NOT off AND big AS outlier
-  FROM a1),
-a3 AS (SELECT *, CASE how WHEN 'off' THEN q WHEN 'litres' THEN bw ELSE bm END AS hot_kwh FROM a2)"""
+  FROM a1{s}),
+a3{s} AS (SELECT *, CASE how WHEN 'off' THEN q WHEN 'litres' THEN bw ELSE bm END AS hot_kwh FROM a2{s})"""
+
+
+#: What gas goes with a litre in each home of the hours of ``hh``; hot is in percent before the boiler's losses.
+GAS_WATER = """gw AS (
+  SELECT home, regr_slope(gas, litres) * 1000 AS wh, regr_slope(gas, litres) * 1000 / 34.8 * 100 AS hot
+  FROM hh GROUP BY 1 HAVING count(*) >= 200 AND count(DISTINCT litres) >= 10 AND regr_slope(gas, litres) > 0 AND regr_r2(gas, litres) >= 0.5)"""
+
+
+def gas_by_litres(hours: DataFrame, efficiency=EFFICIENCY) -> DataFrame:
+    of = lambda name: series_of(hours, name).select("home", "sec", F.col("value").alias("step"))
+    return hotwater.gas_water(of("gas"), of("litres"), HOME, efficiency=efficiency)
 
 
 @query(
@@ -104,16 +115,23 @@ a3 AS (SELECT *, CASE how WHEN 'off' THEN q WHEN 'litres' THEN bw ELSE bm END AS
 ct AS (
   SELECT home, count(*) FILTER (how = 'litres') AS water_days, count(*) FILTER (how = 'mains') AS fallback_days,
     count(*) FILTER (outlier) AS outlier_days, avg(hot_kwh) * 365 AS annual
-  FROM a3 GROUP BY 1)
+  FROM a3 GROUP BY 1),
+of7 AS (SELECT home, count(*) FILTER (off AND coalesce(water >= 50, true)) AS n FROM nr GROUP BY 1),
+{HOURS}, {GAS_WATER}
 SELECT home, round(baseline, 2) AS kwh_per_day, CASE WHEN days_used >= 14 THEN 'valid' WHEN days_used >= 7 THEN 'provisional' END AS status,
-  days_used, away_days AS low_water_days_excluded, round(idle, 2) AS idle_gas, round(rate, 3) AS water_rate, rate_days AS water_rate_days_used,
+  days_used, away_days AS low_water_days_excluded, CASE WHEN baseline IS NOT NULL THEN 50.0::DOUBLE END AS min_occupied_water_litres,
+  round(idle, 2) AS idle_gas, round(rate, 3) AS water_rate, rate_days AS water_rate_days_used,
   water_days, fallback_days, outlier_days, round(lim, 0) AS outlier_limit, latest_gas_day, latest_water_day,
   (today - latest_water_day - 1)::INT AS water_lag_days, round(baseline * {GAS_RATE}, 2) AS cost_per_day,
-  round(annual * {GAS_RATE}, 0) AS cost_per_year, round(annual, 1) AS annual_kwh
-FROM homes LEFT JOIN model USING (home) LEFT JOIN ct USING (home)"""
+  round(annual * {GAS_RATE}, 0) AS cost_per_year, round(annual, 1) AS annual_kwh,
+  CASE WHEN baseline IS NOT NULL THEN round(wh, 1) END AS wh_per_litre,
+  CASE WHEN baseline IS NOT NULL THEN round(least(100, hot * {EFFICIENCY}), 0) END AS hot_fraction_pct,
+  CASE WHEN baseline IS NULL THEN of7.n || ' of 7 days without heating' END AS unavailable_reason
+FROM homes LEFT JOIN model USING (home) LEFT JOIN ct USING (home) LEFT JOIN gw USING (home) LEFT JOIN of7 USING (home)"""
 )
 def report_hot_water(spark, sf_dir):
-    return report.hot_water(report_days(spark, sf_dir), HOME, WINDOWS[-1], GAS_RATE)
+    litres = gas_by_litres(written(house_hours(spark, sf_dir)))
+    return report.hot_water(report_days(spark, sf_dir), HOME, WINDOWS[-1], GAS_RATE, gas_water=litres)
 
 
 def recent_sql(value: str, days: int, least: int, age: str = "age") -> str:
@@ -128,11 +146,14 @@ u AS (
   SELECT home, {recent_sql('hot_kwh', 7, 5)} AS h7, {recent_sql('hot_kwh', 30, 20)} AS h30,
     {recent_sql('space_kwh', 7, 5)} AS s7, {recent_sql('space_kwh', 30, 20)} AS s30,
     count(*) FILTER (off) AS heating_off_days, count(*) FILTER (NOT off) AS modelled_days,
-    count(*) FILTER (off AND heat_pct IS NOT NULL) AS from_power_days
+    count(*) FILTER (off AND heat_pct IS NOT NULL) AS from_power_days, count(*) FILTER (how = 'litres') AS water_days,
+    count(*) FILTER (how = 'mains') AS fallback_days, count(*) FILTER (outlier) AS outlier_days
   FROM s GROUP BY 1)
 SELECT home, round(h7, 2) AS hot_7d, round(h30, 2) AS hot_30d, round(s7, 2) AS space_7d, round(s30, 2) AS space_30d,
-  round(h7 * {GAS_RATE}, 2) AS hot_cost_7d, round(s7 * {GAS_RATE}, 2) AS space_cost_7d, heating_off_days, modelled_days, from_power_days
-FROM u"""
+  round(h7 * {GAS_RATE}, 2) AS hot_cost_7d, round(s7 * {GAS_RATE}, 2) AS space_cost_7d, heating_off_days, modelled_days, from_power_days,
+  water_days, fallback_days, outlier_days, latest_gas_day, latest_water_day,
+  CASE WHEN u.home IS NULL THEN 'needs a gas meter and a hot-water baseline' END AS unavailable_reason
+FROM homes LEFT JOIN u USING (home)"""
 )
 def report_gas_use(spark, sf_dir):
     return report.gas_use(report_days(spark, sf_dir), HOME, WINDOWS[-1], GAS_RATE)
@@ -240,28 +261,46 @@ def report_recency(spark, sf_dir):
     return report.recency(report.heat_loss(report_days(spark, sf_dir), HOME, EFFICIENCY, AREA, WINDOWS), HOME)
 
 
-def _air_changes(spark, sf_dir):
-    """One row: the sensors' usable rates combined."""
-    fits, base = _decays(spark, sf_dir)
-    rates = air.air_change_rate(fits, S, FALL).where("usable").join(base, "series_id")
-    source = rates.agg(F.max("baseline_source").alias("baseline_source"))
-    return air.combine(rates).crossJoin(source)  # one row each
+def air_changes(hours: DataFrame, homes: DataFrame) -> DataFrame:
+    """(home, ach, windows, baseline, sensors, baseline_source) of homes (home, today,
+    window_days, outdoor_ppm), from the window's first day on."""
+    begun = homes.select("home", F.date_sub("today", F.col("window_days")).alias("since"), "outdoor_ppm")
+    rows = series_of(hours, "co2").join(begun, "home").where(meters.local_time(F.col("sec"), F.col("zone")).cast("date") >= F.col("since")).drop("zone", "since")
+    sensor = ["home", "series_id"]
+    base = air.baseline_ppm(rows, sensor, configured="outdoor_ppm")
+    rates = air.air_change_rate(air.decay_fits(rows, base, sensor), sensor).where("usable").join(base, sensor)
+    return air.combine(rates, HOME).join(rates.groupBy("home").agg(F.max("baseline_source").alias("baseline_source")), "home")
+
+
+def air_sql(homes: str) -> str:
+    """Combined air changes (cb) of the hours of ``hh``, by ``homes`` (home, today, win, ppm)."""
+    return f"""
+ cn AS (
+  SELECT home, sec, co2 AS v, CASE WHEN sec - lag(sec) OVER w <= 5400 AND co2 <= lag(co2) OVER w + 2 THEN 0 ELSE 1 END AS b
+  FROM hh JOIN {homes} c USING (home) WHERE {LOCAL.format('sec').replace('(zone,', '(hh.zone,')}::DATE >= c.today - c.win WINDOW w AS (PARTITION BY home ORDER BY sec)),
+ cr AS (SELECT *, sum(b) OVER (PARTITION BY home ORDER BY sec) AS run FROM cn),
+ c0 AS (SELECT home, v, row_number() OVER (PARTITION BY home ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY home) AS n FROM cr),
+ cs AS (SELECT home, coalesce(ppm, v) AS baseline, CASE WHEN ppm IS NULL THEN 'percentile' ELSE 'configured' END AS src FROM c0 JOIN {homes} USING (home) WHERE k = floor(0.02 * (n - 1))),
+ cx AS (SELECT cr.*, v - baseline AS ex, (sec - min(sec) OVER (PARTITION BY cr.home, run)) / 3600.0::DOUBLE AS hours FROM cr JOIN cs USING (home)),
+ cz AS (SELECT *, CASE WHEN ex > 0 THEN ln(ex) END AS le FROM cx),
+ cf1 AS (
+  SELECT home, run, max(sec) - min(sec) AS seconds, min_by(ex, sec) AS first_ex, min(ex) AS least_ex, CASE WHEN count(le) > 1 THEN regr_slope(le, hours) END AS slope,
+    CASE WHEN count(le) > 1 THEN regr_r2(le, hours) END AS r2 FROM cz GROUP BY 1, 2),
+ ca AS (
+  SELECT home, median(-slope) AS ach, count(*) AS windows FROM cf1
+  WHERE seconds >= 14400 AND first_ex >= 120 AND least_ex > 0 AND slope < 0 AND r2 >= 0.9 GROUP BY 1 HAVING count(*) >= 10 AND median(-slope) BETWEEN 0.05 AND 3),
+ cb AS (SELECT home, ach, windows, baseline, 1 AS sensors, src FROM ca JOIN cs USING (home))"""
 
 
 LOSSES = (
     HEAT_LOSS
-    + ",\n"
-    + ACH
-    + f""",
-cb AS (
-  SELECT median(ach) AS ach, sum(windows)::BIGINT AS windows, median(baseline) AS baseline, count(*) AS sensors
-  FROM ac JOIN bs USING (series_id) WHERE windows >= 3 AND ach BETWEEN 0.05 AND 3),
+    + f""", hc AS (SELECT home, today, 365 AS win, NULL::DOUBLE AS ppm FROM homes), {HOURS}, {air_sql('hc')},
 ls AS (
-  SELECT home, hlc_w_per_k, cb.*, CASE WHEN ach * {AREA * CEILING} * 0.335::DOUBLE <= hlc_w_per_k THEN ach * {AREA * CEILING} * 0.335::DOUBLE END AS v
-  FROM hl, cb)
-SELECT home, round(ach, 3) AS ach, windows, round(baseline, 0) AS baseline_ppm, sensors AS sensors_used,
-  CASE WHEN sensors > 0 THEN 'percentile' END AS baseline_source, round(v, 1) AS ventilation_w_per_k, round(hlc_w_per_k - v, 1) AS fabric_w_per_k,
-  round(v / hlc_w_per_k * 100, 1) AS share_pct, hlc_w_per_k AS hlc_delivered,
+  SELECT home, hlc_w_per_k, boiler_efficiency_used, cb.* EXCLUDE (home), CASE WHEN ach * {AREA * CEILING} * 0.335::DOUBLE <= hlc_w_per_k THEN ach * {AREA * CEILING} * 0.335::DOUBLE END AS v
+  FROM hl LEFT JOIN cb USING (home))
+SELECT home, round(ach, 3) AS ach, windows, round(baseline, 0) AS baseline_ppm, sensors::BIGINT AS sensors_used, src AS baseline_source,
+  'median of ' || sensors || ' sensors, for the home''s whole volume' AS scope, round(v, 1) AS ventilation_w_per_k, round(hlc_w_per_k - v, 1) AS fabric_w_per_k,
+  round(v / hlc_w_per_k * 100, 1) AS share_pct, hlc_w_per_k AS hlc_delivered, boiler_efficiency_used,
   CASE WHEN ach < 0.35 THEN 'tight' WHEN ach < 0.7 THEN 'usual' WHEN ach < 1.0 THEN 'leaky' WHEN ach IS NOT NULL THEN 'beyond' END AS ach_band,
   CASE WHEN v < 120 THEN 'low' WHEN v < 200 THEN 'usual' WHEN v < 300 THEN 'high' WHEN v IS NOT NULL THEN 'beyond' END AS ventilation_band,
   CASE WHEN v IS NULL THEN 'no split available' WHEN hlc_w_per_k - v > 2 * v THEN 'fabric first' ELSE 'ventilation matters' END AS decision
@@ -269,14 +308,28 @@ FROM ls"""
 )
 
 
+def _todays(days: DataFrame) -> DataFrame:
+    return days.groupBy("home").agg(F.max("today").alias("today"))
+
+
 @query(LOSSES)
 def report_losses(spark, sf_dir):
-    loss = report.heat_loss(report_days(spark, sf_dir), HOME, EFFICIENCY, AREA, WINDOWS)
-    rates = loss.select("home").crossJoin(F.broadcast(_air_changes(spark, sf_dir)))  # one row: the sensors serve all homes
-    return report.losses(loss, rates, HOME, AREA, CEILING)
+    days = report_days(spark, sf_dir)
+    loss = report.heat_loss(days, HOME, EFFICIENCY, AREA, WINDOWS)
+    homes = _todays(days).withColumns({"window_days": F.lit(WINDOWS[-1]), "outdoor_ppm": F.lit(None).cast("double")})
+    return report.losses(loss, air_changes(house_hours(spark, sf_dir), homes), HOME, F.lit(AREA * CEILING))
 
 
-@query()
+def _side_by_side() -> str:
+    """The five reports' SQL joined by home, their columns with the part's prefix."""
+    parts = {"hlc": "report_heat_loss", "dhw": "report_hot_water", "gas": "report_gas_use", "elec": "report_electricity", "water": "report_water"}
+    of = lambda k: f"(SELECT COLUMNS('^(?:hlc_)?(\\w+)$') AS '{k}_\\1' FROM ({ORACLES[parts[k]]}))"
+    joins = " ".join(f"JOIN {of(k)} {k} ON {k}_home = hlc_home" for k in parts if k != "hlc")
+    without = ", ".join(f"{k}_home" for k in parts)
+    return f"""SELECT hlc_home AS home, * EXCLUDE ({without}) REPLACE (NULL::DOUBLE AS dhw_wh_per_litre, NULL::DOUBLE AS dhw_hot_fraction_pct) FROM {of('hlc')} hlc {joins}"""
+
+
+@query(_side_by_side())
 def report_composite(spark, sf_dir):
     return report.composite(report_days(spark, sf_dir), HOME, EFFICIENCY, AREA, GAS_RATE, POWER_RATE, WINDOWS)
 
@@ -426,12 +479,11 @@ dc AS (
 )
 
 
-@query(f"""WITH {OFFSETS} SELECT series_id, source, anchor, used, CASE WHEN anchor THEN NULL ELSE coalesce(pairs, 0) END AS pairs, round(off_by,
-  2) AS offset_value
+@query(f"""WITH {OFFSETS} SELECT series_id, source, anchor, used, CASE WHEN anchor THEN NULL ELSE coalesce(pairs, 0) END AS pairs, round(off_by, 8) AS offset_value
   FROM dc""")
 def cache_decisions(spark, sf_dir):
     _, decisions = quality.merge_cumulative(written(cache_rows(spark, sf_dir).drop("kind")), S)
-    return decisions.select("series_id", "source", "anchor", "used", "pairs", F.round("offset", 2).alias("offset_value"))
+    return decisions.select("series_id", "source", "anchor", "used", "pairs", F.round("offset", 8).alias("offset_value"))
 
 
 @query(
@@ -439,11 +491,11 @@ def cache_decisions(spark, sf_dir):
 mg AS (
   SELECT cr.series_id, sec, value - off_by AS value, row_number() OVER (PARTITION BY cr.series_id, sec ORDER BY anchor, source DESC) AS k
   FROM cr JOIN dc USING (series_id, source) WHERE used)
-SELECT series_id, sec, round(value, 4) AS value FROM mg WHERE k = 1"""
+SELECT series_id, sec, round(value, 8) AS value FROM mg WHERE k = 1"""
 )
 def cache_merged(spark, sf_dir):
     merged, _ = quality.merge_cumulative(written(cache_rows(spark, sf_dir).drop("kind")), S)
-    return merged.select("series_id", "sec", r("value", 4))
+    return merged.select("series_id", "sec", r("value"))
 
 
 @query(
@@ -467,11 +519,11 @@ def cache_repair(spark, sf_dir):
 @query(
     f"""WITH {H},
 z AS (SELECT sec, avg(mean) AS pct FROM h WHERE series_id IN ('view', 'click') GROUP BY 1)
-SELECT {DAY.format('sec')} AS d, round(avg(pct / 100 * 28.0::DOUBLE) * 24, 4) AS q FROM z GROUP BY 1"""
+SELECT {DAY.format('sec')} AS d, round(avg(pct / 100 * 28.0::DOUBLE) * 24, 8) AS q FROM z GROUP BY 1"""
 )
 def offline_zone_heat(spark, sf_dir):
     zones = means(spark, sf_dir).where(F.col("series_id").isin(ROOMS))
-    return offline.zone_heat_kwh(zones, 28.0, [], "UTC").select("d", r("q", 4))
+    return offline.zone_heat_kwh(zones, 28.0, [], "UTC").select("d", r("q"))
 
 
 OFFLINE_DELTA = f"""WITH {H},
@@ -484,28 +536,27 @@ x AS (
 f AS (SELECT sec, v - CASE WHEN o IS NOT NULL THEN o WHEN k - k0 <= 1 THEN o0 + coalesce((o1 - o0) * (k - k0) / (k1 - k0), 0) END AS dt FROM x),
 g AS (SELECT sec, dt, sec - lag(sec) OVER (ORDER BY sec) AS gap FROM f WHERE dt IS NOT NULL),
 cd AS (SELECT median(gap) AS cad FROM g WHERE gap > 0)
-SELECT {DAY.format('sec')} AS d, round(avg(dt), 6) AS delta_t, count(*) AS rows FROM g, cd GROUP BY 1, cad HAVING count(*) >= 24 * 3600 / cad * 0.9"""
+SELECT {DAY.format('sec')} AS d, round(avg(dt), 8) AS delta_t, count(*) AS rows FROM g, cd GROUP BY 1, cad HAVING count(*) >= 24 * 3600 / cad * 0.9"""
 
 
 @query(OFFLINE_DELTA)
 def offline_delta_t(spark, sf_dir):
-    return offline.daily_delta_t(means(spark, sf_dir), ROOMS, OUTDOOR, [], "UTC").select("d", r("delta_t", 6), "rows")
+    return offline.daily_delta_t(means(spark, sf_dir), ROOMS, OUTDOOR, [], "UTC").select("d", r("delta_t"), "rows")
 
 
 @query(
     f"""WITH {HOUSE},
 p AS (SELECT home, d, delta_t AS x, q AS y FROM hd WHERE q > 0.5 AND delta_t > 4){FIT_CTES},
 v1 AS (SELECT *, {FIT_REASON} AS why FROM k)
-SELECT home, n AS days, CASE WHEN why IS NULL THEN round(hlc, 3) END AS hlc, CASE WHEN why IS NULL THEN round((slope - 1.96 * se) * 1000 / 24,
-  3) END AS ci_low, round(r2, 5) AS r2,
-  CASE WHEN why = 'too few days' THEN 'Fewer than 20 usable heating days' WHEN why = 'too little spread' THEN 'Days do not span enough temperature variation'
-    WHEN why IS NOT NULL THEN 'The fit failed its quality gates' END AS note
+SELECT home, n AS days, CASE WHEN why IS NULL THEN round(hlc, 8) END AS hlc, CASE WHEN why IS NULL THEN round((slope - 1.96 * se) * 1000 / 24,
+  8) END AS ci_low, round(r2, 8) AS r2,
+  'no result: ' || why AS note
 FROM v1"""
 )
 def offline_fit(spark, sf_dir):
     days = written(house_days(spark, sf_dir))
     fits = offline.fit_joined(days.select("home", "d", "q"), days.select("home", "d", "delta_t"), HOME)
-    return fits.select("home", "days", r("hlc"), r("ci_low"), r("r2", 5), "note")
+    return fits.select("home", "days", r("hlc"), r("ci_low"), r("r2"), "note")
 
 
 @query(
@@ -517,7 +568,7 @@ y9 AS (SELECT home, d, delta_t, q - baseline * (55 - {MAINS.format('outdoor')})
   WHERE q > 0.5 AND delta_t > 4),
 p AS (SELECT home, d, delta_t AS x, y FROM y9 WHERE y > 0.5){FIT_CTES},
 v1 AS (SELECT *, {FIT_REASON} AS why FROM k)
-SELECT home, n AS days, round(hlc, 3) AS hlc, round(baseline, 3) AS baseline FROM v1 JOIN b9 USING (home) WHERE why IS NULL"""
+SELECT home, n AS days, round(hlc, 8) AS hlc, round(baseline, 8) AS baseline FROM v1 JOIN b9 USING (home) WHERE why IS NULL"""
 )
 def offline_corrected_fit(spark, sf_dir):
     return offline.corrected_fit(written(house_days(spark, sf_dir)), HOME).select("home", "days", r("hlc"), r("baseline"))
@@ -542,15 +593,15 @@ x AS (
   FROM j WINDOW b AS (ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY sec ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 f AS (SELECT sec, {_filled_sql('i', 24)} AS i, {_filled_sql('l', 24)} AS l, {_filled_sql('o', 24)} AS o FROM x),
 rr AS (SELECT (l - o) / (i - o) AS r FROM f WHERE (sec // 3600) % 24 BETWEEN 1 AND 5 AND i - o > 2)
-SELECT round(median(r), 4) AS ratio, count(r) AS rows, round(quantile_cont(r, 0.75) - quantile_cont(r, 0.25), 4) AS iqr,
-  round(avg(CASE WHEN r BETWEEN 0 AND 1 THEN 0.0 ELSE 1.0 END) * 100, 3) AS outside_pct
+SELECT round(median(r), 8) AS ratio, count(r) AS rows, round(quantile_cont(r, 0.75) - quantile_cont(r, 0.25), 8) AS iqr,
+  round(avg(CASE WHEN r BETWEEN 0 AND 1 THEN 0.0 ELSE 1.0 END) * 100, 8) AS outside_pct
   FROM rr"""
 )
 def offline_loft_ratio(spark, sf_dir):
     rows = means(spark, sf_dir)
     of = lambda name: rows.where(F.col("series_id") == name).select("sec", "value")
     out = air.loft_ratio_filled(daily.hourly_over_any(rows, ROOMS, []), of(WATER), of(OUTDOOR), [], "UTC", Loft(min_delta_t=2.0))
-    return out.select(r("ratio", 4), "rows", r("iqr", 4), r("outside_pct"))
+    return out.select(r("ratio"), "rows", r("iqr"), r("outside_pct"))
 
 
 @query()

@@ -19,9 +19,29 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths of scratch tables that this process has written and not yet deleted.
+_kept: list[str] = []
+
+
+def kept(spark: SparkSession, path: str) -> str:
+    """The path, noted for ``cleared``."""
+    _kept.append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder, so that branches read
     it instead of making it again and lost executors cost a read."""
-    path = f"{shared_folder(df.sparkSession)}/emberlane-days-{uuid.uuid4().hex}"
+    path = kept(df.sparkSession, f"{shared_folder(df.sparkSession)}/emberlane-days-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> int:
+    """Deletes the scratch tables of all queries before; their results must have
+    been written or collected by then. Returns how many there were."""
+    n = len(_kept)
+    while _kept:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return n

@@ -81,6 +81,12 @@ AIR_WH_PER_M3_K = 0.335
 BOILER_EFFICIENCY = 0.88
 
 
+#: Bounds of a home's numbers, and what holds where one isn't given.
+HOME_BOUNDS = {"floor_area_m2": (1, 2000), "ceiling_m": (1.8, 10), "outdoor_ppm": (350, 550), "away_litres": (0, 2000), "boiler_efficiency": (0.5, 1), "window_days": (30, 730)}
+HOME_DEFAULTS = {"timezone": "Europe/London", "ceiling_m": 2.4, "away_litres": 50.0, "boiler_efficiency": BOILER_EFFICIENCY, "window_days": 365}
+SHORT_WINDOWS = (60, 120)
+
+
 @dataclass(frozen=True)
 class Home:
     """Configuration of one home, with its bounds. Numbers and the date may come
@@ -108,8 +114,7 @@ class Home:
         object.__setattr__(self, "window_days", int(float(self.window_days)))
         if isinstance(self.loft_since, str):
             object.__setattr__(self, "loft_since", date.fromisoformat(self.loft_since))
-        limits = {"floor_area_m2": (1, 2000), "ceiling_m": (1.8, 10), "outdoor_ppm": (350, 550), "away_litres": (0, 2000), "boiler_efficiency": (0.5, 1), "window_days": (30, 730)}
-        for name, (low, high) in limits.items():
+        for name, (low, high) in HOME_BOUNDS.items():
             value = getattr(self, name)
             if value is not None and not low <= float(value) <= high:
                 raise ValueError(f"{name} must lie in {low}..{high}")

@@ -361,7 +361,7 @@ def test_offline_fit_and_its_notes(spark):
     good = offline.fit_joined(heat, delta, ["home"]).first()
     assert good.note is None and good.hlc == pytest.approx(240.0)
     few = offline.fit_joined(heat.orderBy("d").limit(10), delta, ["home"]).first()
-    assert few.hlc is None and few.note == "Fewer than 20 usable heating days"
+    assert few.hlc is None and few.note == "no result: too few days"
     zones = spark.createDataFrame([("s", k * 3600, 50.0) for k in range(24)] + [("t", k * 3600, 100.0) for k in range(24)], "series_id string, sec long, value double")
     assert offline.zone_heat_kwh(zones, 28.0, [], "UTC").first().q == pytest.approx(0.75 * 28 * 24)
 
@@ -416,7 +416,7 @@ def test_what_to_look_at_first(spark):
     assert [r.x for r in df.select(report.decision(F.col("f"), F.col("v")).alias("x")).collect()] == ["fabric first", "ventilation matters", "no split available"]
     rooms = spark.createDataFrame([("den", 20.0), ("hall", None), ("bath", 9.0), ("loft", 12.0)], "room string, tau_median_h double")
     assert report.fastest(rooms, []).first().fastest == "bath, loft"
-    assert {r.room: (r.place, r.slowest_place) for r in report.ranked(rooms).collect()} == {"bath": (1, 3), "loft": (2, 2), "den": (3, 1), "hall": (4, None)}
+    assert {r.room: (r.place, r.slowest_place) for r in report.ranked(rooms, []).collect()} == {"bath": (1, 3), "loft": (2, 2), "den": (3, 1), "hall": (4, None)}
 
 
 def test_normalised_stamps(spark):
