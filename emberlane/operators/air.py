@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import floor_percentile, lower_quartile, ols, upper_quartile
+from ..functions.stats import lower_quartile, ols, upper_quartile
 from ..thresholds import AIR_WH_PER_M3_K, AirChange, Loft
 from .alignment import interpolated
+from .chunks import CHUNK_S, along, carried, inside, with_previous
 from .daily import drop_flatlines
 from .meters import Zone, local_time
+from .ranks import at_ranks, floor_rank
 
 
 def baseline_ppm(readings: DataFrame, by: list[str], rule: AirChange = AirChange(), measured: DataFrame | None = None, configured: float | str | None = None) -> DataFrame:
@@ -18,7 +20,8 @@ def baseline_ppm(readings: DataFrame, by: list[str], rule: AirChange = AirChange
     meets on the columns of ``by`` that it has, such as the home; ``configured`` may
     be the column of the readings that holds each home's value."""
     set_ = F.max(configured) if isinstance(configured, str) else F.max(F.lit(configured).cast("double"))
-    own = readings.groupBy(*by).agg(floor_percentile("value", rule.baseline_p).alias("low"), set_.alias("set"))
+    own = at_ranks(readings, by, "value", {"low": floor_rank(rule.baseline_p)}).drop("n")
+    own = own.join(readings.groupBy(*by).agg(set_.alias("set")), by)
     if measured is not None:
         home = [c for c in by if c in measured.columns]
         outdoors = measured.groupBy(*home).agg(F.median("value").alias("out"))
@@ -30,13 +33,15 @@ def baseline_ppm(readings: DataFrame, by: list[str], rule: AirChange = AirChange
     return own.select(*by, F.coalesce("out", fixed, "low").alias("baseline"), source.alias("baseline_source"))
 
 
-def falling_runs(readings: DataFrame, by: list[str], rule: AirChange = AirChange()) -> DataFrame:
+def falling_runs(readings: DataFrame, by: list[str], rule: AirChange = AirChange(), chunk_s: int = CHUNK_S) -> DataFrame:
     """Adds ``run``: readings that follow within ``max_gap_s`` and don't rise by
-    more than the noise belong to one run."""
-    order = Window.partitionBy(*by).orderBy("sec")
-    breaks = (F.col("sec") - F.lag("sec").over(order) > rule.max_gap_s) | (F.col("value") > F.lag("value").over(order) + rule.noise_ppm)
-    marked = readings.withColumn("__b", F.coalesce(breaks, F.lit(True)).cast("int"))
-    return marked.withColumn("run", F.sum("__b").over(order)).drop("__b")
+    more than the noise belong to one run. Runs are counted inside chunks, and
+    the chunks' counts are summed along the series."""
+    breaks = (F.col("sec") - F.col("__prev.sec") > rule.max_gap_s) | (F.col("value") > F.col("__prev.value") + rule.noise_ppm)
+    marked = with_previous(readings, by, chunk_s=chunk_s).withColumn("__b", F.coalesce(breaks, F.lit(True)).cast("long"))
+    sums = F.sum("n").over(along(by).rowsBetween(Window.unboundedPreceding, -1))
+    counted = carried(marked, by, {"n": F.sum("__b")}, {"__before": F.coalesce(sums, F.lit(0))})
+    return counted.withColumn("run", F.col("__before") + F.sum("__b").over(inside(by))).select(*readings.columns, "run")
 
 
 def decay_fits(readings: DataFrame, baselines: DataFrame, by: list[str], rule: AirChange = AirChange()) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..thresholds import HotWater
+from .chunks import CHUNK, CHUNK_S, along, chunked, inside
 from .meters import Zone, local_time
 
 
@@ -46,9 +47,20 @@ def heating_off(delta_t: DataFrame, heat_pct: DataFrame, by: list[str], rule: Ho
     return both.select(*by, "d", F.coalesce(off, F.lit(False)).alias("off"))
 
 
-def drop_flatlines(readings: DataFrame, by: list[str], rows: int = 24, span: float = 0.05) -> DataFrame:
+def drop_flatlines(readings: DataFrame, by: list[str], rows: int = 24, span: float = 0.05, chunk_s: int = CHUNK_S) -> DataFrame:
     """Without readings whose last ``rows`` readings, themselves included, vary
-    by less than ``span``; dropped ones still count as readings."""
-    frame = Window.partitionBy(*by).orderBy("sec").rowsBetween(-(rows - 1), 0)
-    marked = readings.withColumns({"__n": F.count("value").over(frame), "__s": F.max("value").over(frame) - F.min("value").over(frame)})
-    return marked.where(~((F.col("__n") == rows) & (F.col("__s") < span))).drop("__n", "__s")
+    by less than ``span``; dropped ones still count as readings.
+
+    A chunk starts with the last ``rows`` - 1 readings before it, which are the
+    ends of so many chunks at most.
+    """
+    reading = F.struct("sec", "value")
+    newest = lambda c, n: F.slice(F.reverse(F.array_sort(c)), 1, n)
+    placed = chunked(readings, chunk_s)
+    ends = placed.groupBy(*by, CHUNK).agg(newest(F.collect_list(reading), rows - 1).alias("end"))  # a chunk's rows
+    before = F.collect_list("end").over(along(by).rowsBetween(-(rows - 1), -1))
+    tails = ends.select(*by, CHUNK, before.alias("__e")).select(*by, CHUNK, F.inline(newest(F.flatten("__e"), rows - 1)))
+    both = placed.withColumn("__own", F.lit(True)).unionByName(tails.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    frame = inside(by).rowsBetween(-(rows - 1), 0)
+    marked = both.withColumns({"__n": F.count("value").over(frame), "__s": F.max("value").over(frame) - F.min("value").over(frame)})
+    return marked.where(F.col("__own") & ~((F.col("__n") == rows) & (F.col("__s") < span))).select(readings.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..thresholds import Meter
+from .chunks import with_previous
 
 
 def epoch_seconds(value: Column) -> Column:
@@ -49,10 +50,8 @@ def running(rows: DataFrame, by: list[str], value: str) -> Column:
 def steps(readings: DataFrame, by: list[str], meter: Meter = Meter(), value: str = "value") -> DataFrame:
     """(by, sec, step) of consecutive readings; resets, gaps and leaps are left
     out and never read as 0. A step bears the later stamp."""
-    order = Window.partitionBy(*by).orderBy("sec")
-    gap = F.col("sec") - F.lag("sec").over(order)
-    step = F.col(value) - F.lag(value).over(order)
-    found = readings.select(*by, "sec", gap.alias("gap"), step.alias("step"))
+    gap, step = F.col("sec") - F.col("__prev.sec"), F.col(value) - F.col("__prev.value")
+    found = with_previous(readings.select(*by, "sec", value), by, value).select(*by, "sec", gap.alias("gap"), step.alias("step"))
     return found.where((F.col("gap") > 0) & (F.col("gap") <= meter.max_gap_s) & F.col("step").between(0, meter.max_step)).select(*by, "sec", "step")
 
 

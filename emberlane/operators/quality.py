@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import nearest
+from .chunks import with_previous
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -22,8 +23,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
 
 
 def cadence(readings: DataFrame, by: list[str]) -> DataFrame:
-    gap = F.col("sec") - F.lag("sec").over(Window.partitionBy(*by).orderBy("sec"))
-    gaps = readings.withColumn("gap", gap).where("gap > 0")
+    gaps = with_previous(readings.select(*by, "sec"), by, "sec").withColumn("gap", F.col("sec") - F.col("__prev.sec")).where("gap > 0")
     return gaps.groupBy(*by).agg(F.median("gap").alias("cadence_s"))
 
 
@@ -31,8 +31,8 @@ def audit(readings: DataFrame, by: list[str], max_step: float) -> DataFrame:
     """(by, rows, start, end, cadence_s, gaps, negative, over, mixed): gaps over
     1.5 cadences, falling and too large steps, and whether large rises and falls
     match, as they do where two meters' baselines take turns."""
-    order = Window.partitionBy(*by).orderBy("sec")
-    marked = readings.withColumns({"gap": F.col("sec") - F.lag("sec").over(order), "step": F.col("value") - F.lag("value").over(order)})
+    marked = with_previous(readings, by)
+    marked = marked.withColumns({"gap": F.col("sec") - F.col("__prev.sec"), "step": F.col("value") - F.col("__prev.value")})
     marked = marked.join(cadence(readings, by), by, "left")
     up, down = F.when(F.col("step") > max_step, F.col("step")), F.when(F.col("step") < 0, -F.col("step"))
     out = marked.groupBy(*by).agg(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import air, cooling, daily, meters
+from ..operators import air, cooling, daily, meters, ranks
 from ..sources import homes as forms
 from ..sources import statistics
 from ..sources.scratch import kept, shared_folder, written
@@ -312,3 +312,15 @@ FROM every LEFT JOIN cf ON cf.home = every.home LEFT JOIN rm ON rm.home = every.
 @query(HOME_REPORT)
 def report_homes(spark, sf_dir):
     return flat(home_report(spark, sf_dir))
+
+
+@query(
+    """WITH v AS (SELECT l_returnflag AS home, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
+SELECT home, max(n) AS n, max(v) FILTER (k = floor(0.02 * (n - 1))) AS p02, max(v) FILTER (k = n // 4) AS q1, max(v) FILTER (k = 3 * n // 4) AS q3,
+  round(quantile_cont(v, 0.25), 8) AS line_q1, round(quantile_cont(v, 0.9), 8) AS line_p90 FROM v GROUP BY 1"""
+)
+def rank_select(spark, sf_dir):
+    prices = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("home"), "l_extendedprice")
+    exact = ranks.at_ranks(prices, HOME, "l_extendedprice", {"p02": ranks.floor_rank(0.02), "q1": ranks.part_rank(1, 4), "q3": ranks.part_rank(3, 4)})
+    lines = ranks.interpolated(prices, HOME, "l_extendedprice", {"line_q1": 0.25, "line_p90": 0.9})
+    return exact.join(lines.drop("n"), "home").withColumns({"line_q1": F.round("line_q1", 8), "line_p90": F.round("line_p90", 8)})
