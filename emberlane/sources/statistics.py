@@ -68,13 +68,14 @@ def scan(spark: SparkSession, path: str, wanted: Mapping[str, str] | DataFrame,
 
     ``wanted`` tells each series' quantity: a mapping, such as a home's
     configuration, whose ids and buckets become literals of the scan; or a table
-    (series_id, quantity) of any size, which is met by bucket and series, so that
-    buckets are pruned while the query runs.
+    (series_id, quantity) of any size, whose buckets (``buckets`` numbers at most)
+    are asked for first, and which is then met by bucket and series.
     """
     rows = spark.read.parquet(path)
     rows = rows.where(F.col("month").isin(_months(since, until)) & (F.col("sec") >= since) & (F.col("sec") < until))
     if isinstance(wanted, DataFrame):
         told = wanted.select("series_id", "quantity").distinct().withColumn("bucket", bucket_of(F.col("series_id"), buckets))
+        rows = rows.where(F.col("bucket").isin([r.bucket for r in told.select("bucket").distinct().collect()]))
     else:
         ids = sorted(wanted)
         rows = rows.where(F.col("bucket").isin(*(bucket_of(F.lit(i), buckets) for i in ids)) & F.col("series_id").isin(ids))

@@ -50,8 +50,9 @@ def read_sidecar(spark: SparkSession, path: str) -> dict:
 
 def read_chunks(spark: SparkSession, paths: list[str], key: list[str]) -> DataFrame:
     """Parquet slices of a fetch as one table. Slices overlap at their ends: of
-    rows with one key that of the latest slice stays."""
-    parts = [spark.read.parquet(path).withColumn("__slice", F.lit(k)) for k, path in enumerate(paths)]
+    rows with one key that of the earliest slice stays (see also
+    ``snapshots.land_slices``, which reads each slice once)."""
+    parts = [spark.read.parquet(path).withColumn("__slice", F.lit(-k)) for k, path in enumerate(paths)]
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part, allowMissingColumns=True)
