@@ -72,6 +72,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(names: Iterable[str]) -> list[str]:
+    """Column names for ``select``, whatever characters they hold."""
+    return [f"`{name.replace('`', '``')}`" for name in names]
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """The rows, stored, with a number of their own in column ``name``."""
     return stored(df.withColumn(name, F.monotonically_increasing_id()))

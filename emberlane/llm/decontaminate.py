@@ -24,9 +24,10 @@ Where the benchmark has at most ``BROADCAST_WINDOWS`` windows, their hashes are
 broadcast as a bitmap that spares the join documents' other windows, and its
 side of the join is broadcast as well; beyond that all windows are shuffled.
 
-Items of fewer than ``window`` words have one window of all their words; with
-fewer than ``shortest`` they say too little and match nothing. Null and empty
-texts match nothing. Rows that share an id share their verdict.
+Items of fewer than ``window`` words have one window of all their words. With
+fewer than ``shortest`` they say too little as templates and are matched as they
+are, word for word: anywhere in a text, or, up to ``WHOLE`` words, where a text is
+nothing else. Null and empty texts match nothing. Rows that share an id share their verdict.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ LITERALS = 0.5  # least share of words in a window that aren't placeholders, or
 VERBATIM = 13  # words of a literal copy that count whatever stands around it
 AGREEING = 3  # lengths of a window over which slots agree that count likewise
 KNOWN_WORDS = 250_000
+WHOLE = 2  # items of so many words count only where they are the whole text
 #: Units of measure and currency.
 UNITS = frozenset(
     "% $ € £ ¥ mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years"
@@ -177,6 +179,10 @@ class Words:
             found.append((np.flatnonzero(both & two), NAMES))
             heavy |= both & ~two
         found.append((np.flatnonzero(heavy), LITERAL))
+        return self._hashed(found, size)
+
+    def _hashed(self, found: list[tuple[np.ndarray, int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(self.raw) - size + 1
         places, forms, hashed = [], [], []
         for at, form in found:
             hashes = (self.first, self.second, self.literal)[form]
@@ -188,6 +194,13 @@ class Words:
             places.append(at), forms.append(np.full(len(at), form)), hashed.append(total)
         return np.concatenate(places), np.concatenate(forms), np.concatenate(hashed)
 
+    def short_windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Like ``windows`` for items that are too short for templates: all windows
+        as they are, or only that of the whole text up to ``WHOLE`` words."""
+        n = len(self.raw) - size + 1
+        at = np.arange(n if size > WHOLE else n == 1) if n > 0 else np.empty(0, np.int64)
+        return self._hashed([(at, LITERAL)], size)
+
     def template(self, first: int, size: int, form: int) -> tuple[list[str], list[str]]:
         """Canonical words of a window, and the values of its placeholders, after
         "=" where a value may as well be a word. Literal windows have none."""
@@ -244,10 +257,11 @@ def benchmark_windows(benchmark: DataFrame, window: int, shortest: int, id_colum
         def one(text):
             found = canoniser.words(text)
             size = min(window, len(found.raw))
-            if size < shortest:
-                return []
             out = []
-            for k, form, hashed in zip(*(x.tolist() for x in _signed(found.windows(size)))):
+            if not size:
+                return out
+            made = found.short_windows(size) if size < shortest else found.windows(size)
+            for k, form, hashed in zip(*(x.tolist() for x in _signed(made))):
                 words, slots = found.template(k, size, form)
                 out.append({"item_at": k, "size": size, "literal": form == LITERAL, "hash": hashed, "template": " ".join(words), "item_slots": slots})
             return out
@@ -281,7 +295,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, shortest:
             held = canoniser.words(text)
             out = []
             for size in sizes:
-                found = held.windows(size)
+                found = held.short_windows(size) if size < shortest else held.windows(size)
                 if small:
                     able = marks[found[2] >> np.uint64(64 - _BITMAP)]
                     found = tuple(x[able] for x in found)

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import quoted, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating; their share of all sizes; the most that is taken of a size.
@@ -124,6 +124,5 @@ def allotted(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
 
 def emitted(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 11) -> DataFrame:
     """The mix itself: the documents' rows with all their columns, as often as they are taken."""
-    quoted = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
-    rows = _allotted(docs, F.struct(*quoted), weights, share, cap, seed).where("__mix_copies > 0")
+    rows = _allotted(docs, F.struct(*quoted(docs.columns)), weights, share, cap, seed).where("__mix_copies > 0")
     return rows.select("__mix_row", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select("__mix_row.*")

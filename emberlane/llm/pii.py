@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import quoted, stored
 
 #: Kinds in order, with the contract's patterns in linear form; fixed values.
 BASE = {
@@ -219,7 +219,7 @@ def redacted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     found = scan(docs, [id_column], text_column).where(F.size("added") > 0)
     values = found.select(F.col(id_column).alias("__of"), F.explode("added").alias("s")).groupBy("__of")
     values = stored(values.agg(F.sort_array(F.collect_set(F.struct("s.value", "s.kind"))).alias("__added")))
-    rows = docs.select(F.struct(*columns).alias("__keep"), F.col(id_column).alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
+    rows = docs.select(F.struct(*quoted(columns)).alias("__keep"), F.col(id_column).alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
     rows = _mentions(base_spans(rows, "__text")).join(values, F.col("__id").eqNullSafe(F.col("__of")), "left")
     told = F.map_from_entries(F.coalesce("__added", F.array().cast("array<struct<value:string,kind:string>>")))
     # a value that isn't one of the id's has no kind

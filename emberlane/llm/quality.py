@@ -35,7 +35,7 @@ from math import exp, factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import quoted, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -265,7 +265,7 @@ def judge(docs: DataFrame, keep: list[str], text_column: str = "text", share: fl
     kept; columns of ``keep`` that have one of these names go."""
     floors = floors or list(STATISTICS.values())
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = measured(docs, F.struct(*keep), text_column)
+    rows = measured(docs, F.struct(*quoted(keep)), text_column)
     mine = [c for c in keep if c not in (*counts, "base_failed", "kept", "d2")]
     judged = verdicts(rows, share, cutoff, prior, floors)
     return judged.select(*(F.col("__keep").getField(c).alias(c) for c in mine), *counts, "base_failed", "kept", "d2")

@@ -380,7 +380,8 @@ def test_templates_catch_other_numbers(spark):
     texts = ["well. " + other + " indeed", other.replace("from Derby", "from Paris"), item.upper(), None, "", prose(3, 50), "he asked: Who was the first king of Spain?", "one two"]
     docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]).withColumn("item_id", F.lit(5))
     rows = {r.doc_id: r for r in decontaminate.find_leaks(docs, bench).collect()}
-    assert {i for i, r in rows.items() if r.contaminated} == {0, 2, 6} and rows[0].item_ids == "1" and rows[6].item_ids == "4"
+    assert {i for i, r in rows.items() if r.contaminated} == {0, 2, 6, 7} and rows[0].item_ids == "1" and rows[6].item_ids == "4"
+    assert rows[7].item_ids == "2"  # the whole text is an item
     assert rows[1].n_windows == 0  # one name of the item would stand for two
     assert decontaminate.find_leaks(docs, bench.limit(0)).where("contaminated").count() == 0
 
@@ -435,7 +436,10 @@ def plain_leaks(docs, items, window=8, shortest=5):
         for i, item in items.items():
             raw_i, can_i = plain_template(item)
             size = min(window, len(raw_i))
-            if size < shortest:
+            if size < shortest:  # as they are; the shortest only as whole texts
+                places = [b for b in range(len(raw_d) - size + 1) if raw_d[b : b + size] == raw_i] if size > 2 else [0] * (raw_d == raw_i)
+                if size and places:
+                    found.setdefault(d, {})[i] = len(places)
                 continue
             lines = {}
             for a in range(len(raw_i) - size + 1):
@@ -519,6 +523,29 @@ def test_leaks_of_other_parameters_are_found(spark):
     assert not any(rows[1000 + k].contaminated for k in range(60))
 
 
+def test_short_items_count_as_they_are(spark):
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "Compute 17 * 23 exactly"), (3, "Paris"), (4, "very well"), (5, "..."), (6, None)], "item_id long, text string")
+    texts = ["Who wrote Hamlet?", "we ask: who wrote Hamlet, and when", "who wrote hamlets", "Compute 17 * 23 exactly", "Compute 18 * 23 exactly", "Paris", "paris.", "I love Paris", "Very well!", "that is very well", "", None, "..."]
+    rows = decontaminate.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()
+    assert {r.doc_id: r.item_ids for r in rows if r.contaminated} == {0: "1", 1: "1", 3: "2", 5: "3", 6: "3", 8: "4"}
+
+
+def test_both_sides_of_the_join_agree_on_short_and_long_items(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "a long item of fourteen words that stands in a text from end to end")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so who wrote Hamlet then"), (2, "x a long item of fourteen words that stands in a text from end to end y"), (3, "neither of them")], "doc_id long, text string")
+    want = sorted(map(tuple, decontaminate.find_leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert sorted(map(tuple, decontaminate.find_leaks(docs, items).collect())) == want and [r[5] for r in want] == [True, True, False]
+
+
+def test_pages_with_maps_and_dotted_names(spark):
+    pages = spark.createDataFrame([(1, "http://bad.org/x"), (2, None), (3, None)], "page_id long, url string").selectExpr("*", "map('a', 1) as m", "2 as `a.b`")
+    rows = urls.judge(pages, spark.createDataFrame([("bad.org/x",)], "canonical string"), []).collect()
+    assert sorted((r.page_id, r.verdict, r["a.b"]) for r in rows) == [(1, "block", 2), (2, "allow", 2), (3, "allow", 2)]
+    docs = spark.createDataFrame([(k, prose(k, 80)) for k in range(60)], "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "7 as `a.b`")
+    assert {r["a.b"] for r in quality.judge(docs, ["doc_id", "a.b"]).collect()} == {7}
+
+
 def test_urls(spark):
     texts = ["http://WWW.Example.com/en/1", "https://m.example.com/en/2?x=1", "http://a.net/es/q#t", "http://net/fr", "http://bad.org/x/?utm_source=a", "http://www.bad.org/x.html#top", "http://good.org/x", None, "nothing", "http://", "http://com"]
     pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, url string")

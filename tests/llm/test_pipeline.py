@@ -66,8 +66,8 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     rows = [(i, prose(90)) for i in range(40)]
     twice = prose(90)
     rows += [(100, twice), (100, twice), (None, twice), (None, prose(90)), (None, f"{prose(60)} {ITEM} {prose(30)}"), (101, rows[0][1])]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, d2 string, n_words string, component_id long, contaminated string, spans string"
-    table = [(i, t, "en", "s0", len(t), "own", "own", "own", 7, "own", "own") for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, d2 string, n_words string, component_id long, contaminated string, spans string, `a.b` string"
+    table = [(i, t, "en", "s0", len(t), "own", "own", "own", 7, "own", "own", "own") for i, t in rows]
     spark.createDataFrame(table, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -75,7 +75,7 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         path = str(tmp_path / name.replace(" ", "-"))
         stage(spark, docs, str(tmp_path)).write.parquet(path)
         docs = spark.read.parquet(path)
-        assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+        assert docs.columns == [f.split()[0].strip("`") for f in schema.split(", ")]
     found = sorted(((r.doc_id is None, r.doc_id or 0) for r in docs.collect()))
     assert found == sorted([(False, i) for i in range(40)] + [(False, 100), (True, 0)])
     assert {tuple(r) for r in docs.select("kept", "d2", "n_words", "component_id").distinct().collect()} == {("own", "own", "own", 7)}
