@@ -12,7 +12,7 @@ that documents have besides pass through, whatever their names.
 
 A stage's result reads scratch tables, which are deleted when the next stage
 begins in the same thread: it has to be written by then. ``run`` does so, and
-deletes those of its last stage as well.
+deletes those of its last stage and what stages hand on as well.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlane.llm import bpe, decontaminate, minhash, pii, quality
-from emberlane.llm.common import dropped, numbered, read, recorded, scratch
+from emberlane.llm.common import dropped, numbered, quoted, read, recorded, scratch
 
 _last: ContextVar[tuple[str, ...]] = ContextVar("pipeline_scratch", default=())
 ROW = "__pipeline_row"
@@ -43,7 +43,7 @@ def _stage(work):
 
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.verdicts(quality.measured(docs, F.struct(*docs.columns)))
+    judged = quality.verdicts(quality.measured(docs, F.struct(*quoted(docs.columns))))
     return judged.where("kept").select("__keep.*")
 
 
@@ -54,21 +54,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the least id of a group stays; rows without an id come last
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
     kept = rows.select("doc_id", ROW).join(groups, ROW).groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(kept.select(F.col("first").getField(ROW).alias(ROW)), ROW, "left_semi").select(docs.columns)
+    return rows.join(kept.select(F.col("first").getField(ROW).alias(ROW)), ROW, "left_semi").select(*quoted(docs.columns))
 
 
 @_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs, ROW)
     leaks = decontaminate.find_leaks(rows, read(spark, sf_dir, "benchmark"), id_column=ROW)
-    return rows.join(leaks.where("contaminated").select(ROW), ROW, "left_anti").select(docs.columns)
+    return rows.join(leaks.where("contaminated").select(ROW), ROW, "left_anti").select(*quoted(docs.columns))
 
 
 @_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = pii.redacted(numbered(docs, ROW), id_column=ROW)
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return clean.withColumn("n_chars", n_chars).select(docs.columns)
+    return clean.withColumn("n_chars", n_chars).select(*quoted(docs.columns))
 
 
 @_stage
@@ -89,11 +89,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
         path = scratch(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        dropped(spark, before)  # what the stage read, but for the documents themselves
+        docs, before = spark.read.parquet(path), [path]
     dropped(spark, _last.get())
     _last.set(())
     return docs
