@@ -105,13 +105,15 @@ def long_nights(readings: DataFrame, outdoor: DataFrame, by: list[str], tz: Zone
     """(by, d, points, n_points, rejection_reason) of nights across midnight,
     named for the evening they begin on, for ``fit_tau``.
 
+    ``outdoor`` has those columns of ``by`` that it is told by, such as the home.
     Readings without an outdoor one at their stamp go. Nights that the readings
     don't span whole are left out.
     """
     named = lambda df, n: df.select(*by, "sec", F.col("value").alias(n))
     rows = named(readings, "temp")
     rows = rows.join(named(heat, "heat"), [*by, "sec"], "left") if heat is not None else rows.withColumn("heat", F.lit(None).cast("double"))
-    rows = rows.join(named(outdoor, "out"), [*by, "sec"], "left")
+    shared = [c for c in by if c in outdoor.columns]
+    rows = rows.join(outdoor.select(*shared, "sec", F.col("value").alias("out")), [*shared, "sec"], "left")
     local = local_time(F.col("sec"), tz)
     hour = F.hour(local) + F.minute(local) / 60 + F.second(local) / 3600
     day = F.when(hour >= start_h, local.cast("date")).when(hour <= end_h, F.date_sub(local.cast("date"), 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..thresholds import HeatLoss, HotWater
+from ..thresholds import HeatLoss, HotWater, Meter
 from . import heatloss, hotwater, meters
 from .alignment import interpolated
 from .daily import hourly_over_all
@@ -21,9 +21,9 @@ def zone_heat_kwh(zones: DataFrame, output_kw: float, by: list[str], tz: Zone) -
     return days.agg((F.avg(F.col("pct") / 100 * output_kw) * 24).alias("q"))
 
 
-def meter_heat_kwh(readings: DataFrame, by: list[str], tz: Zone) -> DataFrame:
+def meter_heat_kwh(readings: DataFrame, by: list[str], tz: Zone, meter: Meter = Meter()) -> DataFrame:
     """(by, d, q) of complete days of a cumulative meter."""
-    days = meters.daily(meters.steps(readings, by), by, tz)
+    days = meters.daily(meters.steps(readings, by, meter), by, tz, meter)
     return days.where("complete").select(*by, "d", F.col("total").alias("q"))
 
 

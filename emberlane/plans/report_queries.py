@@ -16,7 +16,7 @@ from . import report
 from .adapter import C, DAY, H, HOURS, HOUSE, LOCAL, OFF, OUTDOOR, ROOMS, WATER, hourly, house_days, house_hours, means, series_of
 from .adapter import meters as meter_rows
 from .adapter import table
-from .queries import FIT_CTES, FIT_REASON, HOME, MAINS, ORACLES, _off_days, query, r
+from .queries import FIT_CTES, FIT_REASON, HOME, MAINS, METER, ORACLES, _off_days, query, r
 
 GAS_RATE, POWER_RATE, EFFICIENCY, AREA, CEILING = 0.07, 0.27, 0.88, 100.0, 2.4
 WINDOWS = [60, 120, 365]
@@ -611,8 +611,31 @@ def offline_nights(spark, sf_dir):
     grid = alignment.on_grid(rows.where(F.col("series_id").isin([*ROOMS, OUTDOOR])), S, 300, 24)
     rooms = grid.where(F.col("series_id").isin(ROOMS)).select(F.col("series_id").alias("room"), "sec", "value")
     out = grid.where(F.col("series_id") == OUTDOOR).select("sec", "value")
-    outdoor = rooms.select("room").distinct().crossJoin(out)  # two rooms
-    return cooling.fit_tau(cooling.long_nights(rooms, outdoor, ["room"], "UTC"), Cooling())
+    return cooling.fit_tau(cooling.long_nights(rooms, out, ["room"], "UTC"), Cooling())
+
+
+@query(
+    f"""WITH {C}, g AS (SELECT series_id, sec, sec - lag(sec) OVER w AS gap, value - lag(value) OVER w AS step FROM c WINDOW w AS (PARTITION BY series_id ORDER BY sec))
+SELECT series_id, {DAY.format('sec')} AS d, round(sum(step), 8) AS q FROM g WHERE gap <= 5400 AND step BETWEEN 0 AND 400 GROUP BY 1, 2 HAVING count(*) >= 23 * 0.9"""
+)
+def offline_meter_heat(spark, sf_dir):
+    """Heat of complete days by the meters, as the offline fits take it."""
+    return offline.meter_heat_kwh(meter_rows(spark, sf_dir), S, "UTC", METER).select("series_id", "d", r("q"))
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS series_id, o_orderkey, epoch(o_orderdate)::BIGINT AS day, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS mean FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY series_id, day ORDER BY o_orderkey DESC) AS k FROM o WHERE mean IS NOT NULL)
+SELECT series_id, day AS sec, round(mean, 8) AS value FROM k WHERE k = 1"""
+)
+def stat_series(spark, sf_dir):
+    """Statistics rows as series: stamps in seconds or milliseconds, null means go, the last row of a stamp stays."""
+    second = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("o_orderdate")).cast("double")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("series_id"), F.when((F.col("o_orderkey") % 2 == 1) & (second > 1e9), second * 1000).otherwise(second).alias("start"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("mean"), F.col("o_orderkey").alias("seq"),
+    )
+    return meters.series(rows, "mean", S).select("series_id", "sec", r("value"))
 
 
 @query(f"WITH {H} SELECT series_id, max(sec) AS sec, round(max_by(mean, sec), 8) AS value FROM h GROUP BY 1")
