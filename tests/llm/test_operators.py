@@ -809,6 +809,13 @@ def test_license_scan(spark):
     assert licenses.scan(docs.limit(0), queries.LICENSE_PHRASES, queries.LICENSE_TEMPLATES).count() == 0
 
 
+def test_both_sides_of_the_license_join_agree(spark, corpus, monkeypatch):
+    docs = frame(spark, [(k, f"{prose(k, 40)} {text} {prose(k + 50, 30)}", "en", "s", 0) for k, (_, text) in enumerate(queries.LICENSE_TEMPLATES)] + [(99, prose(9, 60), "en", "s", 0), (100, None, "en", "s", 0)])
+    want = sorted(map(tuple, licenses.scan(docs, queries.LICENSE_PHRASES, queries.LICENSE_TEMPLATES).collect()))
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, licenses.scan(docs, queries.LICENSE_PHRASES, queries.LICENSE_TEMPLATES).collect())) == want and len(want) == len(queries.LICENSE_TEMPLATES) + 2
+
+
 def test_license_templates_of_any_length(spark):
     draw = random.Random(3)
     notices = {n: " ".join(f"{draw.choice(LOREM)}{draw.randrange(60)}" for _ in range(n)) for n in (20, 60, 200)}
