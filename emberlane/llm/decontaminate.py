@@ -33,6 +33,7 @@ nothing else. Null and empty texts match nothing. Rows that share an id share th
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -115,8 +116,9 @@ class Canoniser:
         if len(self.index) > KNOWN_WORDS:
             self.clear()
         index = self.index
-        new = set(raw).difference(index)
-        if new:
+        known = list(map(index.get, raw))
+        if None in known:
+            new = dict.fromkeys(w for w, at in zip(raw, known) if at is None)
             first, rows = len(index), []
             for k, w in enumerate(new, first):
                 index[w] = k
@@ -132,7 +134,8 @@ class Canoniser:
             while first + len(rows) > len(self.table):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
             self.table[first : first + len(rows)] = np.array(rows, np.uint64)
-        at = self.table[np.fromiter(map(index.__getitem__, raw), np.int64, len(raw))]
+            known = list(map(index.get, raw))
+        at = self.table[np.array(known, np.int64)]
         if at[:, 3].any():  # nothing but punctuation
             held = np.flatnonzero(at[:, 3] == 0)
             raw, at, lines = [raw[k] for k in held.tolist()], at[held], np.searchsorted(held, lines)
@@ -151,6 +154,12 @@ class Canoniser:
         return Words(raw, first, second, at[:, 4], begins, unclear, counted)
 
 
+@cache
+def process_canoniser() -> Canoniser:
+    """One for each Python worker: what it knows of words serves all tasks that the worker runs."""
+    return Canoniser()
+
+
 class Words:
     """Raw words, their hashes with unclear words in either form and as they are,
     which begin a sentence or may do so, and which follow a number."""
@@ -252,7 +261,7 @@ def benchmark_windows(benchmark: DataFrame, window: int, shortest: int, id_colum
     """(item_id, item_at, size, literal, hash, template, item_slots)."""
 
     def each():
-        canoniser = Canoniser()
+        canoniser = process_canoniser()
 
         def one(text):
             found = canoniser.words(text)
@@ -288,7 +297,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, shortest:
         bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
     def each():
-        canoniser = Canoniser()
+        canoniser = process_canoniser()
         marks = np.unpackbits(bitmap.value).astype(bool) if small else None
 
         def one(text):
