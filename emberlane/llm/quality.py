@@ -9,13 +9,18 @@ falls, and the start with the least determinant counts. Documents whose
 squared Mahalanobis distance from their group's estimate is over ``cutoff`` are
 rejected.
 
-A step adds up counts and moments by (group, start, bin of the distance), which
+Vectors are added up once into cells of a group: boxes whose sides are
+``1 / CELLS_A_FLOOR`` of the statistics' floors, with count, sums and sums of
+products, so that moments stay exact. Steps work on cells, each as far away as its
+mean. Languages and all texts get their cells from those of the sources. A step
+adds up counts and moments by (group, start, bin of the distance), which
 Spark combines before its shuffle, so that a source with a third of all
-documents weighs no more than another; rows meet their group's estimate by a salt as well. The nearest ``share`` of a group are
+documents weighs no more than another; cells and rows meet their group's estimate
+by a salt as well. The nearest ``share`` of a group are
 whole bins; the bins are ``BINS_PER_E`` to a factor of e, so the share is met
 from above to within one bin, and a group has at most some thousand bins. The
 starts are the median and interquartile range of each statistic, the moments of
-all rows, and those of the rows within one such range of the medians in every
+all rows, and those of the cells within one such range of the medians in every
 statistic. Variances have a floor, so constant statistics don't make the
 covariance singular and single exceptions to them aren't infinitely far.
 
@@ -45,6 +50,7 @@ START_BINS = 200
 STATISTICS = {"word_length": 0.1, "symbols": 0.04, "dup_lines": 0.15, "repeats": 0.15}
 P = len(STATISTICS)
 STARTS = 3
+CELLS_A_FLOOR = 16
 MOST_STEPS = 30
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 KEYS = ["group", "start"]
@@ -127,13 +133,27 @@ def _nearest(binned: DataFrame, share: float) -> DataFrame:
     )
 
 
+SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
+
+
 def _sums() -> list[Column]:
-    """Aggregates n, s0.. and q00..: count, sums and sums of products."""
-    return [
+    """Aggregates of cells: their counts, sums and sums of products."""
+    return [F.sum(name).alias(name) for name in SUMS]
+
+
+def cells(rows: DataFrame, keys: list[str], floors: list[float]) -> DataFrame:
+    """(keys, k0.., n, s0.., q00..) of rows (keys, x0..): the boxes that hold rows."""
+    box = [F.floor(F.col(f"x{i}") * (CELLS_A_FLOOR / floors[i])).alias(f"k{i}") for i in range(P)]
+    return rows.groupBy(*keys, *box).agg(
         F.count(F.lit(1)).alias("n"),
         *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)),
         *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS),
-    ]
+    )
+
+
+def _centred(boxes: DataFrame) -> DataFrame:
+    """Cells (group, k0.., sums), stored, with their means x0.. in place of their boxes."""
+    return stored(boxes.select("group", *SUMS, *((F.col(f"s{i}") / F.col("n")).alias(f"x{i}") for i in range(P))))
 
 
 def _moments(sums: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
@@ -144,9 +164,9 @@ def _moments(sums: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame
 
 
 def _medians(rows: DataFrame) -> DataFrame:
-    """Median and robust variance of each statistic: (group, m0.., c00..)."""
+    """Median over cells and robust variance of each statistic: (group, m0.., c00..)."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(F.col(f"x{k}") * START_BINS).alias("bin")) for k in range(P))))
-    bins = rows.select("group", each.alias("b")).groupBy("group", "b.k", "b.bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = rows.select("group", "n", each.alias("b")).groupBy("group", "b.k", "b.bin").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("group", "k").orderBy("bin")) / F.sum("n").over(Window.partitionBy("group", "k"))
     middle = (F.col("bin") + 0.5) / START_BINS
     quantile = lambda q: F.min(F.when(F.col("upto") >= q, middle))
@@ -165,7 +185,7 @@ def _starts(rows: DataFrame, floors: list[float]) -> DataFrame:
     inside = F.lit(True)
     for i in range(P):
         inside = inside & (F.abs(F.col(f"x{i}") - F.col(f"m{i}")) <= F.sqrt(F.col(f"c{i}{i}")) * 1.349 + floors[i])
-    core = _moments(_met(rows, medians).where(inside).groupBy("group").agg(*_sums()), ["group"])
+    core = _moments(_met(rows, medians, "inner").where(inside).groupBy("group").agg(*_sums()), ["group"])
     columns = ["group", *(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in PAIRS)]
     named = [df.select(F.lit(k).alias("start"), *columns) for k, df in enumerate((medians, everything, core))]
     return named[0].unionByName(named[1]).unionByName(named[2])
@@ -182,17 +202,18 @@ def _cholesky(estimate: DataFrame, floors: list[float]) -> DataFrame:
     return estimate.withColumn("logdet", sum(2 * F.log(f"l{i}{i}") for i in range(P)))
 
 
-def _met(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Rows with their group's estimates, in SALTS shares; null where there are none."""
+def _met(rows: DataFrame, estimates: DataFrame, how: str) -> DataFrame:
+    """Rows with their group's estimates, in SALTS shares; ``how`` they are joined."""
     shares = estimates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return salted.join(shares, ["group", "__salt"], "left").drop("__salt")
+    return salted.join(shares, ["group", "__salt"], how).drop("__salt")
 
 
-def _distance(rows: DataFrame, triangles: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance; null where a group has no
-    estimate. A group with several starts gives a row for each."""
-    joined = _met(rows, triangles.drop("logdet", *(f"c{i}{j}" for i, j in PAIRS)))
+def _distance(rows: DataFrame, triangles: DataFrame, how: str) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance; where a group has no estimate it
+    is null or, with ``how`` inner, its rows go. A group with several starts gives
+    a row for each."""
+    joined = _met(rows, triangles.drop(*(f"c{i}{j}" for i, j in PAIRS)), how)
     for i in range(P):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
         for j in range(i):
@@ -203,24 +224,31 @@ def _distance(rows: DataFrame, triangles: DataFrame) -> DataFrame:
 
 
 def _concentrate(rows: DataFrame, triangles: DataFrame, share: float) -> DataFrame:
-    """One step: mean and covariance of the nearest ``share`` of each group, for each start."""
-    near = _distance(rows, triangles).where("d2 is not null").withColumn("bin", F.floor(F.log1p("d2") * BINS_PER_E))
-    total = _nearest(near.groupBy(*KEYS, "bin").agg(*_sums()), share).groupBy(*KEYS)
-    names = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
-    return _moments(total.agg(*(F.sum(n).alias(n) for n in names)), KEYS, _consistency(share))
+    """One step: mean and covariance of the nearest ``share`` of each group, for
+    each start, with the determinant ``before`` it."""
+    near = _distance(rows, triangles, "inner").withColumn("bin", F.floor(F.log1p("d2") * BINS_PER_E))
+    total = _nearest(near.groupBy(*KEYS, "bin").agg(*_sums(), F.max("logdet").alias("before")), share).groupBy(*KEYS)
+    return _moments(total.agg(*_sums(), F.max("before").alias("before")), [*KEYS, "before"], _consistency(share))
 
 
 def least_determinants(rows: DataFrame, share: float, floors: list[float]) -> DataFrame:
-    """(group, m0.., c00.., l00.., logdet) of rows (group, x0..): the start whose
+    """(group, m0.., c00.., l00.., logdet) of rows (group, x0..), see ``_least``."""
+    return _least(_centred(cells(rows, ["group"], floors)), share, floors)
+
+
+def _least(rows: DataFrame, share: float, floors: list[float]) -> DataFrame:
+    """(group, m0.., c00.., l00.., logdet) of cells (group, sums, x0..): the start whose
     concentration steps end at the least determinant. A start's steps end when
-    its determinant falls no more, after MOST_STEPS at most; as the nearest rows
-    are whole bins, a step may also raise it, and then isn't taken."""
+    its determinant falls no more, after MOST_STEPS at most; as the nearest cells
+    are whole bins, a step may also raise it, and then isn't taken.
+
+    A step's determinants are stored before they are compared: a filter on them
+    would be pushed below the triangle and repeat all of its expressions."""
     starts = stored(_cholesky(_starts(rows, floors), floors))
-    every = moving = stored(_cholesky(_concentrate(rows, starts, share), floors))
+    every = moving = stored(_cholesky(_concentrate(rows, starts, share), floors)).drop("before")
     for _ in range(MOST_STEPS):
-        ahead = _cholesky(_concentrate(rows, moving, share), floors)
-        before = moving.select(*KEYS, F.col("logdet").alias("__before"))
-        fallen = stored(ahead.join(before, KEYS).where(F.col("logdet") < F.col("__before") - 1e-6).drop("__before"))
+        ahead = stored(_cholesky(_concentrate(rows, moving, share), floors))
+        fallen = ahead.where(F.col("logdet") < F.col("before") - 1e-6).drop("before")
         if fallen.isEmpty():
             break
         every, moving = every.unionByName(fallen), fallen
@@ -250,11 +278,12 @@ def group_estimates(rows: DataFrame, share: float, floors: list[float], prior: f
     """(lang, source, m0.., l00.., logdet) of rows (lang, source, x0..)."""
     levels = [("lang", "source"), ("lang",), ()]
     name = lambda level: F.to_json(F.struct(F.lit(len(level)).alias("n"), *level))
-    grouped = rows.withColumn("group", F.explode(F.array(*(name(level) for level in levels)))).select("group", *(f"x{i}" for i in range(P)))
-    found = stored(least_determinants(stored(grouped), share, floors))
+    boxes = stored(cells(rows, ["lang", "source"], floors))
+    grouped = boxes.withColumn("group", F.explode(F.array(*(name(level) for level in levels)))).groupBy("group", *(f"k{i}" for i in range(P))).agg(*_sums())
+    found = stored(_least(_centred(grouped), share, floors))
     drawn = None
     for level in reversed(levels):
-        sizes = rows.groupBy(*level).agg(F.count(F.lit(1)).alias("n"))
+        sizes = boxes.groupBy(*level).agg(F.sum("n").alias("n"))
         own = sizes.withColumn("group", name(level)).join(found, "group").select(*level, "n", *(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in PAIRS))
         drawn = own if drawn is None else _drawn(own, drawn, list(level), prior)
     return _cholesky(drawn.drop("n"), floors)
@@ -285,5 +314,5 @@ def verdicts(rows: DataFrame, share: float = 0.75, cutoff: float = 30.0, prior:
     floors = floors or list(STATISTICS.values())
     sound = rows.where(~F.col("base_failed")).select("lang", "source", *(f"x{i}" for i in range(P)))
     estimates = stored(group_estimates(sound, share, floors, prior).withColumn("group", F.struct("lang", "source")).drop("lang", "source"))
-    judged = _distance(rows.withColumn("group", F.struct("lang", "source")), estimates).drop("group")
+    judged = _distance(rows.withColumn("group", F.struct("lang", "source")), estimates, "left").drop("group", "logdet")
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
