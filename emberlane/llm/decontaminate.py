@@ -46,6 +46,7 @@ LITERALS = 0.5  # least share of words in a window that aren't placeholders, or
 VERBATIM = 13  # words of a literal copy that count whatever stands around it
 AGREEING = 3  # lengths of a window over which slots agree that count likewise
 KNOWN_WORDS = 250_000
+TOGETHER = 1 << 17  # characters of texts that are looked up at once
 WHOLE = 2  # items of so many words count only where they are the whole text
 #: Units of measure and currency.
 UNITS = frozenset(
@@ -62,7 +63,9 @@ _NUMBER = re.compile(r"[-+$€£¥]?\d[\d.,:/]*(?:%|st|nd|rd|th|e[-+]?\d+)?$")
 _ATTACHED = re.compile(r"[-+]?\d[\d.,]*([^\d.,].*)$")
 _OUTER = re.compile(r"^[^\w$€£¥%°+-]+|[^\w%°$€£¥]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_UNIT = np.uint64(xxhash.xxh3_64_intdigest("<unit>") >> 1 << 1 | 1)
+_NUM, _NAME, _UNIT = (xxhash.xxh3_64_intdigest(kind) | 1 for kind in ("<num>", "<name>", "<unit>"))
+#: Flags of known words: ends a sentence, nothing but punctuation, may open a sentence, a number, a unit behind a number.
+ENDS, EMPTY, OPENS, NUMBER, UNIT = 1, 2, 4, 8, 16
 _BITMAP = 22
 _CLOSING = "\"')]}»”’*_"
 _SIGNS = "$€£¥%°+-"
@@ -97,6 +100,25 @@ def literal_word(raw: str) -> str:
     return (raw if raw.isalpha() else _OUTER.sub("", raw)).lower()
 
 
+def _known(w: str) -> tuple[int, int, int, int]:
+    """What Canoniser keeps of a raw word: its hashes inside a sentence, at the
+    beginning of one and as it is, and flags. Placeholders have odd hashes."""
+    if w.isalpha():
+        word, low, flags = w, w.lower(), 0
+    else:
+        word = _OUTER.sub("", w)
+        low, flags = word.lower(), ENDS * ((w.rstrip(_CLOSING) or w)[-1] in ".!?:") | OPENS * (not w[0].isalnum() and w[0] not in _SIGNS)
+    own = xxhash.xxh3_64_intdigest(low)
+    if is_number(low):
+        return _NUM, _NUM, own, flags | NUMBER
+    if low in UNITS:
+        flags |= UNIT
+    even = own & ~1
+    if word[:1].isupper() and not word.isupper():
+        return _NAME, even, even, flags
+    return even, even, even, flags | EMPTY * (not low)
+
+
 class Canoniser:
     """Template words of texts as arrays; keeps up to KNOWN_WORDS raw words."""
 
@@ -105,60 +127,68 @@ class Canoniser:
 
     def clear(self):
         self.index: dict[str, int] = {}
-        self.table = np.empty((KNOWN_WORDS // 4, 7), np.uint64)
-
-    def words(self, text: str | None) -> Words:
-        raw, lines = [], []
-        for line in text.splitlines() if text else ():
-            lines.append(len(raw))
-            raw += line.split()
+        self.table = np.empty((KNOWN_WORDS // 4, 4), np.uint64)
+
+    def words(self, *texts: str | None) -> Words:
+        raw, lines, starts = [], [], [0]
+        for text in texts:
+            for line in text.splitlines() if text else ():
+                lines.append(len(raw))
+                raw += line.split()
+            starts.append(len(raw))
         if len(self.index) > KNOWN_WORDS:
             self.clear()
         index = self.index
         new = set(raw).difference(index)
         if new:
-            first, rows = len(index), []
-            for k, w in enumerate(new, first):
-                index[w] = k
-                mid, start = canonical_word(w)
-                literal = literal_word(w)
-                hashed = xxhash.xxh3_64_intdigest(mid) >> 1 << 1 | (mid[:1] == "<")
-                other = hashed if start == mid else xxhash.xxh3_64_intdigest(start) >> 1 << 1 | (start[:1] == "<")
-                own = hashed if literal == mid else other if literal == start else xxhash.xxh3_64_intdigest(literal)
-                opens = not w[0].isalnum() and w[0] not in _SIGNS
-                # 1: a number, 2: a unit where a number stands before it
-                kind = 1 if mid == "<num>" else 2 if literal in UNITS else 0
-                rows.append((hashed, other, (w.rstrip(_CLOSING) or w)[-1] in ".!?:", start == "", own, opens, kind))
-            while first + len(rows) > len(self.table):
+            first = len(index)
+            index.update(zip(new, range(first, first + len(new))))
+            while first + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            self.table[first : first + len(rows)] = np.array(rows, np.uint64)
+            self.table[first : first + len(new)] = np.array([_known(w) for w in new], np.uint64)
         at = self.table[np.fromiter(map(index.__getitem__, raw), np.int64, len(raw))]
-        if at[:, 3].any():  # nothing but punctuation
-            held = np.flatnonzero(at[:, 3] == 0)
-            raw, at, lines = [raw[k] for k in held.tolist()], at[held], np.searchsorted(held, lines)
+        flags = at[:, 3].astype(np.uint8)
+        empty = flags & EMPTY
+        if empty.any():
+            held = np.flatnonzero(empty == 0)
+            raw, at, flags, lines = [raw[k] for k in held.tolist()], at[held], flags[held], np.searchsorted(held, lines)
+            starts = np.searchsorted(held, starts)
+        starts = np.asarray(starts, np.int64)
+        opening = starts[starts < len(raw)]
         begins = np.zeros(len(raw), bool)
-        begins[1:] = at[:-1, 2] != 0
-        unclear = at[:, 5] != 0
+        begins[1:] = flags[:-1] & ENDS
+        begins[opening] = False
+        unclear = (flags & OPENS) != 0
         lines = np.asarray(lines, np.int64)
         unclear[lines[lines < len(raw)]] = True
         unclear &= ~begins
         first, second = np.where(begins | unclear, at[:, 1], at[:, 0]), np.where(begins, at[:, 1], at[:, 0])
         counted = np.zeros(len(raw), bool)
-        counted[1:] = at[:-1, 6] == 1
-        units = counted & (at[:, 6] == 2)
+        counted[1:] = flags[:-1] & NUMBER
+        counted[opening] = False
+        units = counted & ((flags & UNIT) != 0)
         if units.any():
             first[units] = second[units] = _UNIT
-        return Words(raw, first, second, at[:, 4], begins, unclear, counted)
+        return Words(raw, starts, first, second, at[:, 2], begins, unclear, counted)
 
 
 class Words:
-    """Raw words, their hashes with unclear words in either form and as they are,
-    which begin a sentence or may do so, and which follow a number."""
+    """Raw words of texts one behind another, where each starts (and the last ends),
+    their hashes with unclear words in either form and as they are, which begin a
+    sentence or may do so, and which follow a number."""
 
-    def __init__(self, raw: list[str], first: np.ndarray, second: np.ndarray, literal: np.ndarray, begins: np.ndarray, unclear: np.ndarray, counted: np.ndarray):
-        self.raw, self.first, self.second, self.literal = raw, first, second, literal
+    def __init__(self, raw: list[str], starts: np.ndarray, first: np.ndarray, second: np.ndarray, literal: np.ndarray, begins: np.ndarray, unclear: np.ndarray, counted: np.ndarray):
+        self.raw, self.starts, self.first, self.second, self.literal = raw, starts, first, second, literal
         self.begins, self.unclear, self.counted = begins, unclear, counted
 
+    def _inside(self, n: int, size: int) -> np.ndarray:
+        """Which of ``n`` places have a window within one text."""
+        inside = np.ones(n, bool)
+        for i in range(1, size):
+            last = self.starts[1:-1] - i
+            inside[last[(last >= 0) & (last < n)]] = False
+        return inside
+
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, forms and hashes of all windows, some in more than one form."""
         n = len(self.raw) - size + 1
@@ -169,13 +199,14 @@ class Words:
             held = np.concatenate([[0], np.cumsum(hashes & np.uint64(1), dtype=np.int64)])
             return held[size:] - held[:n] <= size * (1 - LITERALS)
 
-        one = light(self.first)
-        heavy = ~one
+        inside = self._inside(n, size)
+        one = light(self.first) & inside
+        heavy = ~one & inside
         differ = self.first != self.second
         found = [(np.flatnonzero(one), BEGINS)]
         if differ.any():
             held = np.concatenate([[0], np.cumsum(differ)])
-            both, two = held[size:] > held[:n], light(self.second)
+            both, two = (held[size:] > held[:n]) & inside, light(self.second)
             found.append((np.flatnonzero(both & two), NAMES))
             heavy |= both & ~two
         found.append((np.flatnonzero(heavy), LITERAL))
@@ -186,19 +217,22 @@ class Words:
         places, forms, hashed = [], [], []
         for at, form in found:
             hashes = (self.first, self.second, self.literal)[form]
-            total = np.full(len(at), size + (form == LITERAL) * 1000, np.uint64)
-            every = len(at) == n
+            most = 4 * len(at) > n  # slices of all are cheaper than picking these
+            total = np.full(n if most else len(at), size + (form == LITERAL) * 1000, np.uint64)
             for i in range(size):
-                total = (total ^ (hashes[i : i + n] if every else hashes[at + i])) * _MIX
+                total ^= hashes[i : i + n] if most else hashes[at + i]
+                total *= _MIX
                 total ^= total >> np.uint64(29)
+            if most and len(at) < n:
+                total = total[at]
             places.append(at), forms.append(np.full(len(at), form)), hashed.append(total)
         return np.concatenate(places), np.concatenate(forms), np.concatenate(hashed)
 
     def short_windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Like ``windows`` for items that are too short for templates: all windows
         as they are, or only that of the whole text up to ``WHOLE`` words."""
-        n = len(self.raw) - size + 1
-        at = np.arange(n if size > WHOLE else n == 1) if n > 0 else np.empty(0, np.int64)
+        n = max(len(self.raw) - size + 1, 0)
+        at = np.flatnonzero(self._inside(n, size)) if size > WHOLE else self.starts[:-1][np.diff(self.starts) == size]
         return self._hashed([(at, LITERAL)], size)
 
     def template(self, first: int, size: int, form: int) -> tuple[list[str], list[str]]:
@@ -291,21 +325,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, shortest:
         canoniser = Canoniser()
         marks = np.unpackbits(bitmap.value).astype(bool) if small else None
 
-        def one(text):
-            held = canoniser.words(text)
-            out = []
+        def some(texts):
+            held = canoniser.words(*texts)
+            out = [[] for _ in texts]
             for size in sizes:
                 found = held.short_windows(size) if size < shortest else held.windows(size)
                 if small:
                     able = marks[found[2] >> np.uint64(64 - _BITMAP)]
                     found = tuple(x[able] for x in found)
-                for k, form, hashed in zip(*(x.tolist() for x in _signed(found))):
+                text = np.searchsorted(held.starts, found[0], "right") - 1
+                for t, at, k, form, hashed in zip(text.tolist(), (found[0] - held.starts[text]).tolist(), *(x.tolist() for x in _signed(found))):
                     words, slots = held.template(k, size, form)
-                    out.append({"doc_at": k, "hash": hashed, "template": " ".join(words), "doc_slots": slots})
-            return len(held.raw), out
+                    out[t].append({"doc_at": at, "hash": hashed, "template": " ".join(words), "doc_slots": slots})
+            return np.diff(held.starts).tolist(), out
 
         def work(key, text):
-            n, found = (list(x) for x in zip(*map(one, text))) if text else ([], [])
+            n, found, first, chars = [], [], 0, 0
+            for last, t in enumerate(text, 1):
+                chars += len(t or "")
+                if chars >= TOGETHER or last == len(text):
+                    for made, more in zip((n, found), some(text[first:last])):
+                        made += more
+                    first, chars = last, 0
             return {id_column: key, "n_words": n, "w": found}
 
         return work
