@@ -217,7 +217,7 @@ class Words:
         places, forms, hashed = [], [], []
         for at, form in found:
             hashes = (self.first, self.second, self.literal)[form]
-            most = 4 * len(at) > n  # slices of all are cheaper than picking these
+            most = 4 * len(at) > max(n, 0)  # slices of all are cheaper than picking these
             total = np.full(n if most else len(at), size + (form == LITERAL) * 1000, np.uint64)
             for i in range(size):
                 total ^= hashes[i : i + n] if most else hashes[at + i]

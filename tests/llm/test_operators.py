@@ -523,6 +523,31 @@ def test_leaks_of_other_parameters_are_found(spark):
     assert not any(rows[1000 + k].contaminated for k in range(60))
 
 
+def test_words_of_many_texts_are_those_of_each():
+    texts = ["", None, "...", "— 3 km “Who wrote”. One 5kg 12% ... $5 -", "", "Two. two TWO 3rd dollars 3", "km 5 miles", "dollars a b.", "Ab c", None]
+    texts += [prose(k, 40).capitalize() + "." for k in range(5)]
+    single, together = decontaminate.Canoniser(), decontaminate.Canoniser().words(*texts)
+    for size in range(1, 10):
+        for kind in ("windows", "short_windows"):
+            places, forms, hashes = getattr(together, kind)(size)
+            text = np.searchsorted(together.starts, places, "right") - 1
+            found = sorted(zip(text.tolist(), (places - together.starts[text]).tolist(), forms.tolist(), hashes.tolist()))
+            alone = [getattr(single.words(t), kind)(size) for t in texts]
+            assert found == sorted((k, *w) for k, a in enumerate(alone) for w in zip(*(x.tolist() for x in a)))
+    assert np.diff(together.starts).tolist() == [len(single.words(t).raw) for t in texts]
+
+
+def test_cells_keep_the_moments_of_rows(spark):
+    draw = np.random.default_rng(5)
+    x = np.vstack([draw.normal(size=(300, 4)), np.zeros((50, 4))])
+    table = spark.createDataFrame([("g", *map(float, r)) for r in x], "group string, x0 double, x1 double, x2 double, x3 double")
+    found = quality.cells(table, ["group"], [1.0] * 4).toPandas()
+    assert found.n.sum() == 350 and len(found) < 350
+    for i, j in quality.PAIRS:
+        assert found[f"q{i}{j}"].sum() == pytest.approx((x[:, i] * x[:, j]).sum())
+        assert found[f"s{i}"].sum() == pytest.approx(x[:, i].sum())
+
+
 def test_short_items_count_as_they_are(spark):
     items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "Compute 17 * 23 exactly"), (3, "Paris"), (4, "very well"), (5, "..."), (6, None)], "item_id long, text string")
     texts = ["Who wrote Hamlet?", "we ask: who wrote Hamlet, and when", "who wrote hamlets", "Compute 17 * 23 exactly", "Compute 18 * 23 exactly", "Paris", "paris.", "I love Paris", "Very well!", "that is very well", "", None, "..."]
