@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import folder, gathered, map_rows, stored
 
 #: Halves of surrogate pairs, which JSON may escape but UTF-8 can't hold.
 _HALVES = re.compile("[\ud800-\udfff]")
@@ -126,29 +126,31 @@ def levels(calls: DataFrame) -> DataFrame:
 
     Chains of calls with one dependency each are shortened first, so the rounds
     grow with how often several dependencies meet and not with a chain's length.
+    What rounds settle goes to one folder, so the plan doesn't grow with them.
     """
+    done = folder(calls.sparkSession)
     nodes = calls.select("conv_id", "call_id")
     needs = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needed"))
     edges = stored(needs.join(nodes.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_semi"))
     degree = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"))
     chains = _chains(edges.join(degree.where("n = 1"), ["conv_id", "call_id"]))
-    settled = stored(nodes.join(degree, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
+    settled = stored(nodes.join(degree, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), done)
     tops = chains.select("conv_id", F.col("call_id").alias("needed"), "to", "steps")
     empty = F.lit(None).cast("int").alias("level")
     meet = edges.join(degree.where("n > 1"), ["conv_id", "call_id"]).join(tops, ["conv_id", "needed"], "left")
     waiting = stored(meet.select("conv_id", "call_id", F.coalesce("to", "needed").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), empty))
-    freed, all_settled = settled, settled
+    freed = settled
     while not waiting.isEmpty():
         # only calls that the last round settled are new; what waits shrinks with every round
         new = freed.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("__level"))
         told = waiting.join(new, ["conv_id", "to"], "left").withColumn("level", F.coalesce("level", "__level")).drop("__level")
         told = stored(told)
         found = told.groupBy("conv_id", "call_id").agg(F.max(F.col("level") + F.col("steps")).alias("level"), (F.count("level") == F.count(F.lit(1))).alias("all"))
-        freed = stored(found.where("all").select("conv_id", "call_id", "level"))
+        freed = stored(found.where("all").select("conv_id", "call_id", "level"), done)
         if freed.isEmpty():
             break
-        all_settled = all_settled.unionByName(freed)
         waiting = told.join(freed, ["conv_id", "call_id"], "left_anti").select(waiting.columns)
+    all_settled = gathered(calls.sparkSession, done, settled.schema)
     known = all_settled.withColumnRenamed("call_id", "to")
     return all_settled.unionByName(chains.join(known, ["conv_id", "to"]).select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level")))
 

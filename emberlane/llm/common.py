@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a task turns into Python objects at once.
 SLICE_BYTES = 2 << 20
@@ -59,19 +60,31 @@ def dropped(spark: SparkSession, paths: Iterable[str]) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def folder(spark: SparkSession) -> str:
+    """A scratch path for tables that rounds add with ``stored`` and ``gathered`` reads as one."""
+    path = scratch(spark)
+    if (paths := _recorder.get()) is not None:
+        paths.append(path)
+    return path
+
+
+def stored(df: DataFrame, within: str | None = None) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again.
 
     The plan that follows starts at these files, so the loss of an executor
-    costs a read of them and not the work before.
+    costs a read of them and not the work before. ``within`` is a ``folder`` that
+    the table becomes a part of.
     """
-    path = scratch(df.sparkSession)
-    if (paths := _recorder.get()) is not None:
-        paths.append(path)
+    path = f"{within}/{uuid.uuid4().hex}" if within else folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(spark: SparkSession, within: str, schema: StructType) -> DataFrame:
+    """All tables stored in a ``folder``, by one scan however many there are."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(within)
+
+
 def quoted(names: Iterable[str]) -> list[str]:
     """Column names for ``select``, whatever characters they hold."""
     return [f"`{name.replace('`', '``')}`" for name in names]

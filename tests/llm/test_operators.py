@@ -347,6 +347,16 @@ def test_levels_of_random_graphs(spark):
     assert found == {(1, k): v for k, v in want.items()} | {(2, f"c{k}"): k for k in range(300)} | {(3, "free"): 0}
 
 
+def test_levels_plan_does_not_grow_with_rounds(spark):
+    def plan(depth):
+        rows = [(1, f"d{k}", [f"d{x}" for x in (k - 1, k - 2) if x >= 0]) for k in range(depth)]
+        found = chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>"))
+        assert {r.call_id: r.level for r in found.collect()} == {f"d{k}": k for k in range(depth)}
+        return found._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+    assert plan(3) == plan(9)
+
+
 def test_json_of_odd_arguments(spark):
     many = {"type": ["integer", "null"]}
     assert chat.schema_problem(None, many) is None and chat.schema_problem("x", many) == "$: not integer or null"
