@@ -37,7 +37,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -130,8 +130,7 @@ class Words:
         inside[ends] = False
         starts = ends - sizes - 2
         inside[starts] = inside[starts + 1] = False
-        get = self.ids.get
-        flat[inside] = np.fromiter((get(w, UNKNOWN) for w in chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+        flat[inside] = np.fromiter(map(self.ids.get, chain.from_iterable(texts), repeat(UNKNOWN)), np.int64, int(sizes.sum()))
         return flat, ends
 
 
@@ -149,55 +148,91 @@ def part_features(at: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.concatenate([classes[None], mixed])
 
 
-def part_probabilities(weights: np.ndarray, at: np.ndarray, absent: np.ndarray) -> np.ndarray:
-    z = weights[at[0]] + absent
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) and its sums by row. Only where float32 can't hold these, rows' maxima are taken off ``z`` first, in place."""
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+    sums = np.einsum("ij->i", e)
+    if not (sums > 1e-20).all() or not (sums < 1e20).all():
+        z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        sums = e.sum(axis=1)
+    return e, sums
+
+
+def log_chances(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """log10 of the softmax of each row of ``z`` at its column ``y``, -30 at least."""
+    sums = exponentials(z)[1]
+    return np.maximum((z[np.arange(len(y)), y] - np.log(sums)) * np.log10(np.e), -30)
+
+
+def probabilities(z: np.ndarray) -> np.ndarray:
+    e, sums = exponentials(z)
+    e /= sums[:, None]
+    return e
+
+
+def part_logits(weights: np.ndarray, at: np.ndarray, absent: np.ndarray) -> np.ndarray:
+    z = weights.take(at[0], 0)
+    z += absent
     for row in at[1:]:
-        z += weights[row]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+        z += weights.take(row, 0)
     return z
 
 
-def train_parts(weights: np.ndarray, power: np.ndarray, at: np.ndarray, classes: np.ndarray, target: np.ndarray, absent: np.ndarray, rate: float) -> None:
-    """Mini-batch steps in place on the parts of words that have one."""
-    cells, columns = weights.reshape(-1), np.arange(SUBS)
-    for k in range(0, len(target), BATCH):
-        rows, y = at[:, k : k + BATCH], target[k : k + BATCH]
-        g = part_probabilities(weights, rows, absent[classes[k : k + BATCH]])
-        g[np.arange(len(y)), y] -= 1
-        size = (g * g).mean(axis=1)
-        for row in rows:
-            np.add.at(power, row, size)
-            step = g * (-rate / np.sqrt(power[row] + 1)).astype(np.float32)[:, None]
-            np.add.at(cells, (row[:, None] * SUBS + columns).reshape(-1), step.reshape(-1))
+def part_probabilities(weights: np.ndarray, at: np.ndarray, absent: np.ndarray) -> np.ndarray:
+    return probabilities(part_logits(weights, at, absent))
 
 
-def class_probabilities(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z = weights[at[1]] + weights[at[2]]
-    z += weights[at[3]]
+def class_logits(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z = weights.take(at[1], 0)
+    z += weights.take(at[2], 0)
+    z += weights.take(at[3], 0)
     z += weights[0]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
     return z
 
 
-def train(weights: np.ndarray, power: np.ndarray, at: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """Mini-batch steps in place; ``power`` holds the rows' summed squared gradients."""
-    cells, columns = weights.reshape(-1), np.arange(CLASSES)
+def class_probabilities(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return probabilities(class_logits(weights, at))
+
+
+class Steps:
+    """Adds scaled gradients to rows of ``weights`` in place; ``power`` holds the rows' summed squared gradients."""
+
+    def __init__(self, weights: np.ndarray, power: np.ndarray, rate: float):
+        self.weights, self.power, self.rate = weights, power, rate
+        # two neighbouring weights are one complex cell: the same sums by half as many additions
+        self.cells = weights.reshape(-1).view(np.complex64)
+        self.places = np.arange(len(self.cells)).reshape(len(weights), -1)
+
+    def add(self, rows: np.ndarray, g: np.ndarray) -> None:
+        size = np.einsum("ij,ij->i", g, g) / g.shape[1]
+        for row in rows:
+            np.add.at(self.power, row, size)
+            step = g * (-self.rate / np.sqrt(self.power[row] + 1)).astype(np.float32)[:, None]
+            np.add.at(self.cells, self.places.take(row, 0).reshape(-1), step.reshape(-1).view(np.complex64))
+
+
+def train_parts(steps: Steps, at: np.ndarray, classes: np.ndarray, target: np.ndarray, absent: np.ndarray) -> None:
+    """Mini-batch steps on the parts of words that have one."""
+    for k in range(0, len(target), BATCH):
+        rows, y = at[:, k : k + BATCH], target[k : k + BATCH]
+        g = part_probabilities(steps.weights, rows, absent.take(classes[k : k + BATCH], 0))
+        g[np.arange(len(y)), y] -= 1
+        steps.add(rows, g)
+
+
+def train(steps: Steps, at: np.ndarray, target: np.ndarray) -> None:
+    """Mini-batch steps on the classes."""
+    weights, power = steps.weights, steps.power
     for k in range(0, len(target), BATCH):
         rows, y = at[:, k : k + BATCH], target[k : k + BATCH]
         g = class_probabilities(weights, rows)
         g[np.arange(len(y)), y] -= 1
         total = g.sum(axis=0)  # of the bias
         power[0] += (total * total).mean()
-        weights[0] -= rate * total / np.sqrt(power[0] + 1)
-        size = (g * g).mean(axis=1)
-        for row in rows[1:]:
-            np.add.at(power, row, size)
-            step = g * (-rate / np.sqrt(power[row] + 1)).astype(np.float32)[:, None]
-            np.add.at(cells, (row[:, None] * CLASSES + columns).reshape(-1), step.reshape(-1))
+        weights[0] -= steps.rate * total / np.sqrt(power[0] + 1)
+        steps.add(rows[1:], g)
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -217,17 +252,17 @@ def _round(slice_: DataFrame, vocabulary, weights, column: str, rate: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, begun = vocabulary.value, weights.value
         own, n = [w.copy() for w in begun], 0
-        power = [np.zeros(ROWS, np.float32) for _ in begun]
+        steps = [Steps(w, np.zeros(ROWS, np.float32), rate) for w in own]
         for batch in (part for whole in batches for part in sliced(whole)):
             for _, held in _chunks(batch.column(0).to_pylist()):
                 flat, _ = known.encode(held)
                 real = flat != BEGIN
                 ids = flat[real]
                 at, classes = features(flat)[:, real], known.classes[ids]
-                train(own[0], power[0], at, classes, rate)
-                told = classes > 1
-                within = part_features(at[:, told], classes[told])
-                train_parts(own[1], power[1], within, classes[told], known.parts[ids[told]], known.absent, rate)
+                train(steps[0], at, classes)
+                told = np.flatnonzero(classes > 1)
+                within = part_features(at.take(told, 1), classes[told])
+                train_parts(steps[1], within, classes[told], known.parts[ids[told]], known.absent)
                 n += int(real.sum())
         if n:
             changes = [((a - b) * n).astype(np.float32) for a, b in zip(own, begun)]
@@ -299,24 +334,22 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         words_, w = vocabulary.value, weights.value
 
         def work(key, text):
-            out = {n: [] for n in ("n_tokens", "n_known", "base", "model", "rare")}
+            out, rare = {n: [] for n in ("n_tokens", "n_known", "base", "model")}, []
             for _, held in _chunks(text):
                 flat, ends = words_.encode(held)
                 real = flat != BEGIN
                 ids = flat[real]
                 at = features(flat)[:, real]
                 classes = words_.classes[ids]
-                chances = np.empty(len(ids))
-                for k in range(0, len(ids), BATCH * 4):
-                    some = slice(k, k + BATCH * 4)
-                    p = class_probabilities(w[0], at[:, some])
-                    chances[some] = p[np.arange(len(p)), classes[some]]
-                model = np.log10(np.maximum(chances, 1e-30)) + words_.within[ids]
+                model = words_.within[ids]
+                for k in range(0, len(ids), BATCH):
+                    some = slice(k, k + BATCH)
+                    model[some] += log_chances(class_logits(w[0], at[:, some]), classes[some])
                 told = np.flatnonzero(classes > 1)
-                for k in range(0, len(told), BATCH * 4):
-                    some = told[k : k + BATCH * 4]
-                    p = part_probabilities(w[1], part_features(at[:, some], classes[some]), words_.absent[classes[some]])
-                    model[some] += np.log10(np.maximum(p[np.arange(len(p)), words_.parts[ids[some]]], 1e-30))
+                for k in range(0, len(told), BATCH):
+                    some = told[k : k + BATCH]
+                    z = part_logits(w[1], part_features(at[:, some], classes[some]), words_.absent.take(classes[some], 0))
+                    model[some] += log_chances(z, words_.parts[ids[some]])
                 sizes = np.diff(np.concatenate([[-1], ends])) - 2
                 starts = np.cumsum(sizes) - sizes
                 met = (ids > END) | (ids == END) & words_.end_known
@@ -324,8 +357,15 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 out["n_known"] += np.add.reduceat(met.astype(np.int64), starts).tolist()
                 out["base"] += np.add.reduceat(words_.base[ids], starts).tolist()
                 out["model"] += np.add.reduceat(model, starts).tolist()
-                out["rare"] += [[{"word": x, "n": n} for x, n in Counter(x for x in found if x not in words_.ids).items()] for found in held]
-            return out | {"id": key}
+                found = [Counter() for _ in held]
+                places = np.flatnonzero(ids == UNKNOWN)
+                of = np.searchsorted(starts, places, "right") - 1
+                for k, place in zip(of.tolist(), (places - starts[of]).tolist()):
+                    found[k][held[k][place]] += 1
+                rare += found
+            fields = [pa.array(list(chain.from_iterable(rare)), pa.binary()), pa.array(list(chain.from_iterable(x.values() for x in rare)), pa.int32())]
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rare)], dtype=np.int32), pa.StructArray.from_arrays(fields, ["word", "n"]))
+            return out | {"id": key, "rare": lists}
 
         return work
 

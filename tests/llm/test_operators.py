@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -832,6 +833,79 @@ def test_maxent_tells_thirty_bands_apart():
     assert len(set(known.classes[3:].tolist())) == 30
 
 
+def least_cpu(*works, repeats=7):
+    """Least CPU seconds of each of some functions, taken in turns."""
+    least = [math.inf] * len(works)
+    for _ in range(repeats):
+        for k, work in enumerate(works):
+            began = time.process_time()
+            work()
+            least[k] = min(least[k], time.process_time() - began)
+    return least
+
+
+def softmax_by_row(z):
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def test_maxent_softmax_equals_a_plain_one_and_takes_less_time():
+    draw = np.random.default_rng(4)
+    weights = draw.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    at = np.concatenate([np.zeros((1, maxent.BATCH), np.int64), draw.integers(1, maxent.ROWS, (3, maxent.BATCH))])
+    plain = lambda w: softmax_by_row(w[at[1]] + w[at[2]] + w[at[3]] + w[0])
+    assert np.allclose(maxent.class_probabilities(weights, at), plain(weights), rtol=1e-4, atol=1e-9)
+    ours, theirs = least_cpu(*[lambda f=f: [f() for _ in range(20)] for f in (lambda: maxent.class_probabilities(weights, at), lambda: plain(weights))])
+    assert ours < 0.8 * theirs
+    for shift in (-300, -60, 60, 300):  # beyond what float32 holds, of all rows or of one
+        moved = weights.copy()
+        moved[0] += shift
+        assert np.allclose(maxent.class_probabilities(moved, at), plain(moved), rtol=1e-3, atol=1e-9)
+        moved = weights.copy()
+        moved[at[1, 0]] += shift
+        assert np.allclose(maxent.class_probabilities(moved, at), plain(moved), rtol=1e-3, atol=1e-9)
+    y = draw.integers(0, maxent.CLASSES, maxent.BATCH)
+    for spread in (1, 400):
+        z = (draw.normal(size=(maxent.BATCH, maxent.CLASSES)) * spread).astype(np.float32)
+        wide = z.astype(np.float64)
+        want = wide - wide.max(axis=1, keepdims=True)
+        want = (want[np.arange(len(y)), y] - np.log(np.exp(want).sum(axis=1))) / math.log(10)
+        assert np.allclose(maxent.log_chances(z, y), np.maximum(want, -30), rtol=1e-4, atol=1e-5)
+
+
+def test_maxent_steps_equal_plain_ones_and_take_less_time():
+    draw = np.random.default_rng(5)
+    n = 3 * maxent.BATCH + 17
+    at = np.concatenate([np.zeros((1, n), np.int64), 1 + (draw.random((3, n)) ** 3 * (maxent.ROWS - 1)).astype(np.int64)])
+    y, rate = draw.integers(0, maxent.CLASSES, n), 0.1
+
+    def plain(weights, power):
+        cells, columns = weights.reshape(-1), np.arange(maxent.CLASSES)
+        for k in range(0, n, maxent.BATCH):
+            rows, target = at[:, k : k + maxent.BATCH], y[k : k + maxent.BATCH]
+            g = softmax_by_row(weights[rows[1]] + weights[rows[2]] + weights[rows[3]] + weights[0])
+            g[np.arange(len(target)), target] -= 1
+            total = g.sum(axis=0)
+            power[0] += (total * total).mean()
+            weights[0] -= rate * total / np.sqrt(power[0] + 1)
+            size = (g * g).mean(axis=1)
+            for row in rows[1:]:
+                np.add.at(power, row, size)
+                step = g * (-rate / np.sqrt(power[row] + 1)).astype(np.float32)[:, None]
+                np.add.at(cells, (row[:, None] * maxent.CLASSES + columns).reshape(-1), step.reshape(-1))
+
+    empty = lambda: (np.zeros((maxent.ROWS, maxent.CLASSES), np.float32), np.zeros(maxent.ROWS, np.float32))
+    (w, p), (own, own_power) = empty(), empty()
+    plain(w, p)
+    maxent.train(maxent.Steps(own, own_power, rate), at, y)
+    assert np.allclose(own, w, atol=1e-5) and np.allclose(own_power, p, rtol=1e-4) and np.abs(w).max() > 0.1
+    steps = maxent.Steps(*empty(), rate)
+    ours, theirs = least_cpu(lambda: maxent.train(steps, at, y), lambda: plain(w, p))
+    assert ours < 0.9 * theirs
+
+
 def test_license_scan(spark):
     texts = ["Released under the MIT License.", "x " * 70 + "this work IS licensed, under: the gnu general public license version 3", "CC BY cc-by CC BY", None, "", "mit apache license license", "under the license", "é " * 50 + "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"]
     docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]).withColumn("token", F.lit("clash")).withColumn("label", F.lit(1))
